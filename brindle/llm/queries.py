@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, decontaminate, exact_dedup, near_dedup
-from brindle.llm.shared import table
+from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, quality, toxicity
+from brindle.llm.shared import held_out, table
 
 
 def vocabulary_path() -> str:
@@ -23,10 +23,27 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    return language.predict(docs, language.train(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
