@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, quality, toxicity
+from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, sharding, toxicity
 from brindle.llm.shared import held_out, table
 
 
@@ -19,6 +19,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = [k.name for k in pii.KINDS if k.base]
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined([k.name for k in pii.KINDS]).alias("spans"), F.array_join(F.transform(F.concat(*[F.col(k.name) for k in pii.KINDS]), lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -44,6 +53,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
