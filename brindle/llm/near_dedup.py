@@ -9,11 +9,14 @@ no run repeats.
 
 Documents of one word sequence collapse to their smallest id before anything is paired, so
 exact copies never make pairs.  The others meet in buckets (a band's components).  Each
-bucket links its members to its smallest id; only the sketches of a bucket whose members
-are then in different components are compared further, by changing leaders and finally
-between the components left, so no link between different components is lost.  Every
-proposed pair is verified with the Jaccard similarity of the whole shingle sets.  Classes
-are the connected components of the verified links, found by large-star/small-star.
+bucket tests its members against its smallest id, then, as long as its members are in
+different components, against other leaders.  What is left is tested between components:
+pair by pair in buckets of up to ``CROWD`` members, and in larger ones by blocks of bounded
+size, where one matrix product counts the common shingles of all members and only links
+that join two components come out.  So no link between different components is lost, and
+no group's pairs are ever written down.  Every link is verified with the Jaccard similarity
+of the whole shingle sets.  Classes are the connected components of the links, found by
+large-star/small-star.
 
 Cases: null and empty texts, and texts without words, are alone in their class; a text of
 fewer words than a shingle is one shingle; ``doc_id`` names a document, and rows that
@@ -36,7 +39,11 @@ THRESHOLD = 0.8
 BANDS = 20
 ROWS = 4
 #: Rounds of new leaders before the components left in a bucket are compared directly.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Buckets of more members are compared in blocks.
+CROWD = 24
+#: Shingles in a block.
+BLOCK_ITEMS = 1_000_000
 
 SKETCH = "doc_id long, print1 long, print2 long, n_words long, bands array<long>"
 
@@ -146,24 +153,17 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOL
 
     sets = _candidate_sets(docs, member, shingle)
     tested = _verify(member.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, threshold)
-    tested = shared.materialize(tested, "tested")
-    done = [tested]
-    for turn in range(LEADER_ROUNDS + 1):
-        root = shared.materialize(components(shared.union_all(done).filter("linked").select("a", "b")), "root")
-        open_member = _open_members(member, root)
-        if turn == LEADER_ROUNDS:
-            pairs = _pairs_between(open_member)
-        else:
-            pairs = _pairs_with_leader(open_member, turn)
-        pairs = pairs.join(shared.union_all(done).select("a", "b"), ["a", "b"], "left_anti")
-        found = shared.materialize(_verify(pairs, sets, threshold), "tested")
-        if found.isEmpty():
-            if turn == LEADER_ROUNDS or open_member.isEmpty():
-                break
-            continue
-        done.append(found)
-        if turn == LEADER_ROUNDS and not found.filter("linked").isEmpty():
-            root = shared.materialize(components(shared.union_all(done).filter("linked").select("a", "b")), "root")
+    done = [shared.materialize(tested, "tested")]
+    for turn in range(LEADER_ROUNDS):
+        open_member = _open_members(member, _roots(done))
+        pairs = _pairs_with_leader(open_member, turn).join(shared.union_all(done).select("a", "b"), ["a", "b"], "left_anti")
+        done.append(shared.materialize(_verify(pairs, sets, threshold), "tested"))
+    open_member = _open_members(member, _roots(done))
+    pairs = _pairs_between(open_member.filter(F.col("members") <= CROWD)).join(shared.union_all(done).select("a", "b"), ["a", "b"], "left_anti")
+    done.append(shared.materialize(_verify(pairs, sets, threshold), "tested"))
+    crowds = _links_in_crowds(_open_members(member, _roots(done)).filter(F.col("members") > CROWD), sets, threshold)
+    done.append(shared.materialize(crowds, "crowds"))
+    root = _roots(done)
     near = root.select(F.col("node").alias("near_node"), "root")
     own = nodes.select(*prints, "node").join(near, F.col("node") == F.col("near_node"), "left").select(*prints, F.coalesce("root", "node").alias("class_id"))
     rows_with = sketch.select("doc_id", *prints, "n_words").filter("n_words > 0").join(own, prints).select("doc_id", "class_id", "n_words")
@@ -187,13 +187,83 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", (common >= threshold * union - 1e-9).alias("linked"))
 
 
+def _roots(tested: list[DataFrame]) -> DataFrame:
+    return components(shared.union_all(tested).filter("linked").select("a", "b"))
+
+
 def _open_members(member: DataFrame, root: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold more than one component."""
     known = member.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    several = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    known = shared.materialize(known, "known")
+    several = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+    several = shared.materialize(several.filter("low < high").select("bucket", "members"), "several")
     return shared.materialize(known.join(several, "bucket"), "open")
 
 
+def _links_in_crowds(member: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, linked: for every block pair of every bucket, links that join its components."""
+    items = sets.select(F.col("node").alias("own"), "items")
+    rows = member.join(items, F.col("node") == F.col("own")).select("bucket", "node", "root", "items")
+    size = member.join(sets.select(F.col("node").alias("own"), F.size("items").alias("size")), F.col("node") == F.col("own"))
+    size = size.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    rows = rows.join(shared.materialize(size, "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("low"), F.greatest(k, "block").alias("high")))
+    dealt = rows.select("bucket", "node", "root", "items", F.explode(others).alias("pair"))
+    dealt = dealt.select("bucket", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "node", "root", "items")
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(_joiner(threshold), "a long, b long, linked boolean")
+
+
+def _joiner(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        nodes, roots = group["node"].to_numpy(), group["root"].to_numpy()
+        lists = group["items"].combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        links = joining_links(nodes, roots, size, lists.flatten().to_numpy(), threshold)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64()), "linked": pa.array([True] * len(links), pa.bool_())})
+
+    return run
+
+
+def joining_links(nodes: np.ndarray, roots: np.ndarray, size: np.ndarray, items: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the components of these nodes, as few as join all that can be."""
+    n = len(nodes)
+    kinds, of, many = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(kinds) < 2:
+        return []
+    most = many.argmax()
+    rest = np.flatnonzero(of != most)
+    doc = np.repeat(np.arange(n), size)
+    _, column, uses = np.unique(items, return_inverse=True, return_counts=True)
+    place = np.full(len(uses), -1)
+    place[uses > 1] = np.arange((uses > 1).sum())
+    column, doc = place[column][uses[column] > 1], doc[uses[column] > 1]
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    common = np.zeros((len(rest), n), np.float32)
+    step = max(256, (1 << 22) // n)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, (low, low + step))
+        part = np.zeros((n, step), np.float32)
+        part[doc[a:b], column[a:b] - low] = 1
+        common += part[rest] @ part.T
+    union = size[rest][:, None] + size[None, :] - common
+    near, other = np.nonzero((common >= threshold * union - 1e-9) & (of[rest][:, None] != of[None, :]))
+    group, links = list(range(len(kinds))), []
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for i, j in zip(rest[near].tolist(), other.tolist(), strict=True):
+        a, b = find(int(of[i])), find(int(of[j]))
+        if a != b:
+            group[a] = b
+            links.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
+    return links
+
+
 def _pairs_with_leader(member: DataFrame, turn: int) -> DataFrame:
     """Each member with the member that a hash, another in each turn, puts first, if they
     are in different components."""
@@ -215,5 +285,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     ``doc_id`` stay."""
     found = classes(docs, **options)
     stay = found.filter("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.filter("doc_id is not null").join(stay, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    kept = docs.filter("doc_id is not null").join(stay, docs["doc_id"].cast("long") == stay["kept_id"], "left_semi")
     return kept.unionByName(docs.filter("doc_id is null"))
