@@ -116,10 +116,13 @@ def decide(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = shared.materialize(identities(docs), "identity")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid")).alias("first")
-    groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), first)
-    joined = rows.join(groups, ["level", "name"])
+    # Written, so that the join below deals out plain rows, which Spark can split where a group is hot.
+    groups = shared.materialize(rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), first).filter("group_size > 1"), "groups")
+    joined = rows.join(groups, ["level", "name"], "left")
+    single = F.col("group_size").isNull()
     return joined.select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), F.col("sha").alias("text_sha256")
+        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.when(single, True).otherwise(F.col("uid") == F.col("first.uid")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
@@ -131,13 +134,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     decided = shared.materialize(decide(docs), "decided")
     per_id = decided.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay")).filter("stay > 0")
-    own = F.col("doc_id").cast("long")
-    out = docs.join(per_id.filter("rows = 1"), own == F.col("kept_id"), "left_semi")
+    single = per_id.filter("rows = 1")
+    out = docs.join(single, docs["doc_id"].cast("long") == single["kept_id"], "left_semi")
     mixed = per_id.filter("rows > 1 or kept_id is null")
     if mixed.isEmpty():
         return out
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
-    wanted = decided.filter("kept").select(F.col("doc_id").alias("own_id"), F.col("text_sha256").alias("own_sha"))
-    wanted = wanted.join(mixed, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    again = docs.withColumns({"__id": own, "__sha": sha}).join(wanted, F.col("__id").eqNullSafe(F.col("own_id")) & (F.col("__sha") == F.col("own_sha")), "left_semi")
+    wanted = decided.filter("kept").select(F.col("doc_id").alias("__own_id"), F.col("text_sha256").alias("__own_sha"))
+    wanted = wanted.join(mixed, F.col("__own_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    again = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__sha": sha}).join(wanted, F.col("__id").eqNullSafe(F.col("__own_id")) & (F.col("__sha") == F.col("__own_sha")), "left_semi")
     return out.unionByName(again.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha"))
