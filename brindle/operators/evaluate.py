@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Fixed value: the 97.5 % point of the normal distribution.
 Z95 = 1.959963984540054
@@ -40,7 +41,7 @@ def mcnemar(counts: DataFrame) -> DataFrame:
         for frame in frames:
             yield frame.assign(p=[p_value(int(g), int(x)) for g, x in zip(frame["gained"], frame["lost"], strict=True)])
 
-    return counts.mapInPandas(run, counts.schema.add("p", "double"))
+    return counts.mapInPandas(run, StructType([*counts.schema.fields, StructField("p", DoubleType())]))
 
 
 def bootstrap(deltas: DataFrame, column: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
