@@ -1,7 +1,7 @@
 """Toxicity: a character n-gram classifier with naive Bayes scaled features.
 
-A feature is the presence of a hashed run of ``GRAM`` bytes of the lower-cased text, each
-run of characters that aren't word characters being one space.  A feature's value is the
+A feature is the presence of a hashed run of 5 or 8 bytes (``GRAMS``) of the lower-cased
+text, each run of characters that aren't word characters being one space.  A feature's value is the
 logarithm of the ratio of its smoothed frequencies in toxic and clean training texts; a
 logistic regression with an elastic-net penalty is fitted on these values.  Features whose
 weight is zero are skipped when scoring, so a text costs one table lookup per character.
@@ -22,16 +22,19 @@ from pyspark.sql import functions as F
 from brindle.llm import shared
 from brindle.llm.textvec import BASE, IS_WORD, LOWER, U, mix, slices, utf8
 
-GRAM = 5
-BUCKETS = 1 << 18
-#: Bound of the labelled rows that are fitted (chosen by a hash of the id).
-TRAIN_ROWS = 6_000
-STEPS = 120
+GRAMS = (5, 8)
+BUCKETS = 1 << 20
+#: Bound of the labelled rows that are fitted, half of them for each label (chosen by a
+#: hash of the id).
+TRAIN_ROWS = 4_000
+#: Texts of the sample that must have a feature.
+LEAST_SEEN = 3
+STEPS = 100
 SEED = 8
 
 
-def grams(raw: np.ndarray, at: np.ndarray, gram: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document and bucket of every run of ``gram`` bytes within a document, which has a
+def grams(raw: np.ndarray, at: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and bucket of every run of so many bytes within a document, which has a
     space before and after its text."""
     n = len(at) - 1
     low = LOWER[raw]
@@ -43,14 +46,18 @@ def grams(raw: np.ndarray, at: np.ndarray, gram: int, buckets: int) -> tuple[np.
     keep = np.ones(len(text), dtype=bool)
     keep[1:] = (text[1:] != 32) | (text[:-1] != 32) | (doc[1:] != doc[:-1])
     text, doc = text[keep], doc[keep]
-    m = len(text) - gram + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.zeros(m, dtype=U)
-    for j in range(gram):
-        total += (text[j : j + m].astype(U) + U(1)) * U(pow(BASE, j, 1 << 64))
-    inside = doc[:m] == doc[gram - 1 :]
-    return doc[:m][inside], (mix(total[inside]) >> U(64 - (buckets.bit_length() - 1))).astype(np.int64)
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for gram in sizes:
+        m = len(text) - gram + 1
+        if m <= 0:
+            continue
+        total = np.full(m, gram, dtype=U)
+        for j in range(gram):
+            total += (text[j : j + m].astype(U) + U(1)) * U(pow(BASE, j + 1, 1 << 64))
+        inside = doc[:m] == doc[gram - 1 :]
+        docs.append(doc[:m][inside])
+        found.append((mix(total[inside]) >> U(64 - (buckets.bit_length() - 1))).astype(np.int64))
+    return np.concatenate(docs), np.concatenate(found)
 
 
 def distinct(doc: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +65,12 @@ def distinct(doc: np.ndarray, bucket: np.ndarray, buckets: int) -> tuple[np.ndar
     return pair // buckets, pair % buckets
 
 
-def _features(gram: int, buckets: int):
+def _features(sizes: tuple[int, ...], buckets: int):
     def run(batches):
         for batch in batches:
             raw, at = utf8(batch["text"])
             for first, last, part, offsets in slices(raw, at):
-                doc, bucket = distinct(*grams(part, offsets, gram, buckets), buckets)
+                doc, bucket = distinct(*grams(part, offsets, sizes, buckets), buckets)
                 bounds = np.searchsorted(doc, np.arange(last - first + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch["label"].slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bucket, pa.int32()))], ["label", "features"]
@@ -72,12 +79,15 @@ def _features(gram: int, buckets: int):
     return run
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, teaches, bound: int, seed: int) -> DataFrame:
-    """doc_id, text, label (0 or 1) of about ``bound`` labelled documents at most."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, teaches, bound: int, seed: int, by_label: bool = False) -> DataFrame:
+    """doc_id, text, label (0 or 1) of about ``bound`` labelled documents at most (of each label half of it, if asked)."""
     known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     known = known.filter(teaches) if teaches is not None else known
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(column) >= 0.5).cast("int").alias("label"))
-    known = shared.bounded_sample(known, "doc_id", bound, seed)
+    if by_label:
+        known = shared.union_all([shared.bounded_sample(known.filter(F.col("label") == label), "doc_id", bound // 2, seed) for label in (0, 1)])
+    else:
+        known = shared.bounded_sample(known, "doc_id", bound, seed)
     # The sample's bound bounds the broadcast.
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
@@ -89,19 +99,18 @@ def fit(rows: list[tuple[int, np.ndarray]], buckets: int = BUCKETS, steps: int =
         share = float(y.mean()) if len(y) else 0.0
         return {"weights": np.zeros(buckets, np.float32), "bias": _logit(min(max(share, 1e-6), 1 - 1e-6))}
     size = np.array([len(r[1]) for r in rows])
-    at = np.concatenate([[0], np.cumsum(size)])
     item = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
-    row = np.repeat(np.arange(len(y), dtype=np.int32), size)
-    positive = 1 + np.bincount(item[y[row] == 1], minlength=buckets)
-    negative = 1 + np.bincount(item[y[row] == 0], minlength=buckets)
-    ratio = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
-    seen = positive + negative - 2
-    ratio = np.where(seen >= 2, ratio, 0.0)
+    toxic = np.repeat(y == 1, size)
+    positive, negative = (np.bincount(item[side], minlength=buckets) for side in (toxic, ~toxic))
+    seen = positive + negative
+    ratio = np.log((positive + 1) / (positive + 1).sum()) - np.log((negative + 1) / (negative + 1).sum())
+    ratio = np.where(seen >= LEAST_SEEN, ratio, 0.0)
     used = np.flatnonzero(ratio)
     place = np.zeros(buckets, np.int32)
     place[used] = np.arange(len(used))
     some = ratio[item] != 0
-    item, row = place[item[some]], row[some]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)[some]
+    item = place[item[some]]
     at = np.searchsorted(row, np.arange(len(y) + 1))
     r = ratio[used]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -137,18 +146,18 @@ def _sums(values: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def train(docs: DataFrame, labels: DataFrame, teaches=None, bound: int = TRAIN_ROWS, gram: int = GRAM, buckets: int = BUCKETS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, teaches=None, bound: int = TRAIN_ROWS, sizes: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> dict:
     """The model, from ``labels.toxic`` of the label rows that ``teaches`` (a condition)
     holds for, about ``bound`` documents at most."""
-    rows = labelled(docs, labels, "toxic", teaches, bound, SEED).mapInArrow(_features(gram, buckets), "label int, features array<int>").toArrow()
+    rows = labelled(docs, labels, "toxic", teaches, bound, SEED, by_label=True).mapInArrow(_features(sizes, buckets), "label int, features array<int>").toArrow()
     features = rows["features"].combine_chunks()
     bounds, flat = features.offsets.to_numpy(), features.values.to_numpy()
     pairs = sorted(((y, flat[a:b]) for y, a, b in zip(rows["label"].to_pylist(), bounds[:-1], bounds[1:], strict=True)), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    return fit(pairs, buckets) | {"gram": gram, "buckets": buckets}
+    return fit(pairs, buckets) | {"sizes": sizes, "buckets": buckets}
 
 
 def logits(raw: np.ndarray, at: np.ndarray, model: dict) -> np.ndarray:
-    doc, bucket = grams(raw, at, model["gram"], model["buckets"])
+    doc, bucket = grams(raw, at, model["sizes"], model["buckets"])
     heavy = model["weights"][bucket] != 0
     doc, bucket = distinct(doc[heavy], bucket[heavy], model["buckets"])
     return np.bincount(doc, model["weights"][bucket], len(at) - 1) + model["bias"]
