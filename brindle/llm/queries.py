@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, sharding, toxicity, urls
+from brindle.llm.oracles import ORACLES
 from brindle.llm.shared import held_out, table
 
 
@@ -67,3 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
