@@ -41,31 +41,28 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
-        self.items_of: dict[bytes, list[int]] = defaultdict(list)
-        marks, short = [np.zeros(0, np.uint64)], defaultdict(list)
-        ids = [i for i, _ in items]
-        raw, at = utf8(pa.array([t for _, t in items], pa.large_string()))
+        #: Hashes of whole items of fewer words than the window, by their number of words.
+        self.short: dict[int, np.ndarray] = {}
+        holders: dict[bytes, set[int]] = defaultdict(set)
+        marks = [np.zeros(0, np.uint64)]
+        raw, at = utf8(pa.array([text for _, text in items], pa.large_string()))
         for first, last, part, offsets in slices(raw, at):
             words = Words(part, offsets)
             marks.append(fingerprints(words, window, gram)[1])
+            short: dict[int, set[int]] = defaultdict(set)
             for k in range(last - first):
                 i, j = words.first[k], words.first[k + 1]
-                size = min(window, j - i)
-                if not size:
-                    continue
-                for s in range(i, j - size + 1):
-                    self.items_of[words.text(s, s + size)].append(ids[first + k])
-                if size < window:
-                    short[int(size)].append(k)
-            for size in {s for s in short}:
-                at_word, h = words.grams(size)
-                starts = set(words.first[short.pop(size)].tolist())
-                self.short = getattr(self, "short", {})
-                keep = np.array([a in starts for a in at_word.tolist()], dtype=bool)
-                self.short[size] = np.union1d(self.short.get(size, np.zeros(0, np.uint64)), h[keep])
-        self.short = getattr(self, "short", {})
+                size = int(min(window, j - i))
+                for s in range(i, j - size + 1) if size else ():
+                    holders[words.text(s, s + size)].add(items[first + k][0])
+                if 0 < size < window:
+                    short[size].add(int(i))
+            for size, starts in short.items():
+                spot, h = words.grams(size)
+                whole = h[np.isin(spot, list(starts))]
+                self.short[size] = np.union1d(self.short.get(size, np.zeros(0, np.uint64)), whole)
         self.marks = np.unique(np.concatenate(marks))
-        self.items_of = {w: sorted({x for x in ids if x is not None}) for w, ids in self.items_of.items()}
+        self.items_of = {text: sorted(ids - {None}) for text, ids in holders.items()}
 
 
 def fingerprints(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
