@@ -156,13 +156,17 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language isn't ``und``."""
+    """The rows of ``docs``, all columns, whose language isn't ``und``; if no language was
+    taught, the rows that have a letter."""
     own = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for first, last, texts in _parts(batch["text"]):
-                known = [lang != UNKNOWN for lang in score(texts, own.value)[0]]
+                if own.value["langs"]:
+                    known = [lang != UNKNOWN for lang in score(texts, own.value)[0]]
+                else:
+                    known = bundles(texts, own.value["dimensions"]).any(axis=1).tolist()
                 yield batch.slice(first, last - first).filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

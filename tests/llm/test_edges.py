@@ -158,6 +158,7 @@ def test_language(spark, odd, empty):
     kept = language.keep_known(odd, model)
     assert kept.columns == odd.columns
     assert kept.count() == sum(bool(re.search(r"[^\W\d_]", t or "")) for _, t in rows())
+    assert language.keep_known(odd, none).count() == kept.count()
     assert language.predict(empty, model).count() == 0
     assert language.predict(odd, language.train(empty)).filter("lang_pred <> 'und'").count() == 0
 
