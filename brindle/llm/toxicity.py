@@ -27,8 +27,9 @@ BUCKETS = 1 << 20
 #: Bound of the labelled rows that are fitted, half of them for each label (chosen by a
 #: hash of the id).
 TRAIN_ROWS = 4_000
-#: Texts of the sample that must have a feature.
-LEAST_SEEN = 3
+#: A feature is used if so many texts of the sample have it, and its shares of toxic and
+#: clean texts differ by so many standard errors.
+LEAST_SEEN, LEAST_ERRORS = 3, 2.0
 STEPS = 100
 SEED = 8
 
@@ -73,7 +74,8 @@ def _features(sizes: tuple[int, ...], buckets: int):
                 doc, bucket = distinct(*grams(part, offsets, sizes, buckets), buckets)
                 bounds = np.searchsorted(doc, np.arange(last - first + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["label"].slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bucket, pa.int32()))], ["label", "features"]
+                    [batch["doc_id"].slice(first, last - first), batch["label"].slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(bucket, pa.int32()))],
+                    ["doc_id", "label", "features"],
                 )
 
     return run
@@ -92,26 +94,37 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, teaches, bound: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
 
-def fit(rows: list[tuple[int, np.ndarray]], buckets: int = BUCKETS, steps: int = STEPS) -> dict:
-    """Weights by bucket from (label, distinct buckets) of each text."""
-    y = np.array([r[0] for r in rows], np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
+def fit(batches: list[pa.RecordBatch], buckets: int = BUCKETS, steps: int = STEPS) -> dict:
+    """Weights by bucket from batches of doc_id, label and distinct buckets.
+
+    Batches are counted one by one, and only the features that tell the labels apart are
+    kept of each, so memory holds little more than the batches."""
+    seen = np.zeros((2, buckets), np.int64)
+    texts = np.zeros(2)
+    for label, _, size, flat in _parts(batches):
+        texts += np.bincount(label, minlength=2)
+        for k in (0, 1):
+            seen[k] += np.bincount(flat[np.repeat(label == k, size)], minlength=buckets)
+    if not texts.all():
+        share = float(texts[1] / max(texts.sum(), 1))
         return {"weights": np.zeros(buckets, np.float32), "bias": _logit(min(max(share, 1e-6), 1 - 1e-6))}
-    size = np.array([len(r[1]) for r in rows])
-    item = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
-    toxic = np.repeat(y == 1, size)
-    positive, negative = (np.bincount(item[side], minlength=buckets) for side in (toxic, ~toxic))
-    seen = positive + negative
-    ratio = np.log((positive + 1) / (positive + 1).sum()) - np.log((negative + 1) / (negative + 1).sum())
-    ratio = np.where(seen >= LEAST_SEEN, ratio, 0.0)
-    used = np.flatnonzero(ratio)
-    place = np.zeros(buckets, np.int32)
+    ratio = np.log((seen[1] + 1) / (seen[1] + 1).sum()) - np.log((seen[0] + 1) / (seen[0] + 1).sum())
+    pooled = seen.sum(axis=0) / texts.sum()
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / texts[0] + 1 / texts[1]))
+    apart = np.abs(seen[1] / texts[1] - seen[0] / texts[0]) >= LEAST_ERRORS * error
+    used = np.flatnonzero(apart & (seen.sum(axis=0) >= LEAST_SEEN) & (ratio != 0))
+    place = np.full(buckets, -1, np.int32)
     place[used] = np.arange(len(used))
-    some = ratio[item] != 0
-    row = np.repeat(np.arange(len(y), dtype=np.int32), size)[some]
-    item = place[item[some]]
-    at = np.searchsorted(row, np.arange(len(y) + 1))
+    rows = []
+    for label, ids, size, flat in _parts(batches):
+        item = place[flat]
+        ends = np.cumsum(size)
+        rows += [(i, y, own[own >= 0]) for i, y, own in zip(ids, label.tolist(), np.split(item, ends[:-1]), strict=True)]
+    rows.sort(key=lambda x: (x[0], x[1], len(x[2])))
+    y = np.array([x[1] for x in rows], np.float64)
+    at = np.concatenate([[0], np.cumsum([len(x[2]) for x in rows])])
+    item = np.concatenate([x[2] for x in rows])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))
     r = ratio[used]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, bias, v, v_bias, t = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0, 1.0
@@ -137,6 +150,15 @@ def fit(rows: list[tuple[int, np.ndarray]], buckets: int = BUCKETS, steps: int =
     return {"weights": weights, "bias": float(bias)}
 
 
+def _parts(batches: list[pa.RecordBatch]):
+    """Of each batch with rows: labels, ids, and the sizes and entries of its lists."""
+    for batch in batches:
+        if batch.num_rows:
+            lists = batch["features"]
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch["label"].to_numpy(zero_copy_only=False), batch["doc_id"].to_pylist(), size, lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def _logit(p: float) -> float:
     return float(np.log(p / (1 - p)))
 
@@ -149,11 +171,9 @@ def _sums(values: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, teaches=None, bound: int = TRAIN_ROWS, sizes: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> dict:
     """The model, from ``labels.toxic`` of the label rows that ``teaches`` (a condition)
     holds for, about ``bound`` documents at most."""
-    rows = labelled(docs, labels, "toxic", teaches, bound, SEED, by_label=True).mapInArrow(_features(sizes, buckets), "label int, features array<int>").toArrow()
-    features = rows["features"].combine_chunks()
-    bounds, flat = features.offsets.to_numpy(), features.values.to_numpy()
-    pairs = sorted(((y, flat[a:b]) for y, a, b in zip(rows["label"].to_pylist(), bounds[:-1], bounds[1:], strict=True)), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    return fit(pairs, buckets) | {"sizes": sizes, "buckets": buckets}
+    rows = labelled(docs, labels, "toxic", teaches, bound, SEED, by_label=True)
+    found = rows.mapInArrow(_features(sizes, buckets), "doc_id long, label int, features array<int>").toArrow()
+    return fit(found.to_batches(), buckets) | {"sizes": sizes, "buckets": buckets}
 
 
 def logits(raw: np.ndarray, at: np.ndarray, model: dict) -> np.ndarray:
