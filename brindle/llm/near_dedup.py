@@ -166,6 +166,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOL
     root = _roots(done)
     near = root.select(F.col("node").alias("near_node"), "root")
     own = nodes.select(*prints, "node").join(near, F.col("node") == F.col("near_node"), "left").select(*prints, F.coalesce("root", "node").alias("class_id"))
+    # Written, so that the join deals out plain rows, which Spark can split where copies are many.
+    own = shared.materialize(own, "own")
     rows_with = sketch.select("doc_id", *prints, "n_words").filter("n_words > 0").join(own, prints).select("doc_id", "class_id", "n_words")
     alone = sketch.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_words")
     return rows_with.union(alone)
