@@ -7,7 +7,10 @@ the start of a run), so time is linear in the text; a cheap test comes before ea
 
 Base kinds: email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to 15
 digits).  Added kinds: iban (mod 97) and ssn (three, two and four digits beside a context
-word).  Each span has a score: the kind's own, raised if one of the kind's context words is
+word).  An iban's end isn't plain from its start, as capitals and digits may follow after a
+space: the pattern takes the first four characters and looks ahead over at most 34, every
+end of a group there is tried, and the next search starts behind the four, so a start that
+fails hides none.  Each span has a score: the kind's own, raised if one of the kind's context words is
 near.  Base spans stay whatever their score; an added span needs ``THRESHOLD``.
 
 Cases: null and empty texts have no spans; repeated rows are reported alike.
@@ -42,10 +45,17 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", 0.6, "ip|address|server|host|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){15}", 0.6, "card|visa|credit|payment|account"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.5, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|transfer", False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|transfer", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.2, "ssn|social|security|tax", False),
 )
 
+#: Registered lengths of account numbers; they only choose among ends that pass mod 97.
+LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 "
+    "IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 "
+    "SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+
 
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -75,6 +85,26 @@ def mod97(match: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1
 
 
+def account(proposal: Column) -> Column:
+    """The account number that ``proposal`` starts with, or null: of its ends of groups that
+    pass mod 97 the one of the country's length, else the last."""
+    groups = F.split(proposal, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    plain = lambda p: F.regexp_replace(p, " ", "")
+    good = F.filter(starts, lambda p: F.when(plain(p).rlike("^[A-Z0-9]{15,34}$"), mod97(p)).otherwise(False))
+    known = lambda p: F.contains(F.lit(LENGTHS), F.concat(F.substring(p, 1, 2), F.length(plain(p)).cast("string")))
+    return F.array_max(F.transform(good, lambda p: F.struct(known(p).alias("known"), F.length(p).alias("size"), p.alias("match"))))["match"]
+
+
+def accounts(placed: Column) -> Column:
+    """Proposals cut to their account numbers; one that starts inside another is dropped."""
+    cut = F.transform(placed, lambda s: F.struct(s["start"].alias("start"), account(s["match"]).alias("match")))
+    held = F.filter(cut, lambda s: s["match"].isNotNull())
+    whole = F.transform(held, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match")))
+    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.aggregate(whole, empty, lambda kept, s: F.when(s["start"] >= F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)), F.concat(kept, F.array(s))).otherwise(kept))
+
+
 def confirmed(kind: str, match: Column) -> Column:
     """The checksum or count that a match of this kind must pass."""
     n = F.length(digits(match))
@@ -85,8 +115,6 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.when(n.between(16, 19), luhn(digits(match))).otherwise(False)
     if kind == "phone":
         return n.between(8, 15)
-    if kind == "iban":
-        return mod97(match)
     return F.lit(True)
 
 
@@ -94,16 +122,17 @@ def spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind: an array of struct(kind, start, end, score)."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
+    proposed = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)) if kind.name == "iban" else matches
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("found"))
+        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["proposed"].alias("match")))).alias("found"))
 
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    pairs = F.arrays_zip(matches.alias("match"), F.slice(pieces, F.lit(1), F.size(matches)).alias("gap"))
+    pairs = F.arrays_zip(matches.alias("match"), proposed.alias("proposed"), F.slice(pieces, F.lit(1), F.size(matches)).alias("gap"))
     placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
-    good = F.filter(placed, lambda s: confirmed(kind.name, s["match"]))
+    good = accounts(placed) if kind.name == "iban" else F.filter(placed, lambda s: confirmed(kind.name, s["match"]))
 
     def scored(s: Column) -> Column:
         low = F.greatest(s["start"] - NEAR, F.lit(0))
