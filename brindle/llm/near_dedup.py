@@ -5,7 +5,10 @@ arrivals form a Poisson process of that rate, and each arrival falls on one of `
 ROWS`` components; a component keeps the run that arrives first.  A run stops arriving as
 soon as its time is beyond the latest of all components.  Two components agree with the
 probability Jaccard similarity of the weighted runs, which is the Jaccard similarity where
-no run repeats.
+no run repeats.  As links are verified by set similarity, which repeats can lift above the
+weighted one, a document with repeated runs is banded a second time with all weights 1 (the
+two sketches of any other document are the same): every two documents meet with the
+probability that their set similarity gives, however often their runs repeat.
 
 Documents of one word sequence collapse to their smallest id before anything is paired, so
 exact copies never make pairs.  The others meet in buckets (a band's components).  Each
@@ -84,6 +87,20 @@ def band_keys(kept: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(key + np.arange(bands, dtype=U)[None, :] * U(0x9E3779B97F4A7C15))
 
 
+def bucket_keys(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each document, document by document, and how many each has: one per band,
+    and as many again, of weights 1, where a run repeats."""
+    keys = band_keys(prob_min_hash(doc, item, weight, n_docs, bands * rows), bands, rows)
+    again = np.zeros(n_docs, dtype=bool)
+    again[doc[weight > 1]] = True
+    of = np.flatnonzero(again)
+    own = again[doc]
+    flat = prob_min_hash((np.cumsum(again) - 1)[doc[own]], item[own], np.ones(own.sum()), len(of), bands * rows)
+    owner = np.concatenate([np.arange(n_docs), of])
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate([keys, band_keys(flat, bands, rows)])[order].ravel(), bands * (1 + again)
+
+
 def _sketches(shingle: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -95,9 +112,8 @@ def _sketches(shingle: int, bands: int, rows: int):
                 spot = np.arange(len(words.hash)) - words.first[:-1][words.doc]
                 longest = int(count.max(initial=0))
                 prints = [per_document(mix(words.hash ^ U(salt)) * powers(base, longest + 1)[spot], words.first) for salt, base in ((1, 0xA0761D6478BD642F), (2, 0xE7037ED1A0B428DB))]
-                kept = prob_min_hash(*weighted(*words.shingles(shingle)), n, bands * rows)
-                keys = band_keys(kept, bands, rows).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+                keys, held = bucket_keys(*weighted(*words.shingles(shingle)), n, bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(first, n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(count, pa.int64()), lists],
                     ["doc_id", "print1", "print2", "n_words", "bands"],
@@ -147,7 +163,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOL
     sketch = shared.materialize(docs.mapInArrow(_sketches(shingle, bands, rows), SKETCH), "sketch")
     prints = ["print1", "print2"]
     nodes = sketch.filter("n_words > 0").groupBy(prints).agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
-    bucket = nodes.filter("node is not null").select("node", F.explode("bands").alias("bucket"))
+    bucket = nodes.filter("node is not null").select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     crowded = bucket.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
     member = shared.materialize(bucket.join(crowded, "bucket").select("bucket", "node", "leader"), "member")
 

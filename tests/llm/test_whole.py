@@ -1,6 +1,6 @@
 """Cases that a cut in an operator would lose."""
 
-from brindle.llm import pii
+from brindle.llm import near_dedup, pii
 
 
 def test_ibans_before_capitals_and_digits(spark):
@@ -15,3 +15,20 @@ def test_ibans_before_capitals_and_digits(spark):
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["iban"]] for r in pii.find(docs).select("doc_id", "iban").collect()}
     for i, (text, want) in enumerate(cases):
         assert [text[a:b] for a, b in got[i]] == want, text
+
+
+def test_near_copies_with_other_repeat_counts(spark):
+    """Pairs of set similarity over 0.8 whose common passage stands 60 times in one text."""
+    rows = []
+    for k in range(80):
+        passage = [f"p{k}x{i}" for i in range(20)]
+        rest = [f"r{k}x{i}" for i in range(90)]
+        other = [f"o{k}x{i}" for i in range(12)]
+        rows.append((2 * k, " ".join(passage + rest)))
+        rows.append((2 * k + 1, " ".join(passage * 60 + rest + other)))
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a[1].split(), b[1].split()))
+        assert len(x & y) >= 0.8 * len(x | y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
