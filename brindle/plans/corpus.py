@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import quality, select
 from brindle.operators.graph import components
-from brindle.operators.packing import pack
+from brindle.operators.packing import offsets, pack
 from brindle.plans.registry import query, table
 
 # SQL fragments that several oracles share.
@@ -240,8 +240,8 @@ WEIGHTS = "case when lang = 'en' then 55 when lang = 'de' then 25 when lang = 'f
 def weighted_interleave(spark, sf_dir):
     lang = F.col("lang")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(lang == "en", 55).when(lang == "de", 25).otherwise(10).alias("w"))
-    rows = select.weighted_interleave(docs, "lang", "w", "lang", "doc_id").orderBy("position", "lang").limit(100)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("position", "lang")).cast("long")).select("doc_id", "lang", "place")
+    rows = select.weighted_interleave(docs, "lang", "w", "lang", "doc_id").select("doc_id", "lang", "turn_key", F.lit(1).cast("long").alias("one"))
+    return offsets(rows, "turn_key", "one").select("doc_id", "lang", (F.col("start") + 1).alias("place"))
 
 
 @query("select doc_id, lang, round((row_number() over (partition by lang order by doc_id) - 0.5) / count(*) over (partition by lang), 9) as position from documents")
