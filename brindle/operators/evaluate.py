@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -94,3 +95,26 @@ def plateau(losses: Column, initial: float, floor: float, factor: float, patienc
         )
 
     return F.aggregate(losses, start, step, lambda s: s["out"])
+
+
+def plateau_fold(initial: float, floor: float, factor: float, patience: int, cooldown: int, min_delta: float):
+    """``plateau`` for a whole series (event_type, event_id, value) of any length, in linear
+    time: a function for applyInArrow, which gives event_type, i, loss, cap, act."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("event_id")
+        losses, caps, acts = group["value"].to_pylist(), [], []
+        cap, best, bad, cool = initial, math.inf, 0, cooldown
+        for loss in losses:
+            better = loss is not None and loss < best - min_delta
+            act = "cooldown" if cool > 0 else "improved" if better else "at-floor" if cap <= floor else "reduced" if bad + 1 >= patience else "monitoring"
+            cap = max(floor, cap * factor) if act == "reduced" else cap
+            best = loss if better else best
+            bad = bad + 1 if act == "monitoring" else 0
+            cool = cool - 1 if cool > 0 else cooldown if act == "reduced" else 0
+            caps.append(cap)
+            acts.append(act)
+        n = len(losses)
+        return pa.table({"event_type": group["event_type"], "i": pa.array(range(1, n + 1), pa.int32()), "loss": group["value"], "cap": pa.array(caps, pa.float64()), "act": pa.array(acts, pa.string())})
+
+    return run

@@ -146,10 +146,9 @@ def event_sessions(spark, sf_dir):
  from r join o on o.event_type = r.event_type and o.i = r.i + 1))
  select event_type, cast(i as int) as i, loss, cap, act from r where i > 0""")
 def plateau_controller(spark, sf_dir):
-    """The rate cap along each type's first values, an ordered fold."""
-    rows = table(spark, sf_dir, "events").filter("event_id < 200").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
-    steps = evaluate.plateau(F.transform("v", lambda s: s["value"]), 1.0, 0.1, 0.5, 3, 1, 0.01)
-    return rows.select("event_type", F.posexplode(steps).alias("at", "s")).select("event_type", (F.col("at") + 1).alias("i"), "s.loss", "s.cap", F.col("s.action").alias("act"))
+    """The rate cap along all of each type's values, an ordered fold."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return rows.groupBy("event_type").applyInArrow(evaluate.plateau_fold(1.0, 0.1, 0.5, 3, 1, 0.01), "event_type string, i int, loss double, cap double, act string")
 
 
 @query("select doc_id from documents where lang = 'en' intersect select doc_id from labels where quality = 1 except select doc_id from labels where toxic = 1")
