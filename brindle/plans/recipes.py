@@ -79,8 +79,8 @@ def multiple_choice(spark, sf_dir):
 @query("""with p as (select item_id % 10 as pair, item_id // 10 as variant, length(text) % 2 as predicted from benchmark where item_id < 20)
  select a.pair, a.predicted = 0 and b.predicted = 1 as both_right, a.predicted = 1 and b.predicted = 0 as both_wrong, a.predicted <> b.predicted as switched from p a join p b on a.pair = b.pair and a.variant = 0 and b.variant = 1""")
 def contrast_pairs(spark, sf_dir):
-    """Predictions on both variants of a pair, side by side."""
-    items = table(spark, sf_dir, "benchmark").filter("item_id < 20").select((F.col("item_id") % 10).alias("pair"), F.floor(F.col("item_id") / 10).alias("variant"), (F.length("text") % 2).alias("predicted"))
+    """Predictions on both variants of a pair (items 2k and 2k + 1), side by side."""
+    items = table(spark, sf_dir, "benchmark").select(F.expr("item_id div 2").alias("pair"), (F.col("item_id") % 2).alias("variant"), (F.length("text") % 2).alias("predicted"))
     side = items.groupBy("pair").pivot("variant", [0, 1]).agg(F.first("predicted")).toDF("pair", "a", "b").filter("a is not null and b is not null")
     return side.select("pair", ((F.col("a") == 0) & (F.col("b") == 1)).alias("both_right"), ((F.col("a") == 1) & (F.col("b") == 0)).alias("both_wrong"), (F.col("a") != F.col("b")).alias("switched"))
 

@@ -28,3 +28,10 @@ def test_plateau_controller(spark):
     got = sorted(tuple(r) for r in QUERIES["plateau_controller"](spark, SF).select("event_type", "i", "loss", "cap", "act").collect())
     assert got == sorted(answer(ORACLES["plateau_controller"].replace(" where event_id < 200", ""), "events"))
     assert len(got) == pq.read_metadata(f"{SF}/events.parquet").num_rows
+
+
+def test_contrast_pairs(spark):
+    seen = {r["item_id"]: len(r["text"]) % 2 for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
+    want = sorted((i // 2, (p, seen[i + 1]) == (0, 1), (p, seen[i + 1]) == (1, 0), p != seen[i + 1]) for i, p in seen.items() if i % 2 == 0 and i + 1 in seen)
+    assert sorted(tuple(r) for r in QUERIES["contrast_pairs"](spark, SF).select("pair", "both_right", "both_wrong", "switched").collect()) == want
+    assert 2 * len(want) == len(seen)
