@@ -138,8 +138,11 @@ def capped_selection(spark, sf_dir):
 def rare_family_coverage(spark, sf_dir):
     """Per language, items chosen so that rare word lengths come early."""
     words = T.word_list(T.norm(F.col("text")))
-    rows = table(spark, sf_dir, "documents").filter("n_chars < 400").select("doc_id", "lang", F.array_distinct(F.transform(words, lambda w: F.length(w).cast("string"))).alias("families"))
-    return screens.rare_first(rows, "lang", "doc_id", "families", 10)
+    families = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.length(w).cast("string"))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce(families, F.array().cast("array<string>")).alias("families"))
+    # Rows of one family set differ by id only, so no choice needs more than the n first of them.
+    alike = F.row_number().over(Window.partitionBy("lang", "families").orderBy("doc_id"))
+    return screens.rare_first(rows.withColumn("alike", alike).filter("alike <= 10").drop("alike"), "lang", "doc_id", "families", 10)
 
 
 @query("select event_id, true as valid from events")

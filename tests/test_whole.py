@@ -35,3 +35,22 @@ def test_contrast_pairs(spark):
     want = sorted((i // 2, (p, seen[i + 1]) == (0, 1), (p, seen[i + 1]) == (1, 0), p != seen[i + 1]) for i, p in seen.items() if i % 2 == 0 and i + 1 in seen)
     assert sorted(tuple(r) for r in QUERIES["contrast_pairs"](spark, SF).select("pair", "both_right", "both_wrong", "switched").collect()) == want
     assert 2 * len(want) == len(seen)
+
+
+def test_rare_family_coverage(spark):
+    import re
+
+    got, pools = {}, {}
+    for r in QUERIES["rare_family_coverage"](spark, SF).collect():
+        got.setdefault(r["lang"], []).append((r["turn"], r["doc_id"]))
+    for r in pq.read_table(f"{SF}/documents.parquet").to_pylist():
+        pools.setdefault(r["lang"], {})[r["doc_id"]] = {len(w) for w in re.sub("[^a-z0-9]+", " ", (r["text"] or "").lower()).split()}
+    assert set(got) == set(pools)
+    for lang, pool in pools.items():
+        seen, picked = {}, []
+        for _ in range(min(10, len(pool))):
+            best = min((i for i in pool if i not in picked), key=lambda i: (sum(seen.get(f, 0) for f in pool[i]) / max(1, len(pool[i])), i))
+            picked.append(best)
+            for f in pool[best]:
+                seen[f] = seen.get(f, 0) + 1
+        assert [i for _, i in sorted(got[lang])] == picked
