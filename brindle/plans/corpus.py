@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import quality, select
-from brindle.operators.graph import components
+from brindle.operators.graph import components, store
 from brindle.operators.packing import offsets, pack
 from brindle.plans.registry import query, table
 
@@ -184,6 +184,74 @@ def jaccard_components(spark, sf_dir):
     return items.join(found, "item_id", "left").select("item_id", F.coalesce("root", "item_id").alias("root"))
 
 
+def word_sets(spark, sf_dir):
+    """Documents with words and their classes of equal word sets: (doc_id, node) and (node, words, first);
+    node is a class's smallest id, first its first row in hash order."""
+    words = F.array_sort(F.array_distinct(T.word_list(T.norm(F.col("text")))))
+    rows = store(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter("size(words) > 0"))
+    order = F.struct(select.hash_rank("seed", F.col("doc_id")).alias("h"), "doc_id")
+    nodes = store(rows.groupBy("words").agg(F.min("doc_id").alias("node"), F.min(order).alias("first")))
+    return rows.join(nodes.select("words", "node"), "words").select("doc_id", "node"), nodes
+
+
+def similar_sets(nodes):
+    """left, right, common, total: classes whose sets have a Jaccard similarity of 0.6 or more.
+
+    Words are ranked by rarity; two such sets share a word among the first n - ceil(0.6 n) + 1
+    of each, so an inverted index of these alone gives every pair."""
+    each = nodes.select("node", F.size("words").alias("n"), F.explode("words").alias("word"))
+    uses = each.groupBy("word").agg(F.count("*").alias("uses"))
+    ranked = each.join(uses, "word").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "word"))).alias("w"))
+    index = store(ranked.select("node", "n", F.explode(F.expr("slice(w, 1, cast(n - (3 * n + 4) div 5 + 1 as int))")).alias("w")).select("node", "n", F.col("w.word").alias("word")))
+    side = lambda name: index.select("word", F.col("node").alias(name), F.col("n").alias(f"{name}_n"))
+    pairs = side("left").join(side("right"), "word").filter("left < right and 5 * least(left_n, right_n) >= 3 * greatest(left_n, right_n)").select("left", "right").distinct()
+    sets = lambda name: nodes.select(F.col("node").alias(name), F.col("words").alias(f"{name}_words"))
+    counted = pairs.join(sets("left"), "left").join(sets("right"), "right").withColumn("common", F.size(F.array_intersect("left_words", "right_words")))
+    counted = counted.select("left", "right", "common", (F.size("left_words") + F.size("right_words") - F.col("common")).alias("total"))
+    return store(counted.filter("5 * common >= 3 * total"))
+
+
+@query()
+def document_jaccard_pairs(spark, sf_dir):
+    """Every two documents whose word sets have a Jaccard similarity of 0.6 or more."""
+    members, nodes = word_sets(spark, sf_dir)
+    equal = nodes.select(F.col("node").alias("left"), F.col("node").alias("right"), F.size("words").alias("common"), F.size("words").alias("total"))
+    found = similar_sets(nodes).unionByName(equal)
+    side = lambda name, own: members.select(F.col("node").alias(name), F.col("doc_id").alias(own))
+    rows = found.join(side("left", "a"), "left").join(side("right", "b"), "right").filter("left <> right or a < b")
+    return rows.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.col("common").cast("long").alias("common"), F.round(F.col("common") / F.col("total"), 6).alias("jaccard"))
+
+
+@query()
+def dup_components(spark, sf_dir):
+    """Each document and the smallest id connected to it by those pairs."""
+    members, nodes = word_sets(spark, sf_dir)
+    found = components(similar_sets(nodes).select(F.col("left").alias("a"), F.col("right").alias("b")))
+    near = members.join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(near, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
+
+
+@query()
+def greedy_keep_first(spark, sf_dir):
+    """Documents in hash order, each kept unless its word set is similar to that of one kept
+    before (C8); one task per component, as no choice depends on another component."""
+    members, nodes = word_sets(spark, sf_dir)
+    links = similar_sets(nodes).select(F.col("left").alias("a"), F.col("right").alias("b"))
+    both = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("near"))
+    rows = both.join(components(links), "node").join(nodes.select("node", "first"), "node").select("root", "node", "near", F.col("first.h").alias("h"), F.col("first.doc_id").alias("doc_id"))
+
+    def choose(frame):
+        frame, kept = frame.sort_values(["h", "doc_id"]), set()
+        for node, near in zip(frame["node"], frame["near"], strict=True):
+            if kept.isdisjoint(near):
+                kept.add(node)
+        return frame.loc[frame["node"].isin(kept), ["doc_id"]]
+
+    lone = nodes.join(both, "node", "left_anti").select(F.col("first.doc_id").alias("doc_id"))
+    empty = table(spark, sf_dir, "documents").select("doc_id").join(members, "doc_id", "left_anti")
+    return rows.groupBy("root").applyInPandas(choose, "doc_id long").unionByName(lone).unionByName(empty)
+
+
 URL_KEY = r"""regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')
  || case when regexp_extract(url, '^[^?#]*\?([^#]*)', 1) <> '' then '?' || regexp_extract(url, '^[^?#]*\?([^#]*)', 1) else '' end"""
 

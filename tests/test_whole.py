@@ -54,3 +54,25 @@ def test_rare_family_coverage(spark):
             for f in pool[best]:
                 seen[f] = seen.get(f, 0) + 1
         assert [i for _, i in sorted(got[lang])] == picked
+
+
+def test_similar_documents(spark):
+    import hashlib
+    import re
+
+    texts = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    sets = {i: set(re.sub("[^a-z0-9]+", " ", t.lower()).split()) for i, t in texts.items()}
+    near = {(i, j) for i in sets for j in sets if i < j and sets[i] and 5 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    assert near
+    got = QUERIES["document_jaccard_pairs"](spark, SF).collect()
+    assert sorted((r["left_id"], r["right_id"], r["common"], r["jaccard"]) for r in got) == sorted((i, j, len(sets[i] & sets[j]), round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6)) for i, j in near)
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert {r["doc_id"]: r["root"] for r in QUERIES["dup_components"](spark, SF).collect()} == root
+    kept = []
+    for i in sorted(sets, key=lambda i: (hashlib.sha256(f"seed:{i}".encode()).hexdigest(), i)):
+        if not any((min(i, j), max(i, j)) in near for j in kept):
+            kept.append(i)
+    assert sorted(r["doc_id"] for r in QUERIES["greedy_keep_first"](spark, SF).collect()) == sorted(kept)
