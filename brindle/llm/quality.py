@@ -112,7 +112,8 @@ def _lists(batches):
 
 
 def fit(y: np.ndarray, at: np.ndarray, item: np.ndarray, value: np.ndarray, epochs: int = EPOCHS, rank: int = RANK) -> dict:
-    """Adam on the logistic loss, classes weighted alike, in a fixed order of batches."""
+    """Adam on the logistic loss, classes weighted alike, in a fixed order of batches; as many
+    passes as make 400 steps, and ``epochs`` at least, at every number of rows."""
     random = np.random.default_rng(SEED)
     model = {"w": np.zeros(FEATURES, np.float32), "v": random.normal(0, 0.05, (FEATURES, rank)).astype(np.float32), "bias": 0.0}
     if not len(y) or y.min() == y.max():
@@ -121,7 +122,7 @@ def fit(y: np.ndarray, at: np.ndarray, item: np.ndarray, value: np.ndarray, epoc
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     state = {k: (np.zeros_like(model[k]), np.zeros_like(model[k])) for k in ("w", "v")}
     bias_state, turn, size = [0.0, 0.0], 0, 256
-    for _ in range(max(epochs, 400 * size // len(y) + 1) if len(y) < 4000 else epochs):
+    for _ in range(max(epochs, 400 * size // len(y) + 1)):
         order = random.permutation(len(y))
         for low in range(0, len(y), size):
             rows = order[low : low + size]

@@ -1,6 +1,8 @@
 """Cases that a cut in an operator would lose."""
 
-from brindle.llm import near_dedup, pii
+import numpy as np
+
+from brindle.llm import near_dedup, pii, quality
 
 
 def test_ibans_before_capitals_and_digits(spark):
@@ -32,3 +34,25 @@ def test_near_copies_with_other_repeat_counts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_training_steps_at_every_size(monkeypatch):
+    """One row more doesn't halve the steps."""
+    made, real = [], np.random.default_rng
+
+    class Counted:
+        def __init__(self, seed):
+            self.own = real(seed)
+
+        def normal(self, *args):
+            return self.own.normal(*args)
+
+        def permutation(self, n):
+            made.append(-(-n // 256))
+            return self.own.permutation(n)
+
+    monkeypatch.setattr(quality.np.random, "default_rng", Counted)
+    for n in (300, 3999, 4000, 8000):
+        made.clear()
+        quality.fit(np.arange(n) % 2.0, np.arange(n + 1), np.arange(n) % 2, np.ones(n, np.float32))
+        assert 400 <= sum(made) <= 820, n
