@@ -10,32 +10,39 @@ weighted one, a document with repeated runs is banded a second time with all wei
 two sketches of any other document are the same): every two documents meet with the
 probability that their set similarity gives, however often their runs repeat.
 
-Documents of one word sequence collapse to their smallest id before anything is paired, so
-exact copies never make pairs.  The others meet in buckets (a band's components).  Each
-bucket tests its members against its smallest id, then, as long as its members are in
-different components, against other leaders.  What is left is tested between components:
-pair by pair in buckets of up to ``CROWD`` members, and in larger ones by blocks of bounded
-size, where one matrix product counts the common shingles of all members and only links
-that join two components come out.  So no link between different components is lost, and
-no group's pairs are ever written down.  Every link is verified with the Jaccard similarity
-of the whole shingle sets.  Classes are the connected components of the links, found by
-large-star/small-star.
+Documents of one word sequence (128 bits of its SHA-256) collapse to their smallest id
+before anything is paired, so exact copies never make pairs.  The others meet in buckets (a
+band's components).  Each bucket tests its members against its smallest id, then, as long as
+its members are in different components, against other leaders.  What is left is tested
+between components: pair by pair in buckets of up to ``CROWD`` members, and in larger ones
+by blocks of bounded size, where matrix products count the common shingles of all members
+and only links that join two components come out.  So no link between different components
+is lost, and no group's pairs are ever written down.  Every link is verified with the
+Jaccard similarity of the whole shingle sets (64-bit hashes of shingles).  Classes are the
+connected components of the links: each round's links are drawn between the components
+found so far, whose own components are found by large-star/small-star.
+
+What is dealt out by a bucket or by a hub is always a written table joined with a written
+table of one row for each key, so that Spark can split the hot ones.
 
 Cases: null and empty texts, and texts without words, are alone in their class; a text of
-fewer words than a shingle is one shingle; ``doc_id`` names a document, and rows that
-repeat it share a class; rows with null ``doc_id`` join no class but their own copies',
-whose id may be null.
+fewer words than a shingle is one shingle; very long texts are read whole; ``doc_id`` names
+a document, and rows that repeat it share a class; of ties (copies) the smallest id names
+the class; rows with null ``doc_id`` join no class but their own copies', whose id may be
+null; an empty table has no classes; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm import shared
-from brindle.llm.textvec import U, Words, mix, per_document, powers, slices, utf8
+from brindle.llm.textvec import IS_WORD, U, Words, mix, slices, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -45,10 +52,12 @@ ROWS = 4
 LEADER_ROUNDS = 2
 #: Buckets of more members are compared in blocks.
 CROWD = 24
-#: Shingles in a block.
-BLOCK_ITEMS = 1_000_000
+#: Shingles and documents in a block, and cells of the table of common shingles that are
+#: filled at once.
+BLOCK_ITEMS, BLOCK_NODES = 1_000_000, 4096
+CELLS = 1 << 24
 
-SKETCH = "doc_id long, print1 long, print2 long, n_words long, bands array<long>"
+SKETCH = "doc_id long, print binary, n_words long, bands array<long>"
 
 
 def weighted(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,6 +110,18 @@ def bucket_keys(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: i
     return np.concatenate([keys, band_keys(flat, bands, rows)])[order].ravel(), bands * (1 + again)
 
 
+def sequence_prints(words: Words, at: np.ndarray) -> list[bytes]:
+    """128 bits for the word sequence of each document of a slice."""
+    inside = IS_WORD[words.low]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    starts = at[:-1][np.diff(at) > 0]
+    keep[starts] = inside[starts]
+    body = np.where(inside, words.low, 32)[keep].astype(np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(keep)])[at]
+    return [hashlib.sha256(body[a:b].tobytes().rstrip(b" ")).digest()[:16] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def _sketches(shingle: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -109,14 +130,11 @@ def _sketches(shingle: int, bands: int, rows: int):
                 words = Words(part, offsets)
                 n = last - first
                 count = np.diff(words.first)
-                spot = np.arange(len(words.hash)) - words.first[:-1][words.doc]
-                longest = int(count.max(initial=0))
-                prints = [per_document(mix(words.hash ^ U(salt)) * powers(base, longest + 1)[spot], words.first) for salt, base in ((1, 0xA0761D6478BD642F), (2, 0xE7037ED1A0B428DB))]
                 keys, held = bucket_keys(*weighted(*words.shingles(shingle)), n, bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32()), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, n), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(count, pa.int64()), lists],
-                    ["doc_id", "print1", "print2", "n_words", "bands"],
+                    [batch["doc_id"].slice(first, n), pa.array(sequence_prints(words, offsets), pa.binary()), pa.array(count, pa.int64()), lists],
+                    ["doc_id", "print", "n_words", "bands"],
                 )
 
     return run
@@ -144,7 +162,7 @@ def components(links: DataFrame) -> DataFrame:
     links = shared.materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     while True:
         both = links.union(links.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = shared.materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
@@ -157,34 +175,45 @@ def components(links: DataFrame) -> DataFrame:
         links = after
 
 
+def merged(label: DataFrame, tested: DataFrame) -> DataFrame:
+    """``label`` (node, root) after the links among ``tested`` have joined components."""
+    side = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = tested.filter("linked").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    moved = components(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("into"))
+    return shared.materialize(label.join(moved, "root", "left").select("node", F.coalesce("into", "root").alias("root")), "label")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), n_words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = shared.materialize(docs.mapInArrow(_sketches(shingle, bands, rows), SKETCH), "sketch")
-    prints = ["print1", "print2"]
-    nodes = sketch.filter("n_words > 0").groupBy(prints).agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
+    nodes = sketch.filter("n_words > 0").groupBy("print").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
+    nodes = shared.materialize(nodes, "nodes")
     bucket = nodes.filter("node is not null").select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     crowded = bucket.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
+    crowded = shared.materialize(crowded.select("bucket", "leader"), "crowded")
     member = shared.materialize(bucket.join(crowded, "bucket").select("bucket", "node", "leader"), "member")
 
     sets = _candidate_sets(docs, member, shingle)
-    tested = _verify(member.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets, threshold)
-    done = [shared.materialize(tested, "tested")]
+    label = shared.materialize(member.select("node").distinct().select("node", F.col("node").alias("root")), "label")
+    pairs = member.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    tested = shared.materialize(_verify(pairs, sets, threshold), "tested")
+    label = merged(label, tested)
     for turn in range(LEADER_ROUNDS):
-        open_member = _open_members(member, _roots(done))
-        pairs = _pairs_with_leader(open_member, turn).join(shared.union_all(done).select("a", "b"), ["a", "b"], "left_anti")
-        done.append(shared.materialize(_verify(pairs, sets, threshold), "tested"))
-    open_member = _open_members(member, _roots(done))
-    pairs = _pairs_between(open_member.filter(F.col("members") <= CROWD)).join(shared.union_all(done).select("a", "b"), ["a", "b"], "left_anti")
-    done.append(shared.materialize(_verify(pairs, sets, threshold), "tested"))
-    crowds = _links_in_crowds(_open_members(member, _roots(done)).filter(F.col("members") > CROWD), sets, threshold)
-    done.append(shared.materialize(crowds, "crowds"))
-    root = _roots(done)
-    near = root.select(F.col("node").alias("near_node"), "root")
-    own = nodes.select(*prints, "node").join(near, F.col("node") == F.col("near_node"), "left").select(*prints, F.coalesce("root", "node").alias("class_id"))
+        pairs = _pairs_with_leader(_open_members(member, label), turn).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = shared.materialize(_verify(pairs, sets, threshold), "tested")
+        tested, label = tested.union(more), merged(label, more)
+    open_member = _open_members(member, label)
+    pairs = _pairs_between(open_member.filter(F.col("members") <= CROWD)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    label = merged(label, shared.materialize(_verify(pairs, sets, threshold), "tested"))
+    crowds = open_member.filter(F.col("members") > CROWD)
+    if not crowds.isEmpty():
+        crowds = _open_members(member, label).filter(F.col("members") > CROWD)
+        label = merged(label, shared.materialize(_links_in_crowds(crowds, sets, threshold), "crowds"))
+    own = nodes.select("print", "node").join(label, "node", "left").select("print", F.coalesce("root", "node").alias("class_id"))
     # Written, so that the join deals out plain rows, which Spark can split where copies are many.
     own = shared.materialize(own, "own")
-    rows_with = sketch.select("doc_id", *prints, "n_words").filter("n_words > 0").join(own, prints).select("doc_id", "class_id", "n_words")
+    rows_with = sketch.select("doc_id", "print", "n_words").filter("n_words > 0").join(own, "print").select("doc_id", "class_id", "n_words")
     alone = sketch.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_words")
     return rows_with.union(alone)
 
@@ -205,13 +234,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", (common >= threshold * union - 1e-9).alias("linked"))
 
 
-def _roots(tested: list[DataFrame]) -> DataFrame:
-    return components(shared.union_all(tested).filter("linked").select("a", "b"))
-
-
 def _open_members(member: DataFrame, root: DataFrame) -> DataFrame:
     """Members, with their components, of the buckets that hold more than one component."""
-    known = member.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    known = member.join(root, "node").select("bucket", "node", "root")
     known = shared.materialize(known, "known")
     several = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
     several = shared.materialize(several.filter("low < high").select("bucket", "members"), "several")
@@ -223,7 +248,7 @@ def _links_in_crowds(member: DataFrame, sets: DataFrame, threshold: float) -> Da
     items = sets.select(F.col("node").alias("own"), "items")
     rows = member.join(items, F.col("node") == F.col("own")).select("bucket", "node", "root", "items")
     size = member.join(sets.select(F.col("node").alias("own"), F.size("items").alias("size")), F.col("node") == F.col("own"))
-    size = size.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    size = size.groupBy("bucket").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_ITEMS, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
     rows = rows.join(shared.materialize(size, "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("low"), F.greatest(k, "block").alias("high")))
     dealt = rows.select("bucket", "node", "root", "items", F.explode(others).alias("pair"))
@@ -257,15 +282,19 @@ def joining_links(nodes: np.ndarray, roots: np.ndarray, size: np.ndarray, items:
     column, doc = place[column][uses[column] > 1], doc[uses[column] > 1]
     order = np.argsort(column, kind="stable")
     column, doc = column[order], doc[order]
-    common = np.zeros((len(rest), n), np.float32)
-    step = max(256, (1 << 22) // n)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, b = np.searchsorted(column, (low, low + step))
-        part = np.zeros((n, step), np.float32)
-        part[doc[a:b], column[a:b] - low] = 1
-        common += part[rest] @ part.T
-    union = size[rest][:, None] + size[None, :] - common
-    near, other = np.nonzero((common >= threshold * union - 1e-9) & (of[rest][:, None] != of[None, :]))
+    near, other = [], []
+    step, high = max(256, (1 << 22) // n), max(1, CELLS // n)
+    for own in np.array_split(rest, -(-len(rest) // high)):
+        common = np.zeros((len(own), n), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+            a, b = np.searchsorted(column, (low, low + step))
+            part = np.zeros((n, step), np.float32)
+            part[doc[a:b], column[a:b] - low] = 1
+            common += part[own] @ part.T
+        union = size[own][:, None] + size[None, :] - common
+        i, j = np.nonzero((common >= threshold * union - 1e-9) & (of[own][:, None] != of[None, :]))
+        near += own[i].tolist()
+        other += j.tolist()
     group, links = list(range(len(kinds))), []
 
     def find(i: int) -> int:
@@ -274,7 +303,7 @@ def joining_links(nodes: np.ndarray, roots: np.ndarray, size: np.ndarray, items:
             i = group[i]
         return i
 
-    for i, j in zip(rest[near].tolist(), other.tolist(), strict=True):
+    for i, j in zip(near, other, strict=True):
         a, b = find(int(of[i])), find(int(of[j]))
         if a != b:
             group[a] = b
@@ -287,6 +316,7 @@ def _pairs_with_leader(member: DataFrame, turn: int) -> DataFrame:
     are in different components."""
     order = F.struct(F.xxhash64(F.lit(turn), "root"), F.xxhash64(F.lit(turn), "node"), "node", "root")
     lead = member.groupBy("bucket").agg(F.min(order).alias("lead")).select("bucket", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
+    lead = shared.materialize(lead, "lead")
     other = member.join(lead, "bucket").filter("root <> lead_root")
     return other.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
 

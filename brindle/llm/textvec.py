@@ -124,10 +124,3 @@ class Words:
             order = np.argsort(doc, kind="stable")
             doc, h = doc[order], h[order]
         return doc, h
-
-
-def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums (wrapping) of consecutive groups that start at ``first[:-1]``; empty groups 0."""
-    total = np.zeros(len(values) + 1, dtype=values.dtype)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
