@@ -6,13 +6,16 @@ names of a document are paired and every distinct pair gets a name, again and ag
 one name stands for the whole document.  Equal (level, name) means equal text, without any
 hash that could collide.
 
-Hot texts: rows are first gathered inside each input batch, so a block travels once per
-batch with the list of its rows, however many copies there are; lists stay within a batch
-and are dealt out again before they are opened.  Groups are counted with map-side sums.
-
-Cases: null text counts as empty; all empty texts are equal; null ``doc_id`` comes after
-every other; rows that repeat a ``doc_id`` are still separate rows, and of rows equal in
-text and ``doc_id`` one alone is marked as kept.
+Hot texts: rows are first gathered inside each input batch, and what is written has a local
+number for each distinct block of a batch, with the list of its rows.  Blocks alone travel
+to be named, each with its local number, once a batch however many copies there are; names
+come back by local number, which no two lists share, so a hot block's rows are never in one
+task.  Groups are counted with map-side sums.
+
+Cases: null text counts as empty; all empty texts are equal; very long texts are many
+blocks; null ``doc_id`` comes after every other; rows that repeat a ``doc_id`` are still
+separate rows, and of rows equal in text and ``doc_id`` (ties) one alone is marked as kept;
+an empty table has no groups; other columns are kept by ``keep_first`` whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ def normalise(raw: bytes) -> bytes:
 
 
 def _gather(batches):
-    """Blocks of a batch, each once, with the rows and places that hold it."""
+    """Blocks of a batch, each once, with a number of its own and the rows and places that
+    hold it."""
+    count = TaskContext.get().partitionId() << 36
     for batch in batches:
         uids, ids = batch["uid"].to_pylist(), batch["doc_id"].to_pylist()
         raw, at = utf8(batch["text"])
@@ -60,7 +65,9 @@ def _gather(batches):
                         {"uid": uids[first + k], "doc_id": ids[first + k], "place": place, "blocks": n, "sha": sha if place == 0 else None}
                     )
             kind = pa.struct([("uid", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32()), ("blocks", pa.int32()), ("sha", pa.string())])
-            yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.list_(kind))], ["block", "members"])
+            local = pa.array(range(count, count + len(rows)), pa.int64())
+            count += len(rows)
+            yield pa.RecordBatch.from_arrays([local, pa.array(rows.keys(), pa.binary()), pa.array(rows.values(), pa.list_(kind))], ["local", "block", "members"])
 
 
 def _name(batches):
@@ -72,18 +79,17 @@ def _name(batches):
             if block != last:
                 rank, last = rank + 1, block
             names[i] = base + rank
-        yield pa.RecordBatch.from_arrays([pa.array(names), batch["members"]], ["name", "members"])
+        yield pa.RecordBatch.from_arrays([batch["local"], pa.array(names)], ["local", "name"])
 
 
 def identities(docs: DataFrame) -> DataFrame:
     """uid, doc_id, sha (of the normalised text), level and name, one row per row of ``docs``;
     equal (level, name) means equal normalised text."""
-    spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gathered = rows.mapInArrow(_gather, f"block binary, members array<struct<{MEMBER}>>")
-    named = gathered.repartition("block").sortWithinPartitions("block").mapInArrow(_name, f"name long, members array<struct<{MEMBER}>>")
-    named = shared.materialize(named, "blocks")
-    opened = named.repartition(shared.shuffle_partitions(spark)).select("name", F.explode("members").alias("m")).select("name", "m.*")
+    gathered = shared.materialize(rows.mapInArrow(_gather, f"local long, block binary, members array<struct<{MEMBER}>>"), "gathered")
+    named = gathered.select("local", "block").repartition("block").sortWithinPartitions("block").mapInArrow(_name, "local long, name long")
+    named = shared.materialize(named, "names")
+    opened = gathered.select("local", "members").join(named, "local").select("name", F.explode("members").alias("m")).select("name", "m.*")
     whole = opened.filter("blocks = 1").select("uid", "doc_id", "sha", F.lit(0).alias("level"), "name")
     parts = opened.filter("blocks > 1").groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"),
