@@ -12,10 +12,25 @@ from pyspark.sql import functions as F
 _LOCAL_DIR: list[str] = []
 
 
+#: Bytes that Spark reads in one task by default.
+SPLIT_BYTES = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows as they are read, but a table with less than one split for each core is dealt
+    out over all cores first (a shuffle of at most one split a core)."""
+    spark = rows.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, rows.inputFiles()
+    if not 0 < len(files) < cores:
+        return rows
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -59,8 +74,7 @@ def bounded_sample(rows: DataFrame, key: str, bound: int, seed: int) -> DataFram
     n = rows.count()
     if n <= bound:
         return rows
-    share = int(bound / n * 1_000_000)
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < share)
+    return rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1) < int(bound / n * (1 << 63)))
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):
