@@ -3,7 +3,9 @@
 Everything is a column expression: a text is split by a pattern, the matches between the
 pieces are extracted, and running lengths give each match its place in code points.
 Patterns never retry inside a run that failed (possessive repeats, and a look behind for
-the start of a run), so time is linear in the text; a cheap test comes before each.
+the start of a run), running lengths are summed by doubling steps (no list grows match by
+match), and context is cut from blocks of ``BLOCK`` characters, so time is linear in the text
+and n log n in its spans; a cheap test comes before each pattern.
 
 Base kinds: email, ip (parts at most 255), card (16 to 19 digits, Luhn), phone (8 to 15
 digits).  Added kinds: iban (mod 97) and ssn (three, two and four digits beside a context
@@ -13,7 +15,9 @@ end of a group there is tried, and the next search starts behind the four, so a
 fails hides none.  Each span has a score: the kind's own, raised if one of the kind's context words is
 near.  Base spans stay whatever their score; an added span needs ``THRESHOLD``.
 
-Cases: null and empty texts have no spans; repeated rows are reported alike.
+Cases: null and empty texts have no spans; very long texts are searched whole; repeated rows
+are reported alike; spans of different kinds may overlap (ties stay, in the kinds' order); an
+empty table has no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 NEAR = 40
 RAISE = 0.35
 THRESHOLD = 0.5
+#: Characters of a block of text.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -57,6 +63,56 @@ LENGTHS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scanned(values: Column, join) -> Column:
+    """What ``join`` (of two neighbours) makes of all values up to each place."""
+
+    def doubled(v: Column) -> Column:
+        steps = F.when(F.size(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+        def once(s: Column, j: Column) -> Column:
+            return let(F.pow(F.lit(2), j).cast("int"), lambda far: F.transform(s, lambda x, i: F.when(i >= far, join(F.get(s, i - far), x)).otherwise(x)))
+
+        return F.aggregate(steps, v, once)
+
+    return let(values, doubled)
+
+
+def apart(spans: Column) -> Column:
+    """Spans (start, end) in order without those that start inside one that stays.
+
+    A span that starts behind all ends before it begins a run; only runs are gone through."""
+
+    def chosen(s: Column) -> Column:
+        ends = scanned(F.transform(s, lambda x: x["end"]), F.greatest)
+        first = let(ends, lambda e: F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(e, i - 1)), i).otherwise(-1)))
+
+        def stays(g: Column, i: Column) -> Column:
+            state = F.struct(F.lit(0).alias("until"), F.lit(True).alias("stays"))
+            step = lambda t, k: F.when(F.get(s, k)["start"] >= t["until"], F.struct(F.get(s, k)["end"].alias("until"), F.lit(True).alias("stays"))).otherwise(F.struct(t["until"].alias("until"), F.lit(False).alias("stays")))
+            return F.aggregate(F.sequence(g, i), state, step, lambda t: t["stays"])
+
+        return let(scanned(first, F.greatest), lambda g: F.filter(s, lambda x, i: stays(F.get(g, i), i)))
+
+    return let(spans, chosen)
+
+
+def in_blocks(text: Column) -> Column:
+    """A text as a list of blocks of ``BLOCK`` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` up to ``end``, from the blocks that hold them alone."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    few = F.transform(F.sequence(first, last), lambda i: F.get(blocks, i))
+    return F.when(end > start, F.substring(F.array_join(few, ""), start - first * BLOCK + 1, end - start)).otherwise("")
+
+
 def digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -98,11 +154,10 @@ def account(proposal: Column) -> Column:
 
 def accounts(placed: Column) -> Column:
     """Proposals cut to their account numbers; one that starts inside another is dropped."""
-    cut = F.transform(placed, lambda s: F.struct(s["start"].alias("start"), account(s["match"]).alias("match")))
-    held = F.filter(cut, lambda s: s["match"].isNotNull())
+    held = F.transform(placed, lambda s: F.struct(s["start"].alias("start"), account(s["match"]).alias("match")))
+    held = F.filter(held, lambda s: s["match"].isNotNull())
     whole = F.transform(held, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match")))
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return F.aggregate(whole, empty, lambda kept, s: F.when(s["start"] >= F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)), F.concat(kept, F.array(s))).otherwise(kept))
+    return apart(whole)
 
 
 def confirmed(kind: str, match: Column) -> Column:
@@ -124,27 +179,24 @@ def spans(text: Column, kind: Kind) -> Column:
     pieces = F.split(text, kind.pattern, -1)
     proposed = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)) if kind.name == "iban" else matches
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["proposed"].alias("match")))).alias("found"))
-
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
     pairs = F.arrays_zip(matches.alias("match"), proposed.alias("proposed"), F.slice(pieces, F.lit(1), F.size(matches)).alias("gap"))
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
+    ends = lambda p: scanned(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["match"])), lambda x, y: x + y)
+    place = lambda x, end: F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["proposed"].alias("match"))
+    placed = let(pairs, lambda p: let(ends(p), lambda e: F.transform(p, lambda x, i: place(x, F.get(e, i)))))
     good = accounts(placed) if kind.name == "iban" else F.filter(placed, lambda s: confirmed(kind.name, s["match"]))
 
-    def scored(s: Column) -> Column:
-        low = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = F.concat_ws(" ", F.substring(text, low + 1, s["start"] - low), F.substring(text, s["end"] + 1, F.lit(NEAR)))
-        near = F.lower(around).rlike(rf"(?<![a-z0-9])(?:{kind.context})")
+    def scored(s: Column, blocks: Column, size: Column) -> Column:
+        before = cut(blocks, F.greatest(s["start"] - NEAR, F.lit(0)), s["start"])
+        after = cut(blocks, s["end"], F.least(s["end"] + NEAR, size))
+        near = F.lower(F.concat_ws(" ", before, after)).rlike(rf"(?<![a-z0-9])(?:{kind.context})")
         score = F.round(F.least(F.lit(kind.score) + F.when(near, RAISE).otherwise(0.0), F.lit(1.0)), 2)
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
-    found = F.transform(good, scored)
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    whole = lambda good: let(F.struct(in_blocks(text).alias("b"), F.length(text).alias("n")), lambda t: F.transform(good, lambda s: scored(s, t["b"], t["n"])))
+    found = let(good, lambda g: F.when(F.size(g) > 0, whole(g)).otherwise(none))
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     return F.when(text.rlike(kind.hint), found).otherwise(none)
 
 
@@ -166,10 +218,9 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     every = F.array_sort(F.concat(*[spans(F.col("text"), k) for k in KINDS]), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(state["out"], gap, F.lit("<"), s["kind"], F.lit(">")).alias("out"))
-        return F.when(s["start"] < state["at"], state).otherwise(new)
+    def redacted(t: Column) -> Column:
+        before = lambda own, i: F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+        shown = lambda own: F.transform(own, lambda s, i: F.concat(cut(t["b"], before(own, i), s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+        return let(apart(every), lambda own: F.concat(F.array_join(shown(own), ""), cut(t["b"], before(own, F.size(own)), t["n"])))
 
-    out = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return rows.select("doc_id", out.alias("text"))
+    return rows.select("doc_id", let(F.struct(in_blocks(F.col("text")).alias("b"), F.length("text").alias("n")), redacted).alias("text"))
