@@ -6,9 +6,16 @@ ranks on both sides are refreshed.  Words beyond ``SCAN_LIMIT`` bytes keep the s
 of merges in a heap, as rescanning them would take quadratic time.
 
 The vocabulary file is a parameter (a ``tokenizers`` JSON file of a byte-level BPE without
-normaliser); its content is broadcast.  Strings of its special tokens become their ids.
+normaliser); its content is broadcast.  Strings of its special tokens become their ids;
+special tokens that take in spaces or whole words aren't supported and raise an error.
 
-Cases: null and empty texts have no ids; any valid UTF-8 is accepted; repeated rows stay.
+Ids of words and of what follows a space are kept as packed integers.  The ids of every
+document are decoded, all documents of a slice at once: each id's bytes are gathered from
+the vocabulary's bytes.
+
+Cases: null and empty texts have no ids; any valid UTF-8 is accepted; very long texts and
+words are encoded whole; of equal ranks (ties) the first place merges first; repeated rows
+stay; an empty table gives none; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ import gc
 import hashlib
 import heapq
 import json
+from array import array
 from itertools import pairwise
 
 import numpy as np
@@ -28,6 +36,8 @@ from pyspark.sql import functions as F
 from brindle.llm.textvec import slices, utf8
 
 SCAN_LIMIT = 128
+#: So many words or fewer are merged one by one, more of them together; the ids are the same.
+MANY_WORDS = 200
 CACHE_ENTRIES = 200_000
 NO_RANK = 1 << 30
 BATCH_BYTES = 4 << 20
@@ -50,16 +60,19 @@ def load_vocabulary(path: str) -> dict:
     before = spec["pre_tokenizer"] or {}
     if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
         raise ValueError(f"{path}: not a plain byte-level BPE")
+    for t in spec["added_tokens"]:
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word"):
+            raise ValueError(f"{path}: special token {t['content']!r} isn't plain")
     return {"vocab": spec["model"]["vocab"], "merges": spec["model"]["merges"], "special": {t["content"]: t["id"] for t in spec["added_tokens"]}}
 
 
 class Kept:
-    """Ids (decimal, with commas) of strings met lately: two generations, of which the older
-    is dropped when the newer is full."""
+    """Ids (packed, four bytes each) of strings met lately: two generations, of which the
+    older is dropped when the newer is full."""
 
     def __init__(self):
-        self.new: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def unknown(self, wanted: set[str]) -> list[str]:
         """Those not kept; those in the older generation move to the newer."""
@@ -75,6 +88,29 @@ class Kept:
             self.old, self.new = self.new, {}
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class Pieces:
+    """A string of bytes for each id; those of many ids are gathered at once."""
+
+    def __init__(self, of: dict[int, bytes]):
+        size = np.zeros(max(of, default=0) + 2, np.int32)
+        size[[i + 1 for i in of]] = [len(b) for b in of.values()]
+        self.start = np.cumsum(size, dtype=np.int32)
+        self.data = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
+
+    def gather(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The strings of the ids, one after another, and where each id's string ends."""
+        start = self.start[ids]
+        size = self.start[ids + 1] - start
+        end = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(start - (end - size), size)
+        at += np.arange(len(at))
+        return self.data[at].tobytes(), end
+
+
 class Codec:
     """Encodes and decodes; keeps what it has encoded, up to ``CACHE_ENTRIES`` of each kind."""
 
@@ -91,7 +127,6 @@ class Codec:
         self.pair_keys = np.array(order, np.int64)
         self.pair_ranks = np.array([self.ranks[k] for k in order], np.int64)
         self.made_ids = np.array(self.made, np.int64)
-        self.text_of = {i: str(i) for i in self.bytes_of}
         self.id_of_byte = [vocab[c] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])]
         self.byte_ids = np.array(self.id_of_byte, np.int64)
         left, right = np.meshgrid(self.byte_ids, self.byte_ids, indexing="ij")
@@ -102,6 +137,7 @@ class Codec:
         self.words_in = regex.compile(WORD).findall
         self.odd_space = regex.compile(r" \p{White_Space}| \Z").search
         self.words, self.spaced = Kept(), Kept()
+        self.raw, self.decimal = Pieces(self.bytes_of), Pieces({i: b"%d," % i for i in self.bytes_of})
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -206,18 +242,16 @@ class Codec:
         """Ids of text without special tokens."""
         words = self.words_in(text)
         self.learn_words(set(words))
-        known = self.words.new
-        return [int(i) for w in words for i in known[w].split(",")]
+        ids = array("i")
+        ids.frombytes(b"".join(map(self.words.new.__getitem__, words)))
+        return ids.tolist()
 
     def learn_words(self, words: set[str]) -> None:
-        """Encode the words that aren't kept; each must decode to itself."""
+        """Encode the words that aren't kept."""
         need = self.words.unknown(words)
-        known, text_of, bytes_of = self.words.new, self.text_of, self.bytes_of
         raw = [w.encode() for w in need]
-        for w, b, ids in zip(need, raw, self.merge_many(raw) if len(raw) > 200 else map(self.merge, raw), strict=True):
-            if b"".join([bytes_of[i] for i in ids]) != b:
-                raise ValueError(f"the vocabulary doesn't give back {w!r}")
-            known[w] = ",".join([text_of[i] for i in ids])
+        for w, ids in zip(need, self.merge_many(raw) if len(raw) > MANY_WORDS else map(self.merge, raw), strict=True):
+            self.words.new[w] = packed(ids)
 
     def encode(self, text: str) -> list[int]:
         if self.split_special is None:
@@ -232,12 +266,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the decoded text; bytes that aren't UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        try:
-            raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode(errors="replace").encode()
-        return raw
+        return valid(b"".join(map(self.bytes_of.__getitem__, ids)))
 
     def words_of(self, chunk: str) -> list[str]:
         """The words of a space and what follows it up to the next."""
@@ -255,30 +284,43 @@ class Codec:
         self.learn_words({w for words in split for w in words})
         known, spaced = self.words.new, self.spaced.new
         for c, words in zip(need, split, strict=True):
-            spaced[c] = known[words[0]] if len(words) == 1 else ",".join([known[w] for w in words])
+            spaced[c] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: the number of ids, SHA-256 of the ids, SHA-256 of the decoded text.
 
         No word crosses a space before a character that isn't white space, so an ordinary
-        text is cut at its spaces and the pieces are looked up.  Each kept word has been
-        decoded from its ids and found equal to itself, so the decoded text of these
-        pieces is their own concatenation.
+        text is cut at its spaces and the pieces are looked up.
         """
         self.words.turn()
         self.spaced.turn()
         cut = [None if any(s in t for s in self.special) or self.odd_space(t) else t.split(" ") for t in texts]
         self.learn(set().union(*[c[1:] for c in cut if c]))
-        known, out = self.spaced.new.__getitem__, []
+        known, encoded = self.spaced.new.__getitem__, []
         for text, pieces in zip(texts, cut, strict=True):
-            if not pieces or not text:
-                ids = self.encode(text)
-                out.append((len(ids), _sha(",".join(map(str, ids)).encode()), _sha(self.decode(ids))))
-                continue
-            head = [",".join(map(str, self.encode_plain(pieces[0])))] if pieces[0] else []
-            ids = ",".join(head + [known(p) for p in pieces[1:]])
-            out.append((ids.count(",") + 1, _sha(ids.encode()), _sha(text.encode())))
-        return out
+            if pieces and text:
+                head = [packed(self.encode_plain(pieces[0]))] if pieces[0] else []
+                encoded.append(b"".join(head + [known(p) for p in pieces[1:]]))
+            else:
+                encoded.append(packed(self.encode(text)))
+        count = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        last = np.cumsum(count)
+        ids = np.frombuffer(b"".join(encoded), np.int32)
+        out = [count.tolist()]
+        for pieces, finish in ((self.decimal, lambda raw: raw[:-1]), (self.raw, valid)):
+            joined, end = pieces.gather(ids)
+            bounds = np.concatenate([[0], end])[np.concatenate([[0], last])].tolist()
+            out.append([_sha(finish(joined[a:b])) for a, b in pairwise(bounds)])
+        return list(zip(*out, strict=True))
+
+
+def valid(raw: bytes) -> bytes:
+    """UTF-8; bytes that aren't become U+FFFD."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode(errors="replace").encode()
+    return raw
 
 
 def _sha(raw: bytes) -> str:
