@@ -6,15 +6,18 @@ covers exactly one sliding window, whose minimum depends on those words alone, s
 run that a document shares with an item shares a fingerprint.  A shared fingerprint is
 extended: each window around it is looked up, word for word, among the item's windows.
 
-The item side is indexed in blocks of about ``block_words`` words.  Each block's index is
-broadcast, so its size is bounded however large the benchmark is; one block (the usual
-case) needs a single pass over the documents and no shuffle, and further blocks add passes
-whose hits are merged by row.
-
-Cases: null or empty text has no words; an item of fewer words than ``window``, but not
-none, is one window; an item without words never hits; a null ``item_id`` still marks
-words but isn't listed; repeated items count once by id; documents that share a
-``doc_id`` stay separate rows.
+An item side of up to ``block_words`` words (its size is measured) is indexed once and
+broadcast: one pass over the documents, no shuffle.  A larger one is never gathered: the
+documents are written with a row number, fingerprints of both sides are joined as tables,
+the documents with a shared one give the windows around it, and these are joined with the
+items' windows, word for word; no list of items or documents comes to the driver.
+
+Cases: null or empty text has no words; very long texts are read whole; an item of fewer
+words than ``window``, but not none, is one window; an item without words never hits; a
+null ``item_id`` still marks words but isn't listed; repeated items count once by id (ids of
+any type are compared as strings); documents that share a ``doc_id`` stay separate rows; an
+empty table of documents gives no rows, one of items no hits; other columns are kept by
+``keep_clean`` whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +42,11 @@ BLOCK_WORDS = 200_000
 class ItemIndex:
     """Fingerprints and windows of one block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, gram: int = GRAM):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         #: Hashes of whole items of fewer words than the window, by their number of words.
         self.short: dict[int, np.ndarray] = {}
-        holders: dict[bytes, set[int]] = defaultdict(set)
+        holders: dict[bytes, set[str | None]] = defaultdict(set)
         marks = [np.zeros(0, np.uint64)]
         raw, at = utf8(pa.array([text for _, text in items], pa.large_string()))
         for first, last, part, offsets in slices(raw, at):
@@ -94,7 +97,7 @@ def is_member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[spot] == values
 
 
-def hits(words: Words, index: ItemIndex) -> tuple[dict[int, set[int]], dict[int, set[int]]]:
+def hits(words: Words, index: ItemIndex) -> tuple[dict[int, set[int]], dict[int, set[str]]]:
     """By document of the slice: the words hit (from its first word) and the items found."""
     at, h = fingerprints(words, index.window, index.gram)
     tries: dict[int, set[tuple[int, int]]] = defaultdict(set)
@@ -119,18 +122,18 @@ def hits(words: Words, index: ItemIndex) -> tuple[dict[int, set[int]], dict[int,
     return hit, found
 
 
-def item_blocks(benchmark: DataFrame, block_words: int, window: int, gram: int) -> Iterator[ItemIndex]:
-    """One index at a time, each of a hash share of the items of about ``block_words`` words."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    n = max(1, int(-(-size // (3 * block_words))))
-    for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield ItemIndex([tuple(r) for r in block.collect()], window, gram)
+def listed(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def digest(ids: set[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+def small_index(items: DataFrame, block_words: int, window: int, gram: int) -> ItemIndex | None:
+    """The index of all items, if they can't have more than ``block_words`` words."""
+    size = items.agg(F.sum(F.ceil(F.length("text") / 2))).first()[0] or 0
+    return ItemIndex([tuple(r) for r in items.collect()], window, gram) if size <= 3 * block_words else None
+
+
+def digest(ids: set[str]) -> str:
+    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -138,18 +141,17 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: words, hit words, items found, their digest, and the verdict."""
-    sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    indexes = [sc.broadcast(x) for x in item_blocks(benchmark, block_words, window, gram)]
-    if len(indexes) == 1:
-        return docs.mapInArrow(_reporter(indexes[0]), RESULT)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = [docs.mapInArrow(_hit_lister(x), "row long, doc_id long, n_words long, hit array<int>, items array<long>") for x in indexes]
-    merged = shared.materialize(shared.union_all(parts), "hits").groupBy("row", "doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"),
-        F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("items"))), lambda x: x.cast("string"))).alias("items"),
-    )
+    docs, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), listed(benchmark)
+    index = small_index(items, block_words, window, gram)
+    if index is not None:
+        return docs.mapInArrow(_reporter(docs.sparkSession.sparkContext.broadcast(index)), RESULT)
+    rows = shared.materialize(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = joined_hits(rows.select("row", "text"), items, window, gram)
+    places = found.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("place")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    named = found.filter("item_id is not null").select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    counted = rows.select("row", "doc_id", "text").mapInArrow(_counter, "row long, doc_id long, n_words long")
+    none = F.array().cast("array<string>")
+    merged = counted.join(places, "row", "left").join(named, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"))
     return merged.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -158,10 +160,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, of which no word is hit."""
-    sc = docs.sparkSession.sparkContext
-    for index in item_blocks(benchmark, block_words, window, gram):
-        docs = docs.mapInArrow(_sieve(sc.broadcast(index)), docs.schema)
-    return docs
+    items = listed(benchmark)
+    index = small_index(items, block_words, window, gram)
+    if index is not None:
+        return docs.mapInArrow(_sieve(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    own = "row"
+    while own in docs.columns:
+        own += "_"
+    rows = shared.materialize(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    hit = joined_hits(rows.select(F.col(own).alias("row"), "text"), items, window, gram).select(F.col("row").alias(own)).distinct()
+    return rows.join(shared.materialize(hit, "hit"), own, "left_anti").select(*docs.columns)
+
+
+def joined_hits(rows: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """row, start, size, item_id: every occurrence in a row of an item's window, by joins of
+    written tables."""
+    known = items.mapInArrow(_item_windows(window, gram), "item_id string, size int, mark long, words binary")
+    known = shared.materialize(known, "windows")
+    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most ``window``
+    marks = shared.materialize(known.select("mark").distinct(), "marks")
+    own = rows.mapInArrow(_marker(window, gram, sizes), "row long, marks array<long>").select("row", F.explode("marks").alias("mark"))
+    shared_marks = own.join(marks, "mark", "left_semi").groupBy("row").agg(F.collect_list("mark").alias("marks"))
+    texts = rows.join(shared.materialize(shared_marks, "shared"), "row")
+    tries = shared.materialize(texts.mapInArrow(_windows_at(window, gram, sizes), "row long, start int, size int, words binary"), "tries")
+    return shared.materialize(tries.join(known.select("item_id", "size", "words").distinct(), ["size", "words"]).select("row", "start", "size", "item_id"), "hits")
 
 
 def _scan(column: pa.Array, index: ItemIndex) -> Iterator[tuple[int, int, Words, dict, dict]]:
@@ -190,18 +212,102 @@ def _reporter(index):
     return run
 
 
-def _hit_lister(index):
+def _counter(batches):
+    for batch in batches:
+        raw, at = utf8(batch["text"])
+        for first, last, part, offsets in slices(raw, at):
+            count = np.diff(Words(part, offsets).first)
+            yield pa.RecordBatch.from_arrays([batch["row"].slice(first, last - first), batch["doc_id"].slice(first, last - first), pa.array(count, pa.int64())], ["row", "doc_id", "n_words"])
+
+
+def marked(words: Words, window: int, gram: int, sizes: list[int]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Places, hashes and size of what may be shared: fingerprints of windows, and whole runs
+    of the sizes of shorter items."""
+    return [(*fingerprints(words, window, gram), window), *((*words.grams(k), k) for k in sorted(sizes) if k < window)]
+
+
+def placed(at: np.ndarray, mark: np.ndarray) -> list[tuple[int, int]]:
+    return list(zip(at.tolist(), mark.view(np.int64).tolist(), strict=True))
+
+
+def _marker(window: int, gram: int, sizes: list[int]):
     def run(batches):
         for batch in batches:
-            n_words, hit_words, items = [], [], []
-            for first, last, words, hit, found in _scan(batch["text"], index.value):
-                n_words += np.diff(words.first).tolist()
-                hit_words += [sorted(hit.get(k, ())) for k in range(last - first)]
-                items += [sorted(found.get(k, ())) for k in range(last - first)]
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(hit_words, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))],
-                ["row", "doc_id", "n_words", "hit", "items"],
-            )
+            raw, at = utf8(batch["text"])
+            for first, last, part, offsets in slices(raw, at):
+                words = Words(part, offsets)
+                found = marked(words, window, gram, sizes)
+                doc = np.concatenate([words.doc[w] for w, _, _ in found])
+                mark = np.concatenate([h for _, h, _ in found]).view(np.int64)
+                order = np.lexsort((mark, doc))
+                doc, mark = doc[order], mark[order]
+                new = np.ones(len(doc), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+                bounds = np.searchsorted(doc[new], np.arange(last - first + 1))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(mark[new]))
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(first, last - first), lists], ["row", "marks"])
+
+    return run
+
+
+def _windows_at(window: int, gram: int, sizes: list[int]):
+    """The windows around the shared marks of each row, each once, with their words."""
+
+    def run(batches):
+        for batch in batches:
+            raw, at = utf8(batch["text"])
+            lists = batch["marks"]
+            for first, last, part, offsets in slices(raw, at):
+                words = Words(part, offsets)
+                row, start, size, text = [], [], [], []
+                wanted = [set(x) for x in lists.slice(first, last - first).to_pylist()]
+                tries: set[tuple[int, int, int]] = set()
+                for w, h, k in marked(words, window, gram, sizes):
+                    for i, mark in placed(w, h):
+                        doc = int(words.doc[i])
+                        if mark in wanted[doc]:
+                            low, high = int(words.first[doc]), int(words.first[doc + 1])
+                            spots = range(max(low, i - window + gram), min(i, high - window) + 1) if k == window else (i,)
+                            tries.update((doc, s, k) for s in spots)
+                for doc, s, k in sorted(tries):
+                    row.append(batch["row"][first + doc].as_py())
+                    start.append(s - int(words.first[doc]))
+                    size.append(k)
+                    text.append(words.text(s, s + k))
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(text, pa.binary())], ["row", "start", "size", "words"])
+
+    return run
+
+
+def _item_windows(window: int, gram: int):
+    """Every window of every item with the marks that lead to it."""
+
+    def run(batches):
+        for batch in batches:
+            raw, at = utf8(batch["text"])
+            for first, last, part, offsets in slices(raw, at):
+                words = Words(part, offsets)
+                count = np.diff(words.first)
+                item, size, mark, text = [], [], [], []
+                names = batch["item_id"].slice(first, last - first).to_pylist()
+
+                def add(s: int, k: int, h: int) -> None:
+                    item.append(names[words.doc[s]])
+                    size.append(k)
+                    mark.append(h)
+                    text.append(words.text(s, s + k))
+
+                at_mark = dict(placed(*fingerprints(words, window, gram)))
+                for k in np.unique(count[(count > 0) & (count < window)]).tolist():
+                    for s, h in placed(*words.grams(k)):
+                        if count[words.doc[s]] == k:
+                            add(s, k, h)
+                for doc in np.flatnonzero(count >= window).tolist():
+                    for s in range(words.first[doc], words.first[doc + 1] - window + 1):
+                        for i in range(s, s + window - gram + 1):
+                            if i in at_mark:
+                                add(s, window, at_mark[i])
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(size, pa.int32()), pa.array(mark, pa.int64()), pa.array(text, pa.binary())], ["item_id", "size", "mark", "words"])
 
     return run
 

@@ -6,9 +6,16 @@ vector: its letters' vectors, rotated by their place, multiplied.  A document is
 (bundle) of its runs' vectors, a language's prototype the sum of its documents' unit
 bundles, and a document gets the language whose prototype has the greatest cosine.
 
+Bundles are sums of whole numbers, and prototypes and cosines are rounded before they are
+compared, so a prediction doesn't depend on how rows are dealt out.
+
+As a filter: a text stays if it has a language and its cosine is above that of unrelated
+signs, whose standard deviation is 1 / sqrt(``DIMENSIONS``), by ``CHANCE`` deviations.
+
 Cases: text without a letter, empty or null is ``und`` with score 0; if no row has a
-language, every row is ``und``; ties go to the language that sorts first; rows whose
-``lang`` is null don't teach; repeated rows are scored alike.
+language, every row is ``und``; very long texts are read whole; ties go to the language that
+sorts first; rows whose ``lang`` is null don't teach; repeated rows are scored alike; an
+empty table gives no rows; other columns, whatever their names, are kept by the filter.
 """
 
 from __future__ import annotations
@@ -24,6 +31,9 @@ from brindle.llm.textvec import U, mix, slices, utf8
 DIMENSIONS = 1024
 #: Bound of the rows that teach (chosen by a hash of the id).
 TRAIN_ROWS = 20_000
+#: Standard deviations of chance that a text's cosine must exceed.
+CHANCE = 3
+DIGITS = 6
 SEED = 7
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
@@ -76,14 +86,16 @@ def bundles(texts: list[str], dimensions: int) -> np.ndarray:
     n = len(used)
     distinct, at = np.unique(pair[1], return_inverse=True)
     letters = letter_vectors(used, dimensions)
-    out = np.zeros((len(texts), dimensions), np.float32)
+    out = np.zeros((len(texts), dimensions), np.float64)
+    # Sums of whole numbers below 2**24 are exact in single precision, whatever their order.
+    exact = np.float32 if np.bincount(pair[0], count, len(texts)).max(initial=0) < 1 << 24 else np.float64
     for low in range(0, len(distinct), 8192):
         some = distinct[low : low + 8192]
         bound = np.roll(letters, 2, 1)[some // (n * n)] * np.roll(letters, 1, 1)[some // n % n] * letters[some % n]
         here = (at >= low) & (at < low + len(some))
-        counts = np.zeros((len(texts), len(some)), np.float32)
+        counts = np.zeros((len(texts), len(some)), exact)
         counts[pair[0][here], at[here] - low] = count[here]
-        out += counts @ bound.astype(np.float32)
+        out += counts @ bound.astype(exact)
     return out
 
 
@@ -126,7 +138,8 @@ def train(docs: DataFrame, teaches=None, bound: int = TRAIN_ROWS, dimensions: in
     for r in sums.collect():
         table.setdefault(r["lang"], np.zeros(dimensions))[r["place"]] = r["value"]
     names = sorted(table)
-    return {"langs": names, "prototypes": _unit(np.array([table[x] for x in names], dtype=np.float32).reshape(len(names), dimensions)), "dimensions": dimensions}
+    prototypes = _unit(np.array([table[x] for x in names], dtype=np.float64).reshape(len(names), dimensions))
+    return {"langs": names, "prototypes": np.round(prototypes, DIGITS), "dimensions": dimensions}
 
 
 def score(texts: list[str], model: dict) -> tuple[list[str], list[float]]:
@@ -134,10 +147,10 @@ def score(texts: list[str], model: dict) -> tuple[list[str], list[float]]:
     unit = _unit(bundles(texts, model["dimensions"]))
     if not model["langs"]:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    cosine = unit @ model["prototypes"].T.astype(np.float32)
+    cosine = np.round(unit @ model["prototypes"].T, DIGITS)
     best = cosine.argmax(axis=1)
-    empty = ~unit.any(axis=1)
-    value = np.clip(np.round(cosine[np.arange(len(texts)), best].astype(np.float64), 6), 0, 1)
+    empty = np.array([not any(map(str.isalpha, t)) for t in texts])
+    value = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
     langs = [UNKNOWN if none else model["langs"][k] for k, none in zip(best.tolist(), empty.tolist(), strict=True)]
     return langs, np.where(empty, 0.0, value).tolist()
 
@@ -155,18 +168,22 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language isn't ``und``; if no language was
-    taught, the rows that have a letter."""
+def keep_known(docs: DataFrame, model: dict, chance: float = CHANCE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose prediction stands out from chance; if no
+    language was taught, the rows that have a letter."""
     own = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for first, last, texts in _parts(batch["text"]):
                 if own.value["langs"]:
-                    known = [lang != UNKNOWN for lang in score(texts, own.value)[0]]
+                    known = stands_out(*score(texts, own.value), own.value["dimensions"], chance)
                 else:
-                    known = bundles(texts, own.value["dimensions"]).any(axis=1).tolist()
+                    known = [any(map(str.isalpha, t)) for t in texts]
                 yield batch.slice(first, last - first).filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def stands_out(langs: list[str], values: list[float], dimensions: int, chance: float = CHANCE) -> list[bool]:
+    return [lang != UNKNOWN and value > chance / dimensions**0.5 for lang, value in zip(langs, values, strict=True)]
