@@ -9,9 +9,14 @@ from the text's length.  With x the features, the logit is
 
 the pairwise interactions of rank ``RANK`` in linear time.
 
-Cases: null and empty texts have only their statistics; null ``n_chars`` has a bucket of
-its own; several labels of a document count by their mean (good from 0.5); without labels
-of both kinds the score is the share of good labels (0.5 without any).
+The driver gets the features of the sampled rows as two-byte numbers, at most ``WORD_BUCKETS``
++ ``STATISTICS`` of a text however long it is: 262 MB for ``TRAIN_ROWS`` texts with every word.
+
+Cases: null and empty texts have only their statistics; very long texts are read whole; null
+``n_chars`` has a bucket of its own; several labels of a document count by their mean (good
+from 0.5, ties included); without labels of both kinds the score is the share of good labels
+(0.5 without any); repeated rows are scored alike; an empty table gives no rows; other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -74,14 +79,17 @@ def features(raw: np.ndarray, at: np.ndarray, n_chars: np.ndarray) -> tuple[np.n
     words = Words(raw, at)
     pair = np.unique(words.doc * WORD_BUCKETS + (words.hash >> U(50)).astype(np.int64))
     doc, item = pair // WORD_BUCKETS, pair % WORD_BUCKETS
-    many = np.bincount(doc, minlength=n)
-    value = 1 / np.sqrt(many[doc])
     level = statistics(raw, at, n_chars, words) + WORD_BUCKETS + np.arange(STATISTICS) * LEVELS
     doc = np.concatenate([doc, np.repeat(np.arange(n), STATISTICS)])
     order = np.argsort(doc, kind="stable")
-    item = np.concatenate([item, level.ravel()])[order]
-    value = np.concatenate([value, np.full(n * STATISTICS, 1 / np.sqrt(STATISTICS))])[order]
-    return doc[order], item, value.astype(np.float32)
+    doc, item = doc[order], np.concatenate([item, level.ravel()])[order]
+    return doc, item, values(item, np.bincount(doc, minlength=n)[doc])
+
+
+def values(item: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The value of each feature of a text that has ``of`` features: words and statistics
+    each have a square sum of 1."""
+    return (1 / np.sqrt(np.where(item < WORD_BUCKETS, of - STATISTICS, STATISTICS))).astype(np.float32)
 
 
 def logits(doc: np.ndarray, item: np.ndarray, value: np.ndarray, n: int, model: dict) -> np.ndarray:
@@ -103,12 +111,9 @@ def _arrays(batch: pa.RecordBatch):
 
 def _lists(batches):
     for batch in batches:
-        for first, last, (doc, item, value) in _arrays(batch):
+        for first, last, (doc, item, _) in _arrays(batch):
             bounds = pa.array(np.searchsorted(doc, np.arange(last - first + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch["label"].slice(first, last - first), pa.ListArray.from_arrays(bounds, pa.array(item, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(value, pa.float32()))],
-                ["label", "items", "values"],
-            )
+            yield pa.RecordBatch.from_arrays([batch["label"].slice(first, last - first), pa.ListArray.from_arrays(bounds, pa.array(item, pa.int16()))], ["label", "items"])
 
 
 def fit(y: np.ndarray, at: np.ndarray, item: np.ndarray, value: np.ndarray, epochs: int = EPOCHS, rank: int = RANK) -> dict:
@@ -162,14 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, teaches=None, bound: int = TRAIN_R
     holds for, about ``bound`` documents at most."""
     chosen = labelled(docs, labels, "quality", teaches, bound, SEED).select("doc_id", "label").distinct()
     rows = docs.select(_with_chars(docs)).join(F.broadcast(chosen), "doc_id").select("text", "n_chars", "label")
-    got = rows.mapInArrow(_lists, "label int, items array<int>, values array<float>").toArrow()
-    items, values = got["items"].combine_chunks(), got["values"].combine_chunks()
-    y, bounds, flat, x = got["label"].to_numpy().astype(np.float64), items.offsets.to_numpy(), items.values.to_numpy(), values.values.to_numpy()
+    got = rows.mapInArrow(_lists, "label int, items array<smallint>").toArrow()
+    items = got["items"].combine_chunks()
+    y, bounds, flat = got["label"].to_numpy().astype(np.float64), items.offsets.to_numpy(), items.values.to_numpy()
     order = sorted(range(len(y)), key=lambda k: (y[k], bounds[k + 1] - bounds[k], flat[bounds[k] : bounds[k + 1]].tobytes()))
     size = np.array([bounds[k + 1] - bounds[k] for k in order], np.int64)
     at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     pick = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in order]) if order else np.zeros(0, np.int64)
-    return fit(y[order] if order else y, at, flat[pick], x[pick])
+    item = flat[pick]
+    return fit(y[order] if order else y, at, item, values(item, np.repeat(size, size)))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
