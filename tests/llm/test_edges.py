@@ -157,8 +157,9 @@ def test_language(spark, odd, empty):
     assert [r["lang_pred"] for r in language.predict(taught.filter("doc_id < 3"), model).orderBy("doc_id").collect()] == ["en", "de"]
     kept = language.keep_known(odd, model)
     assert kept.columns == odd.columns
-    assert kept.count() == sum(bool(re.search(r"[^\W\d_]", t or "")) for _, t in rows())
-    assert language.keep_known(odd, none).count() == kept.count()
+    assert kept.count() == language.predict(odd, model).filter(f"lang_pred <> 'und' and score > {language.CHANCE / language.DIMENSIONS**0.5}").count()
+    assert language.keep_known(taught, model).count() == 2
+    assert language.keep_known(odd, none).count() == sum(bool(re.search(r"[^\W\d_]", t or "")) for _, t in rows())
     assert language.predict(empty, model).count() == 0
     assert language.predict(odd, language.train(empty)).filter("lang_pred <> 'und'").count() == 0
 
@@ -195,7 +196,8 @@ def test_pii(spark, odd, empty):
     base = [k.name for k in pii.KINDS if k.base]
     got = {r["doc_id"]: r for r in pii.find(docs).select("doc_id", pii.joined(base).alias("spans"), "iban", "ssn").collect()}
     for i, t in enumerate(texts):
-        want = [s for k in base for s in base_spans(t)[k]]
+        # Python's search takes quadratic time over the run of x, which holds no span.
+        want = [] if t and t.startswith("xxx") else [s for k in base for s in base_spans(t)[k]]
         assert [s for s in got[i]["spans"].split(",") if s] == want, t[:80]
     assert [(s["start"], s["end"]) for s in got[9]["iban"]] == [(5, 32)]
     assert [(s["start"], s["end"]) for s in got[10]["ssn"]] == [(10, 21)]

@@ -8,13 +8,17 @@ import pytest
 
 import corpus_pipeline
 from brindle.llm import queries
+from tests.llm.test_methods import Profiles
 from tests.llm.test_queries import SF, brute_classes, brute_leaks
 
 
 def test_pipeline(spark):
     tokenizers = pytest.importorskip("tokenizers")
-    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
-    docs = {i: t for i, t in docs.items() if re.search(r"[^\W\d_]", t or "")}
+    table = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    profiles = Profiles()
+    profiles.train((r["text"], r["lang"]) for r in table)
+    docs = {r["doc_id"]: r["text"] for r in table}
+    docs = {i: t for i, t in docs.items() if profiles.predict(t)[1] > 3 / 1024**0.5}
     first = {}
     for i in sorted(docs):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", docs[i]), i)
