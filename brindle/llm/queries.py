@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, sharding, toxicity, urls
 from brindle.llm.oracles import ORACLES
-from brindle.llm.shared import held_out, table
+from brindle.llm.shared import held_out, spread, table
 
 
 def vocabulary_path() -> str:
@@ -16,12 +16,16 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents"))
+    return near_dedup.classes(documents(spark, sf_dir))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"))
+    found = pii.find(documents(spark, sf_dir))
     base = [k.name for k in pii.KINDS if k.base]
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.sha2(pii.joined(base), 256).alias("base_sha256"),
@@ -30,11 +34,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.decide(table(spark, sf_dir, "documents"))
+    return exact_dedup.decide(documents(spark, sf_dir))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 3, 1)
+    docs, out = documents(spark, sf_dir), held_out("doc_id", 3, 1)
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~out)
     return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
@@ -44,26 +48,26 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary_path())
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    docs, out = documents(spark, sf_dir), held_out("doc_id", 4, 2)
     return language.predict(docs, language.train(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    docs, out = documents(spark, sf_dir), held_out("doc_id", 5, 0)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~out)
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.assign(documents(spark, sf_dir))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -234,20 +235,69 @@ def test_urls(spark):
     assert urls.judge(pages.filter("false")).count() == 0
 
 
-def test_mined_rules_decide_as_listed(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    parsed = urls.parsed(pages).collect()
-    rules = urls.mine(urls.parsed(pages)).collect()
-    assert rules
-    known = [(set(r["tokens"]), r["verdict"]) for r in parsed if r["verdict"]]
-    for r in rules:
-        own = [v for t, v in known if t >= set(r["rule_tokens"])]
-        assert r["confidence"] == pytest.approx(sum(v == r["verdict"] for v in own) / len(own))
-        assert sum(v == r["verdict"] for v in own) >= urls.MIN_SUPPORT * len(known) - 1e-9
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
-    for p in parsed:
-        fit = [(r["confidence"], len(r["rule_tokens"]), r["support"], r["verdict"]) for r in rules if set(p["tokens"]) >= set(r["rule_tokens"])]
+def brute_rules(rows, items=urls.ITEMS):
+    """Every rule of rows (tokens, label), by trying all combinations of each row's tokens."""
+    known = [(t, y) for t, y in rows if y]
+    n, blocked = len(known), sum(y == "block" for _, y in known)
+    uses = Counter(x for t, _ in known for x in t)
+    own = Counter(x for t, y in known for x in t if y == "block")
+    share = blocked / n
+    apart = {x: round(abs(own[x] - k * share) / (k * share * (1 - share) + 1) ** 0.5, 6) for x, k in uses.items() if k >= urls.MIN_COUNT}
+    count, hits = Counter(), Counter()
+    for t, y in known:
+        best = sorted((-apart[x], x) for x in t if x in apart)[:items]
+        for size in range(1, len(best) + 1):
+            for c in combinations(sorted(x for _, x in best), size):
+                count[c] += 1
+                hits[c, y] += 1
+    base = {"block": share, "allow": 1 - share}
+    least = max(urls.MIN_COUNT, urls.MIN_SUPPORT * n)
+    sure = {(c, y): (k + 1) / (count[c] + 2) for (c, y), k in hits.items() if k >= least and (k + 1) / (count[c] + 2) >= urls.MIN_CONFIDENCE and k / count[c] > base[y]}
+    out = {}
+    for (c, y), p in sure.items():
+        beaten = any(sure.get((d, y), 0) >= p for size in range(1, len(c)) for d in combinations(c, size))
+        if not beaten and count[c] >= urls.MIN_KNOWN * sum(set(c) <= set(t) for t, _ in rows):
+            out[c, y] = (hits[c, y], count[c])
+    return out
+
+
+def check_rules(spark, pages, label=None):
+    parsed = urls.parsed(pages, label=label)
+    rows = parsed.collect()
+    rules = {(tuple(r["rule_tokens"]), r["verdict"]): (r["hits"], r["uses"]) for r in urls.mine(parsed).collect()}
+    assert rules == brute_rules([(r["tokens"], r["label"]) for r in rows])
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, label=label).collect()}
+    for p in rows:
+        fit = [(round((k + 1) / (n + 2), 9), len(c), k, y) for (c, y), (k, n) in rules.items() if set(c) <= set(p["tokens"])]
         assert got[p["page_id"]] == (p["verdict"] or (max(fit)[3] if fit else "allow"))
+    return rules, got
+
+
+def test_mined_rules_are_all_there_are(spark):
+    check_rules(spark, spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_rules_from_a_label_column(spark):
+    r = random.Random(12)
+    data = []
+    for i in range(400):
+        host, seg = r.choice(["spam", "news", "shop"]), r.choice(["win", "read", "buy", "a"])
+        bad = host == "spam" or (seg == "win" and host == "shop")
+        data.append((i, f"https://{host}.org/{seg}/{i}?ref={r.randrange(3)}", None if i % 4 == 0 else "block" if bad != (r.random() < 0.02) else "allow"))
+    long = "https://w.org/" + "/".join(f"s{k}" for k in range(60))
+    data += [(1000 + i, long, "block") for i in range(30)]
+    pages = spark.createDataFrame(data, "page_id long, url string, seen string")
+    rules, got = check_rules(spark, pages, "seen")
+    assert ("h:spam",) in {c for c, y in rules if y == "block"}
+    open_ones = [i for i, u, y in data if y is None]
+    want = {i: "block" if "spam" in u or ("shop" in u and "/win/" in u) else "allow" for i, u, _ in data if i in open_ones}
+    assert {i: got[i] for i in open_ones} == want
+
+
+def test_few_labels_make_no_rule(spark):
+    pages = spark.createDataFrame([(i, f"http://x.net/es/{i}" if i < 5 else f"http://y.com/{i}") for i in range(40)] + [(100 + i, f"http://q.org/es/{i}") for i in range(200)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert {got[100 + i] for i in range(200)} == {"allow"} and got[0] == "block"
 
 
 def test_no_python_in_native_operators(spark):
