@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return
 the columns of ``documents``.  Every stage's rows are written and read again by the next.
+
+Cases: null and empty texts, and texts whose predicted language doesn't stand out from
+chance, go in the first stage; very long texts are read whole in every stage; repeated rows
+and copies (ties) keep the smallest ``doc_id``, and of rows equal in both one; rows with null
+``doc_id`` stay unless a copy of theirs does; an empty table gives an empty result; other
+columns, whatever their names, pass through to the last stage, which returns doc_id,
+n_tokens, ids_sha256 and decoded_sha256.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup
-from brindle.llm.queries import vocabulary_path
+from brindle.llm.queries import documents, vocabulary_path
 from brindle.llm.shared import materialize, table
 
 
@@ -47,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
