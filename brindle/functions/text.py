@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: The same characters, one by one.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 @cache
@@ -30,16 +32,18 @@ def changed_by_nfc() -> str:
 
 @F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    some = text.notna()
+    return text.mask(some, text[some].map(lambda t: unicodedata.normalize("NFC", t))) if some.any() else text
 
 
 def nfc(text: Column) -> Column:
-    """Composed form; only texts that composition may change leave the JVM."""
-    return F.coalesce(_compose(F.when(text.rlike(changed_by_nfc()), text)), text)
+    """Composed form; only texts that composition may change leave the JVM (characters below
+    U+0300 are their own composed form)."""
+    return F.coalesce(_compose(F.when(text.rlike(r"[\x{300}-\x{10FFFF}]") & text.rlike(changed_by_nfc()), text)), text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
@@ -98,6 +102,22 @@ def gram_list(words: Column, n: int) -> Column:
     return let(words, runs)
 
 
+def gram_hashes(words: Column, n: int) -> Column:
+    """A 64-bit hash of every run of n words, in order; each word is hashed once."""
+    def runs(own: Column) -> Column:
+        last = F.size(own) - n + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(own, i, F.lit(n))))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+
+
+def casefolded(text: Column) -> Column:
+    """Runs of letters, digits and underscores of the case-folded text, one space between
+    (folding as far as lower-casing and ß go)."""
+    return F.array_join(F.regexp_extract_all(F.regexp_replace(F.lower(text), "ß", "ss"), F.lit(r"(?U)\w+"), F.lit(0)), " ")
+
+
 def repeat_share(grams: Column) -> Column:
     """1 - distinct / all; 0 for none."""
     return let(grams, lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(0.0))
@@ -134,6 +154,16 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def provenance_keys(text: Column, own_id: Column | None = None, url: Column | None = None, nested_id: Column | None = None, nested_url: Column | None = None) -> Column:
+    """Keys that a text shares with what it was made from: its content, and the id and URL of
+    its row (else of its metadata), each hashed as content is."""
+    nothing = F.lit(None).cast("string")
+    first = lambda a, b: F.coalesce(*[F.when(strip(x) != "", strip(x)) for x in (a, b) if x is not None], nothing)
+    page = url_key(first(url, nested_url))
+    keys = [("content:", text), ("id:", first(own_id, nested_id)), ("url:", page)]
+    return F.array_compact(F.array(*[F.concat(F.lit(name), content_key(value)) for name, value in keys]))
+
+
 def judge_score(reply: Column) -> Column:
     """The number after a final [RESULT] mark, or null."""
     found = F.regexp_extract(reply, r"\[RESULT\]\s*\(?([1-9]|10)\)?\s*$", 1)

@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.graph import store
 
-def offsets(rows: DataFrame, order: str, size: str) -> DataFrame:
-    """``start``: the sum of the sizes before a row in order, without one task for all rows.
 
-    Rows are dealt by ranges of ``order``; sums of whole partitions (as many rows as
-    partitions) are added to sums inside partitions."""
-    dealt = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    inside = F.sum(size).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    totals = dealt.groupBy("part").agg(F.sum(size).alias("total"))
-    before = F.coalesce(F.sum("total").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("inside", inside).join(F.broadcast(totals.select("part", before.alias("shift"))), "part").withColumn("start", F.col("inside") + F.col("shift")).drop("part", "inside", "shift")
+def offsets(rows: DataFrame, order, size: str, *strata: str) -> DataFrame:
+    """``start``: the sum of the sizes before a row in order (in its stratum, if strata are
+    named), without one task for all rows.
+
+    Rows are dealt by ranges of the strata and the order, and written, so that their places
+    hold for all that follows; sums of whole partitions (one row for each stratum of a
+    partition) are added to sums inside partitions."""
+    order = [order] if isinstance(order, str) else list(order)
+    dealt = rows.repartitionByRange(*strata, *order).withColumn("part", F.spark_partition_id())
+    dealt = store(dealt)
+    keys = ["part", *strata]
+    inside = F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    totals = dealt.groupBy(*keys).agg(F.sum(size).alias("total"))
+    whole = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("total").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = store(totals.select(*keys, before.alias("shift")))
+    same = [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys]
+    placed = dealt.withColumn("inside", inside).join(shifts.select(*[F.col(k).alias(f"own_{k}") for k in keys], "shift"), same)
+    return placed.withColumn("start", F.col("inside") + F.col("shift")).drop("part", "inside", "shift", *[f"own_{k}" for k in keys])
 
 
 def pack(rows: DataFrame, order: str, tokens: str, length: int) -> DataFrame:
     """row_no, x, y: windows of ``length`` + 1 tokens at every multiple of ``length``; x is a
     window without its last token, y without its first.  An incomplete window is left out."""
     sized = offsets(rows.select(order, tokens, F.size(tokens).cast("long").alias("size")), order, "size")
-    each = sized.select("start", F.posexplode(tokens).alias("i", "token")).select((F.col("start") + F.col("i")).alias("pos"), "token")
-    own = F.struct(F.floor(F.col("pos") / length).alias("row_no"), (F.col("pos") % length).alias("at"))
-    # The first token of a window also ends the one before.
-    also = F.when((F.col("pos") % length == 0) & (F.col("pos") > 0), F.struct((F.floor(F.col("pos") / length) - 1).alias("row_no"), F.lit(length).cast("long").alias("at")))
-    placed = each.select(F.explode(F.array_compact(F.array(own, also))).alias("p"), "token").select("p.row_no", "p.at", "token")
-    window = placed.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t")).filter(F.size("t") == length + 1)
-    window = window.select("row_no", F.transform("t", lambda s: s["token"]).alias("t"))
+    # A document's part of each window that it reaches into: one row a window, not one a token.
+    first, last = F.floor((F.col("start") - 1) / length), F.floor((F.col("start") + F.col("size") - 1) / length)
+    parts = sized.filter("size > 0").select("start", tokens, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("row_no"))
+    low = F.greatest(F.col("row_no") * length - F.col("start"), F.lit(0))
+    high = F.least((F.col("row_no") + 1) * length + 1 - F.col("start"), F.size(tokens).cast("long"))
+    piece = F.slice(tokens, (low + 1).cast("int"), (high - low).cast("int"))
+    window = parts.filter(high > low).groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", piece.alias("piece")))).alias("p"))
+    window = window.select("row_no", F.flatten(F.transform("p", lambda s: s["piece"])).alias("t")).filter(F.size("t") == length + 1)
     return window.select("row_no", F.slice("t", 1, length).alias("x"), F.slice("t", 2, length).alias("y"))

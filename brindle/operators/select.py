@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.operators.graph import store
+from brindle.operators.packing import offsets
 
 
 def first_by_key(rows: DataFrame, key: str, *order) -> DataFrame:
@@ -19,8 +21,7 @@ def first_by_key(rows: DataFrame, key: str, *order) -> DataFrame:
 
 def grams_of(rows: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
     """id and each distinct hashed n-word run of the normalised text."""
-    grams = T.gram_list(T.word_list(T.norm(F.col(text))), n)
-    return rows.select(id_column, F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("gram"))
+    return rows.select(id_column, F.explode(F.array_distinct(T.gram_hashes(T.word_list(T.norm(F.col(text))), n))).alias("gram"))
 
 
 def overlapping(rows: DataFrame, id_column: str, others: DataFrame, text: str = "text", n: int = 13) -> DataFrame:
@@ -34,13 +35,21 @@ def exclude(rows: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
 
 
 def sequential_holdout(rows: DataFrame, id_column: str, split: str, order: list[str], n: int) -> DataFrame:
-    """Rows of later splits that share no n-word run with rows kept in earlier splits."""
-    kept = None
-    for name in order:
-        own = rows.filter(F.col(split) == name)
-        if kept is not None:
-            own = exclude(own, overlapping(own, id_column, kept.select(id_column, "text"), n=n), id_column)
-        kept = own if kept is None else kept.unionByName(own)
+    """Rows of later splits that share no n-word run with rows kept in earlier splits.
+
+    Texts are read once: their hashed runs are written beside id and split, and every later
+    step joins these."""
+    splits = rows.select(id_column, split)
+    grams = store(grams_of(rows, id_column, "text", n).join(splits, id_column).select(id_column, split, "gram"))
+    held, dropped = grams.filter(F.col(split) == order[0]).select("gram"), []
+    for name in order[1:]:
+        own = grams.filter(F.col(split) == name)
+        bad = store(own.join(held.distinct(), "gram", "left_semi").select(id_column).distinct())
+        dropped.append(bad)
+        held = held.union(own.join(bad, id_column, "left_anti").select("gram"))
+    kept = rows.filter(F.col(split).isin(*order))
+    for bad in dropped:
+        kept = exclude(kept, bad, id_column)
     return kept
 
 
@@ -64,33 +73,40 @@ def quotas(sources: DataFrame, total: int) -> DataFrame:
     return rows.select("label", (F.col("floor") + F.when(F.col("place") <= F.col("rest"), 1).otherwise(0)).cast("long").alias("quota"))
 
 
-def budget_cut(rows: DataFrame, size: Column, target: int, order: list, *strata: str) -> DataFrame:
+def budget_cut(rows: DataFrame, size: str, target: int, order: list, *strata: str) -> DataFrame:
     """Rows in order until their sizes reach the target; the row that reaches it is taken."""
-    before = F.sum(size).over(Window.partitionBy(*strata).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - size
-    return rows.withColumn("before", before).filter(F.col("before") < target)
+    return offsets(rows, order, size, *strata).withColumnRenamed("start", "before").filter(F.col("before") < target)
+
+
+def places(rows: DataFrame, order: list, *strata: str) -> DataFrame:
+    """``place`` of each row in its stratum, from 0."""
+    return offsets(rows.withColumn("one", F.lit(1).cast("long")), order, "one", *strata).drop("one").withColumnRenamed("start", "place")
 
 
 def weighted_interleave(rows: DataFrame, source: str, weight: str, ord_column: str, *order) -> DataFrame:
     """Rows numbered as if the source with the least (rows taken / weight) always came
     next: in closed form, by index / weight, then source order."""
-    index = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
-    return rows.withColumn("index", index).withColumn("position", F.col("index") / F.col(weight)).withColumn("turn_key", F.struct("position", ord_column))
+    placed = places(rows, list(order), source).withColumnRenamed("place", "index")
+    return placed.withColumn("position", F.col("index") / F.col(weight)).withColumn("turn_key", F.struct("position", ord_column))
 
 
 def fractional_interleave(rows: DataFrame, source: str, *order) -> DataFrame:
     """position = (i + 1/2) / n of each row within its source."""
-    own = Window.partitionBy(source)
-    return rows.withColumn("position", (F.row_number().over(own.orderBy(*order)) - 0.5) / F.count("*").over(own))
+    n = store(rows.groupBy(F.col(source).alias("own_source")).agg(F.count("*").alias("n")))
+    placed = places(rows, list(order), source).join(n, F.col(source).eqNullSafe(F.col("own_source")))
+    return placed.withColumn("position", (F.col("place") + 0.5) / F.col("n")).drop("place", "own_source", "n")
 
 
 def round_robin(rows: DataFrame, stratum: str, *order) -> DataFrame:
-    return rows.withColumn("round", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    """``round`` (from 1) of each row in its stratum, and ``turn``: its place when strata take
+    turns, in their order, round after round."""
+    rounds = places(rows, list(order), stratum).withColumn("round", F.col("place") + 1).drop("place")
+    return places(rounds, ["round", stratum]).withColumnRenamed("place", "turn")
 
 
 def batches(rows: DataFrame, source: str, quota: Column, *order) -> DataFrame:
     """batch = which fixed-composition batch a row falls in, by its source's quota."""
-    index = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(index / quota).cast("long"))
+    return places(rows, list(order), source).withColumn("batch", F.floor(F.col("place") / quota).cast("long")).drop("place")
 
 
 def cycle(rows: DataFrame, id_column: str, epochs: int, seed: str) -> DataFrame:

@@ -9,7 +9,7 @@ from brindle.functions import text as T
 from brindle.operators import quality, select
 from brindle.operators.graph import components, store
 from brindle.operators.packing import offsets, pack
-from brindle.plans.registry import query, table
+from brindle.plans.registry import documents, query, table
 
 # SQL fragments that several oracles share.
 KEY = r"sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')))"
@@ -37,7 +37,7 @@ PROSE_WORDS = r"list_transform(regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+
 
 
 def keyed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("key", T.content_key(F.col("text")))
+    docs = documents(spark, sf_dir).withColumn("key", T.content_key(F.col("text")))
     return docs.withColumn("split", T.corpus_split(F.col("key")))
 
 
@@ -45,10 +45,15 @@ def keyed(spark, sf_dir):
  k as (select *, row_number() over (partition by key order by doc_id) as rn from d)
  select split, source, case when rn > 1 and reason = 'ok' then 'duplicate' else reason end as reason, count(*) as n, cast(sum(strlen(text)) as bigint) as bytes from k group by all""")
 def split_quality_census(spark, sf_dir):
-    docs = keyed(spark, sf_dir).withColumn("reason", quality.gate(F.col("text"))).select("doc_id", "key", "split", "source", "reason", F.octet_length("text").alias("size"))
-    first = docs.groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    docs = docs.join(first, "key").withColumn("reason", F.when((F.col("doc_id") > F.col("first_id")) & (F.col("reason") == "ok"), "duplicate").otherwise(F.col("reason")))
-    return docs.groupBy("split", "source", "reason").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes"))
+    """One scan: rows are counted by key, source and reason; of the accepted rows of a key all
+    but its first document are duplicates."""
+    docs = keyed(spark, sf_dir).withColumn("reason", quality.gate(F.col("text"))).select("doc_id", "key", "split", "source", "reason", F.octet_length("text").cast("long").alias("size"))
+    own = docs.groupBy("key", "split", "source", "reason").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("doc_id"), F.min_by("size", "doc_id").alias("size"))
+    own = own.withColumn("first", F.min("doc_id").over(Window.partitionBy("key")) == F.col("doc_id"))
+    row = lambda reason, n, size: F.struct(reason.alias("reason"), n.cast("long").alias("n"), size.alias("bytes"))
+    first = F.array(row(F.lit("ok"), F.lit(1), F.col("size")), row(F.lit("duplicate"), F.col("n") - 1, F.col("bytes") - F.col("size")))
+    told = F.when(F.col("reason") != "ok", F.array(row(F.col("reason"), F.col("n"), F.col("bytes")))).when(F.col("first"), first).otherwise(F.array(row(F.lit("duplicate"), F.col("n"), F.col("bytes"))))
+    return own.select("split", "source", F.inline(told)).filter("n > 0").groupBy("split", "source", "reason").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 @query(f"select doc_id, {KEY} as key, {BUCKET} as bucket, {SPLIT} as split from documents")
@@ -59,7 +64,7 @@ def content_keys(spark, sf_dir):
 
 @query(f"with d as (select source, {GATE} as reason from documents) select source, reason, count(*) as n from d group by all")
 def quality_gate_reasons(spark, sf_dir):
-    return quality.counts(table(spark, sf_dir, "documents").withColumn("reason", quality.gate(F.col("text"))), "source", "reason")
+    return quality.counts(documents(spark, sf_dir).select("source", quality.gate(F.col("text")).alias("reason")), "source", "reason")
 
 
 @query(f"""with d as (select doc_id, text, {GATE} as gate, {SPLIT} as split, {PROSE_WORDS} as w,
@@ -67,13 +72,16 @@ def quality_gate_reasons(spark, sf_dir):
  g as (select *, {words_sql(8, "w")} as grams from d),
  r as (select case when gate <> 'ok' then 'source_quality_or_length' when split <> 'train' then 'reserved_partition'
  when regexp_matches(text, '{quality.CODE_TOPIC}') then 'code_topic' when regexp_matches(text, '{quality.MATH_TOPIC}') then 'math_topic'
- when contains(text, '�') or regexp_matches(text, '{quality.BOILERPLATE}') then 'boilerplate_or_encoding' when len(w) < 35 then 'too_little_prose'
+ when contains(text, '�') or contains(text, chr(0)) or regexp_matches(text, '{quality.BOILERPLATE}') then 'boilerplate_or_encoding' when len(w) < 35 then 'too_little_prose'
  when letters = 0 or plain / letters < 0.95 then 'non_english_script' when len(grams) > 0 and 1 - len(list_distinct(grams)) / len(grams) > 0.2 then 'repetition' else 'ok' end as reason from g)
  select reason, count(*) as n from r group by all""")
 def prose_selection_reasons(spark, sf_dir):
-    docs = keyed(spark, sf_dir)
     text = F.col("text")
-    return quality.counts(docs.withColumn("reason", quality.prose_reason(text, quality.gate(text), F.col("split"))), "reason")
+    docs = documents(spark, sf_dir).select("text", quality.gate(text).alias("gate"))
+    # Only what the gate lets through needs a key.
+    rest = docs.filter(F.col("gate") == quality.ACCEPTED).select("text", "gate", T.corpus_split(T.content_key(text)).alias("split"))
+    early = docs.filter(F.col("gate") != quality.ACCEPTED).select(F.lit("source_quality_or_length").alias("reason"))
+    return quality.counts(rest.select(quality.prose_reason(text, F.col("gate"), F.col("split")).alias("reason")).unionByName(early), "reason")
 
 
 @query(f"select doc_id, len({LINES}) as n_lines, round(case when len({LINES}) > 0 then len(list_distinct({LINES})) / len({LINES}) else 1 end, 6) as distinct_share from documents")
@@ -86,8 +94,8 @@ def repeated_line_ratio(spark, sf_dir):
 @query(f"""with d as (select doc_id, {PROSE_WORDS} as w from documents), g as (select doc_id, {words_sql(8, "w")} as grams from d)
  select doc_id, round(case when len(grams) > 0 then 1 - len(list_distinct(grams)) / len(grams) else 0 end, 6) as dup_share from g""")
 def dup_8gram_share(spark, sf_dir):
-    grams = T.gram_list(F.transform(quality.prose_words(F.col("text")), F.lower), 8)
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.repeat_share(grams), 6).alias("dup_share"))
+    grams = T.gram_hashes(quality.prose_words(F.lower(F.col("text"))), 8)
+    return documents(spark, sf_dir).select("doc_id", F.round(T.repeat_share(grams), 6).alias("dup_share"))
 
 
 @query(f"""with d as (select doc_id, {WORDS} as w from documents), g as (select doc_id, unnest({words_sql(4, "w")}) as gram from d),
@@ -125,7 +133,7 @@ def gram_table(name: str, id_column: str, n: int) -> str:
 
 @query(f"with g as ({gram_table('documents', 'doc_id', 13)}), b as ({gram_table('benchmark', 'item_id', 13)}) select distinct doc_id from g where gram in (select gram from b)")
 def decontam_13gram(spark, sf_dir):
-    return select.overlapping(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"))
+    return select.overlapping(documents(spark, sf_dir), "doc_id", table(spark, sf_dir, "benchmark"))
 
 
 @query(f"""with g as ({gram_table('documents', 'doc_id', 13)}), b as ({gram_table('benchmark', 'item_id', 13)})
@@ -147,7 +155,7 @@ HOLDOUT = f"""with d as (select doc_id, source, case when cast(concat('0x', subs
 
 @query(HOLDOUT)
 def heldout_phrase_exclusion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     split = T.group_split(F.col("source"), "holdout", 10, 0, 1)
     dev = T.hash_mod(F.sha2(F.concat(F.lit("holdout:"), F.col("source")), 256), 8, 10).between(1, 2)
     docs = docs.withColumn("split", F.when(dev, "dev").otherwise(split)).select("doc_id", "text", "split")
@@ -281,7 +289,7 @@ def source_quotas(spark, sf_dir):
  select doc_id, source, cast(before as bigint) as start from d where before < 20000""")
 def cumulative_budget_cut(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length("text") + 1).cast("long").alias("size"))
-    return select.budget_cut(docs, F.col("size"), 20_000, ["doc_id"], "source").select("doc_id", "source", F.col("before").alias("start"))
+    return select.budget_cut(docs, "size", 20_000, ["doc_id"], "source").select("doc_id", "source", F.col("before").alias("start"))
 
 
 HASH = "sha256(concat('seed:', cast(doc_id as varchar)))"
@@ -304,7 +312,7 @@ WEIGHTS = "case when lang = 'en' then 55 when lang = 'de' then 25 when lang = 'f
 
 
 @query(f"""with d as (select doc_id, lang, {WEIGHTS} as w, row_number() over (partition by lang order by doc_id) - 1 as i from documents)
- select doc_id, lang, row_number() over (order by i / w, lang) as place from d order by i / w, lang limit 100""")
+ select doc_id, lang, row_number() over (order by i / w, lang) as place from d""")
 def weighted_interleave(spark, sf_dir):
     lang = F.col("lang")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(lang == "en", 55).when(lang == "de", 25).otherwise(10).alias("w"))
@@ -318,10 +326,11 @@ def fractional_interleave(spark, sf_dir):
     return rows.select("doc_id", "lang", F.round(F.col("position").cast("double"), 9).alias("position"))
 
 
-@query("select doc_id, source, row_number() over (partition by source order by doc_id) as round from documents")
+@query("""with r as (select doc_id, source, row_number() over (partition by source order by doc_id) as round from documents)
+ select *, row_number() over (order by round, source) - 1 as turn from r""")
 def round_robin_strata(spark, sf_dir):
     rows = select.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
-    return rows.select("doc_id", "source", F.col("round").cast("long").alias("round"))
+    return rows.select("doc_id", "source", F.col("round").cast("long").alias("round"), F.col("turn").cast("long").alias("turn"))
 
 
 @query("""with e as (select item_id, epoch, sha256(concat('cycle:', epoch, ':', item_id)) as h from benchmark, range(3) r(epoch))
@@ -359,8 +368,12 @@ def corpus_receipt(spark, sf_dir):
     )
 
 
-@query(f"""with k as (select lang, {KEY} as key from documents) select lang, sha256(string_agg(key, ',' order by key)) as fingerprint, count(*) as n from k group by lang""")
+@query(f"""with k as (select lang, {KEY} as key from documents), p as (select lang, substr(key, 1, 4) as head, sha256(string_agg(key, ',' order by key)) as digest, count(*) as n from k group by all)
+ select lang, sha256(string_agg(head || ':' || digest, ',' order by head)) as fingerprint, cast(sum(n) as bigint) as n from p group by lang""")
 def table_fingerprint(spark, sf_dir):
-    """An order-free identity of each language's rows."""
-    keys = keyed(spark, sf_dir).groupBy("lang").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256).alias("fingerprint"), F.count("*").alias("n"))
-    return keys
+    """An order-free identity of each language's rows: a digest for each of 65,536 ranges of
+    keys, and the digest of these."""
+    head = F.substring("key", 1, 4).alias("head")
+    parts = keyed(spark, sf_dir).groupBy("lang", head).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256).alias("digest"), F.count("*").alias("n"))
+    named = F.array_sort(F.collect_list(F.concat_ws(":", "head", "digest")))
+    return parts.groupBy("lang").agg(F.sha2(F.array_join(named, ","), 256).alias("fingerprint"), F.sum("n").alias("n"))

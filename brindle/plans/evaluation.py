@@ -138,7 +138,7 @@ def event_sessions(spark, sf_dir):
     return rows.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
 
 
-@query("""with recursive o as (select event_type, value as loss, row_number() over (partition by event_type order by event_id) as i from events where event_id < 200),
+@query("""with recursive o as (select event_type, value as loss, row_number() over (partition by event_type order by event_id) as i from events),
  r(event_type, i, loss, cap, best, bad, cool, act) as (select event_type, 0, cast(0 as double), cast(1 as double), cast('infinity' as double), 0, 1, '' from (select distinct event_type from o)
  union all select event_type, i, loss, case when a = 'reduced' then greatest(0.1, cap * 0.5) else cap end, case when loss < best - 0.01 then loss else best end, case when a = 'monitoring' then bad + 1 else 0 end,
  case when cool > 0 then cool - 1 when a = 'reduced' then 1 else 0 end, a from (select r.event_type, o.i, o.loss, r.cap, r.best, r.bad, r.cool,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import constraints as C
 from brindle.functions import text as T
+from brindle.operators.packing import offsets
 from brindle.plans.corpus import WORDS
 from brindle.plans.registry import query, table
 from brindle.sources import synth
@@ -46,31 +47,52 @@ def generated_dialogues(spark, sf_dir):
     return synth.dialogues(spark, 50, "s").select("id", "branch", F.array_join(said, "#").alias("messages"))
 
 
-#: Requests to parse; the last two are unsupported.
-REQUESTS = [
-    "Write exactly three sentences without commas.", "Use at least 20 words, all lowercase.", "Give two bullet points and end with \"The end.\"", "Under 50 words in uppercase.", "Tell me more.",
-    "Write two sentences in each paragraph.", "Write two sentences, or three sentences.",
-]
-ANSWERS = ["One. Two. Three.", "only small letters here", "- a\n- b\nThe end.", "LOUD WORDS", "", "a, b", "x"]
+ASKED = {"sentences": "sentences", "words": "words", "paragraphs": "paragraphs"}
+COUNTED = {
+    "words": "len(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))",
+    "sentences": "len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x) <> ''))",
+    "paragraphs": r"len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '\s', '', 'g') <> ''))",
+}
 
 
-@query()
-def constraint_checks(spark, sf_dir):
-    """Requests parsed and answers verified."""
-    rows = spark.createDataFrame([(i, r, a) for i, (r, a) in enumerate(zip(REQUESTS, ANSWERS, strict=True))], "id int, request string, answer string")
-    checks = C.parse(F.col("request"))
-    rows = rows.withColumn("c", checks)
-    shown = F.array_join(F.transform("c", lambda c: F.concat_ws("|", c["family"], F.coalesce(c["relation"], F.lit("")), F.coalesce(c["number"], F.lit(0)).cast("string"), F.coalesce(c["phrase"], F.lit("")))), ";")
-    return rows.select("id", shown.alias("checks"), F.when(F.col("c").isNotNull(), True).alias("supported"), F.forall(C.verify(F.col("answer"), F.col("c")), lambda x: x).alias("passed"))
+def passes_sql() -> str:
+    return " ".join(f"when relation = '{name}' then n {sign} number" for name, sign in C.RELATIONS.items())
 
 
-@query(f"""select item_id, len({WORDS}) as n_words, '"' || substr(text, 1, 40) || '"' as quoted, '- ' || substr(text, 1, 40) as bullet, true as unpacked, true as kept from benchmark""")
+@query(f"""with r as (select i as id, {pick_sql(list(C.RELATIONS), 'c', 'i', "'relation'")} as relation, {pick_sql(list(C.NUMBERS[1:9]), 'c', 'i', "'number'")} as said, {pick_sql(list(ASKED), 'c', 'i', "'unit'")} as family,
+ {pick_sql(['plain', 'comma', 'lower'], 'c', 'i', "'also'")} as also, i % (select count(*) from benchmark) as place from range(200) t(i)),
+ n as (select *, list_position({list(C.NUMBERS)}, said) - 1 as number from r), b as (select text, row_number() over (order by item_id) - 1 as place from benchmark),
+ c as (select n.*, text, case family {' '.join(f"when '{k}' then {v}" for k, v in COUNTED.items())} end as n from n join b using (place))
+ select cast(id as bigint) as id, family, relation, cast(number as bigint) as number, also, case {passes_sql()} end as counted,
+ case also when 'comma' then not contains(text, ',') when 'lower' then text = lower(text) and regexp_matches(text, '[a-z]') end as also_passed from c""")
+def constraint_checks(spark, sf_dir):
+    """Generated requests read back, and each benchmark text checked against them in turn."""
+    pick = lambda options, part: synth.pick(options, "c", F.col("id"), F.lit(part))
+    asked = spark.range(200).select("id", pick(list(C.RELATIONS), "relation").alias("r"), pick(list(C.NUMBERS[1:9]), "number").alias("n"), pick(list(ASKED), "unit").alias("u"), pick(["plain", "comma", "lower"], "also").alias("also"))
+    tail = F.when(F.col("also") == "comma", " without commas").when(F.col("also") == "lower", ", all lowercase").otherwise("")
+    asked = asked.select("id", "also", F.concat(F.lit("Please write "), F.col("r"), F.lit(" "), F.col("n"), F.lit(" "), F.col("u"), tail, F.lit(".")).alias("request"))
+    texts = offsets(table(spark, sf_dir, "benchmark").select("item_id", "text", F.lit(1).cast("long").alias("one")), "item_id", "one").select("text", F.col("start").alias("place"))
+    size = texts.agg(F.count("*").alias("texts"))
+    rows = asked.join(F.broadcast(size)).withColumn("place", F.col("id") % F.col("texts")).join(texts, "place").withColumn("c", C.parse(F.col("request")))
+    rows = rows.withColumn("ok", C.verify(F.col("text"), F.col("c")))
+    last, first = F.size("c") - 1, F.when(F.size("c") > 1, F.get("ok", F.lit(0)))
+    own = F.get("c", last)
+    return rows.select("id", own["family"].alias("family"), own["relation"].alias("relation"), own["number"].cast("long").alias("number"), "also", F.get("ok", last).alias("counted"), first.alias("also_passed"))
+
+
+@query(f"""with d as (select item_id, text, regexp_replace(text, '\\n', chr(10) || '- ', 'g') as listed, {WORDS} as w from benchmark)
+ select item_id, len(w) as n_words, '"' || text || '"' as quoted, '- ' || text as bullet, lower(text) as quiet, json_extract_string(json_object('answer', text), '$.answer') as unpacked,
+ trim(regexp_replace(regexp_replace(listed, '(?m)^\\s*[-*]\\s+', '', 'g'), '\\s+', ' ', 'g')) as corrupted,
+ list_sort(w) = list_sort(list_filter(string_split(trim(regexp_replace(lower(listed), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) as kept from d""")
 def answer_formats(spark, sf_dir):
-    """Renderings of an answer, unpacked again; a corruption that keeps the words."""
-    rows = table(spark, sf_dir, "benchmark").withColumn("answer", F.substring("text", 1, 40))
-    made = C.formats(F.col("answer"))
+    """Renderings of whole texts, the JSON one unpacked again, and a corruption that keeps the
+    words but not the list."""
+    rows = table(spark, sf_dir, "benchmark").withColumn("listed", F.regexp_replace("text", "\n", "\n- "))
+    made = C.formats(F.col("text"))
     same = F.lit(True)
-    for name, rendered in made.items():
-        same = same & (C.unpack(name, rendered) == F.col("answer"))
-    kept = C.same_words(C.corrupt(made["bullet"]), F.col("answer"))
-    return rows.select("item_id", F.size(T.word_list(T.norm(F.col("text")))).cast("long").alias("n_words"), made["quote"].alias("quoted"), made["bullet"].alias("bullet"), same.alias("unpacked"), kept.alias("kept"))
+    for name in ("plain", "quote", "bullet"):
+        same = same & (C.unpack(name, made[name]) == F.col("text"))
+    return rows.select(
+        "item_id", F.size(T.word_list(T.norm(F.col("text")))).cast("long").alias("n_words"), made["quote"].alias("quoted"), made["bullet"].alias("bullet"), made["lower"].alias("quiet"),
+        F.when(same, C.unpack("json", made["json"])).alias("unpacked"), C.corrupt(F.col("listed")).alias("corrupted"), C.same_words(C.corrupt(F.col("listed")), F.col("text")).alias("kept"),
+    )

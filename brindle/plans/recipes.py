@@ -76,7 +76,7 @@ def multiple_choice(spark, sf_dir):
     return rows.select(F.col("pair_id").alias("grp"), "variant", F.col("choices")[0].alias("choice0"), F.col("choices")[1].alias("choice1"), (F.array_position("choices", F.col("answer")) - 1).cast("int").alias("gold"))
 
 
-@query("""with p as (select item_id % 10 as pair, item_id // 10 as variant, length(text) % 2 as predicted from benchmark where item_id < 20)
+@query("""with p as (select item_id // 2 as pair, item_id % 2 as variant, length(text) % 2 as predicted from benchmark)
  select a.pair, a.predicted = 0 and b.predicted = 1 as both_right, a.predicted = 1 and b.predicted = 0 as both_wrong, a.predicted <> b.predicted as switched from p a join p b on a.pair = b.pair and a.variant = 0 and b.variant = 1""")
 def contrast_pairs(spark, sf_dir):
     """Predictions on both variants of a pair (items 2k and 2k + 1), side by side."""
@@ -158,4 +158,4 @@ def build_token_pools(spark, sf_dir):
     docs = keyed(spark, sf_dir).filter(quality.gate(F.col("text")) == quality.ACCEPTED)
     rows = docs.select("doc_id", "source", "key", "split", (F.octet_length("text") + 1).cast("long").alias("n_tokens"))
     first = select.first_by_key(rows, "key", F.col("doc_id"))
-    return select.budget_cut(first, F.col("n_tokens"), 30_000, ["doc_id"], "split", "source").select("split", "source", "doc_id", F.col("before").alias("start"), "n_tokens")
+    return select.budget_cut(first, "n_tokens", 30_000, ["doc_id"], "split", "source").select("split", "source", "doc_id", F.col("before").alias("start"), "n_tokens")

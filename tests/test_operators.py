@@ -57,13 +57,82 @@ def test_prose_reasons(spark):
 
 
 def test_generated_reasons(spark):
-    long = "some words here. " * 30
-    cases = [(long, "length", "x", "incomplete_generation"), ("few.", "stop", "x", "too_little_prose"), (long + "and", "stop", "x", "incomplete_ending"), (long + "Why? Because.", "stop", "faq", "unanswered_faq"), (long, "stop", "tutorial", "unstructured_tutorial"), (long + "\n- a\n2. b.", "stop", "tutorial", "ok"), (long + '."*)', "stop", "x", "ok")]
-    rows = spark.createDataFrame(cases, "text string, finish string, kind string, want string")
-    for r in rows.select("want", quality.generated_reason(F.col("text"), F.col("finish"), F.col("kind")).alias("got")).collect():
+    names = [f"{a}{b}" for a in ("red", "old", "cold", "wide", "dark", "soft", "late", "tall") for b in ("house", "river", "garden", "window", "street", "winter", "table", "letter")]
+    long = ". ".join(" ".join(names[i : i + 4]) for i in range(0, 64, 4)) + ". "
+    cases = [
+        ("o", long, "length", "x", "train", "incomplete_generation"), ("o", "few.", "stop", "x", "train", "length"), ("o", long, "stop", "x", "final", "reserved_partition"),
+        ("see github", long, "stop", "x", "train", "code_topic"), ("o", long + "Some c++11 code.", "stop", "x", "train", "code_topic"), ("o", long + "\\\\sqrt", "stop", "x", "train", "math_topic"),
+        ("o", long + "y = 4.", "stop", "x", "train", "math_topic"), ("o", " To create: " + long, "stop", "x", "train", "boilerplate_or_encoding"), ("o", "word " * 50, "stop", "x", "train", "too_little_prose"),
+        ("o", "the same words here. " * 30, "stop", "x", "train", "repetition"), ("o", long + "and", "stop", "x", "train", "incomplete_ending"), ("o", long + "Why? Because.", "stop", "faq", "train", "unanswered_faq"),
+        ("o", long, "stop", "tutorial", "train", "unstructured_tutorial"), ("o", long + "\n- a\n2. b.", "stop", "tutorial", "train", "ok"), ("o", long.strip() + '"*) \n', "stop", "x", "train", "ok"),
+    ]
+    rows = spark.createDataFrame(cases, "original string, text string, finish string, kind string, split string, want string")
+    splits = F.array(F.lit("train"), F.col("split"))
+    for r in rows.select("want", "text", quality.generated_reason(F.col("original"), F.col("text"), F.col("finish"), F.col("kind"), splits).alias("got")).collect():
+        assert r["want"] == r["got"], r["text"]
+
+
+def test_gate_of_scored_and_formatted_sources(spark):
+    text = "word " * 60
+    rows = spark.createDataFrame([(text, 3, "A Wiki page"), (text, 1, "wiki"), (text, 3, "story"), ("short", 3, "wiki")], "text string, score int, form string")
+    reason = quality.gate(F.col("text"), score=F.col("score"), min_score=2, form=F.col("form"), keywords=("wiki", "textbook"))
+    assert [r["x"] for r in rows.select(reason.alias("x")).collect()] == ["ok", "min_score", "format", "min_chars"]
+    for score, form, name in ((None, "wiki", "score"), (3, None, "format")):
+        with pytest.raises(Exception, match=f"missing field {name}"):
+            spark.createDataFrame([(text, score, form)], rows.schema).select(reason).collect()
+
+
+def test_prose_of_titles_and_prompts(spark):
+    good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50))
+    cases = [("a title", "a prompt", False, "ok"), ("Coding", "p", False, "code_topic"), ("t", "Solve the word problem", False, "math_topic"), ("t", "p", True, "math_topic")]
+    rows = spark.createDataFrame([(good, *c) for c in cases], "text string, title string, prompt string, has_math boolean, want string")
+    got = quality.prose_reason(F.col("text"), F.lit("ok"), F.lit("train"), title=F.col("title"), prompt=F.col("prompt"), has_math=F.col("has_math"))
+    for r in rows.select("want", got.alias("got")).collect():
         assert r["want"] == r["got"]
 
 
+def test_provenance_keys(spark):
+    rows = spark.createDataFrame([("a  b", " 7 ", "http://www.A.com/x/", None, None), ("a b", None, None, "7", "https://a.com/x"), ("c", "", "nothing", None, None)], "text string, id string, url string, nid string, nurl string")
+    found = [set(r["k"]) for r in rows.select(T.provenance_keys(F.col("text"), F.col("id"), F.col("url"), F.col("nid"), F.col("nurl")).alias("k")).collect()]
+    assert found[0] == found[1] == {"content:" + key("a b"), "id:" + key("7"), "url:" + key("a.com/x")}
+    assert found[2] == {"content:" + key("c")}
+
+
+def test_constraint_grammar(spark):
+    from brindle.functions import constraints as C
+
+    cases = [
+        ("Write exactly three sentences without commas.", [("no_comma", None, None, None), ("sentences", "exactly", 3, None)]), ("Use no fewer than 20 words, all lowercase.", [("lowercase", None, None, None), ("words", "no fewer than", 20, None)]),
+        ("Give twelve words.", [("words", "exactly", 12, None)]), ("Give nine paragraphs.", None), ("Use 121 words", None), ("Write 2-3 sentences.", None), ("Two sentences, then three sentences.", None), ("Two sentences per paragraph.", None),
+        ('Two bullet points; finish with the exact phrase "The end."', [("ending", None, None, ["The end."]), ("bullets", "exactly", 2, None)]), ("Include keywords: [red, Blue Sky].", [("keywords", None, None, ["red", "blue sky"])]),
+        ('The word "tea" should appear at least 2 times. Wrap it in double quotation marks.', [("quotation", None, None, None), ("frequency", "at least", 2, ["tea"])]), ("Tell me more.", []), ("At most two short paragraphs with a title in <<x>>.", [("title", None, None, None), ("paragraphs", "at most", 2, None)]),
+        ("Answer in three sections.", [("sections", "exactly", 3, None)]),
+    ]
+    rows = spark.createDataFrame([(p,) for p, _ in cases], "p string").select("p", C.parse(F.col("p")).alias("c"))
+    got = {r["p"]: r["c"] and [tuple(c) for c in r["c"]] if r["c"] != [] else [] for r in rows.collect()}
+    assert got == dict(cases)
+    checks = [
+        ("no_comma", None, None, None, "a b", "a, b"), ("title", None, None, None, "<<A title>>\nx", "<< >>"), ("quotation", None, None, None, '"x"', '"x'), ("lowercase", None, None, None, "abc 1", "1 2"), ("uppercase", None, None, None, "ABC", "AbC"),
+        ("ending", None, None, ["end."], "the end. ", "the end"), ("postscript", None, None, None, "x\nP.S. y", "P.S."), ("sections", "exactly", 2, None, "Section 1\na\nsection 2:\nb", "Section 2\nSection 1"),
+        ("keywords", None, None, ["red", "blue sky"], "Red and blue-sky", "redder blue sky"), ("frequency", "at least", 2, ["tea"], "Tea, tea", "teas tea"), ("words", "under", 3, None, "a b", "a b c"), ("sentences", "exactly", 2, None, "A. B!", "A."),
+        ("bullets", "exactly", 2, None, "- a\n* b", "** a\n- b"), ("paragraphs", "more than", 1, None, "a\n\nb", "a\nb"),
+    ]
+    rows = spark.createDataFrame([(f, good, bad, [(f, r, n, p)]) for f, r, n, p, good, bad in checks], f"f string, good string, bad string, c array<{C.CHECK}>")
+    for r in rows.select("f", C.verify(F.col("good"), F.col("c"))[0].alias("good"), C.verify(F.col("bad"), F.col("c"))[0].alias("bad")).collect():
+        assert (r["good"], r["bad"]) == (True, False), r["f"]
+    assert one(spark, C.placeholders(F.lit("[a] and [b c] []"))) == 2 and one(spark, C.highlights(F.lit("*a* **b** * *"))) == 2
+
+
+def test_offsets_in_strata(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 7 else None, i, i % 5) for i in range(200)], "s int, i int, n long").repartition(5)
+    got = {r["i"]: r["start"] for r in packing.offsets(rows, "i", "n", "s").collect()}
+    before = {}
+    for i in range(200):
+        s = i % 3 if i % 7 else None
+        assert got[i] == before.get(s, 0)
+        before[s] = before.get(s, 0) + i % 5
+
+
 def test_conversation_reasons(spark):
     def talk(*said):
         return [{"turn": i, "role": r, "content": c} for i, (r, c) in enumerate(said)]

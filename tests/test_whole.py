@@ -19,14 +19,14 @@ def answer(sql, *tables):
 
 def test_weighted_interleave(spark):
     got = sorted((r["place"], r["doc_id"], r["lang"]) for r in QUERIES["weighted_interleave"](spark, SF).collect())
-    sql = ORACLES["weighted_interleave"].replace(" limit 100", "")
+    sql = ORACLES["weighted_interleave"]
     assert got == sorted((place, doc_id, lang) for doc_id, lang, place in answer(sql, "documents"))
     assert len(got) == pq.read_metadata(f"{SF}/documents.parquet").num_rows
 
 
 def test_plateau_controller(spark):
     got = sorted(tuple(r) for r in QUERIES["plateau_controller"](spark, SF).select("event_type", "i", "loss", "cap", "act").collect())
-    assert got == sorted(answer(ORACLES["plateau_controller"].replace(" where event_id < 200", ""), "events"))
+    assert got == sorted(answer(ORACLES["plateau_controller"], "events"))
     assert len(got) == pq.read_metadata(f"{SF}/events.parquet").num_rows
 
 
