@@ -52,9 +52,11 @@ ROWS = 4
 LEADER_ROUNDS = 2
 #: Buckets of more members are compared in blocks.
 CROWD = 24
-#: Shingles and documents in a block, and cells of the table of common shingles that are
-#: filled at once.
+#: Shingles and documents in a block at most; a crowd is dealt out in ``DEAL`` blocks as long
+#: as these have ``FEW`` documents.  Cells of the table of common shingles that are filled at
+#: once.
 BLOCK_ITEMS, BLOCK_NODES = 1_000_000, 4096
+DEAL, FEW = 16, 256
 CELLS = 1 << 24
 
 SKETCH = "doc_id long, print binary, n_words long, bands array<long>"
@@ -248,7 +250,7 @@ def _links_in_crowds(member: DataFrame, sets: DataFrame, threshold: float) -> Da
     items = sets.select(F.col("node").alias("own"), "items")
     rows = member.join(items, F.col("node") == F.col("own")).select("bucket", "node", "root", "items")
     size = member.join(sets.select(F.col("node").alias("own"), F.size("items").alias("size")), F.col("node") == F.col("own"))
-    size = size.groupBy("bucket").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_ITEMS, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
+    size = size.groupBy("bucket").agg(F.ceil(F.greatest(F.sum("size") / BLOCK_ITEMS, F.count("*") / BLOCK_NODES, F.least(F.lit(DEAL), F.count("*") / FEW))).cast("int").alias("blocks"))
     rows = rows.join(shared.materialize(size, "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("low"), F.greatest(k, "block").alias("high")))
     dealt = rows.select("bucket", "node", "root", "items", F.explode(others).alias("pair"))
