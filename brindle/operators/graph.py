@@ -51,3 +51,21 @@ def ancestor_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
         open_chain = open_chain.filter(~F.array_contains("chain", F.col("up"))).select("id", F.col("next").alias("at"), F.concat(F.array("up"), "chain").alias("chain"))
         found = found.unionByName(open_chain.filter("at is null").select("id", "chain"))
     return found
+
+
+def passing_depths(nodes: DataFrame) -> DataFrame:
+    """id and depth (1 at a root) of the nodes (id, parent, passes) that pass and all of whose
+    ancestors pass, whatever the depth; nodes under a cycle or a missing parent drop out.
+
+    Each round doubles how far a node has looked up, so the rounds grow with the logarithm of
+    the deepest chain; a cycle never ends at a root, and is told by rounds that end none."""
+    own = nodes.select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth"), "passes")
+    own = store(own.filter("passes").select("id", "at", "depth"))
+    while True:
+        open_ones = own.filter("at is not null")
+        up = own.select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
+        after = store(own.filter("at is null").unionByName(open_ones.join(up, "at").select("id", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))))
+        left = after.filter("at is not null").count()
+        if not left or (left == open_ones.count() and after.filter("at is null").count() == own.filter("at is null").count()):
+            return after.filter("at is null").select("id", "depth")
+        own = after
