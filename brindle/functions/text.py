@@ -125,9 +125,32 @@ def repeat_share(grams: Column) -> Column:
 
 def most_repeated(grams: Column) -> Column:
     """How often the commonest entry occurs, by the runs of the sorted array."""
-    step = lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"], s["run"] + 1).otherwise(1).alias("run"), F.greatest(s["most"], F.when(x == s["last"], s["run"] + 1).otherwise(1)).alias("most"))
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-    return F.aggregate(F.array_sort(grams), start, step, lambda s: s["most"])
+    def longest(g: Column) -> Column:
+        state = F.struct(F.lit(0).alias("run"), F.lit(0).alias("most"))
+        def step(s: Column, i: Column) -> Column:
+            run = F.when((i > 0) & (F.get(g, i) == F.get(g, i - 1)), s["run"] + 1).otherwise(F.lit(1))
+            return F.struct(run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+        return F.when(F.size(g) > 0, F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), state, step, lambda s: s["most"])).otherwise(0)
+
+    return let(F.array_sort(grams), longest)
+
+
+#: Repetition rules: name, size of the runs, how often the commonest of them may not come.
+LOOPS = (("trigram_loop", 3, 4), ("fourgram_loop", 4, 3), ("fivegram_loop", 5, 3), ("target_8gram", 8, 3), ("curriculum_5gram", 5, 2))
+
+
+def repetitions(text: Column) -> dict[str, Column]:
+    """Whether each rule of repetition holds: a commonest run, a share of repeated runs
+    (``generated``), a short text's run (``short_4gram``), a unit of 2 to 12 letters five times
+    in a row (``unit_loop``)."""
+    words = word_list(norm(text))
+    found = {name: most_repeated(gram_hashes(words, n)) >= most for name, n, most in LOOPS}
+    extra = lambda g: F.size(g) - F.size(F.array_distinct(g))
+    found["generated"] = let(gram_hashes(words, 4), lambda g: extra(g) / F.greatest(F.size(g), F.lit(1)) > 0.2)
+    found["short_4gram"] = (F.size(words) >= 12) & found["fourgram_loop"]
+    found["unit_loop"] = text.rlike(r"([A-Za-z]{2,12})\1{4,}")
+    return found
 
 
 def lines(text: Column) -> Column:
@@ -164,6 +187,26 @@ def provenance_keys(text: Column, own_id: Column | None = None, url: Column | No
     return F.array_compact(F.array(*[F.concat(F.lit(name), content_key(value)) for name, value in keys]))
 
 
+#: Articles that answers are compared without.
+ARTICLES = ("a", "an", "the")
+
+
+def qa_words(text: Column) -> Column:
+    """The words of an answer, articles left out."""
+    return filter_words(word_list(norm(text)), ARTICLES)
+
+
+def filter_words(words: Column, without: tuple[str, ...]) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*without))
+
+
+def token_f1(words: Column, reference: Column) -> Column:
+    """F1 of the common words, counted as often as both have them; 0 if none is common."""
+    times = lambda own, w: F.size(F.filter(own, lambda x: x == w))
+    common = F.aggregate(F.array_distinct(words), F.lit(0), lambda n, w: n + F.least(times(words, w), times(reference, w)))
+    return F.when(common > 0, 2.0 * common / (F.size(words) + F.size(reference))).otherwise(0.0)
+
+
 def judge_score(reply: Column) -> Column:
     """The number after a final [RESULT] mark, or null."""
     found = F.regexp_extract(reply, r"\[RESULT\]\s*\(?([1-9]|10)\)?\s*$", 1)

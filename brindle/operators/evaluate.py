@@ -28,6 +28,33 @@ def first_max(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def per_character(scores: Column, characters: Column) -> Column:
+    """Log-likelihoods divided by the characters of their choices."""
+    return F.zip_with(scores, characters, lambda s, n: s / n)
+
+
+def loosened(text: Column) -> Column:
+    """A text, the same without its first line, and without its last."""
+    return F.array(text, F.regexp_replace(text, r"\A[^\n]*\n?", ""), F.regexp_replace(text, r"\n?[^\n]*\z", ""))
+
+
+def followed(flags: DataFrame) -> DataFrame:
+    """mode and its counts and accuracies by prompt and by instruction, from rows with an array
+    of flags for each mode (``strict``, ``loose``)."""
+    each = flags.select(F.inline(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("flags")) for m in ("strict", "loose")])))
+    all_of, some = F.forall("flags", lambda x: x), F.size(F.filter("flags", lambda x: x))
+    return each.groupBy("mode").agg(
+        F.count("*").alias("prompts"), F.count_if(all_of).alias("prompts_followed"), F.sum(F.size("flags")).alias("instructions"), F.sum(some).alias("followed"),
+        F.round(F.avg(all_of.cast("int")), 6).alias("prompt_accuracy"), F.round(F.sum(some) / F.sum(F.size("flags")), 6).alias("instruction_accuracy"),
+    )
+
+
+def gated(gates: DataFrame, *keys: str) -> DataFrame:
+    """Whether every metric (metric, value, least) of a key reaches its least, and which fail."""
+    low = F.col("value") < F.col("least")
+    return gates.groupBy(*keys).agg((~F.bool_or(low)).alias("passes"), F.count_if(low).alias("failed"), F.array_join(F.array_sort(F.collect_list(F.when(low, F.col("metric")))), ",").alias("reasons"))
+
+
 def mcnemar(counts: DataFrame) -> DataFrame:
     """Rows with gained and lost, and the exact two-sided p of their difference."""
 

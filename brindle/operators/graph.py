@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder in local sessions without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/brindle"
+
+
 def store(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder (a temporary one in local sessions)
-    and read again, which ends its lineage."""
+    """``df`` written to the shared checkpoint folder and read again, which ends its lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.gettempdir()}/brindle"
-    path = f"{folder}/brindle-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/brindle-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

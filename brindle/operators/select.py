@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +114,37 @@ def cycle(rows: DataFrame, id_column: str, epochs: int, seed: str) -> DataFrame:
     """Every row once per epoch, each epoch in an order of its own (column ``hash``)."""
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     return each.withColumn("hash", F.sha2(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col(id_column).cast("string")), 256))
+
+
+def leaks(rows: DataFrame, key: str, split: str) -> DataFrame:
+    """Keys that occur in more than one split, with the numbers of splits and rows."""
+    return rows.groupBy(key).agg(F.count_distinct(split).alias("splits"), F.count("*").alias("n")).filter("splits > 1")
+
+
+def family_exposures(rows: DataFrame, exposures: int, seed: str, batch: int = 4) -> DataFrame:
+    """turn, family, id: families take turns; each gives its rows in hash order, over again when
+    they end, and passes over a row whose group the batch already has.
+
+    ``rows`` has id, grp and families.  Every choice depends on those before it, so there is one
+    owner; it needs no more than the ``exposures`` first rows of each family, which bounds it."""
+    each = rows.select("id", "grp", F.explode("families").alias("family")).withColumn("h", F.sha2(F.concat_ws(":", F.lit(seed), "family", F.col("id").cast("string")), 256))
+    first = each.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("h"))).filter(F.col("place") <= exposures)
+
+    def run(frame):
+        pools = {name: list(zip(own["id"], own["grp"], strict=True)) for name, own in frame.sort_values(["family", "place"]).groupby("family")}
+        names, at, out, groups = sorted(pools), dict.fromkeys(pools, 0), [], []
+        for turn in range(exposures if names else 0):
+            name = names[turn % len(names)]
+            groups = groups if turn % batch else []
+            for _ in pools[name]:
+                chosen, grp = pools[name][at[name] % len(pools[name])]
+                at[name] += 1
+                if grp not in groups:
+                    break
+            else:
+                raise ValueError(f"every row of {name} shares a group with its batch")
+            groups.append(grp)
+            out.append((turn, name, chosen))
+        return pd.DataFrame(out, columns=["turn", "family", "id"])
+
+    return first.select("family", "id", "grp", "place").groupBy(F.lit(0).alias("owner")).applyInPandas(lambda key, frame: run(frame), "turn long, family string, id long")

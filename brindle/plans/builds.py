@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import packing, quality, screens, select
+from brindle.operators import jobs, quality, screens, select
 from brindle.operators.graph import components, store
 from brindle.plans.corpus import GATE, words_sql
 from brindle.plans.dialogues import group_text, messages
 from brindle.plans.generated import generated_preferences
-from brindle.plans.recipes import NORM_OF, PAIRS, WORDS_OF
+from brindle.plans.recipes import NORM_OF, PAIRS, VERB, WORDS_OF
 from brindle.plans.registry import ORACLES, query, table
 from brindle.sources import synth
 
@@ -36,9 +36,14 @@ def talks(spark, sf_dir) -> DataFrame:
     return rows.withColumn("bucket", T.hash_mod(F.col("grp"), 8, 100)).withColumn("h", select.hash_rank("talk", F.col("conv_id")))
 
 
-def share(column: str, salt: str, modulus: int) -> tuple[Column, str]:
-    """The bucket of a salted group, as a column and as SQL."""
-    return T.hash_mod(F.sha2(F.concat(F.lit(salt + ":"), F.col(column).cast("string")), 256), 8, modulus), f"{HEX8.format(f'''sha256('{salt}:' || {column})''')} % {modulus}"
+def share(column: str, salt: str, modulus: int) -> Column:
+    """The bucket of a salted group."""
+    return T.hash_mod(F.sha2(F.concat(F.lit(salt + ":"), F.col(column).cast("string")), 256), 8, modulus)
+
+
+def share_sql(column: str, salt: str, modulus: int) -> str:
+    key = f"sha256('{salt}:' || {column})"
+    return f"{HEX8.format(key)} % {modulus}"
 
 
 def first_of(rows: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -119,8 +124,8 @@ def foundation_chats(spark, sf_dir):
     return chosen.select("conv_id", "split", "grp").join(turns, "conv_id")
 
 
-KINDS = """case when regexp_matches(coalesce(request, ''), '(?i)\\b(rewrite|summar|shorten)') then 'writing' when len(string_split(coalesce(request, ''), ' ')) > 45 then 'grounded'
- when regexp_matches(coalesce(request, ''), '(?i)^(write|finish|complete|continue)\\b') then 'completion' when answers >= 2 then 'conversation' else 'other' end"""
+KINDS = f"""case when regexp_matches(coalesce(request, ''), '{VERB}') then 'completion' when answers >= 2 then 'conversation' else 'other' end"""
+
 
 @query(f"""with {TALKS}, c as (select conv_id as id, h from t where reason = 'ok' and {KINDS} in ('conversation', 'grounded')), o as (select conv_id as id, h from t where reason = 'ok' and {KINDS} = 'other'),
  p as (select id * 2 + b as id, sha256('made:' || (id * 2 + b)) as h from range(50) x(id), range(2) y(b)), {blocks_sql([("c", 3), ("o", 2), ("p", 1)])}""")
@@ -225,7 +230,7 @@ def selection_audit(spark, sf_dir):
 
 
 SPLIT4 = "case when bucket < 20 then 'dev' else 'train' end"
-_, SAMPLE_BUCKET = share("doc_id", "sample", 100)
+SAMPLE_BUCKET = share_sql("doc_id", "sample", 100)
 
 
 @query(f"""with d as (select doc_id, source, sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) as key, strlen(text) as bytes, {SAMPLE_BUCKET} as bucket from documents where ({GATE}) = 'ok'),
@@ -235,7 +240,7 @@ def tokenizer_sample(spark, sf_dir):
     """R2 as far as data go: gated, first of its copies, whole documents up to a budget for
     each split and source, and the receipt of each sample.  (No tokenizer is trained here.)"""
     docs = table(spark, sf_dir, "documents").filter(quality.gate(F.col("text")) == quality.ACCEPTED)
-    bucket, _ = share("doc_id", "sample", 100)
+    bucket = share("doc_id", "sample", 100)
     rows = docs.select("doc_id", "source", T.content_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("bytes"), F.when(bucket < 20, "dev").otherwise("train").alias("split"))
     kept = select.budget_cut(select.first_by_key(rows, "key", F.col("doc_id")), "bytes", 30_000, ["doc_id"], "split", "source")
     digest = F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256)
@@ -333,7 +338,7 @@ def skill_balance(spark, sf_dir):
     return views.select("grp", F.col("epoch").cast("long").alias("epoch"), shown.alias("shown"), F.col("hash").alias("place"))
 
 
-_, CONTEXT_BUCKET = share("grp", "context", 10)
+CONTEXT_BUCKET = share_sql("grp", "context", 10)
 
 
 @query(f"""with {FACTS.format(ORACLES["multiple_choice"])}, s as (select *, case {CONTEXT_BUCKET} when 8 then 'dev' when 9 then 'test' else 'train' end as split from f), o as (select * from s qualify row_number() over (partition by grp order by h) = 1)
@@ -342,7 +347,7 @@ def context_reasoning(spark, sf_dir):
     """Groups dealt to splits by salted hash, one of a group, so many of each split."""
     from brindle.plans.recipes import multiple_choice
 
-    bucket, _ = share("grp", "context", 10)
+    bucket = share("grp", "context", 10)
     rows = multiple_choice(spark, sf_dir).withColumn("h", F.sha2(F.concat_ws(":", F.lit("choice"), F.col("grp").cast("string"), F.col("variant").cast("string")), 256))
     rows = first_of(rows.withColumn("split", F.when(bucket == 8, "dev").when(bucket == 9, "test").otherwise("train")), 1, "grp")
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("h"))).filter("place <= 30")
@@ -412,7 +417,7 @@ def grounded_rank(spark, sf_dir):
     return side.select("place", F.posexplode(F.array("id0", "id1", "id2")).alias("pool", "id"))
 
 
-_, PAIR_BUCKET = share("id", "pairs", 20)
+PAIR_BUCKET = share_sql("id", "pairs", 20)
 
 
 @query(f"""with p as ({ORACLES["generated_preferences"]}), s as (select *, case {PAIR_BUCKET} when 0 then 'dev' when 1 then 'test' else 'train' end as split, {NORM_OF.format("prompt")} as norm from p),
@@ -420,7 +425,7 @@ _, PAIR_BUCKET = share("id", "pairs", 20)
  select split, error, count(*) as n, count(distinct norm) as prompts from k group by all""")
 def preference_sets(spark, sf_dir):
     """Verified pairs by split; later splits drop prompts that earlier ones keep."""
-    bucket, _ = share("id", "pairs", 20)
+    bucket = share("id", "pairs", 20)
     rows = generated_preferences(spark, sf_dir).withColumn("split", F.when(bucket == 0, "dev").when(bucket == 1, "test").otherwise("train")).withColumn("norm", T.norm(F.col("prompt")))
     rows, kept = store(rows), None
     for name in ("test", "dev", "train"):
@@ -498,6 +503,30 @@ def constraint_completion(spark, sf_dir):
     """Texts whose words aren't those of one kept before (in hash order), by split."""
     from brindle.plans.corpus import greedy_keep_first
 
-    bucket, _ = share("doc_id", "constraint", 20)
+    bucket = share("doc_id", "constraint", 20)
     kept = greedy_keep_first(spark, sf_dir)
     return kept.select("doc_id", F.when(bucket < 2, "dev").when(bucket < 4, "test").otherwise("train").alias("split"))
+
+
+@query(f"""with a as (select distinct 'intact_conversations' as part, cast(conv_id as bigint) as id from ({ORACLES["intact_conversations"]})), b as (select distinct 'public_repair' as part, cast(conv_id as bigint) as id from ({ORACLES["public_repair"]})),
+ m as (select part, id, sha256(part || ':' || id) as h from (select * from a union all select * from b)), x as (select id, h from m where part = 'intact_conversations'), y as (select id, h from m where part = 'public_repair'), {blocks_sql([("x", 3), ("y", 1)])}""")
+def mixed_plans(spark, sf_dir):
+    """Two plans by their names, made first and then mixed in batches of 3 and 1."""
+    from brindle.plans.registry import QUERIES
+
+    rows = jobs.staged(QUERIES, {"intact_conversations": "conv_id", "public_repair": "conv_id"}, spark, sf_dir)
+    rows = store(rows.withColumn("h", F.sha2(F.concat_ws(":", "part", F.col("id").cast("string")), 256)))
+    return blocks([(rows.filter("part = 'intact_conversations'"), 3), (rows.filter("part = 'public_repair'"), 1)])
+
+
+@query(f"""with k as (select item_id, sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) as key, {WORDS_OF.format("text")} as w from benchmark), g as (select item_id, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i+2], ' '))) as gram from k)
+ select item_id, key, cast(cast(concat('0x', substr(key, 1, 16)) as ubigint) % 10000 as int) as bucket, count(gram) as grams, count(distinct gram) as different from k left join g using (item_id) group by all""")
+def sql_functions(spark, sf_dir):
+    """The library's functions in SQL text, a table function among them."""
+    from brindle.functions import sql
+
+    sql.register(spark)
+    return spark.sql(
+        """select item_id, brindle_key(text) as key, brindle_bucket(brindle_key(text), 10000) as bucket, count(gram) as grams, count(distinct gram) as different
+        from {items} left join lateral brindle_grams(text, 3) group by item_id, text""", items=table(spark, sf_dir, "benchmark"),
+    )

@@ -23,8 +23,8 @@ NORM = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def byte_tokens(text):
-    places = F.sequence(F.lit(0), F.octet_length(text) - 1)
-    return T.let(F.hex(F.encode(text, "utf-8")), lambda raw: F.transform(places, lambda i: F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def words_sql(n: int, words: str) -> str:

@@ -100,12 +100,13 @@ def split_receipt(spark, sf_dir):
     )
 
 
-@query("""with s as (select conv_id, md5(cast(conv_id as varchar)) as h, text, case when conv_id % 3 = 0 then 'test' else 'train' end as split from conversations where turn = 0)
- select text, count(distinct split) as splits, count(*) as n from s group by text having count(distinct split) > 1""")
+@query(f"""with s as (select conv_id, string_split({NORM}, ' ')[1] as topic, case when conv_id % 3 = 0 then 'test' else 'train' end as split from conversations where turn = 0 and role = 'user')
+ select topic, count(distinct split) as splits, count(*) as n from s group by topic having count(distinct split) > 1""")
 def leakage_audit(spark, sf_dir):
-    """First messages that occur in more than one split; empty when splits are clean."""
-    first = table(spark, sf_dir, "conversations").filter("turn = 0").select("text", F.when(F.col("conv_id") % 3 == 0, "test").otherwise("train").alias("split"))
-    return first.groupBy("text").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n")).filter("splits > 1")
+    """First words of requests that occur in more than one split; empty when splits are clean."""
+    first = table(spark, sf_dir, "conversations").filter("turn = 0 and role = 'user'")
+    first = first.select(F.split(T.norm(F.col("text")), " ")[0].alias("topic"), F.when(F.col("conv_id") % 3 == 0, "test").otherwise("train").alias("split"))
+    return select.leaks(first, "topic", "split")
 
 
 @query("""with c as (select conv_id, role, turn, row_number() over (partition by role order by conv_id, turn) - 1 as i from conversations)

@@ -58,10 +58,12 @@ def changes(spark, sf_dir):
     return records(spark, sf_dir).select("doc_id", "lang", (after - before).alias("delta"))
 
 
-@query()
+@query(f"""with {PREDICTED}, s as (select lang, cast(predicted = quality as int) as before, cast(1 = quality as int) as after from r), c as (select lang, count(*) filter (where after > before) as gained, count(*) filter (where after < before) as lost from s group by 1)
+ select lang, gained, lost, round(case when gained + lost = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1), lambda i: exp(lgamma(gained + lost + 1) - lgamma(i + 1) - lgamma(gained + lost - i + 1) - (gained + lost) * ln(2))))) end, 9) as p from c""")
 def paired_tests(spark, sf_dir):
     """McNemar's exact p of each language's changes."""
-    return evaluate.mcnemar(paired_changes(spark, sf_dir).select("lang", F.col("gained").cast("long").alias("gained"), F.col("lost").cast("long").alias("lost")))
+    rows = evaluate.mcnemar(paired_changes(spark, sf_dir).select("lang", F.col("gained").cast("long").alias("gained"), F.col("lost").cast("long").alias("lost")))
+    return rows.withColumn("p", F.round("p", 9))
 
 
 @query()
@@ -163,3 +165,77 @@ def symmetric_difference(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     side = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "n")
     return side(docs.subtract(labels), "only_documents").unionByName(side(labels.subtract(docs), "only_labels"))
+
+
+CHOICES = """s as (select vec_id, label, embedding[1:4] as v, [1 + vec_id % 7, 3, 2 + vec_id % 3, 5] as chars from embeddings), l as (select vec_id, label % 4 as gold, list_transform(v, lambda x: -abs(cast(x as double)) - 0.001) as score, chars from s),
+ p as (select *, list_position(score, list_max(score)) - 1 as raw, list_position(list_transform(range(1, 5), lambda i: score[i] / chars[i]), list_max(list_transform(range(1, 5), lambda i: score[i] / chars[i]))) - 1 as norm from l)"""
+
+
+@query(f"""with {CHOICES} select gold, count(*) as completed, cast(200 as bigint) as expected, case when count(*) >= 200 then 'complete' else 'partial' end as status, round(avg(cast(raw = gold as int)), 6) as acc, round(avg(cast(norm = gold as int)), 6) as acc_norm from p group by gold""")
+def choice_accuracy(spark, sf_dir):
+    """Choices by likelihood and by likelihood a character, accuracy of both by task."""
+    score = F.transform(F.slice("embedding", 1, 4), lambda x: -F.abs(x.cast("double")) - 0.001)
+    chars = F.array(1 + F.col("vec_id") % 7, F.lit(3).cast("long"), 2 + F.col("vec_id") % 3, F.lit(5).cast("long"))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 4).alias("gold"), score.alias("score"), chars.alias("chars"))
+    rows = rows.select("gold", evaluate.first_max(F.col("score")).alias("raw"), evaluate.first_max(evaluate.per_character(F.col("score"), F.col("chars"))).alias("norm"))
+    rate = lambda c: F.round(F.avg((F.col(c) == F.col("gold")).cast("int")), 6)
+    done = rows.groupBy("gold").agg(F.count("*").alias("completed"), rate("raw").alias("acc"), rate("norm").alias("acc_norm"))
+    return done.select("gold", "completed", F.lit(200).cast("long").alias("expected"), F.when(F.col("completed") >= 200, "complete").otherwise("partial").alias("status"), "acc", "acc_norm")
+
+
+LOOSE = """v as (select item_id, text, [text, regexp_replace(text, '^[^\\n]*\\n?', ''), regexp_replace(text, '\\n?[^\\n]*$', '')] as variants from benchmark),
+ f as (select item_id, [not contains(text, ','), length(text) < 250, regexp_matches(text, 'e\\.$')] as strict, list_transform(variants, lambda t: [t <> '' and not contains(t, ','), t <> '' and length(t) < 250, t <> '' and regexp_matches(t, 'e\\.$')]) as each from v),
+ g as (select item_id, strict, list_transform(range(1, 4), lambda i: list_bool_or(list_transform(each, lambda x: x[i]))) as loose from f), m as (select item_id, 'strict' as mode, strict as flags from g union all select item_id, 'loose', loose from g)"""
+
+
+@query(f"""with {LOOSE} select mode, count(*) as prompts, count(*) filter (where list_bool_and(flags)) as prompts_followed, cast(sum(len(flags)) as bigint) as instructions, cast(sum(len(list_filter(flags, lambda x: x))) as bigint) as followed,
+ round(avg(cast(list_bool_and(flags) as int)), 6) as prompt_accuracy, round(sum(len(list_filter(flags, lambda x: x))) / sum(len(flags)), 6) as instruction_accuracy from m group by mode""")
+def instruction_following(spark, sf_dir):
+    """Strict and loose, by prompt (all followed) and by instruction; loose grants what
+    holds without the first or the last line."""
+    def flags(t):
+        return F.array((t != "") & ~F.contains(t, F.lit(",")), (t != "") & (F.length(t) < 250), (t != "") & t.rlike(r"e\.$"))
+
+    rows = table(spark, sf_dir, "benchmark").select(flags(F.col("text")).alias("strict"), F.transform(evaluate.loosened(F.col("text")), flags).alias("each"))
+    loose = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.exists("each", lambda x: F.get(x, i)))
+    return evaluate.followed(rows.select("strict", loose.alias("loose")))
+
+
+JUDGED = """a as (select conv_id, turn, length(text) as size from conversations where role = 'assistant'), j as (select conv_id, turn, 'x [RESULT] ' || (1 + length(text) % 5) as reply, case when conv_id % 2 = 0 then 'even' else 'odd' end as category from conversations where role = 'assistant' and conv_id % 5 <> 4),
+ s as (select a.conv_id, a.turn, category, cast(nullif(regexp_extract(reply, '\\[RESULT\\]\\s*\\(?([1-9]|10)\\)?\\s*$', 1), '') as int) as score from a left join j using (conv_id, turn))"""
+
+
+@query(f"""with {JUDGED} select coalesce(cast(turn as varchar), 'all') as turn, coalesce(category, 'all') as category, count(*) as answers, count(score) as judged, round(avg(score), 6) as mean, case when count(score) = count(*) then 'complete' else 'partial' end as status
+ from s group by grouping sets ((), (turn), (category)) having not (turn is null and category is null and count(*) = 0)""")
+def judged_report(spark, sf_dir):
+    """Answers beside their judgments, where there are any; overall, by turn and by category."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    judgments = turns.filter("conv_id % 5 <> 4").select("conv_id", "turn", F.concat(F.lit("x [RESULT] "), (1 + F.length("text") % 5).cast("string")).alias("reply"), F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd").alias("category"))
+    rows = turns.select("conv_id", "turn").join(judgments, ["conv_id", "turn"], "left").withColumn("score", T.judge_score(F.col("reply")))
+    done = rows.groupingSets([[], ["turn"], ["category"]], "turn", "category").agg(F.count("*").alias("answers"), F.count("score").alias("judged"), F.round(F.avg("score"), 6).alias("mean"))
+    status = F.when(F.col("judged") == F.col("answers"), "complete").otherwise("partial")
+    return done.select(F.coalesce(F.col("turn").cast("string"), F.lit("all")).alias("turn"), F.coalesce("category", F.lit("all")).alias("category"), "answers", "judged", "mean", status.alias("status"))
+
+
+@query(f"""with {PREDICTED}, m as (select lang, avg(cast(predicted = quality as int)) as accuracy, avg(predicted) as kept, avg(1 - toxic) as clean, avg(quality) as parent from r group by lang),
+ g as (select lang, unnest(['accuracy', 'kept', 'clean']) as metric, unnest([accuracy, kept, clean]) as value, unnest([parent - 0.05, 0.5, 0.8]) as least from m)
+ select lang, bool_and(value >= least) as passes, count(*) filter (where value < least) as failed, coalesce(string_agg(metric, ',' order by metric) filter (where value < least), '') as reasons from g group by lang""")
+def release_gates(spark, sf_dir):
+    """Every metric against its parent or floor, with tolerance; all must hold."""
+    rate = lambda c: F.avg(c.cast("double"))
+    own = records(spark, sf_dir).groupBy("lang").agg(rate(F.col("predicted") == F.col("quality")).alias("accuracy"), rate(F.col("predicted")).alias("kept"), rate(1 - F.col("toxic")).alias("clean"), rate(F.col("quality")).alias("parent"))
+    gates = own.select("lang", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), least.alias("least")) for m, least in (("accuracy", F.col("parent") - 0.05), ("kept", F.lit(0.5)), ("clean", F.lit(0.8)))])))
+    return evaluate.gated(gates, "lang")
+
+
+@query("""with t as (select item_id, regexp_replace(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '\\b(a|an|the)\\b', ' ', 'g') as q from benchmark), n as (select item_id, trim(regexp_replace(q, '\\s+', ' ', 'g')) as q from t),
+ r as (select a.item_id, b.item_id as ref, a.q, b.q as rq from n a join n b on b.item_id between a.item_id and a.item_id + 2 and (b.item_id <> a.item_id or a.item_id % 2 = 0)),
+ w as (select item_id, ref, unnest(list_distinct(string_split(q, ' '))) as word from r), c as (select r.item_id, r.ref, sum(least(len(list_filter(string_split(q, ' '), lambda x: x = word)), len(list_filter(string_split(rq, ' '), lambda x: x = word)))) as common from r join w using (item_id, ref) group by all)
+ select r.item_id, round(max(2.0 * common / (len(string_split(q, ' ')) + len(string_split(rq, ' ')))), 6) as f1, bool_or(q = rq) as exact from r join c using (item_id, ref) group by r.item_id""")
+def best_reference(spark, sf_dir):
+    """H8: token F1 and exact match of each item against the best of its references."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.qa_words(F.col("text")).alias("words"))
+    each = items.select("item_id", "words", F.explode(F.array(*[F.col("item_id") + k for k in range(3)])).alias("ref")).filter("ref <> item_id or item_id % 2 = 0")
+    pairs = each.join(items.select(F.col("item_id").alias("ref"), F.col("words").alias("ref_words")), "ref")
+    scored = pairs.select("item_id", T.token_f1(F.col("words"), F.col("ref_words")).alias("f1"), (F.col("words") == F.col("ref_words")).alias("exact"))
+    return scored.groupBy("item_id").agg(F.round(F.max("f1"), 6).alias("f1"), F.bool_or("exact").alias("exact"))

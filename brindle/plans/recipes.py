@@ -10,7 +10,7 @@ from brindle.operators import packing, quality, screens, select
 from brindle.plans.corpus import GATE, KEY, SPLIT, keyed
 from brindle.plans.dialogues import messages
 from brindle.plans.generated import generated_preferences, pick_sql
-from brindle.plans.registry import query, table
+from brindle.plans.registry import documents, query, table
 from brindle.sources import synth
 
 PAIRS = """a as (select conv_id, min_by(text, turn) filter (where role = 'user') as request, min_by(text, turn) filter (where role = 'assistant') as answer,
@@ -25,38 +25,130 @@ def first_pairs(spark, sf_dir):
     return turns.groupBy("conv_id").agg(role("user").alias("request"), role("assistant").alias("answer"), F.count_if(F.col("role") == "assistant").alias("answers"))
 
 
-@query(f"""select conv_id, turn, case when regexp_matches(text, '{screens.OUT_OF_SCOPE}') then 'topic' when contains(text, '|') then 'table' when regexp_matches(text, '[0-9] *[-+*/=] *[0-9]') then 'arithmetic'
- when regexp_matches(text, '[<>{{}}\\\\]') then 'special_characters' else 'ok' end as reason from conversations""")
+@query(f"""select conv_id, turn, case when regexp_matches(text, '{screens.OUT_OF_SCOPE}') then 'topic' when contains(text, '|') then 'table' when regexp_matches(text, '{screens.SUMS}') then 'arithmetic' else 'ok' end as reason from conversations""")
 def scope_filter(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", screens.scope_reason(F.col("text")).alias("reason"))
 
 
-@query(f"""with {PAIRS} select conv_id, case when regexp_matches(coalesce(request, ''), '(?i)\\b(rewrite|summar|shorten)') then 'writing' when len(string_split(coalesce(request, ''), ' ')) > 45 then 'grounded'
- when regexp_matches(coalesce(request, ''), '(?i)^(write|finish|complete|continue)\\b') then 'completion' when answers >= 2 then 'conversation' end as kind from a""")
+@query(f"""select doc_id, case when regexp_matches(text, '{screens.OUT_OF_SCOPE}') then 'topic' when contains(text, '|') then 'table' when regexp_matches(text, '{screens.SUMS}') then 'arithmetic' else 'ok' end as reason from documents""")
+def document_scope(spark, sf_dir):
+    """B6 over documents, which hold marks, tables and numbers."""
+    return documents(spark, sf_dir).select("doc_id", screens.scope_reason(F.col("text")).alias("reason"))
+
+
+VERB = quality.topic(screens.VERBS, ())
+KIND = f"""case when origin = 'self-oss-instruct' then null when origin in ('smollm-rewrite-30k', 'smol-summarize-20k') then 'writing' when passage then 'grounded' when regexp_matches(request, '{VERB}') then 'completion' when answers >= 2 then 'conversation' end"""
+
+
+@query(f"""with o as (select conv_id, case conv_id % 5 when 0 then 'self-oss-instruct' when 1 then 'smol-summarize-20k' else 'chat' end as origin from conversations group by 1),
+ u as (select conv_id, turn, case when conv_id % 7 = 2 and turn < 2 then 'Answer based on the following text: ' || text when conv_id % 7 = 3 and turn < 2 then 'Please describe it. ' || text else text end as said from conversations where role = 'user'),
+ p as (select conv_id, min_by(said, turn) as request, bool_or(len(list_filter(regexp_split_to_array(said, '\\s+'), lambda w: w <> '')) > 45 and len(list_filter({list(screens.EVIDENCE)}, lambda e: contains(lower(said), e))) > 0) as passage from u group by 1),
+ a as (select conv_id, count(*) filter (where role = 'assistant') as answers from conversations group by 1), k as (select conv_id, origin, coalesce(request, '') as request, coalesce(passage, false) as passage, answers from a join o using (conv_id) left join p using (conv_id))
+ select conv_id, origin, {KIND} as kind from k""")
 def behaviour_classes(spark, sf_dir):
-    own = messages(spark, sf_dir)
+    """Kinds by source, by a passage to answer from, by verbs and by the number of answers."""
+    turns = table(spark, sf_dir, "conversations")
+    lead = (F.col("role") == "user") & (F.col("turn") < 2)
+    given = F.when(lead & (F.col("conv_id") % 7 == 2), F.concat(F.lit("Answer based on the following text: "), "text")).when(lead & (F.col("conv_id") % 7 == 3), F.concat(F.lit("Please describe it. "), "text")).otherwise(F.col("text"))
+    own = quality.conversations(turns.withColumn("text", given))
     said = lambda role: F.transform(F.filter("messages", lambda m: m["role"] == role), lambda m: m["content"])
-    return own.select("conv_id", screens.behaviour(said("user"), F.size(said("assistant"))).alias("kind"))
+    origin = F.when(F.col("conv_id") % 5 == 0, "self-oss-instruct").when(F.col("conv_id") % 5 == 1, "smol-summarize-20k").otherwise("chat")
+    return own.select("conv_id", origin.alias("origin"), screens.behaviour(said("user"), F.size(said("assistant")), origin).alias("kind"))
+
+
+WORDS_N = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''))"
 
 
 @query(f"""with {PAIRS}, g as (select *, list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i+3], ' ')) as grams from (select *, {WORDS_OF.format('answer')} as w from a)),
  c as (select conv_id, max(k) as most from (select conv_id, gram, count(*) as k from (select conv_id, unnest(grams) as gram from g) group by all) group by 1)
- select g.conv_id, case when request is null or answer is null then 'roles' when length(request) < 20 then 'short_request' when length(answer) > 4000 then 'long_answer'
- when len(list_filter(regexp_extract_all(answer, '[0-9]+'), lambda x: not list_contains(regexp_extract_all(request, '[0-9]+'), x))) > 0 then 'new_numbers' when not regexp_matches(answer, '[.!?]\\s*$') then 'ending'
- when length(regexp_replace(answer, '[\\x00-\\x7f]', '', 'g')) / greatest(length(answer), 1) > 0.08 then 'language' when coalesce(most, 0) >= 3 then 'repetition'
+ select g.conv_id, case when request is null or answer is null then 'roles' when {WORDS_N.format('request')} not between 1 and 400 then 'prompt_length' when {WORDS_N.format('answer')} not between 8 and 256 then 'answer_length'
+ when regexp_matches(request || ' ' || answer, '{screens.BLOCKED}') or regexp_matches(request, '{screens.COUNTING}') then 'code_math_scope' when len(regexp_extract_all(request, '[0-9]+')) > 3 then 'numeric_table_or_problem'
+ when regexp_matches(request, '{screens.POSING}') or regexp_matches(answer, '{screens.SETUP}') then 'roleplay_or_setup' when regexp_matches(request || ' ' || answer, '{screens.MEDICAL}') or regexp_matches(request || ' ' || answer, '{screens.LIVE}') then 'specialist_or_live'
+ when regexp_matches(request || chr(10) || answer, '{screens.ROLE_MARK}') then 'embedded_roles' when not list_contains(['.', '!', '?', '"', '”', '’', chr(39), ')', ':'], right(trim(answer), 1)) then 'incomplete_ending'
+ when length(regexp_replace(request || ' ' || answer, '[\\x00-\\x7f]', '', 'g')) / (length(request) + 1 + length(answer)) > 0.08 then 'language' when len(w) >= 12 and coalesce(most, 0) >= 3 then 'repetition'
  when {NORM_OF.format('answer')} = {NORM_OF.format('request')} then 'echo' else 'ok' end as reason from g left join c using (conv_id)""")
 def single_turn_reasons(spark, sf_dir):
     return first_pairs(spark, sf_dir).select("conv_id", screens.single_turn_reason(F.col("request"), F.col("answer")).alias("reason"))
 
 
+EXPLAINED = f"""w as (select item_id, item_id % 3 as label, {WORDS_OF.format('text')} as w from benchmark), x as (select item_id, label, array_to_string(w[1:12], ' ') as premise, array_to_string(w[3:7], ' ') as claim,
+ array_to_string(w[8:20], ' ') || case when item_id % 6 = 0 then ' it may be so' else '' end as reason from w), r as (select *, {WORDS_OF.format('reason')} as rw from x)"""
+
+
+@query(f"""with {EXPLAINED} select item_id, case when len(string_split(premise, ' ')) not between 6 and 40 then 'premise' when len(string_split(claim, ' ')) not between 4 and 30 then 'claim' when len(rw) not between 10 and 40 then 'explanation'
+ when label = 0 and regexp_matches(reason, '{quality.topic(screens.HEDGES, ()).replace(chr(39), chr(39) * 2)}') then 'hedged' when len(list_distinct(list_transform(range(1, len(rw) - 1), lambda i: array_to_string(rw[i:i+2], ' ')))) < len(rw) - 2 then 'repetition' else 'ok' end as fault,
+ {list(screens.WORDINGS)}[cast(cast(concat('0x', substr(sha256(cast(item_id as varchar)), 1, 8)) as ubigint) % 4 as int) + 1] || chr(10) || 'Description: ' || premise || chr(10) || 'Claim: ' || claim as prompt,
+ {list(screens.VERDICTS)}[label + 1] || ' ' || upper(left(reason, 1)) || substr(reason, 2) || '.' as answer from r""")
+def explanations(spark, sf_dir):
+    """Descriptions, claims and reasons screened, with their prompts and answers."""
+    words = T.word_list(T.norm(F.col("text")))
+    cut = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).alias("label"), cut(1, 12).alias("premise"), cut(3, 5).alias("claim"), F.concat(cut(8, 13), F.when(F.col("item_id") % 6 == 0, " it may be so").otherwise("")).alias("reason"))
+    prompt, answer = screens.explained(F.col("item_id"), F.col("premise"), F.col("claim"), F.col("reason"), F.col("label"))
+    return rows.select("item_id", screens.explanation_reason(F.col("premise"), F.col("claim"), F.col("reason"), F.col("label")).alias("fault"), prompt.alias("prompt"), answer.alias("answer"))
+
+
+@query(f"""with w as (select item_id, {WORDS_OF.format('text')} as w from benchmark), c as (select *, case when item_id % 2 = 0 then ['A', 'B', 'C', 'D'] else ['1', '2', '3', '4'] end as labels, w[1:4] as choices from w),
+ k as (select *, case when item_id % 9 = 5 then 'Z' else labels[item_id % 4 + 1] end as key from c) select item_id, array_to_string(choices, '|') as choices, cast(list_position(labels, key) - 1 as int) as gold,
+ array_to_string(list_transform(w[1:2], lambda o: replace('The _ is here.', '_', o)), '|') as filled from k""")
+def choice_formats(spark, sf_dir):
+    """Lettered and numbered choices with a key, and a sentence with a blank."""
+    words = T.word_list(T.norm(F.col("text")))
+    labels = F.when(F.col("item_id") % 2 == 0, F.array(*map(F.lit, "ABCD"))).otherwise(F.array(*map(F.lit, "1234")))
+    key = F.when(F.col("item_id") % 9 == 5, "Z").otherwise(F.get(labels, (F.col("item_id") % 4).cast("int")))
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", F.array_join(F.slice(words, 1, 4), "|").alias("choices"), screens.keyed_choice(labels, key).alias("gold"), F.array_join(screens.filled(F.lit("The _ is here."), F.slice(words, 1, 2)), "|").alias("filled"))
+
+
+LOOP_SQL = ", ".join(f"max(most) filter (where n = {n}) >= {most} as {name}" for name, n, most in T.LOOPS)
+
+
+@query(f"""with w as (select doc_id, {WORDS_OF.format('text')} as w from documents), g as (select doc_id, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i+n-1], ' '))) as gram from w, (values (3), (4), (5), (8)) s(n)),
+ c as (select doc_id, n, gram, count(*) as k from g group by all), m as (select doc_id, n, max(k) as most, cast(sum(k - 1) as double) / sum(k) as again from c group by all),
+ r as (select doc_id, {LOOP_SQL}, max(again) filter (where n = 4) > 0.2 as generated from m group by 1)
+ select w.doc_id, {', '.join(f'coalesce({name}, false) as {name}' for name, _, _ in T.LOOPS)}, coalesce(generated, false) as generated, len(w) >= 12 and coalesce(fourgram_loop, false) as short_4gram from w left join r using (doc_id)""")
+def repetition_rules(spark, sf_dir):
+    """Every rule of repetition that other engines can say too."""
+    found = T.repetitions(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", *[c.alias(name) for name, c in found.items() if name != "unit_loop"])
+
+
+@query("""select doc_id, array_to_string(regexp_extract_all(regexp_replace(lower(text), 'ß', 'ss', 'g'), '[\\p{L}\\p{M}\\p{N}_]+'), ' ') as folded from documents""")
+def casefolded_text(spark, sf_dir):
+    """H5: case-folded words."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.casefolded(F.col("text")).alias("folded"))
+
 
 @query()
+def family_exposure(spark, sf_dir):
+    """Sources take turns; no batch of four has two rows of one language group."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr("doc_id div 4").alias("grp"), F.array(F.col("lang"), F.concat(F.lit("size"), F.least(F.length(F.col("n_chars").cast("string")), F.lit(5)).cast("string"))).alias("families"))
+    return select.family_exposures(rows, 60, "seed")
+
+
+ENDS = [("ing", 3), ("ed", 2), ("es", 2), ("s", 1)]
+
+
+def forms_sql(w: str) -> str:
+    """The forms of a word, as a list."""
+    parts = [f"[{w}]"]
+    for end, n in ENDS:
+        base = f"left({w}, length({w}) - {n})"
+        parts.append(f"case when ends_with({w}, '{end}') and length({w}) > {n + 2} then [{base}, {base} || 'e'] else [] end")
+        parts.append(f"case when ends_with({w}, '{end}') and length({base}) > 2 and {base}[-1:] = {base}[-2:-2] then [left({base}, -1)] else [] end")
+    parts.append(f"case when ends_with({w}, 'ies') then [left({w}, -3) || 'y'] else [] end")
+    return f"flatten([{', '.join(parts)}])"
+
+
+@query(f"""with {PAIRS}, p as (select conv_id, list_distinct(list_filter({WORDS_OF.format('answer')}, lambda w: not list_contains({list(screens.STOPWORDS)}, w))) as target,
+ flatten(list_transform({WORDS_OF.format('request')}, lambda w: {forms_sql('w')})) as known from a where request is not null and answer is not null),
+ u as (select conv_id, len(target) as words, len(list_filter(target, lambda w: not list_has_any({forms_sql('w')}, known))) as unsupported from p)
+ select conv_id, unsupported, words, unsupported <= greatest(1, cast(floor(words * 0.06) as bigint)) as grounded from u""")
 def grounded_answers(spark, sf_dir):
-    """Longer answer words that the request doesn't support."""
+    """Answer words that no form of a request's word supports."""
     pairs = first_pairs(spark, sf_dir).filter("request is not null and answer is not null")
     lost = screens.unsupported(F.col("answer"), F.col("request"))
-    rows = pairs.select("conv_id", F.size(lost).cast("long").alias("unsupported"), F.size(F.array_distinct(T.word_list(T.norm(F.col("answer"))))).cast("long").alias("words"))
-    return rows.withColumn("grounded", F.col("unsupported") <= F.greatest(F.lit(1.0), 0.06 * F.col("words")))
+    return pairs.select("conv_id", F.size(lost).cast("long").alias("unsupported"), F.size(screens.content_words(F.col("answer"))).cast("long").alias("words"), screens.grounded(F.col("answer"), F.col("request")).alias("grounded"))
 
 
 @query()
@@ -85,15 +177,24 @@ def contrast_pairs(spark, sf_dir):
     return side.select("pair", ((F.col("a") == 0) & (F.col("b") == 1)).alias("both_right"), ((F.col("a") == 1) & (F.col("b") == 0)).alias("both_wrong"), (F.col("a") != F.col("b")).alias("switched"))
 
 
-@query("""select item_id, substr(text, 11, 12) as answer, 10 as start, true as holds, substr(text, 12, length(substr(text, 11, 12))) = substr(text, 11, 12) as shifted_holds from benchmark""")
+@query("""with p as (select item_id, text, case when item_id % 5 = 4 then null else (item_id * 7) % 30 end as start, case when item_id % 3 = 1 then 1 else 0 end as shift from benchmark),
+ a as (select *, substr(text, start + 1, 5 + item_id % 20) as answer from p) select item_id, coalesce(answer, '') as answer, start is null as unanswerable,
+ start is null or substr(text, start + shift + 1, length(answer)) = answer as holds, length(text) between 50 and 2000 as fits from a""")
 def span_answers(spark, sf_dir):
-    """An answer where it says it stands, and one character off."""
-    rows = table(spark, sf_dir, "benchmark").withColumn("answer", F.substring("text", 11, 12))
-    at = lambda n: F.array(F.struct(F.col("answer").alias("text"), F.lit(n).alias("start")))
-    return rows.select("item_id", "answer", F.lit(10).alias("start"), screens.spans_hold(F.col("text"), at(10)).alias("holds"), screens.spans_hold(F.col("text"), at(11)).alias("shifted_holds"))
+    """Answers of several lengths and places, some a character off, some without a span."""
+    start = F.when(F.col("item_id") % 5 == 4, F.lit(None)).otherwise((F.col("item_id") * 7) % 30).cast("int")
+    rows = table(spark, sf_dir, "benchmark").withColumn("start", start).withColumn("answer", F.substring(F.col("text"), F.col("start") + 1, (5 + F.col("item_id") % 20).cast("int")))
+    shift = F.when(F.col("item_id") % 3 == 1, 1).otherwise(0)
+    spans = F.when(F.col("start").isNull(), F.array().cast("array<struct<text:string,start:int>>")).otherwise(F.array(F.struct(F.col("answer").alias("text"), (F.col("start") + shift).alias("start"))))
+    rows = rows.withColumn("spans", spans)
+    return rows.select("item_id", F.coalesce("answer", F.lit("")).alias("answer"), (F.size("spans") == 0).alias("unanswerable"), screens.spans_hold(F.col("text"), F.col("spans")).alias("holds"), F.length("text").between(50, 2000).alias("fits"))
 
 
-@query()
+SENTENCE_LIST = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([^a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')"
+
+
+@query(f"""with d as (select item_id, {SENTENCE_LIST} as s, 2 + item_id % 3 as k from benchmark) select item_id, cast(k as bigint) as k, case item_id % 3 when 0 then array_to_string(list_transform(s[1:k], lambda x: '- ' || x), chr(10))
+ when 1 then array_to_string(s[1:k], chr(10) || chr(10)) else array_to_string(list_transform(range(1, k + 1), lambda i: i || '. ' || s[i]), chr(10)) end as answer from d where len(s) >= k""")
 def complete_transforms(spark, sf_dir):
     """The first 2 to 4 sentences of each item as bullets, paragraphs or a numbered list."""
     items = table(spark, sf_dir, "benchmark").withColumn("parts", screens.sentences(F.col("text")))
@@ -145,9 +246,16 @@ def rare_family_coverage(spark, sf_dir):
     return screens.rare_first(rows.withColumn("alike", alike).filter("alike <= 10").drop("alike"), "lang", "doc_id", "families", 10)
 
 
-@query("select event_id, true as valid from events")
+@query("""with t as (select event_id, case event_id % 4 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' when 2 then left(props, -1) else '{"a": 1, "a": ' || event_id || '}' end as body from events)
+ select event_id, event_id % 4 < 2 as valid, case when event_id % 4 < 2 then len(json_keys(trim(replace(replace(body, '```json', ''), '```', '')))) end as keys from t""")
 def json_objects(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", screens.unique_keys("props").alias("valid"))
+    """Objects as they are, fenced, cut short, and with a repeated key."""
+    kind = F.col("event_id") % 4
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    body = F.when(kind == 0, F.col("props")).when(kind == 1, fenced).when(kind == 2, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.concat(F.lit('{"a": 1, "a": '), F.col("event_id").cast("string"), F.lit("}")))
+    rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    plain = F.trim(F.regexp_replace("body", "```(json)?", ""))
+    return rows.select("event_id", screens.unique_keys("body").alias("valid"), plain.alias("plain")).select("event_id", "valid", F.when(F.col("valid"), F.size(F.json_object_keys("plain")).cast("long")).alias("keys"))
 
 
 @query(f"""with d as (select doc_id, source, {KEY} as key, {SPLIT} as split, {GATE} as reason, strlen(text) + 1 as size from documents),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.packing import offsets
+
 
 def json_lines(spark: SparkSession, path: str, schema: str, gzip: bool = False) -> DataFrame:
     """JSON lines; a gzip file can't be split, so its rows are dealt out after reading."""
@@ -17,9 +22,16 @@ def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of an append-only journal; a torn line is dropped."""
-    rows = spark.read.schema(schema + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return rows.filter("_broken is null").drop("_broken")
+    """Records of an append-only journal.  A torn line at the end of a file is an unfinished
+    write and is left out; a broken line anywhere else is a fault and raises an error."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    read = F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.withColumn("r", read)
+    broken = rows.groupBy("file").agg(F.max("place").alias("last"), F.max(F.when(F.col("r._broken").isNotNull(), F.col("place"))).alias("at"), F.count_if(F.col("r._broken").isNotNull()).alias("n"))
+    bad = broken.filter("n > 1 or at < last").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['file']}: broken line inside a journal")
+    return rows.filter("r._broken is null").select("r.*").drop("_broken")
 
 
 def is_prefix(records: DataFrame, expected: DataFrame) -> bool:
@@ -57,29 +69,108 @@ def verified_parquet(spark: SparkSession, folder: str, expected: DataFrame) -> D
     return spark.read.parquet(folder)
 
 
-def write_sample(rows: DataFrame, path: str, *parts: str) -> DataFrame:
-    """Write JSON lines by partition, once; return the receipt of what was written."""
-    rows.write.mode("errorifexists").partitionBy(*parts).json(path)
-    written = rows.sparkSession.read.schema(rows.schema).json(path)
-    return written.groupBy(*parts).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"))
+def pinned(spark: SparkSession, folder: str, revision: str, stream: bool = False, schema=None) -> DataFrame:
+    """The folder's Parquet rows, as a table or a stream, if its files are those of the
+    revision (40 hex digits, see ``revision_of``)."""
+    found = revision_of(spark, folder)
+    if found != revision:
+        raise ValueError(f"{folder} is at {found}, not at {revision}")
+    return spark.readStream.schema(schema or spark.read.parquet(folder).schema).parquet(folder) if stream else spark.read.parquet(folder)
+
+
+def revision_of(spark: SparkSession, folder: str) -> str:
+    """One name for the content of a folder's Parquet files, whatever their names."""
+    files = manifest(spark, folder, "*.parquet").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bytes", "sha256"))), "\n"), 256).alias("x"))
+    return files.first()["x"][:40]
+
+
+def row_range(spark: SparkSession, path: str, columns: list[str], first: int, last: int) -> DataFrame:
+    """The named columns of the rows ``first`` up to ``last`` of each Parquet file; other
+    columns aren't read."""
+    place = F.col("_metadata.row_index")
+    return spark.read.parquet(path).select(*columns, place.alias("row_index")).filter(F.col("row_index").between(first, last - 1))
+
+
+def write_sample(rows: DataFrame, path: str, requested: int, *parts: str) -> DataFrame:
+    """Write JSON lines by partition, once, and a meta record beside each sample: documents,
+    bytes, the bytes requested and a digest of the texts.  A finished sample is verified
+    against its records and used again."""
+    spark = rows.sparkSession
+    sums = F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "")
+    receipt = lambda df: df.groupBy(*parts).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"), F.lit(requested).cast("long").alias("requested"), F.sha2(sums, 256).alias("digest"))
+    try:
+        meta = spark.read.json(f"{path}/meta")
+    except AnalysisException:
+        rows.write.mode("errorifexists").partitionBy(*parts).json(f"{path}/rows")
+        receipt(spark.read.schema(rows.schema).json(f"{path}/rows")).write.mode("errorifexists").json(f"{path}/meta")
+        meta = spark.read.json(f"{path}/meta")
+    found = receipt(spark.read.schema(rows.schema).json(f"{path}/rows"))
+    meta = meta.select(*[F.col(c).cast(found.schema[c].dataType) for c in found.columns])
+    if not found.exceptAll(meta).isEmpty() or not meta.exceptAll(found).isEmpty():
+        raise ValueError(f"{path}: the sample isn't the one of its records")
+    return meta
 
 
 def write_pool(rows: DataFrame, path: str) -> DataFrame:
     """Write tokens by split and source with their index: key, start, n_tokens.
 
-    ``start`` counts the tokens before a row in its split and source, by key."""
-    own = Window.partitionBy("split", "source").orderBy("key")
+    ``start`` counts the tokens before a row in its split and source, by key; rows are placed
+    by ranges, so that no source is one task."""
     sized = rows.withColumn("n_tokens", F.size("tokens").cast("long"))
-    sized = sized.withColumn("start", F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    sized.write.mode("errorifexists").partitionBy("split", "source").parquet(path)
+    offsets(sized, "key", "n_tokens", "split", "source").write.mode("errorifexists").partitionBy("split", "source").parquet(path)
     return rows.sparkSession.read.parquet(path).select("split", "source", "key", "start", "n_tokens")
 
 
+def read_pool(spark: SparkSession, path: str, split: str, source: str, first: int, last: int) -> DataFrame:
+    """Tokens ``first`` up to ``last`` of one split and source: position and token.  Only the
+    rows that reach into the range are read (partition pruning, pushed filters)."""
+    pool = spark.read.parquet(path).filter((F.col("split") == split) & (F.col("source") == source) & (F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    each = pool.select("start", F.posexplode("tokens").alias("i", "token")).select((F.col("start") + F.col("i")).alias("position"), "token")
+    return each.filter(F.col("position").between(first, last - 1))
+
+
+def write_once(rows: DataFrame, path: str) -> None:
+    """Write a small table as one JSON file, all of it or nothing; never over another."""
+    rows.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def write_evidence(rows: DataFrame, path: str, about: dict) -> None:
+    """Write a table as CSV with a header, and beside it what it was made from, with its own
+    digest."""
+    rows.write.mode("errorifexists").option("header", True).csv(f"{path}/table")
+    spark = rows.sparkSession
+    files = manifest(spark, f"{path}/table", "*.csv").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("digest"))
+    write_once(files.select("files", "digest", *[F.lit(v).alias(k) for k, v in about.items()]), f"{path}/evidence")
+
+
+def save_state(spark: SparkSession, folder: str, step: int, state: dict, keep: int = 3) -> DataFrame:
+    """Write the state of a step (compressed JSON), point to it as the latest and to the one
+    with the least loss as the best, and list what is kept; older ones may be removed."""
+    spark.createDataFrame([(step, json.dumps(state), float(state.get("loss", float("inf"))))], "step long, state string, loss double").coalesce(1).write.mode("errorifexists").option("compression", "gzip").json(f"{folder}/step={step}")
+    saved = spark.read.schema("step long, state string, loss double").json(f"{folder}/*")
+    best = saved.agg(F.min(F.struct("loss", "step"))["step"].alias("best"))
+    return newest(saved, keep).join(best).select("step", "state", F.row_number().over(Window.orderBy(F.col("step").desc())).alias("age"), (F.col("step") == F.col("best")).alias("best"))
+
+
 def newest(states: DataFrame, keep: int) -> DataFrame:
     """The ``keep`` latest of saved states (step)."""
     return states.orderBy(F.col("step").desc()).limit(keep)
 
 
+def migrated(state: dict, sources: dict[str, int]) -> dict:
+    """A stream's state for a changed mixture: raw positions and the keys accepted lately stay;
+    rows read but not consumed are dropped and counted; a source may be added, but none that
+    has been read may go; the mixture's counters start again."""
+    gone = set(state["sources"]) - set(sources)
+    if gone:
+        raise ValueError(f"sources with a position can't go: {sorted(gone)}")
+    own = {name: state["sources"].get(name, {"position": None, "rows": 0, "buffer": []}) for name in sources}
+    return {
+        "sources": {name: {**s, "buffer": []} for name, s in own.items()}, "dropped": {name: len(s["buffer"]) for name, s in own.items()}, "weights": dict(sources),
+        "offsets": {name: state["offsets"].get(name, 0) for name in sources}, "stage_offsets": dict.fromkeys(sources, 0), "seen": [f"content:{k}" for k in state.get("recent", [])],
+    }
+
+
 def check_transition(before: dict, after: dict, may_change: set[str]) -> None:
     """A later configuration may differ from the earlier one in named keys alone."""
     changed = {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}

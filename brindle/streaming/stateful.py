@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import queue
+import threading
+import time
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +21,7 @@ class FifoDedup:
     refresh its place."""
 
     def __init__(self, size: int, seen: list[str] | None = None):
-        self.size, self.order = size, list(seen or [])
+        self.size, self.order = size, deque(seen or [])
         self.held = set(self.order)
 
     def accept(self, key: str) -> bool:
@@ -26,7 +30,7 @@ class FifoDedup:
         self.order.append(key)
         self.held.add(key)
         if len(self.order) > self.size:
-            self.held.discard(self.order.pop(0))
+            self.held.discard(self.order.popleft())
         return True
 
 
@@ -62,29 +66,43 @@ def fifo_dedup(stream: DataFrame, size: int) -> DataFrame:
         window = FifoDedup(size, json.loads(state.get[0]) if state.exists else None)
         rows = pd.concat(list(frames)).sort_values("place")
         kept = rows[[window.accept(k) for k in rows["key"]]]
-        state.update((json.dumps(window.order),))
+        state.update((json.dumps(list(window.order)),))
         yield kept[["place", "key"]]
 
     return stream.withColumn("owner", F.lit(0)).groupBy("owner").applyInPandasWithState(step, "place long, key string", "seen string", "append", GroupStateTimeout.NoTimeout)
 
 
 def shuffle_buffer(stream: DataFrame, capacity: int, seed: str) -> DataFrame:
-    """Rows (source, place) in the order that each source's buffer gives them out, numbered;
-    what a buffer still holds comes out when later rows push it."""
+    """Rows (source, place) in the order that each source's buffer gives them out, numbered.
+    What a buffer still holds comes out when later rows push it, and all of it when a row
+    whose place is null marks the end of its source."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, draws, given = json.loads(state.get[0]) if state.exists else ([], 0, 0)
         buffer = ShuffleBuffer(capacity, seed, key[0], held, draws)
         rows = pd.concat(list(frames)).sort_values("place")
-        out = [x for p in rows["place"].tolist() for x in buffer.push(p)]
+        out = [x for p in rows["place"].dropna().astype("int64").tolist() for x in buffer.push(p)]
+        out += buffer.drain() if rows["place"].isna().any() else []
         state.update((json.dumps((buffer.rows, buffer.draws, given + len(out))),))
         yield pd.DataFrame({"source": [key[0]] * len(out), "turn": range(given, given + len(out)), "place": out})
 
     return stream.groupBy("source").applyInPandasWithState(step, "source string, turn long, place long", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def shuffled(rows: DataFrame, capacity: int, seed: str) -> DataFrame:
+    """The same order for a finished table: source, turn, place; every row comes out."""
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        buffer = ShuffleBuffer(capacity, seed, key[0])
+        out = [x for p in sorted(frame["place"]) for x in buffer.push(p)] + buffer.drain()
+        return pd.DataFrame({"source": [key[0]] * len(out), "turn": range(len(out)), "place": out})
+
+    return rows.groupBy("source").applyInPandas(run, "source string, turn long, place long")
+
+
 def first_by_provenance(stream: DataFrame, key: str) -> DataFrame:
-    """Exact deduplication over the whole stream, in the state store."""
+    """Exact deduplication over the whole stream, in the state store; ``run_once`` bounds how
+    many keys may be kept."""
     return stream.dropDuplicates([key])
 
 
@@ -94,7 +112,61 @@ def event_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hours"
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process what is there, append it to ``path``, and read all of it."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_once(stream: DataFrame, path: str, checkpoint: str, max_state: int | None = None) -> DataFrame:
+    """Process what is there, append it to ``path``, and read all of it.  A state of more than
+    ``max_state`` rows is an error: keys are never forgotten silently."""
+    running = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    held = max((s["numRowsTotal"] for p in running.recentProgress for s in p["stateOperators"]), default=0)
+    if max_state is not None and held > max_state:
+        raise RuntimeError(f"the state holds {held} rows, more than {max_state}")
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+class Prefetched:
+    """Batches of an ordered iterator, read ahead by a thread.
+
+    ``cursor`` is the place after the last batch that was taken, not the last that was read;
+    a source that fails is opened again at its place, ``tries`` times, waiting 1, 2, 4 and at
+    most 8 times ``pause`` seconds; a source that ends is an error, never begun again."""
+
+    def __init__(self, open_at, cursor: int = 0, ahead: int = 4, tries: int = 3, pause: float = 1.0, retry=(OSError,)):
+        self.open_at, self.cursor, self.tries, self.pause, self.retry = open_at, cursor, tries, pause, retry
+        self.ready: queue.Queue = queue.Queue(maxsize=ahead)
+        self.stopped = threading.Event()
+        self.thread = threading.Thread(target=self._read, args=(cursor,), daemon=True)
+        self.thread.start()
+
+    def _put(self, item) -> None:
+        while not self.stopped.is_set():
+            try:
+                return self.ready.put(item, timeout=0.1)
+            except queue.Full:
+                continue
+
+    def _read(self, at: int) -> None:
+        failed = 0
+        while not self.stopped.is_set():
+            try:
+                for batch in self.open_at(at):
+                    at, failed = at + 1, 0
+                    self._put((batch, at, None))
+                    if self.stopped.is_set():
+                        return
+                return self._put((None, at, EOFError("the source is exhausted")))
+            except self.retry as error:
+                failed += 1
+                if failed > self.tries:
+                    return self._put((None, at, error))
+                time.sleep(min(8, 2 ** (failed - 1)) * self.pause)
+
+    def next(self):
+        batch, after, error = self.ready.get()
+        if error is not None:
+            raise error
+        self.cursor = after
+        return batch
+
+    def close(self) -> None:
+        self.stopped.set()
+        self.thread.join()

@@ -56,82 +56,3 @@ def test_paired_bootstrap(spark):
     assert (r["n"], r["delta"]) == (n, pytest.approx(mean))
     assert r["low"] == pytest.approx(mean - 1.96 * error, abs=0.5 / n + 0.1 * error)
     assert r["high"] == pytest.approx(mean + 1.96 * error, abs=0.5 / n + 0.1 * error)
-
-
-def norm_words(text):
-    import re
-
-    return re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
-
-
-def test_grounded_answers(spark):
-    import re
-
-    import pyarrow.parquet as pq
-
-    said = {}
-    for r in sorted(pq.read_table(f"{SF}/conversations.parquet").to_pylist(), key=lambda r: (r["conv_id"], r["turn"])):
-        said.setdefault(r["conv_id"], {}).setdefault(r["role"], r["text"])
-    stem = lambda w: re.sub(r"(?<=[a-z]{3})(ies|ing|ed|es|s)$", "", w)
-    want = {}
-    for conv, m in said.items():
-        if "user" in m and "assistant" in m:
-            known = {stem(w) for w in norm_words(m["user"])}
-            words = set(norm_words(m["assistant"]))
-            lost = [w for w in words if len(w) >= 4 and stem(w) not in known]
-            want[conv] = (len(lost), len(words), len(lost) <= max(1, 0.06 * len(words)))
-    assert {r["conv_id"]: (r["unsupported"], r["words"], r["grounded"]) for r in QUERIES["grounded_answers"](spark, SF).collect()} == want
-
-
-def test_preference_screen(spark):
-    import difflib
-
-    pairs = {r["id"]: (r["chosen"], r["rejected"]) for r in QUERIES["generated_preferences"](spark, SF).collect()}
-    for r in QUERIES["preference_screen"](spark, SF).collect():
-        a, b = pairs[r["id"]]
-        assert r["similarity"] == pytest.approx(difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).ratio(), abs=1e-6)
-        assert r["reason"] == ("short" if min(len(a.split()), len(b.split())) < 3 else "ok")
-
-
-def test_complete_transforms(spark):
-    import re
-
-    import pyarrow.parquet as pq
-
-    want = {}
-    for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist():
-        parts = [s for s in re.split(r"(?<=[.!?]) (?=[^a-z])", " ".join(r["text"].split())) if s]
-        form, k = r["item_id"] % 3, 2 + r["item_id"] % 3
-        if len(parts) >= k:
-            parts = parts[:k]
-            want[r["item_id"]] = "\n".join("- " + s for s in parts) if form == 0 else "\n\n".join(parts) if form == 1 else "\n".join(f"{i}. {s}" for i, s in enumerate(parts, 1))
-    assert {r["item_id"]: r["answer"] for r in QUERIES["complete_transforms"](spark, SF).collect()} == want
-    assert want
-
-
-def test_rare_family_coverage(spark):
-    import pyarrow.parquet as pq
-
-    got = {}
-    for r in QUERIES["rare_family_coverage"](spark, SF).collect():
-        got.setdefault(r["lang"], []).append((r["turn"], r["doc_id"]))
-    pools = {}
-    for r in pq.read_table(f"{SF}/documents.parquet").to_pylist():
-        if r["n_chars"] < 400:
-            pools.setdefault(r["lang"], {})[r["doc_id"]] = {len(w) for w in norm_words(r["text"])}
-    for lang, pool in pools.items():
-        seen, picked = {}, []
-        for _ in range(min(10, len(pool))):
-            best = min((i for i in pool if i not in picked), key=lambda i: (sum(seen.get(f, 0) for f in pool[i]) / max(1, len(pool[i])), i))
-            picked.append(best)
-            for f in pool[best]:
-                seen[f] = seen.get(f, 0) + 1
-        assert [i for _, i in sorted(got[lang])] == picked
-
-
-def test_unique_keys(spark):
-    from brindle.operators.screens import unique_keys
-
-    cases = {'{"a": 1}': True, '{"a": 1, "a": 2}': False, "[1]": False, "```json\n{}\n```": True, "x": False, '{"a": {"b": 1, "b": 2}}': False}
-    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", unique_keys("t").alias("u")).collect()
-    assert {r["t"]: r["u"] for r in rows} == cases
