@@ -219,7 +219,12 @@ def similar_sets(nodes):
     return store(counted.filter("5 * common >= 3 * total"))
 
 
-@query()
+SETS = f"""t as (select doc_id, unnest(list_distinct({WORDS})) as word from documents), s as (select doc_id, count(*) as n from t group by 1),
+ c as (select a.doc_id as left_id, b.doc_id as right_id, count(*) as common from t a join t b using (word) where a.doc_id < b.doc_id group by all),
+ pairs as (select left_id, right_id, common, round(common / (x.n + y.n - common), 6) as jaccard from c join s x on left_id = x.doc_id join s y on right_id = y.doc_id where 5 * common >= 3 * (x.n + y.n - common))"""
+
+
+@query(f"with {SETS} select * from pairs")
 def document_jaccard_pairs(spark, sf_dir):
     """Every two documents whose word sets have a Jaccard similarity of 0.6 or more."""
     members, nodes = word_sets(spark, sf_dir)
@@ -230,7 +235,8 @@ def document_jaccard_pairs(spark, sf_dir):
     return rows.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.col("common").cast("long").alias("common"), F.round(F.col("common") / F.col("total"), 6).alias("jaccard"))
 
 
-@query()
+@query(f"""with recursive {SETS}, e as (select left_id as a, right_id as b from pairs union all select right_id, left_id from pairs), r(node, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on r.node = e.a)
+ select node as doc_id, min(root) as root from r group by 1""")
 def dup_components(spark, sf_dir):
     """Each document and the smallest id connected to it by those pairs."""
     members, nodes = word_sets(spark, sf_dir)
