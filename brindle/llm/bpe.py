@@ -295,12 +295,14 @@ class Codec:
         self.words.turn()
         self.spaced.turn()
         cut = [None if any(s in t for s in self.special) or self.odd_space(t) else t.split(" ") for t in texts]
-        self.learn(set().union(*[c[1:] for c in cut if c]))
-        known, encoded = self.spaced.new.__getitem__, []
-        for text, pieces in zip(texts, cut, strict=True):
+        known, encoded = self.spaced.new, []
+        found = [list(map(known.get, c[1:])) if c else [] for c in cut]
+        missing = [None in got for got in found]
+        self.learn({p for c, got, some in zip(cut, found, missing, strict=True) if some for p, ids in zip(c[1:], got, strict=True) if ids is None})
+        for text, pieces, got, some in zip(texts, cut, found, missing, strict=True):
             if pieces and text:
                 head = [packed(self.encode_plain(pieces[0]))] if pieces[0] else []
-                encoded.append(b"".join(head + [known(p) for p in pieces[1:]]))
+                encoded.append(b"".join(head + (list(map(known.__getitem__, pieces[1:])) if some else got)))
             else:
                 encoded.append(packed(self.encode(text)))
         count = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
