@@ -60,7 +60,7 @@ URL_RULES = f"""with u as (select page_id, row_number() over () as row, coalesce
  case when contains(url, '://') then list_distinct(flatten([list_transform(list_filter([regexp_extract(url, '^([^:/?#]*)://', 1)], lambda t: t <> ''), lambda t: 's:' || lower(t)), list_transform(list_filter(string_split(host, '.'), lambda t: t <> ''), lambda t: 'h:' || t),
  list_transform(list_filter(string_split(path, '/'), lambda t: t <> ''), lambda t: 'p:' || regexp_replace(t, '[0-9]+', '#', 'g')), list_transform(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda t: t <> ''), lambda t: 'q:' || regexp_extract(t, '^([^=]*)', 1))])) else [] end as tokens from w),
  l as (select * from x where label is not null), n as (select count(*) as n, count(*) filter (where label = 'block') as b from l), e as (select row, label, unnest(tokens) as token from l),
- k as (select token, count(*) as uses, count(*) filter (where label = 'block') as blocked from e group by 1 having count(*) >= {urls.MIN_COUNT}), z as (select token, round(abs(blocked - uses * (b / n)) / sqrt(uses * (b / n) * (1 - b / n) + 1), 6) as apart from k, n),
+ k as (select token, count(*) as uses, count(*) filter (where label = 'block') as blocked from e group by 1 having count(*) >= (select greatest({urls.MIN_COUNT}, {urls.MIN_SUPPORT} * n) from n)), z as (select token, round(abs(blocked - uses * (b / n)) / sqrt(uses * (b / n) * (1 - b / n) + 1), 6) as apart from k, n),
  i as (select row, label, list_sort(list(token)) as items from (select e.*, row_number() over (partition by row order by apart desc, e.token) as place from e join z using (token)) where place <= {urls.ITEMS} group by all),
  m as (select row, label, list_filter(items, lambda t, j: (mask // cast(2 ** (j - 1) as bigint)) % 2 = 1) as tokens from (select *, unnest(range(1, cast(2 ** len(items) as bigint))) as mask from i)),
  g as (select tokens, count(*) as uses from m group by 1), f as (select tokens, label, count(*) as hits from m group by all), t as (select label, count(*) as own from l group by 1),

@@ -242,7 +242,7 @@ def brute_rules(rows, items=urls.ITEMS):
     uses = Counter(x for t, _ in known for x in t)
     own = Counter(x for t, y in known for x in t if y == "block")
     share = blocked / n
-    apart = {x: round(abs(own[x] - k * share) / (k * share * (1 - share) + 1) ** 0.5, 6) for x, k in uses.items() if k >= urls.MIN_COUNT}
+    apart = {x: round(abs(own[x] - k * share) / (k * share * (1 - share) + 1) ** 0.5, 6) for x, k in uses.items() if k >= max(urls.MIN_COUNT, urls.MIN_SUPPORT * n)}
     count, hits = Counter(), Counter()
     for t, y in known:
         best = sorted((-apart[x], x) for x in t if x in apart)[:items]
