@@ -13,7 +13,7 @@ from brindle.operators.graph import components, store
 from brindle.plans.corpus import GATE, words_sql
 from brindle.plans.dialogues import group_text, messages
 from brindle.plans.generated import generated_preferences
-from brindle.plans.recipes import NORM_OF, PAIRS, VERB, WORDS_OF
+from brindle.plans.recipes import NORM_OF, PAIRS, REVIEW_REJECTED, VERB, WORDS_OF, listed
 from brindle.plans.registry import ORACLES, query, table
 from brindle.sources import synth
 
@@ -138,11 +138,10 @@ def foundation_mix(spark, sf_dir):
     return blocks([(rows.filter("kind in ('conversation', 'grounded')"), 3), (rows.filter("kind = 'other'"), 2), (made, 1)])
 
 
-@query(f"""with {TALKS} select conv_id, {held_split_sql(10, 20)} as split, cast(n as bigint) as n from t where reason = 'ok' and systems = 0 and conv_id % 11 <> 0""")
+@query(f"""with {TALKS} select conv_id, {held_split_sql(10, 20)} as split, cast(n as bigint) as n from t where reason = 'ok' and systems = 0 and conv_id not in {REVIEW_REJECTED}""")
 def intact_conversations(spark, sf_dir):
     """Whole conversations by group, without those that a review rejected."""
-    rejected = table(spark, sf_dir, "conversations").select("conv_id").distinct().filter("conv_id % 11 = 0")
-    rows = talks(spark, sf_dir).filter("reason = 'ok' and systems = 0").join(rejected, "conv_id", "left_anti")
+    rows = talks(spark, sf_dir).filter("reason = 'ok' and systems = 0").join(listed(spark, REVIEW_REJECTED), "conv_id", "left_anti")
     return rows.select("conv_id", held_split(F.col("bucket"), 10, 20).alias("split"), F.col("n").cast("long").alias("n"))
 
 

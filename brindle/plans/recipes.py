@@ -204,13 +204,22 @@ def complete_transforms(spark, sf_dir):
     return rows.select("item_id", F.col("k").cast("long").alias("k"), shown.alias("answer"))
 
 
-@query("""select conv_id, turn, case when conv_id % 7 = 0 and turn = 1 then 'repaired' else text end as text from conversations where conv_id % 11 <> 0""")
+#: Conversations that a review rejected, and messages that it repaired.
+REVIEW_REJECTED = (2, 3, 5, 8, 13, 21, 34, 55, 89)
+REPAIRS = ((0, 1, "repaired."), (7, 1, "said better."), (14, 0, "asked again?"), (3, 1, "never seen."), (100_000, 1, "no such message."))
+
+
+def listed(spark, ids):
+    """A hand-made list as a table, small by nature."""
+    return F.broadcast(spark.createDataFrame([(i,) for i in ids], "conv_id long"))
+
+
+@query(f"""with p(conv_id, turn, patched) as (values {', '.join(map(str, REPAIRS))}) select conv_id, turn, coalesce(patched, text) as text from conversations left join p using (conv_id, turn) where conv_id not in {REVIEW_REJECTED}""")
 def reviewed_patches(spark, sf_dir):
     """Conversations without the rejected ones, some messages replaced by a patch table."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    rejected = turns.filter("conv_id % 11 = 0").select("conv_id").distinct()
-    changes = turns.filter("conv_id % 7 = 0 and turn = 1").withColumn("text", F.lit("repaired"))
-    return screens.patch(turns.join(rejected, "conv_id", "left_anti"), changes, ["conv_id", "turn"], "text").select("conv_id", "turn", "text")
+    changes = spark.createDataFrame(list(REPAIRS), "conv_id long, turn long, text string")
+    return screens.patch(turns.join(listed(spark, REVIEW_REJECTED), "conv_id", "left_anti"), changes, ["conv_id", "turn"], "text").select("conv_id", "turn", "text")
 
 
 @query("""select d.doc_id, source, coalesce(cast(quality as varchar), 'unrated') as rating from documents d left join labels l on d.doc_id = l.doc_id""")

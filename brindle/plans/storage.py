@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import constraints as C
 from brindle.functions import text as T
 from brindle.operators import packing, select
-from brindle.operators.graph import shared_folder
+from brindle.operators.graph import shared_folder, store
 from brindle.plans.corpus import KEY, byte_tokens
 from brindle.plans.registry import query, table
-from brindle.sources import files
+from brindle.sources import files, synth
+from brindle.streaming import stateful
 
 
 def scratch(spark, label: str) -> str:
@@ -143,3 +145,77 @@ def validation_digest(spark, sf_dir):
     raw = F.concat(F.array_join(F.transform("x", low), ""), F.array_join(F.transform("y", low), ""))
     whole = F.array_sort(F.collect_list(F.struct("row_no", raw.alias("raw"))))
     return rows.agg(F.count("*").alias("batches"), F.sha2(F.unhex(F.array_join(F.transform(whole, lambda s: s["raw"]), "")), 256).alias("digest"))
+
+
+WINDOW, CAPACITY = 20, 10
+
+
+@query(f"""with recursive o as (select doc_id as place, lang || ':' || (n_chars % 40) as key, row_number() over (order by doc_id) as i from documents),
+ r(i, place, key, fresh, held) as (select cast(0 as bigint), cast(null as bigint), '', false, cast([] as varchar[]) union all select o.i, o.place, o.key, not list_contains(held, o.key),
+ case when list_contains(held, o.key) then held when len(held) >= {WINDOW} then list_append(held[2:], o.key) else list_append(held, o.key) end from r join o on o.i = r.i + 1) select place, key from r where fresh""")
+def fifo_window(spark, sf_dir):
+    """A stream of documents, each accepted unless its key is among the last accepted ones."""
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "stream")
+    rows = docs.select(F.col("doc_id").alias("place"), F.concat_ws(":", "lang", (F.col("n_chars") % 40).cast("string")).alias("key"))
+    rows.write.parquet(f"{path}/in")
+    stream = stateful.fifo_dedup(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), WINDOW)
+    return stateful.run_once(stream, f"{path}/out", f"{path}/checkpoint", max_state=1)
+
+
+DIGITS = "list_reduce(list_prepend(0, list_transform(regexp_extract_all(sha256('seed:' || source || ':' || turn), '.'), lambda c: strpos('0123456789abcdef', c) - 1)), lambda r, d: (r * 16 + d) % len(next))"
+
+
+@query(f"""with recursive s as (select lang as source, list(doc_id order by doc_id) as ids from documents group by 1), r(source, turn, ids, held, place) as (select source, cast(-1 as bigint), ids, ids[1:{CAPACITY}], cast(null as bigint) from s
+ union all select source, turn, ids, list_transform(range(1, len(next)), lambda i: case when i = spot + 1 then next[len(next)] else next[i] end), next[spot + 1] from
+ (select *, cast({DIGITS} as bigint) as spot from (select source, turn + 1 as turn, ids, case when len(ids) > {CAPACITY} + turn + 1 then list_append(held, ids[{CAPACITY} + turn + 2]) else held end as next from r) where len(next) > 0)) select source, turn, place from r where turn >= 0""")
+def shuffle_order(spark, sf_dir):
+    """Documents of each language through a bounded shuffle buffer, drained at the end."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("place"))
+    return stateful.shuffled(rows, CAPACITY, "seed")
+
+
+CARDS = [("What flies?", "A kite."), ("What swims?", "A carp."), ("What burns?", "A candle.")]
+CARD_FORMS = ["%s", "Please answer: %s", "%s Say it shortly."]
+
+
+@query("with c(card, question, answer) as (values " + ", ".join(f"({i}, '{q}', '{a}')" for i, (q, a) in enumerate(CARDS)) + "), f(wording, form) as (values " + ", ".join(f"({i}, '{form}')" for i, form in enumerate(CARD_FORMS)) + ") select card, cast(wording as int) as wording, replace(form, '%s', question) as prompt, answer from c, f")
+def generated_cards(spark, sf_dir):
+    """Every card in every wording."""
+    return synth.cards(spark, CARDS, CARD_FORMS)
+
+
+@query("""with w as (select item_id, text, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark),
+ p as (select a.item_id, a.text, a.w, list_distinct(list_concat(a.w[1:3], b.w[1:2])) as keys, b.w as other from w a join w b on b.item_id = (a.item_id + 1) % (select count(*) from w))
+ select item_id, len(list_filter(keys, lambda k: list_contains(w, k))) / len(keys) >= 0.6 as content, not contains(text, ',') as format, contains(array_to_string(w, ' '), array_to_string(other[1:1], ' ')) as echo from p where len(keys) > 0""")
+def rubric_scores(spark, sf_dir):
+    """Keywords covered, the check passed, the request repeated."""
+    items = table(spark, sf_dir, "benchmark")
+    n = items.agg(F.count("*").alias("n"))
+    words = T.word_list(T.norm(F.col("text")))
+    side = items.select(F.col("item_id").alias("next"), words.alias("other"))
+    rows = items.join(n).withColumn("next", (F.col("item_id") + 1) % F.col("n")).join(side, "next")
+    keys = F.array_distinct(F.concat(F.slice(words, 1, 3), F.slice("other", 1, 2)))
+    no_comma = F.array(F.struct(F.lit("no_comma").alias("family"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("int").alias("number"), F.lit(None).cast("array<string>").alias("phrases")))
+    return rows.filter(F.size(keys) > 0).select("item_id", C.rubric(F.col("text"), keys, no_comma, F.array_join(F.slice("other", 1, 1), " ")).alias("r")).select("item_id", "r.*")
+
+
+@query("select event_id, round(ln(exp(least(80, value))), 6) as loss, value > 80 as capped, cast(nullif(regexp_extract('fine [RESULT] ' || (event_id % 12), '\\[RESULT\\]\\s*\\(?([1-9]|10)\\)?\\s*$', 1), '') as int) as score from events")
+def scalar_scores(spark, sf_dir):
+    """Perplexity with its cap (shown as its logarithm) and the number of a judge's reply."""
+    reply = F.concat(F.lit("fine [RESULT] "), (F.col("event_id") % 12).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(F.ln(T.perplexity(F.col("value"))), 6).alias("loss"), (F.col("value") > 80).alias("capped"), T.judge_score(reply).alias("score"))
+
+
+@query("""select unnest(['a', 'b', 'c', 'd']) as kind, unnest([1, 1, 1, 1]) as n, unnest(['content', 'size', 'missing', 'unexpected']) as fault""")
+def archive_faults(spark, sf_dir):
+    """An archive against a manifest with one file each changed, resized, lost and added."""
+    path = scratch(spark, "archive")
+    table(spark, sf_dir, "events").select("event_id").repartition(4, "event_id").write.parquet(path)
+    found = files.manifest(spark, path, "*.parquet")
+    place = F.row_number().over(Window.orderBy("file"))
+    told = store(found.withColumn("place", place))
+    expected = told.select("file", F.when(F.col("place") == 2, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"), F.when(F.col("place") == 1, F.lit("0" * 64)).otherwise(F.col("sha256")).alias("sha256"), "place")
+    lost = spark.createDataFrame([("lost.parquet", 1, "0" * 64)], "file string, bytes long, sha256 string")
+    faults = files.mismatches(found, expected.filter("place <> 3").select("file", "bytes", "sha256").unionByName(lost)).groupBy("fault").agg(F.count("*").cast("int").alias("n"))
+    kind = F.when(F.col("fault") == "content", "a").when(F.col("fault") == "size", "b").when(F.col("fault") == "missing", "c").otherwise("d")
+    return faults.select(kind.alias("kind"), "n", "fault")
