@@ -34,8 +34,10 @@ def generated_instructions(spark, sf_dir):
     return synth.instructions(spark, 100, "s")
 
 
-@query(f"""with {INSTRUCTIONS}, e as (select *, {pick_sql(['dropped', 'doubled'], 's', 'id', "'error'")} as error from a where kind in ('sort', 'reverse'))
- select id, prompt, answer as chosen, case error when 'dropped' then regexp_replace(answer, ' \\S+$', '') else answer || ' ' || regexp_extract(answer, '(\\S+)$', 1) end as rejected, error from e""")
+@query(f"""with {INSTRUCTIONS}, e as (select *, {pick_sql(list(synth.ERRORS), 's', 'id', "'error'")} as error, regexp_extract(answer, '^(\\S+)', 1) as w from a where kind <> 'json')
+ select id, kind, prompt, answer as chosen, case error when 'dropped' then regexp_replace(answer, ' \\S+$', '') when 'doubled' then answer || ' ' || regexp_extract(answer, '(\\S+)$', 1) when 'swapped' then regexp_replace(answer, '^(\\S+) (\\S+)', '\\2 \\1')
+ when 'cased' then case when w = upper(w) then lower(w) else upper(w) end || substr(answer, length(w) + 1) else regexp_replace(answer, '^(\\S+) ', '\\1') end as rejected, error,
+ cast(case error {' '.join(f"when '{k}' then {v}" for k, v in synth.ERRORS.items())} end as int) as difficulty from e""")
 def generated_preferences(spark, sf_dir):
     return synth.preference_pairs(spark, 100, "s")
 

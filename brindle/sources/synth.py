@@ -49,12 +49,23 @@ def dialogues(spark: SparkSession, n: int, seed: str) -> DataFrame:
     return rows.select("id", "branch", F.array(said("user", asked), said("assistant", first), said("user", F.concat(F.lit("Make it "), F.col("branch"), F.lit("."))), said("assistant", again)).alias("messages"))
 
 
+#: The single errors of a wrong answer and how hard each is to see.
+ERRORS = {"dropped": 1, "doubled": 1, "swapped": 2, "cased": 2, "joined": 3}
+
+
 def preference_pairs(spark: SparkSession, n: int, seed: str) -> DataFrame:
-    """An instruction's answer, and the same with one error: a word dropped or doubled."""
-    rows = instructions(spark, n, seed).filter("kind in ('sort', 'reverse')").withColumn("error", pick(["dropped", "doubled"], seed, F.col("id"), F.lit("error")))
-    last = F.regexp_extract("answer", r"(\S+)$", 1)
-    wrong = F.when(F.col("error") == "dropped", F.regexp_replace("answer", r" \S+$", "")).otherwise(F.concat_ws(" ", "answer", last))
-    return rows.select("id", "prompt", F.col("answer").alias("chosen"), wrong.alias("rejected"), "error")
+    """An instruction's answer, and the same with one error: its last word dropped or doubled,
+    its first two words swapped or joined, or its first word in another case."""
+    rows = instructions(spark, n, seed).filter("kind <> 'json'").withColumn("error", pick(list(ERRORS), seed, F.col("id"), F.lit("error")))
+    first, last = F.regexp_extract("answer", r"^(\S+)", 1), F.regexp_extract("answer", r"(\S+)$", 1)
+    wrong = {
+        "dropped": F.regexp_replace("answer", r" \S+$", ""), "doubled": F.concat_ws(" ", "answer", last), "swapped": F.regexp_replace("answer", r"^(\S+) (\S+)", "$2 $1"),
+        "cased": F.concat(F.when(first == F.upper(first), F.lower(first)).otherwise(F.upper(first)), F.substring(F.col("answer"), F.length(first) + 1, F.length("answer"))),
+        "joined": F.regexp_replace("answer", r"^(\S+) ", "$1"),
+    }
+    rejected = F.coalesce(*[F.when(F.col("error") == name, text) for name, text in wrong.items()])
+    difficulty = F.coalesce(*[F.when(F.col("error") == name, F.lit(d)) for name, d in ERRORS.items()])
+    return rows.select("id", "kind", "prompt", F.col("answer").alias("chosen"), rejected.alias("rejected"), "error", difficulty.alias("difficulty"))
 
 
 def cards(spark: SparkSession, facts: list[tuple[str, str]], wordings: list[str]) -> DataFrame:
