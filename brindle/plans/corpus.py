@@ -276,12 +276,29 @@ def url_keys(spark, sf_dir):
     return pages.withColumn("key", F.sha2("url_key", 256))
 
 
-@query(f"with p as (select page_id, {URL_KEY} as url_key from pages) select page_id from p where url_key not in (select url_key from p where page_id % 5 = 0) or page_id % 5 = 0")
+CONTENT = r"sha256(trim(regexp_replace(nfc_normalize({0}), '\s+', ' ', 'g')))"
+KEY_SETS = f"""k as (select page_id, unnest(list_filter(['content:' || {CONTENT.format('html')}, 'id:' || {CONTENT.format("'page-' || (page_id // 2)")}, case when {URL_KEY} <> '' then 'url:' || {CONTENT.format(URL_KEY)} end], lambda x: x is not null)) as key from pages)"""
+
+
+def page_keys(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    own = F.concat(F.lit("page-"), F.expr("page_id div 2").cast("string"))
+    return pages.select("page_id", F.explode(T.provenance_keys(F.col("html"), own, F.col("url"))).alias("key"))
+
+
+@query(f"with {KEY_SETS} select page_id, key from k")
+def provenance_key_sets(spark, sf_dir):
+    """Content, id and URL keys of every page."""
+    return page_keys(spark, sf_dir)
+
+
+@query(f"with {KEY_SETS} select page_id from pages where page_id % 5 = 0 or page_id not in (select page_id from k where key in (select key from k where page_id % 5 = 0))")
 def key_overlap_exclusion(spark, sf_dir):
-    """Pages that share no key with the reserved fifth."""
-    pages = table(spark, sf_dir, "pages").select("page_id", T.url_key(F.col("url")).alias("url_key"))
-    reserved = pages.filter("page_id % 5 = 0")
-    return pages.filter("page_id % 5 <> 0").join(reserved, "url_key", "left_anti").select("page_id").union(reserved.select("page_id"))
+    """Pages that share no key (content, id or URL) with the reserved fifth, and these."""
+    keys, pages = store(page_keys(spark, sf_dir)), table(spark, sf_dir, "pages").select("page_id")
+    reserved = store(keys.filter("page_id % 5 = 0").select("key").distinct())
+    bad = keys.filter("page_id % 5 <> 0").join(reserved, "key", "left_semi").select("page_id").distinct()
+    return pages.join(bad, "page_id", "left_anti")
 
 
 @query("""with s as (select source as label, count(*) as weight, row_number() over (order by source) as ord from documents group by source),
@@ -383,3 +400,19 @@ def table_fingerprint(spark, sf_dir):
     parts = keyed(spark, sf_dir).groupBy("lang", head).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256).alias("digest"), F.count("*").alias("n"))
     named = F.array_sort(F.collect_list(F.concat_ws(":", "head", "digest")))
     return parts.groupBy("lang").agg(F.sha2(F.array_join(named, ","), 256).alias("fingerprint"), F.sum("n").alias("n"))
+
+
+@query("select doc_id, row_number() over (order by sha256('shuffle:' || doc_id), doc_id) - 1 as place from documents")
+def seeded_shuffle(spark, sf_dir):
+    """Every document in the order of a seeded hash, placed without one task for all."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", select.hash_rank("shuffle", F.col("doc_id")).alias("h"))
+    return select.places(rows, ["h", "doc_id"]).select("doc_id", "place")
+
+
+@query(f"""with d as (select doc_id, {WORDS} as w, length(regexp_replace(text, '\\P{{{{L}}}}', '', 'g')) as letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as plain, list_distinct(regexp_extract_all(text, '[0-9]+')) as numbers from documents)
+ select doc_id, round(case when letters > 0 then plain / letters end, 6) as ascii_share, len(numbers) as numbers, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > 0 as stutters from d""".replace("{{", "{").replace("}}", "}"))
+def text_shares(spark, sf_dir):
+    """ASCII letters among letters, different numbers, a word that follows itself."""
+    words = T.word_list(T.norm(F.col("text")))
+    stutters = T.let(words, lambda w: F.exists(F.transform(w, lambda x, i: x == F.get(w, i + 1)), lambda x: F.coalesce(x, F.lit(False))))
+    return documents(spark, sf_dir).select("doc_id", F.round(T.ascii_letter_share(F.col("text")), 6).alias("ascii_share"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).cast("long").alias("numbers"), stutters.alias("stutters"))

@@ -239,3 +239,14 @@ def best_reference(spark, sf_dir):
     pairs = each.join(items.select(F.col("item_id").alias("ref"), F.col("words").alias("ref_words")), "ref")
     scored = pairs.select("item_id", T.token_f1(F.col("words"), F.col("ref_words")).alias("f1"), (F.col("words") == F.col("ref_words")).alias("exact"))
     return scored.groupBy("item_id").agg(F.round(F.max("f1"), 6).alias("f1"), F.bool_or("exact").alias("exact"))
+
+
+@query("""with t as (select conv_id, length(text) as size, case when regexp_matches(text, '[.!?]$') then 1.0 else 0.0 end as ended from conversations where role = 'assistant'), c as (select conv_id, avg(ended) as mean from t group by 1)
+ select round(sum(size * ended) / sum(size), 6) as by_size, round((select avg(mean) from c), 6) as by_conversation, round(avg(size), 6) as mean_size, count(*) as turns from t""")
+def conversation_means(spark, sf_dir):
+    """A rate weighted by size, and averaged over conversations."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", F.length("text").alias("size"), F.col("text").rlike("[.!?]$").cast("double").alias("ended"))
+    each = turns.groupBy("conv_id").agg(F.sum(F.col("size") * F.col("ended")).alias("held"), F.sum("size").alias("size"), F.avg("ended").alias("mean"), F.count("*").alias("n"))
+    return each.agg(
+        F.round(F.sum("held") / F.sum("size"), 6).alias("by_size"), F.round(F.avg("mean"), 6).alias("by_conversation"), F.round(F.sum("size") / F.sum("n"), 6).alias("mean_size"), F.sum("n").alias("turns")
+    )

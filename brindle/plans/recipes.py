@@ -214,6 +214,16 @@ def listed(spark, ids):
     return F.broadcast(spark.createDataFrame([(i,) for i in ids], "conv_id long"))
 
 
+@query(f"""with {PAIRS}, t as (select conv_id, request, answer as text from a), d as (select conv_id, request, {SENTENCE_LIST} as s, 2 + conv_id % 3 as k from t) select conv_id, request, cast(k as bigint) as k,
+ case conv_id % 2 when 0 then array_to_string(list_transform(s[1:k], lambda x: '- ' || x), chr(10)) else array_to_string(list_transform(range(1, k + 1), lambda i: i || '. ' || s[i]), chr(10)) end as answer from d where len(s) >= k""")
+def first_replies(spark, sf_dir):
+    """The first request and reply of each conversation, the reply's first sentences listed."""
+    rows = first_pairs(spark, sf_dir).withColumn("s", screens.sentences(F.col("answer"))).withColumn("k", (2 + F.col("conv_id") % 3).cast("int")).filter("size(s) >= k")
+    chosen = F.slice("s", F.lit(1), F.col("k"))
+    shown = F.when(F.col("conv_id") % 2 == 0, screens.render(chosen, "bullets")).otherwise(screens.render(chosen, "numbered"))
+    return rows.select("conv_id", "request", F.col("k").cast("long").alias("k"), shown.alias("answer"))
+
+
 @query(f"""with p(conv_id, turn, patched) as (values {', '.join(map(str, REPAIRS))}) select conv_id, turn, coalesce(patched, text) as text from conversations left join p using (conv_id, turn) where conv_id not in {REVIEW_REJECTED}""")
 def reviewed_patches(spark, sf_dir):
     """Conversations without the rejected ones, some messages replaced by a patch table."""
