@@ -36,7 +36,8 @@ FEATURES = WORD_BUCKETS + STATISTICS * LEVELS
 RANK = 8
 #: Bound of the labelled rows that are fitted (chosen by a hash of the id).
 TRAIN_ROWS = 8_000
-EPOCHS = 12
+#: Steps of the fit and rows of a step, at every number of labelled rows.
+STEPS, STEP_ROWS = 400, 256
 SEED = 4
 
 
@@ -116,9 +117,9 @@ def _lists(batches):
             yield pa.RecordBatch.from_arrays([batch["label"].slice(first, last - first), pa.ListArray.from_arrays(bounds, pa.array(item, pa.int16()))], ["label", "items"])
 
 
-def fit(y: np.ndarray, at: np.ndarray, item: np.ndarray, value: np.ndarray, epochs: int = EPOCHS, rank: int = RANK) -> dict:
-    """Adam on the logistic loss, classes weighted alike, in a fixed order of batches; as many
-    passes as make 400 steps, and ``epochs`` at least, at every number of rows."""
+def fit(y: np.ndarray, at: np.ndarray, item: np.ndarray, value: np.ndarray, steps: int = STEPS, rank: int = RANK) -> dict:
+    """``steps`` steps of Adam on the logistic loss, classes weighted alike, in a fixed order of
+    batches; the rows are gone through as often as that takes."""
     random = np.random.default_rng(SEED)
     model = {"w": np.zeros(FEATURES, np.float32), "v": random.normal(0, 0.05, (FEATURES, rank)).astype(np.float32), "bias": 0.0}
     if not len(y) or y.min() == y.max():
@@ -126,10 +127,10 @@ def fit(y: np.ndarray, at: np.ndarray, item: np.ndarray, value: np.ndarray, epoc
         return {"w": model["w"], "v": np.zeros_like(model["v"]), "bias": float(np.log(share / (1 - share)))}
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     state = {k: (np.zeros_like(model[k]), np.zeros_like(model[k])) for k in ("w", "v")}
-    bias_state, turn, size = [0.0, 0.0], 0, 256
-    for _ in range(max(epochs, 400 * size // len(y) + 1)):
+    bias_state, turn, size = [0.0, 0.0], 0, STEP_ROWS
+    while turn < steps:
         order = random.permutation(len(y))
-        for low in range(0, len(y), size):
+        for low in range(0, min(len(y), (steps - turn) * size), size):
             rows = order[low : low + size]
             count = at[rows + 1] - at[rows]
             doc = np.repeat(np.arange(len(rows)), count)

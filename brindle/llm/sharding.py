@@ -6,7 +6,9 @@ shard, a row stays or moves into the new one.  Rows are numbered within their sh
 moved up by the counts of the partitions before.  No shard is ever gathered in one task.
 
 Cases: null ``doc_id`` counts as key -1 and comes first; null text has size 1 and the
-checksum of an empty text; rows that repeat a ``doc_id`` get slots of their own.
+checksum of an empty text; very long texts are measured whole; rows that repeat a ``doc_id``
+(ties) get slots of their own; an empty table gives no rows; other columns, whatever their
+names, aren't read.
 """
 
 from __future__ import annotations
