@@ -497,7 +497,7 @@ def targeted_assessment(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""with k as ({ORACLES["greedy_keep_first"]}) select doc_id, case when {share_sql("doc_id", "constraint", 20)} < 2 then 'dev' when {share_sql("doc_id", "constraint", 20)} < 4 then 'test' else 'train' end as split from k""")
 def constraint_completion(spark, sf_dir):
     """Texts whose words aren't those of one kept before (in hash order), by split."""
     from brindle.plans.corpus import greedy_keep_first

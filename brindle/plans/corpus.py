@@ -245,7 +245,12 @@ def dup_components(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(near, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 
-@query()
+GREEDY = f"""with recursive {SETS}, e as (select left_id as doc_id, right_id as other from pairs union all select right_id, left_id from pairs), near as (select doc_id, list(other) as others from e group by 1),
+ o as (select doc_id, row_number() over (order by sha256('seed:' || doc_id), doc_id) as i from documents), r(i, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
+ select o.i, case when list_has_any(coalesce(others, []), kept) then kept else list_append(kept, o.doc_id) end from r join o on o.i = r.i + 1 left join near on near.doc_id = o.doc_id) select unnest(kept) as doc_id from r where i = (select count(*) from documents)"""
+
+
+@query(GREEDY)
 def greedy_keep_first(spark, sf_dir):
     """Documents in hash order, each kept unless its word set is similar to that of one kept
     before (C8); one task per component, as no choice depends on another component."""

@@ -254,7 +254,11 @@ def capped_selection(spark, sf_dir):
     return screens.capped(rows, ["h"], [(["source", "lang"], 2), (["source"], 5)]).select("doc_id", "source", "lang")
 
 
-@query()
+@query(f"""with recursive d as (select doc_id, lang, list_distinct(list_transform({WORDS_OF.format('text')}, lambda x: length(x))) as families from documents),
+ r(lang, turn, picked, seen) as (select lang, cast(-1 as bigint), cast([] as bigint[]), cast([] as bigint[]) from (select distinct lang from d) union all
+ select lang, turn, list_append(picked, best.doc_id), list_concat(seen, best.families) from (select r.lang, turn + 1 as turn, any_value(picked) as picked, any_value(seen) as seen,
+ arg_min({{'doc_id': d.doc_id, 'families': families}}, (coalesce(list_sum(list_transform(families, lambda f: len(list_filter(seen, lambda s: s = f)))), 0) / greatest(1, len(families)), d.doc_id)) as best
+ from r join d on d.lang = r.lang and not list_contains(picked, d.doc_id) where turn < 9 group by r.lang, turn)) select lang, turn, picked[-1] as doc_id from r where turn >= 0""")
 def rare_family_coverage(spark, sf_dir):
     """Per language, items chosen so that rare word lengths come early."""
     words = T.word_list(T.norm(F.col("text")))
