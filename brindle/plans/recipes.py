@@ -119,7 +119,12 @@ def casefolded_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.casefolded(F.col("text")).alias("folded"))
 
 
-@query()
+@query("""with recursive e as (select doc_id as id, doc_id // 4 as grp, unnest([lang, 'size' || least(length(cast(n_chars as varchar)), 5)]) as family from documents),
+ h as (select *, sha256('seed:' || family || ':' || id) as h from e), f as (select * from h qualify row_number() over (partition by family order by h) <= 60), p as (select family, row_number() over (order by family) - 1 as idx, list(id order by h) as ids, list(grp order by h) as grps from f group by family),
+ n as (select count(*) as n from p), r(turn, ats, groups, family, id) as (select cast(-1 as bigint), list_transform(range(n), lambda x: cast(0 as bigint)), cast([] as bigint[]), cast(null as varchar), cast(null as bigint) from n union all
+ select turn, list_transform(range(n), lambda i: case when i = idx then spot + k + 1 else ats[i + 1] end), list_append(own, grps[cast((spot + k) % len(ids) as bigint) + 1]), family, ids[cast((spot + k) % len(ids) as bigint) + 1] from
+ (select *, list_position(list_transform(range(len(ids)), lambda j: not list_contains(own, grps[(spot + j) % len(ids) + 1])), true) - 1 as k from
+ (select r.turn + 1 as turn, r.ats, case when (r.turn + 1) % 4 = 0 then [] else r.groups end as own, p.*, n.n, r.ats[p.idx + 1] as spot from r, n join p on true where p.idx = (r.turn + 1) % n.n and r.turn < 59))) select turn, family, id from r where turn >= 0""")
 def family_exposure(spark, sf_dir):
     """Sources take turns; no batch of four has two rows of one language group."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr("doc_id div 4").alias("grp"), F.array(F.col("lang"), F.concat(F.lit("size"), F.least(F.length(F.col("n_chars").cast("string")), F.lit(5)).cast("string"))).alias("families"))
