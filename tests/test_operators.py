@@ -223,7 +223,7 @@ def test_verified_parquet_and_receipts(spark, tmp_path):
     assert files.verified_parquet(spark, f"file://{tmp_path}/p", expected).count() == 3
     with pytest.raises(ValueError, match="content"):
         files.verified_parquet(spark, f"file://{tmp_path}/p", expected.withColumn("sha256", F.lit("0")))
-    receipt = files.write_sample(rows.drop("tokens"), f"file://{tmp_path}/s", "split", "source")
+    receipt = files.write_sample(rows.drop("tokens"), f"file://{tmp_path}/s", 10, "split", "source")
     assert {(r["split"], r["documents"], r["bytes"]) for r in receipt.collect()} == {("train", 2, 8), ("dev", 1, 2)}
     index = files.write_pool(rows.drop("text"), f"file://{tmp_path}/t")
     assert {(r["key"], r["start"], r["n_tokens"]) for r in index.collect()} == {("k0", 0, 1), ("k1", 1, 2), ("k2", 0, 3)}
