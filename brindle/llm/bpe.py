@@ -38,7 +38,7 @@ from brindle.llm.textvec import slices, utf8
 SCAN_LIMIT = 128
 #: So many words or fewer are merged one by one, more of them together; the ids are the same.
 MANY_WORDS = 200
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 NO_RANK = 1 << 30
 BATCH_BYTES = 4 << 20
 
@@ -87,6 +87,10 @@ class Kept:
         if len(self.new) >= CACHE_ENTRIES:
             self.old, self.new = self.new, {}
 
+    def rest(self) -> None:
+        """Called after a task: a worker that waits holds the newer generation alone."""
+        self.old = {}
+
 
 def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
@@ -394,5 +398,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     [part["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        own.words.rest()
+        own.spaced.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

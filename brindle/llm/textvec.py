@@ -40,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, SLICE_BYTES + 2), base, dtype=U)
         steps[0] = 1
         have = np.cumprod(steps, dtype=U)
-        if len(have) <= 4 * SLICE_BYTES:
+        if len(have) <= SLICE_BYTES + 2:
             _powers[base] = have
     return have[:n]
 
