@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions import constraints as C
+from brindle.functions import sql
 from brindle.functions import text as T
 from brindle.operators import jobs, quality, screens, select
-from brindle.operators.graph import components, store
-from brindle.plans.corpus import GATE, words_sql
-from brindle.plans.dialogues import group_text, messages
-from brindle.plans.generated import generated_preferences
-from brindle.plans.recipes import NORM_OF, PAIRS, REVIEW_REJECTED, VERB, WORDS_OF, listed
-from brindle.plans.registry import ORACLES, query, table
+from brindle.operators.graph import components, passing_depths, store
+from brindle.plans.corpus import GATE, greedy_keep_first, words_sql
+from brindle.plans.dialogues import group_text, messages, reply_chains
+from brindle.plans.generated import generated_instructions, generated_preferences
+from brindle.plans.recipes import NORM_OF, PAIRS, REVIEW_REJECTED, VERB, WORDS_OF, listed, multiple_choice
+from brindle.plans.registry import ORACLES, QUERIES, query, table
 from brindle.sources import synth
 
 HEX8 = "cast(concat('0x', substr({0}, 1, 8)) as ubigint)"
@@ -296,8 +298,6 @@ def answer_completion(spark, sf_dir):
  a as (select id, h from k where depth = 2 and size >= 300), b as (select id, h from k where depth = 2 and size < 300), c as (select id, h from k where depth = 4), {blocks_sql([("a", 12), ("b", 3), ("c", 5)])}""")
 def reply_blocks(spark, sf_dir):
     """Answers at the first and third step of a tree, in batches of 12, 3 and 5."""
-    from brindle.plans.dialogues import reply_chains
-
     own = (F.col("conv_id") * 100 + F.col("turn")).alias("id")
     size = table(spark, sf_dir, "conversations").select(own, F.length("text").alias("size"))
     rows = store(reply_chains(spark, sf_dir).join(size, "id").filter("size < 4000").withColumn("h", select.hash_rank("reply", F.col("id"))))
@@ -309,8 +309,6 @@ def reply_blocks(spark, sf_dir):
  k as (select r.tree, r.id, depth from r join e using (id) where role = 'assistant') select tree, id, cast(depth as bigint) as depth from k qualify row_number() over (partition by tree order by depth desc, id) = 1""")
 def deepest_replies(spark, sf_dir):
     """Of each tree the deepest answer all of whose ancestors pass, whatever the depth."""
-    from brindle.operators.graph import passing_depths
-
     own = F.col("conv_id") * 100 + F.col("turn")
     nodes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree"), own.alias("id"), F.when(F.col("turn") > 0, own - 1).alias("parent"), "role", (F.length("text") < 3000).alias("passes"))
     found = passing_depths(nodes.select("id", "parent", "passes")).join(nodes.filter("role = 'assistant'").select("tree", "id"), "id")
@@ -326,8 +324,6 @@ FACTS = """f as (select *, sha256('choice:' || grp || ':' || variant) as h from
  select grp, cast(epoch as bigint) as epoch, case epoch when 0 then answer when 1 then '"' || answer || '"' else '- ' || answer end as shown, sha256('cycle:' || epoch || ':' || grp) as place from k, range(3) e(epoch)""")
 def skill_balance(spark, sf_dir):
     """Choices, one a group, equally many of each first choice, three views in cycles."""
-    from brindle.plans.recipes import multiple_choice
-
     rows = multiple_choice(spark, sf_dir).withColumn("h", F.sha2(F.concat_ws(":", F.lit("choice"), F.col("grp").cast("string"), F.col("variant").cast("string")), 256))
     rows = first_of(rows, 1, "grp").withColumn("answer", F.when(F.col("gold") == 0, F.col("choice0")).otherwise(F.col("choice1")))
     denied = table(spark, sf_dir, "benchmark").select(T.norm(F.col("text")).alias("answer")).distinct()
@@ -344,8 +340,6 @@ CONTEXT_BUCKET = share_sql("grp", "context", 10)
  select split, grp, variant, row_number() over (partition by split order by h) as place from o qualify row_number() over (partition by split order by h) <= 30""")
 def context_reasoning(spark, sf_dir):
     """Groups dealt to splits by salted hash, one of a group, so many of each split."""
-    from brindle.plans.recipes import multiple_choice
-
     bucket = share("grp", "context", 10)
     rows = multiple_choice(spark, sf_dir).withColumn("h", F.sha2(F.concat_ws(":", F.lit("choice"), F.col("grp").cast("string"), F.col("variant").cast("string")), 256))
     rows = first_of(rows.withColumn("split", F.when(bucket == 8, "dev").when(bucket == 9, "test").otherwise("train")), 1, "grp")
@@ -405,9 +399,6 @@ def reading_repair(spark, sf_dir):
  r as (select item_id as id, row_number() over (order by item_id) - 1 as place from benchmark) select cast(place as bigint) as place, unnest([0, 1, 2]) as pool, unnest([cast(a.id as bigint), cast(i.id as bigint), cast(r.id as bigint)]) as id from a join i using (place) join r using (place)""")
 def grounded_rank(spark, sf_dir):
     """Choices, instructions and replay, row by row side by side."""
-    from brindle.plans.generated import generated_instructions
-    from brindle.plans.recipes import multiple_choice
-
     choices = multiple_choice(spark, sf_dir).filter("variant = 0").select(F.col("grp").alias("id"), F.sha2(F.concat_ws(":", F.lit("choice"), F.col("grp").cast("string"), F.col("variant").cast("string")), 256).alias("h"))
     tasks = generated_instructions(spark, sf_dir).select("id", select.hash_rank("task", F.col("id")).alias("h"))
     replay = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("h"))
@@ -466,14 +457,13 @@ def complete_transfer(spark, sf_dir):
  select doc_id, sentences, paragraphs, case when len(w) < 3 then 'words' when sentences < 2 then 'sentences' when paragraphs <> 1 then 'paragraphs' else 'ok' end as reason from d""")
 def teacher_audit(spark, sf_dir):
     """Texts held to a number of sentences and paragraphs."""
-    from brindle.functions import constraints as C
-
     docs = table(spark, sf_dir, "documents").select("doc_id", C.counted(F.col("text"), F.lit("words")).alias("words"), C.counted(F.col("text"), F.lit("sentences")).cast("long").alias("sentences"), C.counted(F.col("text"), F.lit("paragraphs")).cast("long").alias("paragraphs"))
     reason = quality.first_reason((F.col("words") < 3, "words"), (F.col("sentences") < 2, "sentences"), (F.col("paragraphs") != 1, "paragraphs"))
     return docs.select("doc_id", "sentences", "paragraphs", reason.alias("reason"))
 
 
-PLANS = {"constraints": 6, "spans": 4, "science": 2, "replay": 4}
+#: Rows of each pool in a batch: constraints, spans, science, replay.
+BREADTH = (6, 4, 2, 4)
 
 
 @query(f"""with h as (select doc_id as id, lang, sha256('breadth:' || doc_id) as h from documents), a as (select id, h from h where lang = 'en'), b as (select id, h from h where lang = 'de'), c as (select id, h from h where lang = 'fr'), e as (select id, h from h where lang = 'es'),
@@ -481,7 +471,7 @@ PLANS = {"constraints": 6, "spans": 4, "science": 2, "replay": 4}
 def breadth_batches(spark, sf_dir):
     """Four pools in stable batches of 6, 4, 2 and 4."""
     rows = store(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", select.hash_rank("breadth", F.col("doc_id")).alias("h")))
-    found = blocks([(rows.filter(F.col("lang") == lang), quota) for lang, quota in zip(("en", "de", "fr", "es"), PLANS.values(), strict=True)])
+    found = blocks([(rows.filter(F.col("lang") == lang), quota) for lang, quota in zip(("en", "de", "fr", "es"), BREADTH, strict=True)])
     return found.groupBy("pool", "batch").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
@@ -500,8 +490,6 @@ def targeted_assessment(spark, sf_dir):
 @query(f"""with k as ({ORACLES["greedy_keep_first"]}) select doc_id, case when {share_sql("doc_id", "constraint", 20)} < 2 then 'dev' when {share_sql("doc_id", "constraint", 20)} < 4 then 'test' else 'train' end as split from k""")
 def constraint_completion(spark, sf_dir):
     """Texts whose words aren't those of one kept before (in hash order), by split."""
-    from brindle.plans.corpus import greedy_keep_first
-
     bucket = share("doc_id", "constraint", 20)
     kept = greedy_keep_first(spark, sf_dir)
     return kept.select("doc_id", F.when(bucket < 2, "dev").when(bucket < 4, "test").otherwise("train").alias("split"))
@@ -511,8 +499,6 @@ def constraint_completion(spark, sf_dir):
  m as (select part, id, sha256(part || ':' || id) as h from (select * from a union all select * from b)), x as (select id, h from m where part = 'intact_conversations'), y as (select id, h from m where part = 'public_repair'), {blocks_sql([("x", 3), ("y", 1)])}""")
 def mixed_plans(spark, sf_dir):
     """Two plans by their names, made first and then mixed in batches of 3 and 1."""
-    from brindle.plans.registry import QUERIES
-
     rows = jobs.staged(QUERIES, {"intact_conversations": "conv_id", "public_repair": "conv_id"}, spark, sf_dir)
     rows = store(rows.withColumn("h", F.sha2(F.concat_ws(":", "part", F.col("id").cast("string")), 256)))
     return blocks([(rows.filter("part = 'intact_conversations'"), 3), (rows.filter("part = 'public_repair'"), 1)])
@@ -522,8 +508,6 @@ def mixed_plans(spark, sf_dir):
  select item_id, key, cast(cast(concat('0x', substr(key, 1, 16)) as ubigint) % 10000 as int) as bucket, count(gram) as grams, count(distinct gram) as different from k left join g using (item_id) group by all""")
 def sql_functions(spark, sf_dir):
     """The library's functions in SQL text, a table function among them."""
-    from brindle.functions import sql
-
     sql.register(spark)
     return spark.sql(
         """select item_id, brindle_key(text) as key, brindle_bucket(brindle_key(text), 10000) as bucket, count(gram) as grams, count(distinct gram) as different

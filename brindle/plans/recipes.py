@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import packing, quality, screens, select
 from brindle.plans.corpus import GATE, KEY, SPLIT, keyed
-from brindle.plans.dialogues import messages
 from brindle.plans.generated import generated_preferences, pick_sql
 from brindle.plans.registry import documents, query, table
 from brindle.sources import synth
