@@ -4,7 +4,7 @@ Fitted models and merges have none: those queries are tested against brute force
 ``tests/llm``.
 """
 
-from brindle.llm import pii, urls
+from brindle.llm import clustering, licenses, pii, ranking, urls
 
 WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\\x00-\\x7F])+')"""
 
@@ -70,7 +70,54 @@ URL_RULES = f"""with u as (select page_id, row_number() over () as row, coalesce
  y as (select row, arg_max(c.label, (confidence, len(c.tokens), hits, c.label)) as mined from x join c on uses >= {urls.MIN_KNOWN} * seen and list_has_all(x.tokens, c.tokens) group by row)
  select page_id, host, path, rule, coalesce(x.label, mined, '{urls.DEFAULT}') as verdict from x left join y using (row)"""
 
+
+def _kmeans() -> str:
+    """Every round written out: all vectors against all centroids."""
+    k, rounds, dims = clustering.K, clustering.ROUNDS, clustering.DIMS
+    square = "list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = f"""select row, vec_id, v, arg_min(c, (d, c)) as c, min(d) as d from (select x.row, x.vec_id, x.v, c.c, cast({square} as bigint) as d from x, {{of}} c) group by all"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} as materialized ({nearest.format(of=f'c{i}')})")
+        sums = f"select c, list(cast(floor(s / n) as bigint) order by j) as v from (select c, j, sum(e)::hugeint as s, count(*) as n from (select c, unnest(v) as e, generate_subscripts(v, 1) as j from a{i}) group by 1, 2) group by 1"
+        steps.append(f"m{i} as ({sums.replace('floor(s / n)', '(s - ((s % n) + n) % n) // n')}), c{i + 1} as materialized (select c, coalesce(m.v, o.v) as v from c{i} o left join m{i} m using (c))")
+    return f"""with x as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda e: cast(floor(256 * e::double) as bigint)) as v from embeddings
+ where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+ c0 as materialized (select row_number() over (order by sha256('{clustering.SEED}:' || vec_id), vec_id, v) - 1 as c, v from x qualify c < {k}), {', '.join(steps)},
+ a as materialized ({nearest.format(of=f'c{rounds}')})
+ select vec_id, cast(c as int) as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(o.v, ',')) as centroid_sha256
+ from a join c{rounds} o using (c)"""
+
+
+def _license_scan() -> str:
+    """All words against all places of all templates."""
+    rows = [(i, j, w, j in t.keys) for i, t in enumerate(licenses.templates()) for j, w in enumerate(t.words)]
+    known = ", ".join(f"({i}, {j}, '{w}', {key})" for i, j, w, key in rows)
+    named = ", ".join(f"({i}, '{t.label}', {t.base})" for i, t in enumerate(licenses.templates()))
+    return f"""with d as (select doc_id, row_number() over () as row, {WORDS} as w from documents), t(i, j, word, key) as (values {known}), l(i, label, base) as (values {named}),
+ p as (select row, unnest(w) as word, generate_subscripts(w, 1) - 1 as place from d), f as (select * from p where word in (select word from t)),
+ df as (select word, count(distinct row) as df from f group by 1), n as (select count(*) as n from documents),
+ k as (select t.*, cast(1 + floor(1000 * ln((2 * n + 2) / (2 * coalesce(df, 0) + 1))) as bigint) as weight from t left join df using (word), n),
+ o as (select i, sum(weight) as total, count(*) filter (where key) as n_keys from k group by 1),
+ a as (select row, i, place - j as start, sum(weight) as weight, count(*) filter (where key) as n_keys from f join k using (word) group by all),
+ m as (select row, l.label, l.base, start, cast(a.weight as double) / cast(total as double) as share from a join o using (i) join l using (i) where a.n_keys = o.n_keys and a.weight >= {licenses.SHARE} * total),
+ z as (select row, count(*) filter (where base) as n_base, min(start) filter (where base) as first_word, max(start) filter (where base) as last_word,
+ string_agg(distinct label, ',' order by label) filter (where base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from m group by 1)
+ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score from d left join z using (row)"""
+
+
+RANKING = f"""with d as (select doc_id, row_number() over () as row, {WORDS} as w from documents), i as (select item_id, row_number() over () as item, {WORDS} as w from benchmark),
+ s as (select count(*) filter (where len(w) > 0) as n, cast(sum(len(w)) as bigint) as l from d), q as (select item, unnest(w) as term from i), tf as (select row, term, count(*) as tf from (select row, unnest(w) as term from d) group by all),
+ v as (select term, cast(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) as bigint) as weight from tf, s group by term, n),
+ m as (select row, doc_id, 100 - {ranking.B} + ({ranking.B} * len(w) * n) // l as m from d, s), p as (select row, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) as impact from tf join v using (term) join m using (row)),
+ r as (select item, row, cast(sum(impact) as bigint) as score from q join p using (term) group by all having sum(impact) > 0),
+ o as (select item, doc_id, score, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from r join m using (row))
+ select item_id, cast(rank as int) as rank, doc_id, score from o join i using (item) where rank <= {ranking.K}"""
+
 ORACLES = {
+    "op11_ball_kmeans": _kmeans(),
+    "op12_license_scan": _license_scan(),
+    "op13_wand": RANKING,
     "op1_near_dedup": f"""with recursive w as (select doc_id, {WORDS} as w from documents),
  s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle from w),
  n as (select doc_id, count(*) as n from s group by 1), p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b using (shingle) where a.doc_id < b.doc_id group by all),

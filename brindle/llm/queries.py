@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, sharding, toxicity, urls
+from brindle.llm import bpe, clustering, decontaminate, exact_dedup, language, licenses, near_dedup, pii, quality, ranking, sharding, toxicity, urls
 from brindle.llm.oracles import ORACLES
 from brindle.llm.shared import held_out, spread, table
 
@@ -70,6 +70,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
+def op13_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

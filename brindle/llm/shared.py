@@ -47,15 +47,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL_DIR[0]}"
 
 
+def store(df: DataFrame, label: str) -> str:
+    """Write ``df`` as Parquet in the shared folder; the path of it."""
+    path = f"{shared_dir(df.sparkSession)}/brindle-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
 
     A lost executor then costs a reread, and values that depend on row placement
     (row numbers, partition numbers) are fixed for all later uses.
     """
-    path = f"{shared_dir(df.sparkSession)}/brindle-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what ``store`` wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all tables of this package in the shared folder, once the results that read them
+    are stored; how many there were."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/brindle-*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    for status in found:
+        discard(spark, status.getPath().toString())
+    return len(found)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

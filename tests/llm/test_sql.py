@@ -16,7 +16,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name, sf):
     folder, db = f"/root/testdata/sf{sf}", duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         db.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
     got = queries.queries()[name](spark, folder)
     order = sorted(got.columns)
