@@ -11,10 +11,10 @@ from brindle.functions import constraints as C
 from brindle.functions import text as T
 from brindle.operators import packing, select
 from brindle.operators.graph import shared_folder, store
-from brindle.plans.corpus import KEY, byte_tokens
+from brindle.plans.corpus import KEY, KEY_SETS, byte_tokens, page_keys
 from brindle.plans.registry import query, table
 from brindle.sources import files, synth
-from brindle.streaming import stateful
+from brindle.streaming import run, source, stateful
 
 
 def scratch(spark, label: str) -> str:
@@ -154,24 +154,155 @@ WINDOW, CAPACITY = 20, 10
  r(i, place, key, fresh, held) as (select cast(0 as bigint), cast(null as bigint), '', false, cast([] as varchar[]) union all select o.i, o.place, o.key, not list_contains(held, o.key),
  case when list_contains(held, o.key) then held when len(held) >= {WINDOW} then list_append(held[2:], o.key) else list_append(held, o.key) end from r join o on o.i = r.i + 1) select place, key from r where fresh""")
 def fifo_window(spark, sf_dir):
-    """A stream of documents, each accepted unless its key is among the last accepted ones."""
+    """Documents in their order, three batches, the second run from the checkpoint; each
+    is accepted unless its key is among the last accepted ones."""
     docs, path = table(spark, sf_dir, "documents"), scratch(spark, "stream")
     rows = docs.select(F.col("doc_id").alias("place"), F.concat_ws(":", "lang", (F.col("n_chars") % 40).cast("string")).alias("key"))
-    rows.write.parquet(f"{path}/in")
-    stream = stateful.fifo_dedup(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), WINDOW)
-    return stateful.run_once(stream, f"{path}/out", f"{path}/checkpoint", max_state=1)
+    rows.repartitionByRange(4, "place").sortWithinPartitions("place").write.parquet(f"{path}/in")
+    third = -(-rows.count() // 3)
+    stream = lambda: stateful.fifo_dedup(source.rows_stream(spark, f"{path}/in", rows.schema, f"{path}/checkpoint", rows=third), WINDOW)
+    run.drain(stream(), f"{path}/out", f"{path}/checkpoint", batches=1, tasks=1)
+    run.drain(stream(), f"{path}/out", f"{path}/checkpoint", tasks=1)
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("select doc_id, length(text) as n_chars, sha256(text) as text_sha256 from documents")
+def resumed_rows(spark, sf_dir):
+    """Documents read as a stream of three batches, stopped after the first and started
+    again from the checkpoint until the source says that it is exhausted."""
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "resumed")
+    third = -(-docs.count() // 3)
+    stream = lambda: source.rows_stream(spark, f"{sf_dir}/documents.parquet", docs.schema, f"{path}/checkpoint", rows=third)
+    picked = lambda s: s.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    run.drain(picked(stream()), f"{path}/out", f"{path}/checkpoint", batches=1)
+    run.drain(picked(stream()), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out")
 
 
 DIGITS = "list_reduce(list_prepend(0, list_transform(regexp_extract_all(sha256('seed:' || source || ':' || turn), '.'), lambda c: strpos('0123456789abcdef', c) - 1)), lambda r, d: (r * 16 + d) % len(next))"
 
 
-@query(f"""with recursive s as (select lang as source, list(doc_id order by doc_id) as ids from documents group by 1), r(source, turn, ids, held, place) as (select source, cast(-1 as bigint), ids, ids[1:{CAPACITY}], cast(null as bigint) from s
+#: Places per source through a buffer: the list of those read, those held, and the one given out.
+SHUFFLED = f"""r(source, turn, ids, held, place) as (select source, cast(-1 as bigint), ids, ids[1:{CAPACITY}], cast(null as bigint) from s
  union all select source, turn, ids, list_transform(range(1, len(next)), lambda i: case when i = spot + 1 then next[len(next)] else next[i] end), next[spot + 1] from
- (select *, cast({DIGITS} as bigint) as spot from (select source, turn + 1 as turn, ids, case when len(ids) > {CAPACITY} + turn + 1 then list_append(held, ids[{CAPACITY} + turn + 2]) else held end as next from r) where len(next) > 0)) select source, turn, place from r where turn >= 0""")
+ (select *, cast({DIGITS} as bigint) as spot from (select source, turn + 1 as turn, ids, case when len(ids) > {CAPACITY} + turn + 1 then list_append(held, ids[{CAPACITY} + turn + 2]) else held end as next from r) where len(next) > 0))"""
+
+
+@query(f"with recursive s as (select lang as source, list(doc_id order by doc_id) as ids from documents where lang is not null group by 1), {SHUFFLED} select source, turn, place from r where turn >= 0")
 def shuffle_order(spark, sf_dir):
-    """Documents of each language through a bounded shuffle buffer, drained at the end."""
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("place"))
-    return stateful.shuffled(rows, CAPACITY, "seed")
+    """Documents of each language through a bounded shuffle buffer as a stream: half of
+    them, then from the checkpoint the other half and the end, at which buffers drain."""
+    rows, path = spoken(spark, sf_dir), scratch(spark, "shuffle")
+    half = rows.agg(F.max("place")).first()[0] // 2
+    rows.filter(F.col("place") <= half).write.parquet(f"{path}/in")
+    stream = stateful.shuffle_buffer(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), CAPACITY, "seed")
+    run.run_once(stream, f"{path}/out", f"{path}/checkpoint", tasks=4)
+    rows.filter(F.col("place") > half).write.mode("append").parquet(f"{path}/in")
+    stateful.mark_end(spark, f"{path}/in")
+    return run.run_once(stream, f"{path}/out", f"{path}/checkpoint", tasks=4)
+
+
+def spoken(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("lang is not null").select(F.col("lang").alias("source"), F.col("doc_id").alias("place"))
+
+
+@query(f"""with recursive h as (select max(doc_id) // 2 as half, max(lang) as late from documents where lang is not null), b as (select lang as source, max(doc_id) as position, least(count(*), {CAPACITY}) as dropped from documents, h where doc_id <= half and lang <> late group by 1),
+ s as (select lang as source, list(doc_id order by doc_id) as ids from documents left join b on lang = b.source where lang is not null and doc_id > coalesce(position, -1) group by 1), {SHUFFLED} select r.source, turn, place, coalesce(position, -1) as position, coalesce(dropped, 0) as dropped from r left join b using (source) where turn >= 0""")
+def migrated_shuffle(spark, sf_dir):
+    """A stopped shuffle stream goes on with one source more: from its stored state the
+    positions stay, the buffered rows are dropped and counted, and draws begin again."""
+    rows, path = spoken(spark, sf_dir), scratch(spark, "migrated")
+    half, late = rows.agg(F.max("place"), F.max("source")).first()
+    rows.filter((F.col("place") <= half // 2) & (F.col("source") != late)).write.parquet(f"{path}/before")
+    run.run_once(stateful.shuffle_buffer(spark.readStream.schema(rows.schema).parquet(f"{path}/before"), CAPACITY, "seed"), f"{path}/out-before", f"{path}/checkpoint-before", tasks=4)
+    sources = sorted(r["source"] for r in rows.select("source").distinct().collect())
+    begun = store(stateful.shuffle_positions(spark, f"{path}/checkpoint-before", sources))
+    rows.write.parquet(f"{path}/in")
+    stateful.mark_end(spark, f"{path}/in")
+    stream = stateful.shuffle_buffer(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), CAPACITY, "seed", begun.select("source", "position"))
+    out = run.run_once(stream, f"{path}/out", f"{path}/checkpoint", tasks=4)
+    return out.join(begun, "source").select("source", "turn", "place", F.coalesce("position", F.lit(-1)).alias("position"), "dropped")
+
+
+#: Pages in their order: a reason against some, their keys, whether a reserved page has one.
+SEEN = f"""{KEY_SETS}, x as (select key from k where page_id % 5 = 0), o as (select page_id, row_number() over (order by page_id) as i, case when strpos(url, '?') > 0 then 'query' when url like '%#%' then 'fragment' end as reason, keys, excluded
+ from pages join (select page_id, list(distinct key) as keys, bool_or(key in (select key from x)) as excluded from k group by 1) using (page_id)),
+ r(i, page_id, verdict, seen) as (select cast(0 as bigint), cast(null as bigint), '', cast([] as varchar[]) union all select i, page_id, v, case when v = 'accepted' then list_concat(seen, keys) else seen end from
+ (select o.i, o.page_id, o.keys, seen, case when reason is not null then reason when excluded then 'reference_overlap' when list_has_any(seen, o.keys) then 'duplicate' else 'accepted' end as v from r join o on o.i = r.i + 1))"""
+
+
+def seen_run(spark, sf_dir) -> tuple[DataFrame, str]:
+    """Verdicts on all pages, and the checkpoint with their counts."""
+    path = scratch(spark, "seen")
+    keys = page_keys(spark, sf_dir)
+    reason = F.when(F.contains("url", F.lit("?")), "query").when(F.contains("url", F.lit("#")), "fragment")
+    own = keys.groupBy("page_id").agg(F.collect_set("key").alias("keys"))
+    pages = table(spark, sf_dir, "pages").join(own, "page_id").select(F.col("page_id").alias("place"), F.lit("pages").alias("source"), reason.alias("reason"), "keys")
+    pages.write.parquet(f"{path}/in")
+    stream = stateful.seen_set(spark.readStream.schema(pages.schema).parquet(f"{path}/in"), 3_000_000, keys.filter("page_id % 5 = 0").select("key").distinct())
+    return run.run_once(stream, f"{path}/out", f"{path}/checkpoint", tasks=1), f"{path}/checkpoint"
+
+
+@query(f"with recursive {SEEN} select page_id as place, verdict from r where i > 0")
+def seen_verdicts(spark, sf_dir):
+    """Pages accepted as long as none of their keys was seen or is reserved."""
+    return seen_run(spark, sf_dir)[0]
+
+
+@query(f"with recursive {SEEN} select 'pages' as source, verdict, count(*) as n from r where i > 0 group by 2")
+def seen_counts(spark, sf_dir):
+    """The counters that the stream keeps, read from its state."""
+    return stateful.seen_counts(spark, seen_run(spark, sf_dir)[1])
+
+
+#: Events in two parts, the second after the first; the watermark follows at ten days.
+PARTS = "p as (select *, event_id % 5 = 0 as second from events), m as (select date_trunc('milliseconds', max(ts)) - interval 10 days as mark from p where not second)"
+
+
+def two_parts(spark, sf_dir, label: str, plan) -> tuple[DataFrame, DataFrame]:
+    """What ``plan`` of the stream gives out, in three runs from one checkpoint: the first part,
+    the second, of which much is late, and a row far ahead that lets all windows end; and the
+    events."""
+    events, path = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), scratch(spark, label)
+    far = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("interval 1000 days")).alias("ts"))
+    last = far.select(F.lit(None).cast("long").alias("event_id"), "ts", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    for part in (events.filter("event_id % 5 <> 0"), events.filter("event_id % 5 = 0"), last):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = plan(spark.readStream.schema(events.schema).parquet(f"{path}/in"))
+        out = run.run_once(stream, f"{path}/out", f"{path}/checkpoint", tasks=4)
+    return out, events
+
+
+@query(f"""with {PARTS}, w as (select event_type, value, second, date_trunc('hour', ts) - to_hours(k) as start from p, (values (0), (1)) h(k)), g as (select event_type, start, value, not second or start + interval 2 hours > mark as kept from w, m)
+ select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) filter (where kept) as n, coalesce(round(sum(value) filter (where kept), 4), 0.0) as total, count(*) filter (where not kept) as n_late from g group by all""")
+def late_windows(spark, sf_dir):
+    """Sliding windows of a stream, and beside them how many rows came too late for each."""
+    plan = lambda s: stateful.event_counts(s, "2 hours", "10 days", "1 hour").select("window", "event_type", "n", "total")
+    kept, events = two_parts(spark, sf_dir, "late-windows", plan)
+    came = events.groupBy(F.window("ts", "2 hours", "1 hour").alias("window"), "event_type").agg(F.count("*").alias("came"))
+    n = F.coalesce("n", F.lit(0))
+    joined = came.join(kept, ["window", "event_type"], "left")
+    return joined.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", n.alias("n"), F.coalesce(F.round("total", 4), F.lit(0.0)).alias("total"), (F.col("came") - n).alias("n_late"))
+
+
+#: Sessions of some rows (user_id, ts): the number of each row's session.
+IN_SESSIONS = """select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k
+ from (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from {0})"""
+
+
+@query(f"""with {PARTS}, one as (select user_id, ts from p where not second), a as ({IN_SESSIONS.format('one')}), b as (select a.*, max(ts) over (partition by user_id, k) + interval 30 minutes <= mark as closed from a, m),
+ two as (select user_id, ts from b where not closed union all select user_id, ts from p, m where second and ts + interval 30 minutes > mark), c as ({IN_SESSIONS.format('two')}), s as (select user_id, k, ts, closed from b where closed union all select user_id, k, ts, false from c)
+ select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, count(*) as n, 'session' as kind from s group by user_id, closed, k
+ union all select user_id, '' as start, count(*) as n, 'late' as kind from p, m where second and ts + interval 30 minutes <= mark group by 1""")
+def late_sessions(spark, sf_dir):
+    """Sessions of a stream, which rows may join until the watermark passes their end, and
+    how many rows came too late."""
+    kept, events = two_parts(spark, sf_dir, "late-sessions", lambda s: stateful.event_sessions(s, "30 minutes", "10 days").select("user_id", "session_window", "n"))
+    counted = kept.filter("user_id is not null").groupBy("user_id").agg(F.sum("n").alias("kept"))
+    came = events.groupBy("user_id").agg(F.count("*").alias("came")).join(counted, "user_id", "left")
+    late = came.select("user_id", F.lit("").alias("start"), (F.col("came") - F.coalesce("kept", F.lit(0))).alias("n"), F.lit("late").alias("kind")).filter("n > 0")
+    sessions = kept.filter("user_id is not null").select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n", F.lit("session").alias("kind"))
+    return sessions.unionByName(late)
 
 
 CARDS = [("What flies?", "A kite."), ("What swims?", "A carp."), ("What burns?", "A candle.")]

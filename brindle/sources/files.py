@@ -157,20 +157,6 @@ def newest(states: DataFrame, keep: int) -> DataFrame:
     return states.orderBy(F.col("step").desc()).limit(keep)
 
 
-def migrated(state: dict, sources: dict[str, int]) -> dict:
-    """A stream's state for a changed mixture: raw positions and the keys accepted lately stay;
-    rows read but not consumed are dropped and counted; a source may be added, but none that
-    has been read may go; the mixture's counters start again."""
-    gone = set(state["sources"]) - set(sources)
-    if gone:
-        raise ValueError(f"sources with a position can't go: {sorted(gone)}")
-    own = {name: state["sources"].get(name, {"position": None, "rows": 0, "buffer": []}) for name in sources}
-    return {
-        "sources": {name: {**s, "buffer": []} for name, s in own.items()}, "dropped": {name: len(s["buffer"]) for name, s in own.items()}, "weights": dict(sources),
-        "offsets": {name: state["offsets"].get(name, 0) for name in sources}, "stage_offsets": dict.fromkeys(sources, 0), "seen": [f"content:{k}" for k in state.get("recent", [])],
-    }
-
-
 def check_transition(before: dict, after: dict, may_change: set[str]) -> None:
     """A later configuration may differ from the earlier one in named keys alone."""
     changed = {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}

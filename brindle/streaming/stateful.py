@@ -1,172 +1,254 @@
-"""Streams: deduplication over the last accepted rows, shuffle buffers, event windows."""
+"""Stateful streams: the last accepted rows, shuffle buffers, bounded seen-sets, late data.
+
+State is kept in RocksDB by ``transformWithState``: a batch reads and writes the entries that
+its rows touch, whatever the size of the state, and a restart takes it from the checkpoint.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import json
-import queue
-import threading
-import time
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-class FifoDedup:
-    """Accepts a key unless it is among the last ``size`` accepted ones; a hit doesn't
-    refresh its place."""
-
-    def __init__(self, size: int, seen: list[str] | None = None):
-        self.size, self.order = size, deque(seen or [])
-        self.held = set(self.order)
+from pyspark.sql.streaming import StatefulProcessor
+
+#: Event times of rows, of the timers that end a source, and of the row that sets them off.
+ROW_TIME, TIMER_TIME, END_TIME = 5 * 86_400, 10 * 86_400, 20 * 86_400
+
+
+class FifoWindow(StatefulProcessor):
+    """Accepts a key unless it is among the last ``size`` accepted ones; a hit doesn't refresh
+    its place.  ``ring`` has the key of each slot, ``held`` those in the window."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle) -> None:
+        self.held = handle.getMapState("held", "key string", "turn long")
+        self.ring = handle.getMapState("ring", "slot long", "key string")
+        self.accepted = handle.getValueState("accepted", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("place", kind="stable")
+        n = self.accepted.get()[0] if self.accepted.exists() else 0
+        held: dict[str, int | None] = {}
+        ring: dict[int, str] = {}
+        before, kept = n, []
+        for k in frame["key"]:
+            if k not in held:
+                held[k] = n if self.held.containsKey((k,)) else None
+            kept.append(held[k] is None)
+            if held[k] is None:
+                slot = n % self.size
+                if n >= self.size:
+                    held[ring[slot] if slot in ring else self.ring.getValue((slot,))[0]] = None
+                ring[slot], held[k], n = k, n, n + 1
+        if n > before:
+            for slot, k in ring.items():
+                self.ring.updateValue((slot,), (k,))
+            for k, turn in held.items():
+                if turn is None:
+                    self.held.removeKey((k,))
+                elif turn >= before:
+                    self.held.updateValue((k,), (turn,))
+            self.accepted.update((n,))
+        yield frame[kept][["place", "key"]]
 
-    def accept(self, key: str) -> bool:
-        if key in self.held:
-            return False
-        self.order.append(key)
-        self.held.add(key)
-        if len(self.order) > self.size:
-            self.held.discard(self.order.popleft())
-        return True
-
-
-class ShuffleBuffer:
-    """Holds ``capacity`` rows; a further row goes in the place of one that is drawn by the
-    hash of seed, source and number of draws."""
+    def close(self) -> None:
+        pass
+
+
+class ShuffleBuffer(StatefulProcessor):
+    """Per source: holds ``capacity`` rows; a further row takes the place of one that is drawn
+    by the hash of seed, source and number of draws; a timer at the end of the stream draws the
+    rest.  Rows up to the position that a source begins at were consumed before."""
+
+    def __init__(self, capacity: int, seed: str):
+        self.capacity, self.seed = capacity, seed
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot long", "place long")
+        self.counters = handle.getValueState("counters", "held long, draws long, position long")
+
+    def _open(self) -> None:
+        self.have: dict[int, int] = {}
+        self.changed: set[int] = set()
+        self.n, self.draws, self.position = self.counters.get() if self.counters.exists() else (0, 0, None)
+        self.stored = self.n
+
+    def _slot(self, i: int) -> int:
+        if i not in self.have:
+            self.have[i] = self.slots.getValue((i,))[0]
+        return self.have[i]
+
+    def _draw(self, source: str) -> int:
+        digest = hashlib.sha256(f"{self.seed}:{source}:{self.draws}".encode()).hexdigest()
+        at, self.n, self.draws = int(digest, 16) % self.n, self.n - 1, self.draws + 1
+        drawn, moved = self._slot(at), self._slot(self.n)
+        self.have[at] = moved
+        self.changed |= {at}
+        return drawn
+
+    def _close(self) -> None:
+        for i in range(self.n, self.stored):
+            self.slots.removeKey((i,))
+        for i in self.changed:
+            if i < self.n:
+                self.slots.updateValue((i,), (self.have[i],))
+        self.counters.update((self.n, self.draws, self.position))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._open()
+        out, first, known = [], self.draws, self.position
+        for place in pd.concat(list(rows))["place"].dropna().astype("int64").sort_values().tolist():
+            if known is not None and place <= known:
+                continue
+            self.have[self.n], self.position, self.n = place, place, self.n + 1
+            self.changed.add(self.n - 1)
+            if self.n > self.capacity:
+                out.append(self._draw(key[0]))
+        if key[0] is not None:
+            self._close()
+            self.handle.registerTimer(TIMER_TIME * 1000)
+        yield self._rows(key[0], first, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._open()
+        first = self.draws
+        out = [self._draw(key[0]) for _ in range(self.n)]
+        self._close()
+        yield self._rows(key[0], first, out)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        position = initialState["position"].iloc[0]
+        self.counters.update((0, 0, None if pd.isna(position) else int(position)))
+
+    @staticmethod
+    def _rows(source, first: int, out: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"source": pd.Series([source] * len(out), dtype=object), "turn": pd.Series(range(first, first + len(out)), dtype="int64"), "place": pd.Series(out, dtype="int64")})
 
-    def __init__(self, capacity: int, seed: str, source: str, rows: list | None = None, draws: int = 0):
-        self.capacity, self.seed, self.source, self.rows, self.draws = capacity, seed, source, list(rows or []), draws
+    def close(self) -> None:
+        pass
+
+
+class SeenSet(StatefulProcessor):
+    """Rows have several keys.  A row is accepted if it has no reason against it and none of
+    its keys is excluded or was seen with an accepted row; more than ``cap`` seen keys are an
+    error, which fails the batch before it is committed.  ``counts`` has rows by source and
+    verdict."""
+
+    def __init__(self, cap: int):
+        self.cap = cap
+
+    def init(self, handle) -> None:
+        self.seen = handle.getMapState("seen", "key string", "place long")
+        self.excluded = handle.getMapState("excluded", "key string", "place long")
+        self.counts = handle.getMapState("counts", "source string, verdict string", "n long")
+        self.total = handle.getValueState("total", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("place", kind="stable")
+        total = self.total.get()[0] if self.total.exists() else 0
+        new: dict[str, int] = {}
+        counts: Counter = Counter()
+        verdicts = []
+        for place, source, reason, keys in zip(frame["place"], frame["source"], frame["reason"], frame["keys"], strict=True):
+            own = list(dict.fromkeys(keys))
+            if reason is not None:
+                verdict = reason
+            elif any(self.excluded.containsKey((k,)) for k in own):
+                verdict = "reference_overlap"
+            elif any(k in new or self.seen.containsKey((k,)) for k in own):
+                verdict = "duplicate"
+            elif total + len(new) + len(own) > self.cap:
+                raise RuntimeError(f"more than {self.cap} keys would be kept; none is forgotten silently")
+            else:
+                verdict = "accepted"
+                new |= dict.fromkeys(own, int(place))
+            verdicts.append(verdict)
+            counts[(source, verdict)] += 1
+        for k, place in new.items():
+            self.seen.updateValue((k,), (place,))
+        for k, n in counts.items():
+            self.counts.updateValue(k, (n + (self.counts.getValue(k)[0] if self.counts.containsKey(k) else 0),))
+        self.total.update((total + len(new),))
+        yield pd.DataFrame({"place": frame["place"].to_numpy(), "verdict": pd.Series(verdicts, dtype=object)})
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for k in initialState["key"]:
+            self.excluded.updateValue((k,), (-1,))
 
-    def _draw(self):
-        digest = hashlib.sha256(f"{self.seed}:{self.source}:{self.draws}".encode()).hexdigest()
-        self.draws += 1
-        at = int(digest, 16) % len(self.rows)
-        self.rows[at], self.rows[-1] = self.rows[-1], self.rows[at]
-        return self.rows.pop()
+    def close(self) -> None:
+        pass
 
-    def push(self, row) -> list:
-        self.rows.append(row)
-        return [self._draw()] if len(self.rows) > self.capacity else []
 
-    def drain(self) -> list:
-        return [self._draw() for _ in range(len(self.rows))]
+def _owned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("owner", F.lit(0))
 
 
 def fifo_dedup(stream: DataFrame, size: int) -> DataFrame:
-    """Rows (place, key) accepted by one window over all sources.
-
-    The window counts accepted rows of the whole stream, so it has a single owner: its
-    state is one group's, bounded by ``size``."""
-
-    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        window = FifoDedup(size, json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(frames)).sort_values("place")
-        kept = rows[[window.accept(k) for k in rows["key"]]]
-        state.update((json.dumps(list(window.order)),))
-        yield kept[["place", "key"]]
+    """Rows (place, key) accepted by one window over all sources; a null key counts as ''.
 
-    return stream.withColumn("owner", F.lit(0)).groupBy("owner").applyInPandasWithState(step, "place long, key string", "seen string", "append", GroupStateTimeout.NoTimeout)
+    The window counts accepted rows of the whole stream, so it has a single owner; a batch's
+    keys are held in memory, so the source should bound its batches."""
+    rows = _owned(stream.select("place", F.coalesce("key", F.lit("")).alias("key")))
+    return rows.groupBy("owner").transformWithStateInPandas(FifoWindow(size), "place long, key string", "Append", "None")
 
 
-def shuffle_buffer(stream: DataFrame, capacity: int, seed: str) -> DataFrame:
+def shuffle_buffer(stream: DataFrame, capacity: int, seed: str, begun: DataFrame | None = None) -> DataFrame:
     """Rows (source, place) in the order that each source's buffer gives them out, numbered.
-    What a buffer still holds comes out when later rows push it, and all of it when a row
-    whose place is null marks the end of its source."""
+    The row that ``mark_end`` writes after the last one ends all sources.  ``begun`` (source,
+    position) has the sources that were read before, as ``shuffle_positions`` gives them."""
+    ended = F.col("source").isNull() & F.col("place").isNull()
+    rows = stream.withColumn("ts", F.timestamp_seconds(F.when(ended, F.lit(END_TIME)).otherwise(F.lit(ROW_TIME)))).withWatermark("ts", "1 day")
+    return rows.groupBy("source").transformWithStateInPandas(ShuffleBuffer(capacity, seed), "source string, turn long, place long", "Append", "EventTime", initialState=None if begun is None else begun.groupBy("source"))
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, draws, given = json.loads(state.get[0]) if state.exists else ([], 0, 0)
-        buffer = ShuffleBuffer(capacity, seed, key[0], held, draws)
-        rows = pd.concat(list(frames)).sort_values("place")
-        out = [x for p in rows["place"].dropna().astype("int64").tolist() for x in buffer.push(p)]
-        out += buffer.drain() if rows["place"].isna().any() else []
-        state.update((json.dumps((buffer.rows, buffer.draws, given + len(out))),))
-        yield pd.DataFrame({"source": [key[0]] * len(out), "turn": range(given, given + len(out)), "place": out})
 
-    return stream.groupBy("source").applyInPandasWithState(step, "source string, turn long, place long", "held string", "append", GroupStateTimeout.NoTimeout)
+def mark_end(spark: SparkSession, path: str) -> None:
+    """Write the row that ends the sources of a stream of (source, place) rows."""
+    spark.createDataFrame([(None, None)], "source string, place long").write.mode("append").parquet(path)
 
 
-def shuffled(rows: DataFrame, capacity: int, seed: str) -> DataFrame:
-    """The same order for a finished table: source, turn, place; every row comes out."""
+def shuffle_positions(spark: SparkSession, checkpoint: str, sources: list[str]) -> DataFrame:
+    """For a changed set of ``sources``, from the stored state of the stream before: source,
+    position (null for a new source), and how many rows its buffer still held.  Those are
+    dropped: they were taken in under other rules.  A source can't be left out."""
+    read = spark.read.format("statestore").option("stateVarName", "counters").load(checkpoint)
+    have = read.select(F.col("key.source").alias("source"), F.col("value.position").alias("position"), F.col("value.held").alias("dropped")).filter("source is not null")
+    lost = have.filter(~F.col("source").isin(sources)).count()
+    if lost:
+        raise ValueError(f"{lost} sources of the saved state are left out")
+    named = spark.createDataFrame([(s,) for s in sources], "source string")
+    return named.join(have, "source", "left").select("source", "position", F.coalesce("dropped", F.lit(0)).alias("dropped"))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        buffer = ShuffleBuffer(capacity, seed, key[0])
-        out = [x for p in sorted(frame["place"]) for x in buffer.push(p)] + buffer.drain()
-        return pd.DataFrame({"source": [key[0]] * len(out), "turn": range(len(out)), "place": out})
 
-    return rows.groupBy("source").applyInPandas(run, "source string, turn long, place long")
+def seen_set(stream: DataFrame, cap: int, excluded: DataFrame | None = None) -> DataFrame:
+    """place, verdict of every row (place, source, reason, keys); ``excluded`` has a column key.
 
+    That no key of an accepted row comes twice is a statement on the whole stream in its order,
+    so there is a single owner, whose state ``cap`` bounds."""
+    rows = _owned(stream.select("place", "source", "reason", "keys"))
+    begin = None if excluded is None else _owned(excluded.select("key")).groupBy("owner")
+    return rows.groupBy("owner").transformWithStateInPandas(SeenSet(cap), "place long, verdict string", "Append", "None", initialState=begin)
 
-def first_by_provenance(stream: DataFrame, key: str) -> DataFrame:
-    """Exact deduplication over the whole stream, in the state store; ``run_once`` bounds how
-    many keys may be kept."""
-    return stream.dropDuplicates([key])
 
+def seen_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """source, verdict, n of a stored seen-set."""
+    read = spark.read.format("statestore").option("stateVarName", "counts").load(checkpoint)
+    return read.select("user_map_key.source", "user_map_key.verdict", F.col("user_map_value.n").alias("n"))
 
-def event_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+
+def event_counts(stream: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
     """Rows and sum of value by type and window of event time; later rows than ``late`` go."""
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
-def run_once(stream: DataFrame, path: str, checkpoint: str, max_state: int | None = None) -> DataFrame:
-    """Process what is there, append it to ``path``, and read all of it.  A state of more than
-    ``max_state`` rows is an error: keys are never forgotten silently."""
-    running = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    running.awaitTermination()
-    held = max((s["numRowsTotal"] for p in running.recentProgress for s in p["stateOperators"]), default=0)
-    if max_state is not None and held > max_state:
-        raise RuntimeError(f"the state holds {held} rows, more than {max_state}")
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
-
-
-class Prefetched:
-    """Batches of an ordered iterator, read ahead by a thread.
-
-    ``cursor`` is the place after the last batch that was taken, not the last that was read;
-    a source that fails is opened again at its place, ``tries`` times, waiting 1, 2, 4 and at
-    most 8 times ``pause`` seconds; a source that ends is an error, never begun again."""
-
-    def __init__(self, open_at, cursor: int = 0, ahead: int = 4, tries: int = 3, pause: float = 1.0, retry=(OSError,)):
-        self.open_at, self.cursor, self.tries, self.pause, self.retry = open_at, cursor, tries, pause, retry
-        self.ready: queue.Queue = queue.Queue(maxsize=ahead)
-        self.stopped = threading.Event()
-        self.thread = threading.Thread(target=self._read, args=(cursor,), daemon=True)
-        self.thread.start()
-
-    def _put(self, item) -> None:
-        while not self.stopped.is_set():
-            try:
-                return self.ready.put(item, timeout=0.1)
-            except queue.Full:
-                continue
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
-    def _read(self, at: int) -> None:
-        failed = 0
-        while not self.stopped.is_set():
-            try:
-                for batch in self.open_at(at):
-                    at, failed = at + 1, 0
-                    self._put((batch, at, None))
-                    if self.stopped.is_set():
-                        return
-                return self._put((None, at, EOFError("the source is exhausted")))
-            except self.retry as error:
-                failed += 1
-                if failed > self.tries:
-                    return self._put((None, at, error))
-                time.sleep(min(8, 2 ** (failed - 1)) * self.pause)
-
-    def next(self):
-        batch, after, error = self.ready.get()
-        if error is not None:
-            raise error
-        self.cursor = after
-        return batch
 
-    def close(self) -> None:
-        self.stopped.set()
-        self.thread.join()
+def event_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """Rows by user and session of event time; later rows than ``late`` go."""
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@
 import difflib
 import hashlib
 import json
+import os
 import random
 import threading
 import time
@@ -14,7 +15,7 @@ import __spark_entry__
 from brindle import __main__ as command
 from brindle.operators import graph, jobs, screens, select
 from brindle.sources import files
-from brindle.streaming import stateful
+from brindle.streaming import run, source, stateful
 
 SF = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.queries()
@@ -40,7 +41,7 @@ def test_pinned_tables_and_streams(spark, tmp_path):
     assert files.pinned(spark, folder, revision).count() == 30
     stream = files.pinned(spark, folder, revision, stream=True)
     assert stream.isStreaming
-    assert stateful.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check").count() == 30
+    assert run.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check").count() == 30
     spark.range(1).write.mode("append").parquet(folder)
     with pytest.raises(ValueError, match="is at"):
         files.pinned(spark, folder, revision)
@@ -56,18 +57,11 @@ def test_samples_that_changed_are_refused(spark, tmp_path):
         files.write_sample(rows, path, 9, "part")
 
 
-def test_saved_states_and_migration(spark, tmp_path):
+def test_saved_states(spark, tmp_path):
     folder = f"file://{tmp_path}/states"
     for step in range(4):
         kept = files.save_state(spark, folder, step, {"loss": abs(step - 1.2)}, keep=2)
     assert [(r["step"], r["best"]) for r in kept.orderBy("age").collect()] == [(3, False), (2, False)]
-    state = {"sources": {"a": {"position": 7, "rows": 7, "buffer": [1, 2]}}, "offsets": {"a": 32}, "recent": ["k"]}
-    after = files.migrated(state, {"a": 3, "b": 1})
-    assert after["sources"] == {"a": {"position": 7, "rows": 7, "buffer": []}, "b": {"position": None, "rows": 0, "buffer": []}}
-    assert after["dropped"] == {"a": 2, "b": 0} and after["offsets"] == {"a": 32, "b": 0} and after["stage_offsets"] == {"a": 0, "b": 0}
-    assert after["seen"] == ["content:k"] and state["sources"]["a"]["buffer"] == [1, 2]
-    with pytest.raises(ValueError, match="can't go"):
-        files.migrated(state, {"b": 1})
 
 
 def shuffle_by_hand(places, capacity, seed, source):
@@ -83,70 +77,155 @@ def shuffle_by_hand(places, capacity, seed, source):
     return out
 
 
+def in_parts(spark, path, rows, parts, plan, tasks=2):
+    """A stream of the parts, each run from the same checkpoint."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        out = run.run_once(plan(spark.readStream.schema(rows.schema).parquet(f"{path}/in")), f"{path}/out", f"{path}/check", tasks=tasks)
+    return out
+
+
 def test_shuffle_buffers_drain(spark, tmp_path):
     rows = [("a", i) for i in range(50)] + [("b", i) for i in range(7)]
     want = {s: shuffle_by_hand([p for x, p in rows if x == s], 10, "seed", s) for s in "ab"}
     frame = spark.createDataFrame(rows, "source string, place long")
-    for got in (stateful.shuffled(frame, 10, "seed"),):
-        for s in "ab":
-            assert [r["place"] for r in got.filter(F.col("source") == s).orderBy("turn").collect()] == want[s]
-    source = f"{tmp_path}/in"
-    frame.unionByName(spark.createDataFrame([("a", None), ("b", None)], frame.schema)).coalesce(1).write.parquet(source)
-    stream = stateful.shuffle_buffer(spark.readStream.schema(frame.schema).parquet(source), 10, "seed")
-    got = stateful.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+    end = spark.createDataFrame([(None, None)], frame.schema)
+    got = in_parts(spark, tmp_path, frame, [frame.filter("place < 13"), frame.filter("place >= 13"), end], lambda s: stateful.shuffle_buffer(s, 10, "seed")).collect()
     for s in "ab":
-        assert [r["place"] for r in got.filter(F.col("source") == s).orderBy("turn").collect()] == want[s]
-
-
-def test_state_has_a_bound(spark, tmp_path):
-    spark.range(100).selectExpr("cast(id % 40 as string) as key").coalesce(1).write.parquet(f"{tmp_path}/in")
-    read = lambda: stateful.first_by_provenance(spark.readStream.schema("key string").parquet(f"{tmp_path}/in"), "key")
-    assert stateful.run_once(read(), f"{tmp_path}/a", f"{tmp_path}/ca", max_state=40).count() == 40
-    with pytest.raises(RuntimeError, match="more than 39"):
-        stateful.run_once(read(), f"{tmp_path}/b", f"{tmp_path}/cb", max_state=39)
-
-
-def test_fifo_window_forgets_in_order():
-    keys = [str(x) for x in (1, 2, 3, 1, 4, 1, 2, 5, 3, 1)]
-    window, order, kept = stateful.FifoDedup(3), [], []
-    for k in keys:
+        own = sorted((r["turn"], r["place"]) for r in got if r["source"] == s)
+        assert [p for _, p in own] == want[s] and [t for t, _ in own] == list(range(len(own)))
+
+
+def test_migration_keeps_positions_and_counts_what_is_dropped(spark, tmp_path):
+    frame = spark.createDataFrame([("a", i) for i in range(15)] + [("b", i) for i in range(3)], "source string, place long")
+    in_parts(spark, tmp_path, frame, [frame], lambda s: stateful.shuffle_buffer(s, 10, "seed"))
+    begun = stateful.shuffle_positions(spark, f"{tmp_path}/check", ["a", "b", "c"])
+    assert sorted(map(tuple, begun.collect())) == [("a", 14, 10), ("b", 2, 3), ("c", None, 0)]
+    with pytest.raises(ValueError, match="left out"):
+        stateful.shuffle_positions(spark, f"{tmp_path}/check", ["a", "c"])
+    more = frame.unionByName(spark.createDataFrame([("a", i) for i in range(15, 20)] + [("c", 1), (None, None)], frame.schema))
+    got = in_parts(spark, tmp_path / "b", frame, [more], lambda s: stateful.shuffle_buffer(s, 10, "seed", begun.select("source", "position"))).collect()
+    assert sorted((r["source"], r["place"]) for r in got) == [*(("a", i) for i in range(15, 20)), ("c", 1)]
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "place long, source string, reason string, keys array<string>")
+
+
+def test_seen_keys_have_a_cap(spark, tmp_path):
+    rows = keyed(spark, [(0, "s", None, ["a", "x"]), (1, "s", "short", ["b"]), (2, "t", None, ["x", "c"]), (3, "s", None, ["c"]), (4, "t", None, ["q"]), (5, "s", None, ["b"]), (6, "s", None, ["b", "b"])])
+    late = keyed(spark, [(7, "s", None, ["c", "d"]), (8, "s", None, ["e"]), (9, "s", None, ["f"])])
+    banned = spark.createDataFrame([("q",)], "key string")
+    plan = lambda s: stateful.seen_set(s, 5, banned)
+    got = in_parts(spark, tmp_path, rows, [rows], plan, tasks=1)
+    want = ["accepted", "short", "duplicate", "accepted", "reference_overlap", "accepted", "duplicate"]
+    assert [r["verdict"] for r in got.orderBy("place").collect()] == want
+    counts = {(r["source"], r["verdict"]): r["n"] for r in stateful.seen_counts(spark, f"{tmp_path}/check").collect()}
+    assert counts == {("s", "accepted"): 3, ("s", "short"): 1, ("t", "duplicate"): 1, ("t", "reference_overlap"): 1, ("s", "duplicate"): 1}
+    with pytest.raises(Exception, match="more than 5 keys"):
+        in_parts(spark, tmp_path, rows, [late], plan, tasks=1)
+    assert spark.read.schema("place long, verdict string").parquet(f"{tmp_path}/out").count() == len(want)  # nothing of the failing batch
+    assert {(r["source"], r["verdict"]): r["n"] for r in stateful.seen_counts(spark, f"{tmp_path}/check").collect()} == counts
+
+
+def fifo_by_hand(keys, size):
+    order, kept = [], []
+    for i, k in enumerate(keys):
         if k not in order:
-            order = [*order, k][-3:]
-            kept.append(k)
-    assert [k for k in keys if window.accept(k)] == kept
-
-
-def test_prefetch_saves_what_was_consumed():
-    opened, faults = [], [5]
-
-    def source(at):
-        opened.append(at)
-        for i in range(at, 9):
-            if faults and i == faults[0]:
-                faults.pop()
-                raise OSError("gone")
-            yield i * i
-
-    reader = stateful.Prefetched(source, ahead=3, pause=0.01)
-    assert [reader.next() for _ in range(4)] == [0, 1, 4, 9]
-    time.sleep(0.1)
-    assert reader.cursor == 4
-    reader.close()
-    again = stateful.Prefetched(source, cursor=reader.cursor, pause=0.01)
-    assert [again.next() for _ in range(5)] == [16, 25, 36, 49, 64]
-    with pytest.raises(EOFError):
-        again.next()
-    again.close()
-    assert opened[0] == 0 and 4 in opened
-
-    def broken(at):
-        raise OSError("never there")
-        yield
-
-    failing = stateful.Prefetched(broken, tries=2, pause=0.01)
-    with pytest.raises(OSError, match="never there"):
-        failing.next()
-    failing.close()
+            order = [*order, k][-size:]
+            kept.append((i, k))
+    return kept
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_fifo_window_forgets_in_order(spark, tmp_path, size):
+    r = random.Random(size)
+    keys = [str(r.randrange(8 if size < 10 else 90)) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(keys)), "place long, key string")
+    parts = [frame.filter("place < 50"), frame.filter("place between 50 and 60"), frame.filter("place > 60")]
+    got = in_parts(spark, tmp_path, frame, parts, lambda s: stateful.fifo_dedup(s, size), tasks=1)
+    assert sorted((x["place"], x["key"]) for x in got.collect()) == fifo_by_hand(keys, size)
+
+
+def test_fifo_window_stores_what_changed(spark, tmp_path):
+    """A batch of 10 rows writes about as many entries, whether the window has 100 or 4,000."""
+    written = {}
+    for size in (100, 4000):
+        path = f"{tmp_path}/{size}"
+        spark.range(5000).selectExpr("id as place", "cast(id as string) as key").coalesce(1).write.parquet(f"{path}/in")
+        stream = stateful.fifo_dedup(spark.readStream.schema("place long, key string").parquet(f"{path}/in"), size)
+        run.run_once(stream, f"{path}/out", f"{path}/check", tasks=1)
+        spark.range(5000, 5010).selectExpr("id as place", "cast(id as string) as key").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        with run._settings(spark, 1, True):
+            again = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+        again.awaitTermination()
+        written[size] = max(s["numRowsUpdated"] for p in again.recentProgress for s in p["stateOperators"])
+    assert written[100] == written[4000] <= 30
+
+
+def flaky(path):
+    """Opens a file that fails once in the middle of each reading until a mark is there."""
+    file, mark = source.open_file(path), f"{path}.failed"
+    if not os.path.exists(mark):
+        open(mark, "w").close()
+        raise OSError("gone")
+    return file
+
+
+def never(path):
+    raise OSError("never there")
+
+
+def test_source_goes_on_where_it_was(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id * id as square").repartitionByRange(3, "id").sortWithinPartitions("id").write.option("parquet.block.size", 512).parquet(f"{tmp_path}/in")
+    options = {"rows": 30, "task_rows": 7, "pause": 0.01}
+    stream = lambda **more: source.rows_stream(spark, f"{tmp_path}/in", "square long, id long", f"{tmp_path}/check", **(options | more))
+    assert source.consumed(f"{tmp_path}/check") == 0
+    assert run.drain(stream(), f"{tmp_path}/out", f"{tmp_path}/check", batches=2) is False
+    done = source.consumed(f"{tmp_path}/check")
+    assert 60 <= done < 100
+    first = spark.read.parquet(f"{tmp_path}/out").filter("_metadata.file_path is not null")
+    assert sorted(r["id"] for r in first.collect())[:60] == list(range(60))
+    assert run.drain(stream(opener=f"{__name__}.flaky"), f"{tmp_path}/out", f"{tmp_path}/check") is True
+    assert source.consumed(f"{tmp_path}/check") == 100
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select("id", "square").collect())) == [(i, i * i) for i in range(100)]
+    assert run.drain(stream(), f"{tmp_path}/out", f"{tmp_path}/check") is True  # an ended source isn't begun again
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+    spark.range(5).selectExpr("id", "id as square").write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="aren't those that the cursor was saved for"):
+        run.drain(stream(), f"{tmp_path}/out", f"{tmp_path}/check")
+
+
+def test_source_gives_up(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    stream = source.rows_stream(spark, f"{tmp_path}/in", "id long", f"{tmp_path}/check", opener=f"{__name__}.never", pause=0.01, attempts=3)
+    with pytest.raises(Exception, match="never there"):
+        run.drain(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+
+
+def test_reader_tries_again_with_growing_pauses(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.types import StructType
+
+    pq.write_table(pa.table({"id": range(40)}), f"{tmp_path}/a.parquet", row_group_size=10)
+    slept = []
+    monkeypatch.setattr(source.time, "sleep", slept.append)
+    reader = source.RowReader(StructType.fromDDL("id long"), {"path": str(tmp_path), "checkpoint": f"{tmp_path}/none", "attempts": 6, "opener": f"{__name__}.never"})
+    with pytest.raises(OSError):
+        reader.latestOffset()
+    assert slept == [1, 2, 4, 8, 8]
+    reader = source.RowReader(StructType.fromDDL("id long"), {"path": str(tmp_path), "checkpoint": f"{tmp_path}/none", "rows": 25})
+    end = reader.latestOffset()
+    assert (end, reader.latestOffset()) == (reader.offset(0, 25, 25), end)
+    pieces = reader.partitions(reader.initialOffset(), end)
+    assert [b for p in pieces for x in reader.read(p) for b in x["id"].to_pylist()] == list(range(25))
+    last = reader.latestOffset()
+    assert last["rows"] == 40 and [b for p in reader.partitions(end, last) for x in reader.read(p) for b in x["id"].to_pylist()] == list(range(25, 40))
+    with pytest.raises(EOFError, match="exhausted after 40 rows"):
+        reader.latestOffset()
+    reader.wait = True
+    assert reader.latestOffset() == last
 
 
 def test_ancestors_of_any_depth(spark):
