@@ -72,26 +72,42 @@ def mcnemar(counts: DataFrame) -> DataFrame:
     return counts.mapInPandas(run, StructType([*counts.schema.fields, StructField("p", DoubleType())]))
 
 
-def bootstrap(deltas: DataFrame, column: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """Mean of the draws' means and their 2.5 and 97.5 % points.
-
-    A paired difference is -1, 0 or 1, so a draw of n rows is a multinomial draw over three
-    counts: only the counts leave the rows, whatever their number."""
-    counts = deltas.agg(F.count_if(F.col(column) < 0).alias("lost"), F.count_if(F.col(column) == 0).alias("same"), F.count_if(F.col(column) > 0).alias("gained"))
-
-    def run(frames):
-        import numpy as np
-
-        for frame in frames:
-            for r in frame.itertuples():
-                n = r.lost + r.same + r.gained
-                if n:
-                    got = np.random.default_rng(seed).multinomial(n, [r.lost / n, r.same / n, r.gained / n], draws)
-                    mean = (got[:, 2] - got[:, 0]) / n
-                    low, high = np.quantile(mean, [0.025, 0.975])
-                    yield pd.DataFrame({"n": [n], "delta": [(r.gained - r.lost) / n], "low": [low], "high": [high]})
-
-    return counts.mapInPandas(run, "n long, delta double, low double, high double")
+def poisson_steps(bits: int = 16) -> list[int]:
+    """Least numbers of ``bits`` bits that mean one, two and more of a Poisson variable of mean
+    1 by its inverse distribution function."""
+    out, mass, total = [], math.exp(-1), 0.0
+    for k in range(1, 99):
+        total += mass
+        step = math.floor(total * (1 << bits))
+        if step >= (1 << bits) - 1:
+            break
+        out.append(step)
+        mass /= k
+    return out
+
+
+#: Draws that one digest of 64 hexadecimal digits has, and digits of each.
+PER_DIGEST, DIGITS = 16, 4
+
+
+def bootstrap(rows: DataFrame, column: str, key: str, draws: int = 1000, seed: str = "bootstrap") -> DataFrame:
+    """Number and mean of a column's values and the 2.5 and 97.5 % points of its bootstrapped mean.
+
+    In each draw a row counts as often as a Poisson variable of mean 1 says, which is read off
+    the hash of draw and key: any engine finds the same weights, and no row is gathered.  A row
+    becomes one of each digest, and tasks sum the weights of a digest's draws before a shuffle
+    of draws / 16 rows a task."""
+    digits = F.sha2(F.concat_ws(":", F.lit(seed), F.col("digest"), F.col("key")), 256)
+    each = rows.select(F.col(key).cast("string").alias("key"), F.col(column).cast("double").alias("x")).filter("x is not null")
+    each = each.withColumn("digest", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // PER_DIGEST) - 1)))).select("digest", "x", digits.alias("h"))
+    number = lambda j: F.conv(F.substring("h", j * DIGITS + 1, DIGITS), 16, 10).cast("int")
+    times = lambda j: sum(((number(j) >= step).cast("int") for step in poisson_steps()), F.lit(0))
+    weighed = each.select("digest", "x", *[times(j).alias(f"w{j}") for j in range(PER_DIGEST)])
+    sums = weighed.groupBy("digest").agg(*[F.struct(F.sum(f"w{j}").alias("w"), F.sum(F.col(f"w{j}") * F.col("x")).alias("x")).alias(f"s{j}") for j in range(PER_DIGEST)])
+    means = sums.select("digest", F.posexplode(F.array(*[f"s{j}" for j in range(PER_DIGEST)])).alias("j", "s")).filter((F.col("digest") * PER_DIGEST + F.col("j") < draws) & (F.col("s.w") > 0))
+    points = means.agg(*[F.percentile(F.col("s.x") / F.col("s.w"), F.lit(q)).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))])
+    whole = rows.filter(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.avg(column).alias("delta"))
+    return whole.filter("n > 0").join(points)
 
 
 def learning_rate(progress: Column, peak: float, warm: float, hold: float, floor: float) -> Column:

@@ -66,9 +66,30 @@ def paired_tests(spark, sf_dir):
     return rows.withColumn("p", F.round("p", 9))
 
 
-@query()
+def bootstrap_sql(rows: str) -> str:
+    """Weights, sums and points of ``rows`` (key, x)."""
+    times = " + ".join(f"cast(u >= {step} as int)" for step in evaluate.poisson_steps())
+    return f"""w as (select digest * {evaluate.PER_DIGEST} + j as draw, x, {times} as w from (select digest, j, x, cast(concat('0x', substr(h, j * {evaluate.DIGITS} + 1, {evaluate.DIGITS})) as int) as u
+ from (select digest, x, sha256('bootstrap:' || digest || ':' || key) as h from ({rows}), (select unnest(range(63)) as digest)), (select unnest(range({evaluate.PER_DIGEST})) as j))),
+ m as (select sum(w * x) / sum(w) as mean from w where draw < 1000 group by draw having sum(w) > 0), q as (select quantile_cont(mean, 0.025) as low, quantile_cont(mean, 0.975) as high from m)"""
+
+
+@query(f"""with {PREDICTED}, s as (select doc_id as key, cast(cast(1 = quality as int) - cast(predicted = quality as int) as double) as x from r), {bootstrap_sql('s')}
+ select count(*) as n, round(avg(x), 9) as delta, round(any_value(low), 9) as low, round(any_value(high), 9) as high from s, q""")
 def paired_bootstrap(spark, sf_dir):
-    return evaluate.bootstrap(changes(spark, sf_dir), "delta")
+    """The gate against always saying good."""
+    return rounded(evaluate.bootstrap(changes(spark, sf_dir), "delta", "doc_id"))
+
+
+def rounded(points):
+    return points.select("n", *[F.round(c, 9).alias(c) for c in ("delta", "low", "high")])
+
+
+@query(f"""with s as (select event_id as key, value as x from events where value is not null), {bootstrap_sql('s')}
+ select count(*) as n, round(avg(x), 9) as delta, round(any_value(low), 9) as low, round(any_value(high), 9) as high from s, q""")
+def bootstrap_of_values(spark, sf_dir):
+    """D12 for real numbers."""
+    return rounded(evaluate.bootstrap(table(spark, sf_dir, "events"), "value", "event_id"))
 
 
 @query(f"""with {PREDICTED}, f as (select source, avg(cast(predicted = quality as int)) as acc, bool_and(predicted = quality) as all_right from r group by source)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import packing, quality, screens, select
+from brindle.plans import corpus
 from brindle.plans.corpus import GATE, KEY, SPLIT, keyed
-from brindle.plans.generated import generated_preferences, pick_sql
+from brindle.plans.generated import pick_sql
 from brindle.plans.registry import documents, query, table
 from brindle.sources import synth
 
@@ -155,11 +156,42 @@ def grounded_answers(spark, sf_dir):
     return pairs.select("conv_id", F.size(lost).cast("long").alias("unsupported"), F.size(screens.content_words(F.col("answer"))).cast("long").alias("words"), screens.grounded(F.col("answer"), F.col("request")).alias("grounded"))
 
 
-@query()
+#: The first two replies of each conversation, and the words of their matching blocks: runs of
+#: equal words by diagonal, the longest of a stretch, then what lies before and after it.
+REPLY_PAIRS = """a as (select conv_id, text, row_number() over (partition by conv_id order by turn) as k from conversations where role = 'assistant'),
+ p as (select x.conv_id, x.text as chosen, y.text as rejected from a x join a y on x.conv_id = y.conv_id and x.k = 1 and y.k = 2),
+ ws as (select conv_id, regexp_extract_all(chosen, '\\S+') as a, regexp_extract_all(rejected, '\\S+') as b from p),
+ m as (select conv_id, i, i - j as d from (select conv_id, unnest(a) as w, generate_subscripts(a, 1) as i from ws) join (select conv_id, unnest(b) as w, generate_subscripts(b, 1) as j from ws) using (conv_id, w)),
+ g as (select *, i - row_number() over (partition by conv_id, d order by i) as island from m), runs as (select conv_id, d, min(i) as low, max(i) + 1 as high from g group by conv_id, d, island),
+ r(conv_id, al, ah, bl, bh, size) as (select conv_id, cast(1 as bigint), len(a) + 1, cast(1 as bigint), len(b) + 1, cast(0 as bigint) from ws union all
+ select conv_id, case side when 0 then al else best.s + best.n end, case side when 0 then best.s else ah end, case side when 0 then bl else best.s - best.d + best.n end, case side when 0 then best.s - best.d else bh end, case side when 0 then best.n else 0 end
+ from (select conv_id, al, ah, bl, bh, arg_max({'s': lo, 'n': hi - lo, 'd': d}, (hi - lo, -lo, d - lo)) as best from (select r.conv_id, al, ah, bl, bh, d, greatest(low, al, bl + d) as lo, least(high, ah, bh + d) as hi from r join runs on r.conv_id = runs.conv_id)
+ where hi > lo group by conv_id, al, ah, bl, bh), (values (0), (1)) t(side)), s as (select conv_id, cast(sum(size) as bigint) as size from r group by 1)"""
+
+
+def reply_pairs(spark, sf_dir):
+    """The first two replies of each conversation."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "text", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("k"))
+    side = lambda k, name: turns.filter(F.col("k") == k).select("conv_id", F.col("text").alias(name))
+    return side(1, "chosen").join(side(2, "rejected"), "conv_id")
+
+
+@query(f"""with recursive {REPLY_PAIRS}, z as (select p.*, len(a) as na, len(b) as nb, 2.0 * size / (len(a) + len(b)) as similarity, length(regexp_replace(chosen, '[^\\p{{L}}]', '', 'g')) as letters, length(regexp_replace(chosen, '[^A-Za-z]', '', 'g')) as plain from p join ws using (conv_id) join s using (conv_id))
+ select conv_id, case when chosen = rejected then 'same' when least(na, nb) < 6 then 'short' when greatest(na, nb) / least(na, nb) > 2.5 then 'length_ratio' when letters = 0 or plain / letters < 0.97 then 'script' when similarity > 0.2 then 'similar' else 'ok' end as reason,
+ round(similarity, 6) as similarity from z""")
 def preference_screen(spark, sf_dir):
-    """Generated preference pairs: the first fault, and how alike the two answers are."""
-    rows = generated_preferences(spark, sf_dir)
-    return rows.select("id", "error", screens.preference_reason(F.col("chosen"), F.col("rejected")).alias("reason"), F.round(screens.sequence_ratio("chosen", "rejected"), 6).alias("similarity"))
+    """Two replies of a conversation as a pair: the first fault, and how alike they are."""
+    rows = reply_pairs(spark, sf_dir)
+    reason = screens.preference_reason(F.col("chosen"), F.col("rejected"), min_words=6, max_similarity=0.2)
+    return rows.select("conv_id", reason.alias("reason"), F.round(screens.sequence_ratio("chosen", "rejected"), 6).alias("similarity"))
+
+
+@query()
+def copy_similarity(spark, sf_dir):
+    """Every document beside the first of its component of similar word sets, whole texts."""
+    roots, docs = corpus.dup_components(spark, sf_dir).filter("root <> doc_id"), table(spark, sf_dir, "documents")
+    pairs = roots.join(docs.select("doc_id", F.col("text").alias("own")), "doc_id").join(docs.select(F.col("doc_id").alias("root"), F.col("text").alias("first")), "root")
+    return pairs.select("doc_id", "root", F.round(screens.sequence_ratio("own", "first"), 6).alias("similarity"))
 
 
 @query(f"""with r as (select i as grp, {pick_sql(synth.PLACES, 's', 'i', "'where'")} as first from range(100) t(i)), c as (select grp, variant, first as choice0, {synth.PLACES}[list_position({synth.PLACES}, first) % 4 + 1] as choice1 from r, range(2) u(variant))
@@ -268,9 +300,7 @@ def rare_family_coverage(spark, sf_dir):
     words = T.word_list(T.norm(F.col("text")))
     families = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.length(w).cast("string"))))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce(families, F.array().cast("array<string>")).alias("families"))
-    # Rows of one family set differ by id only, so no choice needs more than the n first of them.
-    alike = F.row_number().over(Window.partitionBy("lang", "families").orderBy("doc_id"))
-    return screens.rare_first(rows.withColumn("alike", alike).filter("alike <= 10").drop("alike"), "lang", "doc_id", "families", 10)
+    return screens.rare_first(rows, "lang", "doc_id", "families", 10)
 
 
 @query("""with t as (select event_id, case event_id % 4 when 0 then props when 1 then '```json' || chr(10) || props || chr(10) || '```' when 2 then left(props, -1) else '{"a": 1, "a": ' || event_id || '}' end as body from events)
@@ -281,8 +311,8 @@ def json_objects(spark, sf_dir):
     fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
     body = F.when(kind == 0, F.col("props")).when(kind == 1, fenced).when(kind == 2, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.concat(F.lit('{"a": 1, "a": '), F.col("event_id").cast("string"), F.lit("}")))
     rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
-    plain = F.trim(F.regexp_replace("body", "```(json)?", ""))
-    return rows.select("event_id", screens.unique_keys("body").alias("valid"), plain.alias("plain")).select("event_id", "valid", F.when(F.col("valid"), F.size(F.json_object_keys("plain")).cast("long")).alias("keys"))
+    found = rows.select("event_id", screens.json_object(F.col("body")).alias("fields"))
+    return found.select("event_id", F.col("fields").isNotNull().alias("valid"), F.when(F.col("fields").isNotNull(), F.size(F.map_keys("fields")).cast("long")).alias("keys"))
 
 
 @query(f"""with d as (select doc_id, source, {KEY} as key, {SPLIT} as split, {GATE} as reason, strlen(text) + 1 as size from documents),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from brindle import __main__ as command
+from brindle.functions import sequence
 from brindle.operators import graph, jobs, screens, select
 from brindle.sources import files
 from brindle.streaming import run, source, stateful
@@ -259,8 +260,69 @@ def test_preferences(spark):
     reason = screens.preference_reason(F.col("chosen"), F.col("rejected"), strength=F.col("strength"), ratings=F.col("ratings"))
     for r in rows.select("want", reason.alias("got")).collect():
         assert r["want"] == r["got"]
-    for r in QUERIES["preference_screen"](spark, SF).join(QUERIES["generated_preferences"](spark, SF), "id").collect():
-        assert r["similarity"] == pytest.approx(difflib.SequenceMatcher(None, r["chosen"].split(), r["rejected"].split(), autojunk=False).ratio(), abs=1e-6)
+
+
+def test_sequence_ratio_is_that_of_matching_blocks(spark):
+    r = random.Random(3)
+    for _ in range(400):
+        kinds = r.choice([2, 3, 8, 50])
+        a, b = ([str(r.randrange(kinds)) for _ in range(r.randrange(0, 40))] for _ in "ab")
+        if r.random() < 0.4:
+            b = [x for x in a for x in ((x, "new") if r.random() < 0.1 else (x,) if r.random() > 0.1 else ())]
+        assert sequence.ratio(a, b) == pytest.approx(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), abs=1e-12)
+    long = [f"w{int(r.paretovariate(0.6))}" for _ in range(20_000)]
+    assert sequence.ratio(long, [w if i % 500 else "new" for i, w in enumerate(long)]) == pytest.approx(0.998)
+    rows = spark.createDataFrame([("a b", None), (None, "a"), ("", ""), ("a b c", "a c")], "a string, b string")
+    assert [x[0] for x in rows.select(sequence.sequence_ratio("a", "b")).collect()] == [None, None, 1.0, 0.8]
+
+
+def test_copies_are_compared_whole(spark):
+    got = QUERIES["copy_similarity"](spark, SF).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got
+    for r in got:
+        own = difflib.SequenceMatcher(None, texts[r["doc_id"]].split(), texts[r["root"]].split(), autojunk=False).ratio()
+        assert r["similarity"] == pytest.approx(own, abs=1e-6)
+
+
+def test_json_objects_repeat_no_key(spark):
+    cases = {
+        '{"a":1}': 1, '```json\n{"a":1,"b":{"a":2}}\n```': 2, " {} ": 0, '{"a":1,"a":2}': None, '{"x":{"b":1,"b":2}}': None, "[1]": None, "1": None, '"s"': None, "null": None, '{"a":1} more': None, '{"a":1}{"b":2}': None,
+        '{"a":1}]': None, '{"a":1}}': None, '{"a":1},{"b":2}': None, '{"a":1},"b":2': None, '{"a":1},"b"': None, '{"a":1,}': None, '{"a":tru': None, "": None, "```{\"a\": [1, 2]}```": 1, None: None,
+    }
+    rows = spark.createDataFrame([(t, n) for t, n in cases.items()], "body string, n int")
+    found = rows.select("body", "n", F.when(screens.json_object(F.col("body")).isNotNull(), F.size(F.map_keys(screens.json_object(F.col("body"))))).alias("got"))
+    for r in found.collect():
+        assert r["got"] == r["n"], r["body"]
+    assert "Python" not in QUERIES["json_objects"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def rarest_by_hand(rows, n):
+    left, seen, out = dict(sorted(rows)), {}, []
+    while left and len(out) < n:
+        best = min(left, key=lambda i: (sum(seen.get(f, 0) for f in left[i]) / max(1, len(left[i])), i))
+        for f in left.pop(best):
+            seen[f] = seen.get(f, 0) + 1
+        out.append(best)
+    return out
+
+
+def test_rare_families_first(spark):
+    r = random.Random(8)
+    pools = {p: [(i, [f"f{int(r.paretovariate(1))}" for _ in range(r.randrange(0, 5))]) for i in range(k * 1000, k * 1000 + 300)] for k, p in enumerate("ab")}
+    pools["c"] = [(9000, []), (9001, ["x", "x"])]
+    frame = spark.createDataFrame([(p, i, f) for p, rows in pools.items() for i, f in rows], "pool string, id long, families array<string>")
+    got = screens.rare_first(frame, "pool", "id", "families", 40, block=16).orderBy("turn").collect()
+    for p, rows in pools.items():
+        assert [x["id"] for x in got if x["pool"] == p] == rarest_by_hand(rows, 40)
+
+
+def test_a_pool_of_a_million_rows(spark):
+    families = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat(F.lit("f"), F.pmod(F.xxhash64("id", k), F.lit(5000)).cast("string")))
+    frame = spark.range(1_000_000).select(F.lit("p").alias("pool"), "id", families.alias("families"))
+    got = [r["id"] for r in screens.rare_first(frame, "pool", "id", "families", 30).orderBy("turn").collect()]
+    rows = [(r["id"], r["families"]) for r in frame.limit(2000).collect()]
+    assert got == rarest_by_hand(rows, 30)  # 30 picks of unseen families lie among the first rows
 
 
 def test_cancelling_stops_the_job(spark):
