@@ -58,17 +58,17 @@ URL_RULES = f"""with u as (select page_id, row_number() over () as row, coalesce
  w as (select page_id, row, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from v),
  x as (select page_id, row, host, path, case {' '.join(f"when {fits} then '{name}'" for _, name, fits in _FITS)} end as rule, case {' '.join(f"when {fits} then '{verdict}'" for verdict, _, fits in _FITS)} end as label,
  case when contains(url, '://') then list_distinct(flatten([list_transform(list_filter([regexp_extract(url, '^([^:/?#]*)://', 1)], lambda t: t <> ''), lambda t: 's:' || lower(t)), list_transform(list_filter(string_split(host, '.'), lambda t: t <> ''), lambda t: 'h:' || t),
- list_transform(list_filter(string_split(path, '/'), lambda t: t <> ''), lambda t: 'p:' || regexp_replace(t, '[0-9]+', '#', 'g')), list_transform(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda t: t <> ''), lambda t: 'q:' || regexp_extract(t, '^([^=]*)', 1))])) else [] end as tokens from w),
+ list_transform(list_filter(string_split(path, '/'), lambda t: t <> ''), lambda t: 'p:' || regexp_replace(t, '[0-9]+', '#', 'g')), list_transform(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda t: t <> ''), lambda t: 'q:' || regexp_extract(t, '^([^=]*)', 1))])) else [] end as every, list_filter(every, lambda t: not list_contains({urls.named()}, t)) as tokens from w),
  l as (select * from x where label is not null), n as (select count(*) as n, count(*) filter (where label = 'block') as b from l), e as (select row, label, unnest(tokens) as token from l),
  k as (select token, count(*) as uses, count(*) filter (where label = 'block') as blocked from e group by 1 having count(*) >= (select greatest({urls.MIN_COUNT}, {urls.MIN_SUPPORT} * n) from n)), z as (select token, round(abs(blocked - uses * (b / n)) / sqrt(uses * (b / n) * (1 - b / n) + 1), 6) as apart from k, n),
  i as (select row, label, list_sort(list(token)) as items from (select e.*, row_number() over (partition by row order by apart desc, e.token) as place from e join z using (token)) where place <= {urls.ITEMS} group by all),
  m as (select row, label, list_filter(items, lambda t, j: (mask // cast(2 ** (j - 1) as bigint)) % 2 = 1) as tokens from (select *, unnest(range(1, cast(2 ** len(items) as bigint))) as mask from i)),
  g as (select tokens, count(*) as uses from m group by 1), f as (select tokens, label, count(*) as hits from m group by all), t as (select label, count(*) as own from l group by 1),
  s as (select f.*, g.uses, round((hits + 1) / (uses + 2), 9) as confidence from f join g using (tokens) join t using (label), n where hits >= greatest({urls.MIN_COUNT}, {urls.MIN_SUPPORT} * n) and round((hits + 1) / (uses + 2), 9) >= {urls.MIN_CONFIDENCE} and hits / uses > own / n),
- o as (select * from s where not exists (select 1 from s r where r.label = s.label and len(r.tokens) < len(s.tokens) and list_has_all(s.tokens, r.tokens) and r.confidence >= s.confidence)),
- c as (select o.tokens, o.label, any_value(o.hits) as hits, any_value(o.uses) as uses, any_value(confidence) as confidence, count(*) as seen from o join x on list_has_all(x.tokens, o.tokens) group by all),
- y as (select row, arg_max(c.label, (confidence, len(c.tokens), hits, c.label)) as mined from x join c on uses >= {urls.MIN_KNOWN} * seen and list_has_all(x.tokens, c.tokens) group by row)
- select page_id, host, path, rule, coalesce(x.label, mined, '{urls.DEFAULT}') as verdict from x left join y using (row)"""
+ c as (select s.tokens, s.label, any_value(s.hits) as hits, any_value(s.uses) as uses, any_value(confidence) as confidence, count(*) as seen from s join x on list_has_all(x.tokens, s.tokens) group by all),
+ o as (select * from c where uses >= {urls.MIN_KNOWN} * seen), v2 as (select * from o where not exists (select 1 from o r where r.label = o.label and len(r.tokens) < len(o.tokens) and list_has_all(o.tokens, r.tokens) and r.confidence >= o.confidence)),
+ y as (select row, arg_max(v2.label, (confidence, len(v2.tokens), hits, v2.label)) as mined from x join v2 on x.label is null and list_has_all(x.tokens, v2.tokens) group by row)
+ select page_id, host, path, rule, coalesce(x.label, mined, '{urls.DEFAULT}') as verdict, mined is not null as mined from x left join y using (row)"""
 
 
 def _kmeans() -> str:

@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, queries, sharding, toxicity, urls
 from tests.llm.test_queries import base_spans, brute_classes, brute_leaks
@@ -253,12 +254,8 @@ def brute_rules(rows, items=urls.ITEMS):
     base = {"block": share, "allow": 1 - share}
     least = max(urls.MIN_COUNT, urls.MIN_SUPPORT * n)
     sure = {(c, y): (k + 1) / (count[c] + 2) for (c, y), k in hits.items() if k >= least and (k + 1) / (count[c] + 2) >= urls.MIN_CONFIDENCE and k / count[c] > base[y]}
-    out = {}
-    for (c, y), p in sure.items():
-        beaten = any(sure.get((d, y), 0) >= p for size in range(1, len(c)) for d in combinations(c, size))
-        if not beaten and count[c] >= urls.MIN_KNOWN * sum(set(c) <= set(t) for t, _ in rows):
-            out[c, y] = (hits[c, y], count[c])
-    return out
+    sure = {(c, y): p for (c, y), p in sure.items() if count[c] >= urls.MIN_KNOWN * sum(set(c) <= set(t) for t, _ in rows)}
+    return {(c, y): (hits[c, y], count[c]) for (c, y), p in sure.items() if not any(sure.get((d, y), 0) >= p for size in range(1, len(c)) for d in combinations(c, size))}
 
 
 def check_rules(spark, pages, label=None):
@@ -266,7 +263,9 @@ def check_rules(spark, pages, label=None):
     rows = parsed.collect()
     rules = {(tuple(r["rule_tokens"]), r["verdict"]): (r["hits"], r["uses"]) for r in urls.mine(parsed).collect()}
     assert rules == brute_rules([(r["tokens"], r["label"]) for r in rows])
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, label=label).collect()}
+    said = urls.judge(pages, label=label).collect()
+    got = {r["page_id"]: r["verdict"] for r in said}
+    assert all(r["mined"] == (p["verdict"] is None and any(set(c) <= set(p["tokens"]) for c, _ in rules)) for r in said for p in rows if p["page_id"] == r["page_id"])
     for p in rows:
         fit = [(round((k + 1) / (n + 2), 9), len(c), k, y) for (c, y), (k, n) in rules.items() if set(c) <= set(p["tokens"])]
         assert got[p["page_id"]] == (p["verdict"] or (max(fit)[3] if fit else "allow"))
@@ -294,6 +293,23 @@ def test_rules_from_a_label_column(spark):
     assert {i: got[i] for i in open_ones} == want
 
 
+def test_mined_rules_decide_open_urls(spark):
+    """Labels of the fixed rules alone: paths and sub-labels that go with a verdict decide the
+    URLs of hosts that no fixed rule names, in both ways, and nothing of the named hosts is learnt."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urls.parsed(pages)
+    rules = urls.mine(rows).collect()
+    assert rules and not {t for r in rules for t in r["rule_tokens"]} & {"h:com", "h:net", "h:example", "h:www"}
+    said = {(r["verdict"], r["mined"]): r["count"] for r in urls.judge(pages).filter("rule is null").groupBy("verdict", "mined").count().collect()}
+    assert said["block", True] > 40 and said["allow", True] > 10
+    fold = F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0
+    labelled = rows.filter("label is not null")
+    left = rows.withColumn("label", F.when(~fold, F.col("label")))
+    held = labelled.filter(fold).join(urls.mined_verdicts(labelled.filter(fold), urls.mine(left, min_known=0.3)), "row")
+    right = held.agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("mined")).alias("right")).first()
+    assert right["n"] > 200 and right["right"] >= 0.97 * right["n"]
+
+
 def test_few_labels_make_no_rule(spark):
     pages = spark.createDataFrame([(i, f"http://x.net/es/{i}" if i < 5 else f"http://y.com/{i}") for i in range(40)] + [(100 + i, f"http://q.org/es/{i}") for i in range(200)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
