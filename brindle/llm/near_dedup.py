@@ -57,7 +57,7 @@ CROWD = 24
 #: once.
 BLOCK_ITEMS, BLOCK_NODES = 1_000_000, 4096
 DEAL, FEW = 16, 256
-CELLS = 1 << 24
+CELLS = 1 << 22
 
 SKETCH = "doc_id long, print binary, n_words long, bands array<long>"
 
@@ -180,13 +180,27 @@ def components(links: DataFrame) -> DataFrame:
 def merged(label: DataFrame, tested: DataFrame) -> DataFrame:
     """``label`` (node, root) after the links among ``tested`` have joined components."""
     side = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    between = tested.filter("linked").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    between = tested.filter("linked").select("a", "b").join(side("a"), "a").join(side("b"), "b").filter("root_a <> root_b")
+    between = shared.materialize(between.select("root_a", "root_b").distinct(), "between")
+    if between.isEmpty():
+        return label
     moved = components(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("into"))
     return shared.materialize(label.join(moved, "root", "left").select("node", F.coalesce("into", "root").alias("root")), "label")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), n_words."""
+    return resolve(docs, shingle, threshold, bands, rows)[0]
+
+
+def links(docs: DataFrame, **options) -> DataFrame:
+    """a, b, similarity: verified links that connect every class, between the smallest ids of
+    its different texts."""
+    return resolve(docs, **options)[1]
+
+
+def resolve(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``classes`` and of ``links``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = shared.materialize(docs.mapInArrow(_sketches(shingle, bands, rows), SKETCH), "sketch")
     nodes = sketch.filter("n_words > 0").groupBy("print").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
@@ -201,23 +215,27 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOL
     pairs = member.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     tested = shared.materialize(_verify(pairs, sets, threshold), "tested")
     label = merged(label, tested)
+    rest = []
     for turn in range(LEADER_ROUNDS):
         pairs = _pairs_with_leader(_open_members(member, label), turn).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = shared.materialize(_verify(pairs, sets, threshold), "tested")
         tested, label = tested.union(more), merged(label, more)
     open_member = _open_members(member, label)
     pairs = _pairs_between(open_member.filter(F.col("members") <= CROWD)).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    label = merged(label, shared.materialize(_verify(pairs, sets, threshold), "tested"))
+    rest.append(shared.materialize(_verify(pairs, sets, threshold), "tested"))
+    label = merged(label, rest[-1])
     crowds = open_member.filter(F.col("members") > CROWD)
     if not crowds.isEmpty():
         crowds = _open_members(member, label).filter(F.col("members") > CROWD)
-        label = merged(label, shared.materialize(_links_in_crowds(crowds, sets, threshold), "crowds"))
+        rest.append(shared.materialize(_links_in_crowds(crowds, sets, threshold), "crowds"))
+        label = merged(label, rest[-1])
     own = nodes.select("print", "node").join(label, "node", "left").select("print", F.coalesce("root", "node").alias("class_id"))
     # Written, so that the join deals out plain rows, which Spark can split where copies are many.
     own = shared.materialize(own, "own")
     rows_with = sketch.select("doc_id", "print", "n_words").filter("n_words > 0").join(own, "print").select("doc_id", "class_id", "n_words")
     alone = sketch.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_words")
-    return rows_with.union(alone)
+    linked = shared.union_all([tested, *rest]).filter("linked").select("a", "b", "similarity").dropDuplicates(["a", "b"])
+    return rows_with.union(alone), linked
 
 
 def _candidate_sets(docs: DataFrame, member: DataFrame, shingle: int) -> DataFrame:
@@ -228,12 +246,12 @@ def _candidate_sets(docs: DataFrame, member: DataFrame, shingle: int) -> DataFra
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, linked: whether the shingle sets of a and b have that similarity."""
+    """a, b, similarity of their shingle sets, linked: whether it reaches the threshold."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
     common = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - common
-    return pairs.join(a, "a").join(b, "b").select("a", "b", (common >= threshold * union - 1e-9).alias("linked"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", (common / union).alias("similarity"), (common >= threshold * union - 1e-9).alias("linked"))
 
 
 def _open_members(member: DataFrame, root: DataFrame) -> DataFrame:
@@ -246,7 +264,7 @@ def _open_members(member: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def _links_in_crowds(member: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, linked: for every block pair of every bucket, links that join its components."""
+    """a, b, similarity, linked: for every block pair of every bucket, links that join its components."""
     items = sets.select(F.col("node").alias("own"), "items")
     rows = member.join(items, F.col("node") == F.col("own")).select("bucket", "node", "root", "items")
     size = member.join(sets.select(F.col("node").alias("own"), F.size("items").alias("size")), F.col("node") == F.col("own"))
@@ -255,7 +273,7 @@ def _links_in_crowds(member: DataFrame, sets: DataFrame, threshold: float) -> Da
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("low"), F.greatest(k, "block").alias("high")))
     dealt = rows.select("bucket", "node", "root", "items", F.explode(others).alias("pair"))
     dealt = dealt.select("bucket", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "node", "root", "items")
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(_joiner(threshold), "a long, b long, linked boolean")
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(_joiner(threshold), "a long, b long, similarity double, linked boolean")
 
 
 def _joiner(threshold: float):
@@ -263,20 +281,24 @@ def _joiner(threshold: float):
         nodes, roots = group["node"].to_numpy(), group["root"].to_numpy()
         lists = group["items"].combine_chunks()
         size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        links = joining_links(nodes, roots, size, lists.flatten().to_numpy(), threshold)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64()), "linked": pa.array([True] * len(links), pa.bool_())})
+        found = joining_links(nodes, roots, size, lists.flatten().to_numpy(), threshold)
+        a, b, similarity = ([x[k] for x in found] for k in range(3))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(similarity, pa.float64()), "linked": pa.array([True] * len(a), pa.bool_())})
 
     return run
 
 
-def joining_links(nodes: np.ndarray, roots: np.ndarray, size: np.ndarray, items: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links that join the components of these nodes, as few as join all that can be."""
+def joining_links(nodes: np.ndarray, roots: np.ndarray, size: np.ndarray, items: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links, with their similarity, that join the components of these nodes, as few as join
+    all that can be.
+
+    Rows of the table of common shingles are filled some at a time; each row's near nodes are
+    joined at once, so no list of pairs is ever held, and the work ends when all are one."""
     n = len(nodes)
-    kinds, of, many = np.unique(roots, return_inverse=True, return_counts=True)
+    kinds, group, many = np.unique(roots, return_inverse=True, return_counts=True)
     if len(kinds) < 2:
         return []
-    most = many.argmax()
-    rest = np.flatnonzero(of != most)
+    rest = np.flatnonzero(group != many.argmax())
     doc = np.repeat(np.arange(n), size)
     _, column, uses = np.unique(items, return_inverse=True, return_counts=True)
     place = np.full(len(uses), -1)
@@ -284,7 +306,7 @@ def joining_links(nodes: np.ndarray, roots: np.ndarray, size: np.ndarray, items:
     column, doc = place[column][uses[column] > 1], doc[uses[column] > 1]
     order = np.argsort(column, kind="stable")
     column, doc = column[order], doc[order]
-    near, other = [], []
+    left, links, total = len(kinds), [], size.astype(np.float32)
     step, high = max(256, (1 << 22) // n), max(1, CELLS // n)
     for own in np.array_split(rest, -(-len(rest) // high)):
         common = np.zeros((len(own), n), np.float32)
@@ -293,23 +315,17 @@ def joining_links(nodes: np.ndarray, roots: np.ndarray, size: np.ndarray, items:
             part = np.zeros((n, step), np.float32)
             part[doc[a:b], column[a:b] - low] = 1
             common += part[own] @ part.T
-        union = size[own][:, None] + size[None, :] - common
-        i, j = np.nonzero((common >= threshold * union - 1e-9) & (of[own][:, None] != of[None, :]))
-        near += own[i].tolist()
-        other += j.tolist()
-    group, links = list(range(len(kinds))), []
-
-    def find(i: int) -> int:
-        while group[i] != i:
-            group[i] = group[group[i]]
-            i = group[i]
-        return i
-
-    for i, j in zip(near, other, strict=True):
-        a, b = find(int(of[i])), find(int(of[j]))
-        if a != b:
-            group[a] = b
-            links.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
+        for i, shared_items in zip(own.tolist(), common, strict=True):
+            union = total[i] + total - shared_items
+            near = np.flatnonzero(shared_items >= threshold * union - 1e-3)
+            near = near[(group[near] != group[i]) & (shared_items[near] >= threshold * union[near].astype(np.float64) - 1e-9)]
+            for k in np.unique(group[near], return_index=True)[1]:
+                j = int(near[k])
+                links.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j])), float(shared_items[j]) / float(union[j])))
+                group[group == group[j]] = group[i]
+                left -= 1
+        if left == 1:
+            break
     return links
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -232,6 +233,31 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "CROWD", crowd)
         got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(docs, bands=60, rows=2).collect()}
         assert got == want
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    joined = {i: {i} for i in texts}
+    for x in near_dedup.links(docs, bands=60, rows=2).collect():
+        a, b = sets[x["a"]], sets[x["b"]]
+        assert x["similarity"] == pytest.approx(len(a & b) / len(a | b)) and x["similarity"] >= 0.8
+        both = joined[x["a"]] | joined[x["b"]]
+        for i in both:
+            joined[i] = both
+    first = {t: i for i, t in sorted(texts.items(), reverse=True)}
+    assert {i: min(joined[first[t]]) for i, t in texts.items()} == want
+
+
+def test_a_crowd_of_near_nodes_in_little_memory():
+    """8,192 texts of 100 shingles of which any two share 95 or more, each its own component."""
+    r = np.random.default_rng(3)
+    n, base = 8192, np.arange(1, 101, dtype=np.int64)
+    items = np.tile(base, (n, 1))
+    items[np.arange(n)[:, None], r.integers(0, 100, (n, 2))] = r.integers(1 << 40, 1 << 50, (n, 2))
+    size = np.array([len(np.unique(x)) for x in items])
+    flat = np.concatenate([np.unique(x) for x in items])
+    tracemalloc.start()
+    links = near_dedup.joining_links(np.arange(n), np.arange(n), size, flat, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == n - 1 and min(x[2] for x in links) >= 0.8 and peak < 300e6
 
 
 def test_word_sequences_are_told_apart(spark):
