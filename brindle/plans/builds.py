@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import constraints as C
-from brindle.functions import sql
+from brindle.functions import fixed, sql
 from brindle.functions import text as T
 from brindle.operators import jobs, quality, screens, select
 from brindle.operators.graph import components, passing_depths, store
 from brindle.plans.corpus import GATE, greedy_keep_first, words_sql
 from brindle.plans.dialogues import group_text, messages, reply_chains
 from brindle.plans.generated import generated_instructions, generated_preferences
-from brindle.plans.recipes import NORM_OF, PAIRS, REVIEW_REJECTED, VERB, WORDS_OF, listed, multiple_choice
+from brindle.plans.recipes import NORM_OF, PAIRS, REVIEW_REJECTED, WORDS_OF, listed, multiple_choice
 from brindle.plans.registry import ORACLES, QUERIES, query, table
 from brindle.sources import synth
 
@@ -126,7 +126,7 @@ def foundation_chats(spark, sf_dir):
     return chosen.select("conv_id", "split", "grp").join(turns, "conv_id")
 
 
-KINDS = f"""case when regexp_matches(coalesce(request, ''), '{VERB}') then 'completion' when answers >= 2 then 'conversation' else 'other' end"""
+KINDS = f"""case when regexp_matches(coalesce(request, ''), {fixed.quoted(fixed.REQUESTS)}) then 'completion' when answers >= 2 then 'conversation' else 'other' end"""
 
 
 @query(f"""with {TALKS}, c as (select conv_id as id, h from t where reason = 'ok' and {KINDS} in ('conversation', 'grounded')), o as (select conv_id as id, h from t where reason = 'ok' and {KINDS} = 'other'),
@@ -185,7 +185,7 @@ def public_repair_rows(spark, sf_dir):
     return own.select("conv_id", F.when(banned, "scope").when(looped, "repetition").otherwise("ok").alias("screen"))
 
 
-@query(f"""with {TALKS}, {TWICE}, b as (select conv_id, bool_or(regexp_matches(text, '{screens.REPAIR_SCOPE}') or regexp_matches(text, '{screens.REPAIR_PHRASES}')) as banned from conversations group by 1),
+@query(f"""with {TALKS}, {TWICE}, b as (select conv_id, bool_or(regexp_matches(text, {fixed.quoted(fixed.REPAIR_SCOPE)}) or regexp_matches(text, {fixed.quoted(fixed.REPAIR_PHRASES)})) as banned from conversations group by 1),
  s as (select t.*, case when banned then 'scope' when conv_id in (select conv_id from twice) then 'repetition' else 'ok' end as screen from t join b using (conv_id)),
  k as (select *, row_number() over (partition by cast(n > 2 as int) order by h) as round, cast(n > 2 as int) as stratum from s where screen = 'ok' and reason = 'ok')
  select conv_id, stratum, round, row_number() over (order by round, stratum) - 1 as turn, cast((row_number() over (order by round, stratum) - 1) // 4 as bigint) as batch from k""")
@@ -196,7 +196,7 @@ def public_repair(spark, sf_dir):
     return rows.select("conv_id", "stratum", F.col("round").cast("long").alias("round"), "turn", F.floor(F.col("turn") / 4).cast("long").alias("batch"))
 
 
-@query(f"""with {TWICE}, b as (select conv_id, bool_or(regexp_matches(text, '{screens.REPAIR_SCOPE}') or regexp_matches(text, '{screens.REPAIR_PHRASES}')) as banned from conversations group by 1)
+@query(f"""with {TWICE}, b as (select conv_id, bool_or(regexp_matches(text, {fixed.quoted(fixed.REPAIR_SCOPE)}) or regexp_matches(text, {fixed.quoted(fixed.REPAIR_PHRASES)})) as banned from conversations group by 1)
  select conv_id, case when banned then 'scope' when conv_id in (select conv_id from twice) then 'repetition' else 'ok' end as screen from b""")
 def overlap_screen(spark, sf_dir):
     """Scope, phrases about editing or refusing, 8-word runs that an answer repeats."""

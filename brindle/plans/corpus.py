@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.functions import fixed
 from brindle.functions import text as T
 from brindle.operators import quality, select
 from brindle.operators.graph import components, store
@@ -71,8 +72,8 @@ def quality_gate_reasons(spark, sf_dir):
  length(regexp_replace(text, '\\P{{L}}', '', 'g')) as letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as plain from documents),
  g as (select *, {words_sql(8, "w")} as grams from d),
  r as (select case when gate <> 'ok' then 'source_quality_or_length' when split <> 'train' then 'reserved_partition'
- when regexp_matches(text, '{quality.CODE_TOPIC}') then 'code_topic' when regexp_matches(text, '{quality.MATH_TOPIC}') then 'math_topic'
- when contains(text, '�') or contains(text, chr(0)) or regexp_matches(text, '{quality.BOILERPLATE}') then 'boilerplate_or_encoding' when len(w) < 35 then 'too_little_prose'
+ when regexp_matches(text, {fixed.quoted(fixed.CODE_TOPIC)}) then 'code_topic' when regexp_matches(text, {fixed.quoted(fixed.MATH_TOPIC)}) then 'math_topic'
+ when contains(text, '�') or contains(text, chr(0)) or regexp_matches(text, {fixed.quoted(fixed.BOILERPLATE)}) then 'boilerplate_or_encoding' when len(w) < 35 then 'too_little_prose'
  when letters = 0 or plain / letters < 0.95 then 'non_english_script' when len(grams) > 0 and 1 - len(list_distinct(grams)) / len(grams) > 0.2 then 'repetition' else 'ok' end as reason from g)
  select reason, count(*) as n from r group by all""")
 def prose_selection_reasons(spark, sf_dir):

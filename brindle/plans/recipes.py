@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.functions import fixed
 from brindle.functions import text as T
 from brindle.operators import packing, quality, screens, select
 from brindle.plans import corpus
@@ -25,24 +26,23 @@ def first_pairs(spark, sf_dir):
     return turns.groupBy("conv_id").agg(role("user").alias("request"), role("assistant").alias("answer"), F.count_if(F.col("role") == "assistant").alias("answers"))
 
 
-@query(f"""select conv_id, turn, case when regexp_matches(text, '{screens.OUT_OF_SCOPE}') then 'topic' when contains(text, '|') then 'table' when regexp_matches(text, '{screens.SUMS}') then 'arithmetic' else 'ok' end as reason from conversations""")
+@query(f"""select conv_id, turn, case when regexp_matches(text, {fixed.quoted(fixed.OUT_OF_SCOPE)}) then 'topic' when contains(text, '|') then 'table' when regexp_matches(text, {fixed.quoted(fixed.SUMS)}) then 'arithmetic' else 'ok' end as reason from conversations""")
 def scope_filter(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", screens.scope_reason(F.col("text")).alias("reason"))
 
 
-@query(f"""select doc_id, case when regexp_matches(text, '{screens.OUT_OF_SCOPE}') then 'topic' when contains(text, '|') then 'table' when regexp_matches(text, '{screens.SUMS}') then 'arithmetic' else 'ok' end as reason from documents""")
+@query(f"""select doc_id, case when regexp_matches(text, {fixed.quoted(fixed.OUT_OF_SCOPE)}) then 'topic' when contains(text, '|') then 'table' when regexp_matches(text, {fixed.quoted(fixed.SUMS)}) then 'arithmetic' else 'ok' end as reason from documents""")
 def document_scope(spark, sf_dir):
     """B6 over documents, which hold marks, tables and numbers."""
     return documents(spark, sf_dir).select("doc_id", screens.scope_reason(F.col("text")).alias("reason"))
 
 
-VERB = quality.topic(screens.VERBS, ())
-KIND = f"""case when origin = 'self-oss-instruct' then null when origin in ('smollm-rewrite-30k', 'smol-summarize-20k') then 'writing' when passage then 'grounded' when regexp_matches(request, '{VERB}') then 'completion' when answers >= 2 then 'conversation' end"""
+KIND = f"""case when origin = 'self-oss-instruct' then null when origin in ('smollm-rewrite-30k', 'smol-summarize-20k') then 'writing' when passage then 'grounded' when regexp_matches(request, {fixed.quoted(fixed.REQUESTS)}) then 'completion' when answers >= 2 then 'conversation' end"""
 
 
 @query(f"""with o as (select conv_id, case conv_id % 5 when 0 then 'self-oss-instruct' when 1 then 'smol-summarize-20k' else 'chat' end as origin from conversations group by 1),
  u as (select conv_id, turn, case when conv_id % 7 = 2 and turn < 2 then 'Answer based on the following text: ' || text when conv_id % 7 = 3 and turn < 2 then 'Please describe it. ' || text else text end as said from conversations where role = 'user'),
- p as (select conv_id, min_by(said, turn) as request, bool_or(len(list_filter(regexp_split_to_array(said, '\\s+'), lambda w: w <> '')) > 45 and len(list_filter({list(screens.EVIDENCE)}, lambda e: contains(lower(said), e))) > 0) as passage from u group by 1),
+ p as (select conv_id, min_by(said, turn) as request, bool_or(len(list_filter(regexp_split_to_array(said, '\\s+'), lambda w: w <> '')) > 45 and regexp_matches(said, {fixed.quoted(fixed.EVIDENCE)})) as passage from u group by 1),
  a as (select conv_id, count(*) filter (where role = 'assistant') as answers from conversations group by 1), k as (select conv_id, origin, coalesce(request, '') as request, coalesce(passage, false) as passage, answers from a join o using (conv_id) left join p using (conv_id))
  select conv_id, origin, {KIND} as kind from k""")
 def behaviour_classes(spark, sf_dir):
@@ -59,16 +59,96 @@ def behaviour_classes(spark, sf_dir):
 WORDS_N = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''))"
 
 
-@query(f"""with {PAIRS}, g as (select *, list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i+3], ' ')) as grams from (select *, {WORDS_OF.format('answer')} as w from a)),
- c as (select conv_id, max(k) as most from (select conv_id, gram, count(*) as k from (select conv_id, unnest(grams) as gram from g) group by all) group by 1)
- select g.conv_id, case when request is null or answer is null then 'roles' when {WORDS_N.format('request')} not between 1 and 400 then 'prompt_length' when {WORDS_N.format('answer')} not between 8 and 256 then 'answer_length'
- when regexp_matches(request || ' ' || answer, '{screens.BLOCKED}') or regexp_matches(request, '{screens.COUNTING}') then 'code_math_scope' when len(regexp_extract_all(request, '[0-9]+')) > 3 then 'numeric_table_or_problem'
- when regexp_matches(request, '{screens.POSING}') or regexp_matches(answer, '{screens.SETUP}') then 'roleplay_or_setup' when regexp_matches(request || ' ' || answer, '{screens.MEDICAL}') or regexp_matches(request || ' ' || answer, '{screens.LIVE}') then 'specialist_or_live'
- when regexp_matches(request || chr(10) || answer, '{screens.ROLE_MARK}') then 'embedded_roles' when not list_contains(['.', '!', '?', '"', '”', '’', chr(39), ')', ':'], right(trim(answer), 1)) then 'incomplete_ending'
- when length(regexp_replace(request || ' ' || answer, '[\\x00-\\x7f]', '', 'g')) / (length(request) + 1 + length(answer)) > 0.08 then 'language' when len(w) >= 12 and coalesce(most, 0) >= 3 then 'repetition'
- when {NORM_OF.format('answer')} = {NORM_OF.format('request')} then 'echo' else 'ok' end as reason from g left join c using (conv_id)""")
+ENDS = [("ing", 3), ("ed", 2), ("es", 2), ("s", 1)]
+
+
+def forms_sql(w: str) -> str:
+    """The forms of a word, as a list."""
+    parts = [f"[{w}]"]
+    for end, n in ENDS:
+        base = f"left({w}, length({w}) - {n})"
+        parts.append(f"case when ends_with({w}, '{end}') and length({w}) > {n + 2} then [{base}, {base} || 'e'] else [] end")
+        parts.append(f"case when ends_with({w}, '{end}') and length({base}) > 2 and {base}[-1:] = {base}[-2:-2] then [left({base}, -1)] else [] end")
+    parts.append(f"case when ends_with({w}, 'ies') then [left({w}, -3) || 'y'] else [] end")
+    return f"flatten([{', '.join(parts)}])"
+
+
+
+FAMILIES = ("conversation", "rewrite", "summary", "everyday")
+Q = fixed.quoted
+STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+def family_sql(families) -> str:
+    """A family for each conversation, by turns."""
+    return f"{list(families)}[conv_id % {len(families)} + 1]"
+
+
+def single_sql(families) -> str:
+    """System message, request and answer of each conversation with its family."""
+    ask, tell = "ms[spot + 1]", "ms[spot + 2]"
+    return f"""t as (select conv_id, list({{'role': role, 'content': text}} order by turn) as ms from conversations group by 1), f as (select *, {family_sql(families)} as family, coalesce(cast(ms[1].role = 'system' as int), 0) as j from t),
+ i as (select *, case when family = 'everyday' and len(ms) >= j + 4 and {WORDS_N.format('ms[j + 1].content')} < 4 then j + 2 else j end as spot from f),
+ a as (select conv_id, family, case when j = 1 then {STRIP.format('ms[1].content')} else '' end as system, case when {ask}.role = 'user' and {tell}.role = 'assistant' then {STRIP.format(ask + '.content')} end as request,
+ case when {ask}.role = 'user' and {tell}.role = 'assistant' then {STRIP.format(tell + '.content')} end as answer, case when system not in ('', {', '.join(Q(x) for x in fixed.PLAIN_SYSTEM)}) then system || chr(10) || chr(10) || request else request end as prompt,
+ prompt || ' ' || answer as both_texts, {WORDS_OF.format('answer')} as w from i)"""
+
+
+def without(text: str, pattern: str, ahead: str, allowed: str) -> str:
+    """Whether a text has a pattern with a look ahead, said without one."""
+    return f"regexp_matches(regexp_replace({text}, {Q(allowed)}, '\\1', 'g'), {Q(pattern.replace(ahead, ''))})"
+
+
+STRAIGHT = "replace({0}, '’', chr(39))"
+PERSONA = ("(?!free\\b|able\\b|welcome\\b)", r"(?i)\b(you)(?: are|'re| will be| should be) (?:free|able|welcome)\b")
+UNSUPPORTED = f"""len(list_filter(target, lambda w: not list_has_any({forms_sql('w')}, known)))"""
+NUMBERS_OF = "regexp_extract_all({0}, '{1}')"
+
+
+@query(f"""with {single_sql(FAMILIES)}, g as (select conv_id, max(k) as most from (select conv_id, gram, count(*) as k from (select conv_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i+3], ' '))) as gram from a) group by all) group by 1),
+ s as (select *, list_distinct(list_filter(w, lambda x: not list_contains({list(screens.STOPWORDS)}, x))) as target, flatten(list_transform({WORDS_OF.format('request')}, lambda w: {forms_sql('w')})) as known,
+ list_filter(list_transform(regexp_extract_all(answer, '\\b[A-Z][A-Za-z]+\\b'), lambda x: lower(x)), lambda x: not list_contains({WORDS_OF.format('request')}, x) and not list_contains({list(screens.STOPWORDS + fixed.KNOWN_NAMES)}, x)) as names,
+ list_filter({list(fixed.COMMITMENTS)}, lambda x: list_contains(regexp_split_to_array(lower(answer), '\\s+'), x) and not list_contains(regexp_split_to_array(lower(request), '\\s+'), x)) as promised from a)
+ select s.conv_id, case when request is null or answer is null then 'roles' when {WORDS_N.format('prompt')} not between 1 and 400 then 'prompt_length' when {WORDS_N.format('answer')} not between 8 and 256 then 'answer_length'
+ when regexp_matches(both_texts, {Q(fixed.BLOCKED)}) or regexp_matches(prompt, {Q(fixed.QUANTITIES)}) then 'code_math_scope' when regexp_matches(both_texts, {Q(fixed.MORE_MATH)}) then 'math_scope_extended'
+ when family = 'conversation' and len(regexp_extract_all(prompt, '\\b\\d+(?:\\.\\d+)?\\b')) > 3 then 'numeric_table_or_problem'
+ when {without('prompt', fixed.ROLEPLAY, '(?!AI|assistant)', '(?i)\\b(you) are (?:a|an|the) (?:AI|assistant)')} or regexp_matches(answer, {Q(fixed.BAD_RESPONSE)}) or regexp_matches(answer, {Q(fixed.SETUP)}) then 'roleplay_or_setup'
+ when {without(STRAIGHT.format('request'), fixed.PERSONA, *PERSONA)} or (family not in ('rewrite', 'summary') and {without(STRAIGHT.format('system'), fixed.PERSONA, *PERSONA)}) then 'persona'
+ when regexp_matches(both_texts, {Q(fixed.MEDICAL)}) or regexp_matches(both_texts, {Q(fixed.LIVE)}) then 'specialist_or_live' when regexp_matches(both_texts, {Q(fixed.DRUGS)}) then 'specialist_drug'
+ when family = 'everyday' and regexp_matches(both_texts, {Q(fixed.LOCAL_LIVE)}) then 'unverifiable_live_context' when family = 'conversation' and regexp_matches(request, {Q(fixed.REWRITING)}) then 'dedicated_rewrite_source'
+ when family in ('rewrite', 'summary') and not list_has_all({NUMBERS_OF.format('request', '[0-9]+')}, {NUMBERS_OF.format('answer', '[0-9]+')}) then 'new_numbers'
+ when family = 'summary' and {UNSUPPORTED} > greatest(1, cast(floor(len(target) * 0.06) as bigint)) then 'summary_unsupported_words' when family = 'summary' and len(names) > 0 then 'summary_new_name' when family = 'summary' and len(promised) > 0 then 'summary_overstated_commitment'
+ when family = 'summary' and contains(system, {Q(fixed.NO_PRONOUNS)}) and regexp_matches(answer, {Q(fixed.PRONOUNS)}) then 'summary_instruction'
+ when family = 'summary' and 1 + len(regexp_extract_all(answer, '[.!?]\\s+[A-Z]')) > case when contains(system, {Q(fixed.ONE_SENTENCE)}) then 1 else 3 end then 'summary_length_instruction'
+ when regexp_matches(prompt || chr(10) || answer, {Q(fixed.ROLE_MARK)}) then 'embedded_roles' when not list_contains([{', '.join(Q(c) for c in fixed.LAST_MARKS)}], right(answer, 1)) and not (family = 'rewrite' and regexp_matches(answer, {Q(fixed.SIGNED)})) then 'incomplete_ending'
+ when length(regexp_replace(prompt || answer, '[\\x00-\\x7f]', '', 'g')) / length(prompt || answer) > 0.08 then 'language' when len(w) >= 12 and coalesce(most, 0) >= 3 then 'repetition'
+ when {NORM_OF.format('answer')} = {NORM_OF.format('prompt')} then 'echo' else 'ok' end as reason from s left join g using (conv_id)""")
 def single_turn_reasons(spark, sf_dir):
-    return first_pairs(spark, sf_dir).select("conv_id", screens.single_turn_reason(F.col("request"), F.col("answer")).alias("reason"))
+    """The first fault of each conversation's first pair."""
+    rows = single_turns(spark, sf_dir, FAMILIES)
+    return rows.select("conv_id", screens.single_turn_reason(F.col("pair.request"), F.col("pair.answer"), F.col("family"), F.col("pair.system")).alias("reason"))
+
+
+def single_turns(spark, sf_dir, families):
+    """conv_id, family and the first pair of each conversation."""
+    talks = quality.conversations(table(spark, sf_dir, "conversations"))
+    rows = talks.withColumn("family", F.get(F.array(*map(F.lit, families)), (F.col("conv_id") % len(families)).cast("int")))
+    return rows.select("conv_id", "family", screens.single_turn(F.col("messages"), F.col("family")).alias("pair"))
+
+
+EDITORS = ("conversation", "rewrite", "followup", "explanation")
+
+
+@query(f"""with {single_sql(EDITORS)}, x as (select distinct conv_id from (select conv_id, gram from (select conv_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) as gram from a) group by all having count(*) > 1))
+ select a.conv_id, case when regexp_matches(request || ' ' || answer, {Q(fixed.MORE_SCOPE)}) then 'scope' when regexp_matches(request, {Q(fixed.MORE_PERSONA)}) then 'persona' when family <> 'rewrite' and regexp_matches(request || ' ' || answer, {Q(fixed.META_EDIT)}) then 'meta_edit'
+ when regexp_extract(request, {Q(fixed.WORD_COUNT)}, 1) <> '' and cast({WORDS_N.format('answer')} as varchar) <> ltrim(regexp_extract(request, {Q(fixed.WORD_COUNT)}, 1), '0') then 'word_count' when x.conv_id is not null then 'repetition'
+ when regexp_matches(answer, {Q(fixed.EDIT_FILLER)}) then 'edit_filler' when regexp_matches(answer, {Q(fixed.FALSE_SELF)}) then 'false_self' when family <> 'rewrite' and regexp_matches(request, {Q(fixed.EDIT_REQUEST)}) then 'edit_request'
+ when family = 'followup' and {WORDS_N.format('request')} > 200 then 'long_followup' when family = 'rewrite' and not list_has_all({NUMBERS_OF.format('answer', chr(92) + 'b[0-9]+' + chr(92) + 'b')}, {NUMBERS_OF.format('request', chr(92) + 'b[0-9]+' + chr(92) + 'b')}) then 'numbers_lost'
+ else 'ok' end as fault from a left join x using (conv_id) where request is not null""")
+def answer_faults(spark, sf_dir):
+    """The first fault of each conversation's first answer."""
+    rows = single_turns(spark, sf_dir, EDITORS).filter("pair is not null")
+    return rows.select("conv_id", screens.answer_fault(F.col("pair.request"), F.col("pair.answer"), F.col("family")).alias("fault"))
 
 
 EXPLAINED = f"""w as (select item_id, item_id % 3 as label, {WORDS_OF.format('text')} as w from benchmark), x as (select item_id, label, array_to_string(w[1:12], ' ') as premise, array_to_string(w[3:7], ' ') as claim,
@@ -76,7 +156,7 @@ EXPLAINED = f"""w as (select item_id, item_id % 3 as label, {WORDS_OF.format('te
 
 
 @query(f"""with {EXPLAINED} select item_id, case when len(string_split(premise, ' ')) not between 6 and 40 then 'premise' when len(string_split(claim, ' ')) not between 4 and 30 then 'claim' when len(rw) not between 10 and 40 then 'explanation'
- when label = 0 and regexp_matches(reason, '{quality.topic(screens.HEDGES, ()).replace(chr(39), chr(39) * 2)}') then 'hedged' when len(list_distinct(list_transform(range(1, len(rw) - 1), lambda i: array_to_string(rw[i:i+2], ' ')))) < len(rw) - 2 then 'repetition' else 'ok' end as fault,
+ when label = 0 and regexp_matches(reason, {fixed.quoted(screens.HEDGED)}) then 'hedged' when len(list_distinct(list_transform(range(1, len(rw) - 1), lambda i: array_to_string(rw[i:i+2], ' ')))) < len(rw) - 2 then 'repetition' else 'ok' end as fault,
  {list(screens.WORDINGS)}[cast(cast(concat('0x', substr(sha256(cast(item_id as varchar)), 1, 8)) as ubigint) % 4 as int) + 1] || chr(10) || 'Description: ' || premise || chr(10) || 'Claim: ' || claim as prompt,
  {list(screens.VERDICTS)}[label + 1] || ' ' || upper(left(reason, 1)) || substr(reason, 2) || '.' as answer from r""")
 def explanations(spark, sf_dir):
@@ -131,20 +211,6 @@ def family_exposure(spark, sf_dir):
     return select.family_exposures(rows, 60, "seed")
 
 
-ENDS = [("ing", 3), ("ed", 2), ("es", 2), ("s", 1)]
-
-
-def forms_sql(w: str) -> str:
-    """The forms of a word, as a list."""
-    parts = [f"[{w}]"]
-    for end, n in ENDS:
-        base = f"left({w}, length({w}) - {n})"
-        parts.append(f"case when ends_with({w}, '{end}') and length({w}) > {n + 2} then [{base}, {base} || 'e'] else [] end")
-        parts.append(f"case when ends_with({w}, '{end}') and length({base}) > 2 and {base}[-1:] = {base}[-2:-2] then [left({base}, -1)] else [] end")
-    parts.append(f"case when ends_with({w}, 'ies') then [left({w}, -3) || 'y'] else [] end")
-    return f"flatten([{', '.join(parts)}])"
-
-
 @query(f"""with {PAIRS}, p as (select conv_id, list_distinct(list_filter({WORDS_OF.format('answer')}, lambda w: not list_contains({list(screens.STOPWORDS)}, w))) as target,
  flatten(list_transform({WORDS_OF.format('request')}, lambda w: {forms_sql('w')})) as known from a where request is not null and answer is not null),
  u as (select conv_id, len(target) as words, len(list_filter(target, lambda w: not list_has_any({forms_sql('w')}, known))) as unsupported from p)

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import evaluate, graph, packing, quality, select
+from brindle.operators import evaluate, graph, packing, quality, screens, select
 from brindle.sources import files
-from brindle.streaming import stateful
+from brindle.streaming import run, stateful
 
 
 def one(spark, expr):
@@ -232,45 +232,92 @@ def test_verified_parquet_and_receipts(spark, tmp_path):
         files.check_transition({"a": 1}, {"a": 2}, {"b"})
 
 
-def test_fifo_window_and_shuffle_buffer():
-    window = stateful.FifoDedup(2)
-    assert [window.accept(k) for k in "abacab"] == [True, True, False, True, True, True]
-    buffer = stateful.ShuffleBuffer(3, "s", "a")
-    out = [x for i in range(10) for x in buffer.push(i)]
-    assert len(out) == 7 and sorted(out + buffer.drain()) == list(range(10))
-
-
-
-def test_streams_resume_as_if_uninterrupted(spark, tmp_path):
-    keys = [hashlib.sha256(str(i * i % 23).encode()).hexdigest()[:6] for i in range(60)]
-    rows = [(i, k, "s" + str(i % 2)) for i, k in enumerate(keys)]
-    window, want = stateful.FifoDedup(5), []
-    for i, k, _ in rows:
-        if window.accept(k):
-            want.append(i)
-    buffers, turns = {s: stateful.ShuffleBuffer(4, "seed", s) for s in ("s0", "s1")}, {"s0": [], "s1": []}
-    for i, _, s in rows:
-        turns[s] += buffers[s].push(i)
-    schema = "place long, key string, source string"
-    parts = [spark.createDataFrame(rows[a : a + 20], schema) for a in (0, 20, 40)]
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/d/in")
-        stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/d/in")
-        kept = stateful.run_once(stateful.fifo_dedup(stream, 5), f"file://{tmp_path}/d/kept", f"file://{tmp_path}/d/c1")
-        dealt = stateful.run_once(stateful.shuffle_buffer(stream, 4, "seed"), f"file://{tmp_path}/d/dealt", f"file://{tmp_path}/d/c2")
-        unique = stateful.run_once(stateful.first_by_provenance(stream, "key"), f"file://{tmp_path}/d/unique", f"file://{tmp_path}/d/c3")
-    assert sorted(r["place"] for r in kept.collect()) == want
-    for s in turns:
-        assert [r["place"] for r in dealt.filter(F.col("source") == s).orderBy("turn").collect()] == turns[s]
-    assert unique.count() == len(set(keys))
-
-
 def test_event_counts(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.write.parquet(f"file://{tmp_path}/e/in")
     stream = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/e/in")
-    done = stateful.run_once(stateful.event_counts(stream), f"file://{tmp_path}/e/out", f"file://{tmp_path}/e/c")
+    done = run.run_once(stateful.event_counts(stream), f"file://{tmp_path}/e/out", f"file://{tmp_path}/e/c")
     batch = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour"), "event_type").count()
     assert 0 < done.count() <= batch.count()
     same = done.select("window", "event_type", F.col("n").alias("count")).exceptAll(batch)
     assert same.isEmpty()
+
+
+FINE = "The river runs past the old mill and the children like to play on its banks."
+#: Reason, request, answer, family, system message: written by hand, as no pattern of the library.
+PLANTED = [
+    ("ok", "Tell me of the river by the mill.", FINE, "conversation", ""),
+    ("roles", None, FINE, "conversation", ""),
+    ("prompt_length", "so " * 401, FINE, "conversation", ""),
+    ("answer_length", "Tell me of the river.", "A river.", "conversation", ""),
+    ("code_math_scope", "Tell me how many boats there are.", FINE, "conversation", ""),
+    ("code_math_scope", "Tell me of the river.", FINE + " See https://a.b for more.", "conversation", ""),
+    ("math_scope_extended", "Tell me of the median boat.", FINE, "conversation", ""),
+    ("numeric_table_or_problem", "Boats: 3 in May, 4 in June, 5.5 in July, 6 in August.", FINE, "conversation", ""),
+    ("roleplay_or_setup", "You are a pirate, tell me of the river.", FINE, "conversation", ""),
+    ("roleplay_or_setup", "Let us role-play on the river.", FINE, "conversation", ""),
+    ("persona", "You are an assistant for river guides.", FINE, "rewrite", ""),
+    ("roleplay_or_setup", "Tell me of the river.", "I grew up there, and the river runs past the old mill.", "conversation", ""),
+    ("roleplay_or_setup", "Tell me of the river.", "Sure! Please tell me more about which river you would like to hear of.", "conversation", ""),
+    ("persona", "From now on you’re captain of the boat.", FINE, "conversation", ""),
+    ("ok", "I hope that you are free to tell me of the river.", FINE, "conversation", ""),
+    ("persona", "Tell me of the river.", FINE, "conversation", "Your character is gruff."),
+    ("ok", "Tell me of the river.", FINE, "rewrite", "Your character is gruff."),
+    ("specialist_or_live", "Tell me of the river.", FINE + " A patient walks there.", "conversation", ""),
+    ("specialist_or_live", "The boat costs €9, tell me of it.", FINE, "conversation", ""),
+    ("specialist_drug", "Tell me of the drug trade on the river.", FINE, "conversation", ""),
+    ("unverifiable_live_context", "Is there a mill near me?", FINE, "everyday", ""),
+    ("ok", "Is there a mill near me?", FINE, "conversation", ""),
+    ("dedicated_rewrite_source", "Please polish my words on the river.", FINE, "conversation", ""),
+    ("new_numbers", "The mill by the river.", "The mill by the river has 12 wheels, which turn by night.", "rewrite", ""),
+    ("summary_unsupported_words", "The river runs by the mill.", "Trout leap beneath willows, herons wade between slippery stones.", "summary", ""),
+    ("summary_new_name", "A river runs past a mill in a valley of green hills.", "The river runs past a mill in Rhoda, a valley of green hills.", "summary", ""),
+    ("summary_overstated_commitment", "The miller and the mayor talk about a new wheel for the old mill.", "The miller and the mayor agreed about a new wheel for the old mill.", "summary", ""),
+    ("summary_instruction", "The miller and the mayor talk of a new wheel.", "The miller and the mayor talk of their new wheel.", "summary", "Do it without using second or third person pronouns."),
+    ("summary_length_instruction", "The mill is old. The river is wide. The wheel turns.", "The mill is old. The river is wide. The wheel turns.", "summary", "Answer in one very short sentence."),
+    ("embedded_roles", "Tell me of the river.", FINE + "\nUser: and then it ends here.", "conversation", ""),
+    ("incomplete_ending", "Tell me of the river.", FINE[:-1], "conversation", ""),
+    ("ok", "Put the letter in better words.", "The river is high and the mill stands still. Come soon.\nKind regards,\nAda Miller", "rewrite", ""),
+    ("incomplete_ending", "Put the letter in better words.", "The river is high and the mill stands still. Come soon.\nKind regards,\nAda Miller", "everyday", ""),
+    ("language", "Tell me of the river.", "Où est la rivière? Très près, à côté du château, là où l’été règne.", "conversation", ""),
+    ("repetition", "Tell me of the river.", "past the old mill it goes past the old mill it goes past the old mill.", "conversation", ""),
+    ("echo", "Where does the wide river run past the old mill?", "where does the wide river run, past the old mill.", "conversation", ""),
+]
+
+
+def test_planted_single_turns(spark):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PLANTED)], "i int, want string, request string, answer string, family string, system string")
+    reason = screens.single_turn_reason(F.col("request"), F.col("answer"), F.col("family"), F.col("system"))
+    got = {r["i"]: r["reason"] for r in rows.select("i", reason.alias("reason")).collect()}
+    assert [(i, got[i]) for i in got if got[i] != PLANTED[i][0]] == []
+
+
+def test_first_pairs_of_conversations(spark):
+    hello = [("user", "Hi there"), ("assistant", "Hello."), ("user", "Where is the mill?"), ("assistant", "Past it.")]
+    cases = [("everyday", hello, ("", "Where is the mill?", "Past it.")), ("rewrite", hello, ("", "Hi there", "Hello.")), ("summary", [("system", " Be brief. "), *hello], ("Be brief.", "Hi there", "Hello.")), ("everyday", hello[:2], ("", "Hi there", "Hello.")), ("rewrite", hello[1:], None), ("rewrite", hello[:1], None), ("rewrite", [], None)]
+    rows = spark.createDataFrame([(i, f, m) for i, (f, m, _) in enumerate(cases)], "i int, family string, messages array<struct<role:string,content:string>>")
+    got = {r["i"]: r["pair"] for r in rows.select("i", screens.single_turn(F.col("messages"), F.col("family")).alias("pair")).collect()}
+    assert [got[i] and tuple(got[i]) for i in range(len(cases))] == [w for _, _, w in cases]
+
+
+def test_planted_answers(spark):
+    cases = [
+        ("ok", "Tell me of the river.", FINE, "conversation"), ("scope", "Tell me of the software.", FINE, "rewrite"), ("persona", "Your name is Bo.", FINE, "rewrite"), ("meta_edit", "Tell me.", FINE + " It is more concise.", "conversation"),
+        ("ok", "Tell me.", FINE + " It is more concise.", "rewrite"), ("word_count", "Tell me in 9 words.", FINE, "conversation"), ("ok", "Tell me in exactly 16 words.", FINE, "conversation"), ("ok", "Tell me in 016-word style.", FINE, "conversation"),
+        ("repetition", "Tell me.", "past the old mill it goes, past the old mill it comes", "conversation"), ("edit_filler", "Tell me.", "I've removed the mill.", "conversation"), ("false_self", "Tell me.", "In my experience it runs.", "conversation"),
+        ("edit_request", "Rephrase this.", FINE, "followup"), ("ok", "Rephrase this.", FINE, "rewrite"), ("long_followup", "so " * 201, FINE, "followup"), ("numbers_lost", "There are 3 mills.", FINE, "rewrite"), ("ok", "There are 3 mills.", "See 3 mills.", "rewrite"),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, want string, prompt string, answer string, family string")
+    got = {r["i"]: r["fault"] for r in rows.select("i", screens.answer_fault(F.col("prompt"), F.col("answer"), F.col("family")).alias("fault")).collect()}
+    assert [(i, got[i]) for i in got if got[i] != cases[i][0]] == []
+
+
+def test_planted_topics_and_phrases(spark):
+    topics = {"a command-line tool": "code_topic", "web\tscraping at night": "code_topic", "def run(": "code_topic", "two theorems": "math_topic", "3 × 4": "math_topic", "x = -2": "math_topic", "access denied": "boilerplate_or_encoding", "To create : it": "boilerplate_or_encoding", "the commandeer line": "ok"}
+    rows = spark.createDataFrame([(t + " " + FINE, w) for t, w in topics.items()], "text string, want string")
+    for r in rows.select("text", "want", quality.prose_reason(F.col("text"), F.lit("ok"), F.lit("train"), min_words=1).alias("got")).collect():
+        assert r["got"] == r["want"], r["text"]
+    phrases = {"i made a few changes": "phrase", 'I changed "the" word': "phrase", "I can't help": "phrase", "I canXt help": "ok", "Please try again": "phrase", "regex here": "scope", "4 + 5": "scope", "plain": "ok"}
+    rows = spark.createDataFrame(list(phrases.items()), "text string, want string")
+    for r in rows.select("text", "want", screens.overlap_reason(F.col("text")).alias("got")).collect():
+        assert r["got"] == r["want"], r["text"]
