@@ -12,11 +12,11 @@ from brindle.functions import fixed, sql
 from brindle.functions import text as T
 from brindle.operators import jobs, quality, screens, select
 from brindle.operators.graph import components, passing_depths, store
-from brindle.plans.corpus import GATE, greedy_keep_first, words_sql
+from brindle.plans.corpus import GATE, greedy, greedy_sql, words_sql
 from brindle.plans.dialogues import group_text, messages, reply_chains
 from brindle.plans.generated import generated_instructions, generated_preferences
-from brindle.plans.recipes import NORM_OF, PAIRS, REVIEW_REJECTED, WORDS_OF, listed, multiple_choice
-from brindle.plans.registry import ORACLES, QUERIES, query, table
+from brindle.plans.recipes import EXPLAINED, NORM_OF, PAIRS, REVIEW_REJECTED, SENTENCE_LIST, SPANS, WORDS_OF, explained_rows, listed, multiple_choice, span_rows
+from brindle.plans.registry import ORACLES, QUERIES, documents, query, table
 from brindle.sources import synth
 
 HEX8 = "cast(concat('0x', substr({0}, 1, 8)) as ubigint)"
@@ -347,23 +347,24 @@ def context_reasoning(spark, sf_dir):
     return rows.select("split", "grp", "variant", F.col("place").cast("long").alias("place"))
 
 
-@query("""with recursive s as (select doc_id as id, trim(regexp_replace(lower(substr(text, 1, 12)), '[^a-z0-9]+', ' ', 'g')) as premise, 'k' || cast(doc_id // 3 as varchar) as scene, doc_id % 3 as label from documents),
- e as (select distinct scene as a, 'p' || premise as b from s where premise <> ''), n as (select a, b from e union select b, a from e), r(node, root) as (select a, a from n union select n.b, r.root from r join n on r.node = n.a),
- g as (select node as scene, min(root) as grp from r group by 1), o as (select s.id, coalesce(g.grp, s.scene) as grp, label, sha256('scene:' || id) as h from s left join g using (scene)),
- k as (select * from o qualify row_number() over (partition by grp, label order by h) = 1), m as (select min(n) as n from (select count(*) as n from k group by label))
- select id, grp, cast(label as int) as label, row_number() over (partition by label order by h) as place from k, m qualify row_number() over (partition by label order by h) <= any_value(m.n) over ()""")
+@query(f"""with recursive {EXPLAINED}, q as (select doc_id as id, label, 'k' || cast(doc_id // 3 as varchar) as scene, array_to_string(pw, ' ') as said, array_to_string(rw, ' ') as why, prompt, answer, sha256('scene:' || doc_id) as h from r where fault = 'ok'),
+ e as (select distinct scene as a, 'p' || said as b from q), n as (select a, b from e union select b, a from e), t(node, root) as (select a, a from n union select n.b, t.root from t join n on t.node = n.a), g as (select node as scene, min(root) as grp from t group by 1),
+ o as (select q.*, grp from q join g using (scene) qualify row_number() over (partition by why order by h) = 1), k as (select * from o qualify row_number() over (partition by grp, label order by h) = 1), m as (select min(n) as n from (select count(*) as n from k group by label))
+ select id, grp, label, row_number() over (partition by label order by h) as place, prompt, answer from k, m qualify row_number() over (partition by label order by h) <= any_value(m.n) over ()""")
 def explanation_transfer(spark, sf_dir):
-    """Scenes that share a premise are one group (connected components); of each group one
-    of a label, equally many of each label."""
-    docs = table(spark, sf_dir, "documents")
-    rows = store(docs.select(F.col("doc_id").alias("id"), T.norm(F.substring("text", 1, 12)).alias("premise"), F.concat(F.lit("k"), F.expr("doc_id div 3").cast("string")).alias("scene"), (F.col("doc_id") % 3).cast("int").alias("label")))
-    links = rows.filter("premise <> ''").select(F.col("scene").alias("a"), F.concat(F.lit("p"), "premise").alias("b")).distinct()
-    named = rows.join(components(links).withColumnRenamed("node", "scene"), "scene", "left").select("id", "label", F.coalesce("root", "scene").alias("grp"), select.hash_rank("scene", F.col("id")).alias("h"))
-    one = store(first_of(named, 1, "grp", "label"))
+    """Screened explanations; scenes (documents 3k to 3k + 2) that share a description are
+    one group (connected components); no explanation twice, of each group one of a label,
+    equally many of each label."""
+    rows = explained_rows(spark, sf_dir).filter("fault = 'ok'")
+    scene = F.concat(F.lit("k"), F.expr("doc_id div 3").cast("string"))
+    rows = store(rows.select(F.col("doc_id").alias("id"), "label", scene.alias("scene"), F.concat(F.lit("p"), T.norm(F.col("premise"))).alias("said"), T.norm(F.col("reason")).alias("why"), "prompt", "answer", select.hash_rank("scene", F.col("doc_id")).alias("h")))
+    links = rows.select(F.col("scene").alias("a"), F.col("said").alias("b")).distinct()
+    named = rows.join(components(links).withColumnRenamed("node", "scene"), "scene").withColumnRenamed("root", "grp")
+    one = store(first_of(first_of(named, 1, "why"), 1, "grp", "label"))
     least = one.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
     # One row: the size of the smallest label.
     placed = select.places(one, ["h"], "label").withColumn("place", F.col("place") + 1)
-    return placed.join(F.broadcast(least)).filter("place <= least").select("id", "grp", "label", "place")
+    return placed.join(F.broadcast(least)).filter("place <= least").select("id", "grp", "label", "place", "prompt", "answer")
 
 
 @query("""with h as (select doc_id, source, lang, sha256('balance:' || doc_id) as h from documents), o as (select * from h qualify row_number() over (partition by source, lang order by h) = 1),
@@ -378,21 +379,14 @@ def balanced_transfer(spark, sf_dir):
     return each.filter("at < 25").select("doc_id", "lang", F.col("epoch").cast("long").alias("epoch"), F.col("at").cast("long").alias("place"))
 
 
-SPAN = "substr(text, 1 + cast(doc_id % 40 as bigint), 20)"
-
-
-@query(f"""with c as (select doc_id, source, lang, {SPAN} as answer, doc_id % 40 as start, sha256('span:' || doc_id) as h from documents where length(text) between 300 and 3000),
- g as (select * from c where length(trim(answer)) = 20), k as (select * from g qualify row_number() over (partition by source, lang order by h) <= 2), t as (select * from k qualify row_number() over (partition by source order by h) <= 4),
- a as (select doc_id as id, h from t where lang = 'en'), b as (select doc_id as id, h from t where lang = 'de'), x as (select doc_id as id, h from t where lang not in ('en', 'de')), {blocks_sql([("a", 8), ("b", 4), ("x", 1)])}""")
+@query(f"""with {SPANS}, g as (select doc_id, source, lang, sha256('span:' || doc_id) as h from c where holds and fits), k as (select * from g qualify row_number() over (partition by source, lang order by h) <= 2), t as (select * from k qualify row_number() over (partition by source order by h) <= 4),
+ v as (select doc_id as id, h from t where lang = 'en'), w as (select doc_id as id, h from t where lang = 'de'), x as (select doc_id as id, h from t where lang not in ('en', 'de')), {blocks_sql([("v", 4), ("w", 2), ("x", 1)])}""")
 def reading_repair(spark, sf_dir):
-    """Spans that stand where they say, capped by passage and title, batches of 8, 4 and 1."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text").between(300, 3000))
-    start = (F.col("doc_id") % 40).cast("int")
-    rows = docs.withColumn("answer", F.substring(F.col("text"), start + 1, F.lit(20))).withColumn("answers", F.array(F.struct(F.col("answer").alias("text"), start.alias("start"))))
-    rows = rows.filter(screens.spans_hold(F.col("text"), F.col("answers")) & (F.length(F.trim("answer")) == 20))
-    rows = rows.select(F.col("doc_id").alias("id"), "source", "lang", select.hash_rank("span", F.col("doc_id")).alias("h"))
+    """Spans that stand where they say in passages of 35 to 200 words, capped by passage and
+    title, in batches of 4, 2 and 1."""
+    rows = span_rows(spark, sf_dir).filter("holds and fits").select(F.col("doc_id").alias("id"), "source", "lang", select.hash_rank("span", F.col("doc_id")).alias("h"))
     kept = store(screens.capped(rows, ["h"], [(["source", "lang"], 2), (["source"], 4)]))
-    return blocks([(kept.filter("lang = 'en'"), 8), (kept.filter("lang = 'de'"), 4), (kept.filter("lang not in ('en', 'de')"), 1)])
+    return blocks([(kept.filter("lang = 'en'"), 4), (kept.filter("lang = 'de'"), 2), (kept.filter("lang not in ('en', 'de')"), 1)])
 
 
 @query(f"""with {FACTS.format(ORACLES["multiple_choice"])}, a as (select grp as id, row_number() over (order by h) - 1 as place from f where variant = 0), i as (select id, row_number() over (order by sha256('task:' || id)) - 1 as place from ({ORACLES["generated_instructions"]})),
@@ -475,24 +469,68 @@ def breadth_batches(spark, sf_dir):
     return found.groupBy("pool", "batch").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query(f"""with {TALKS}, k as (select conv_id, request, answer, {KINDS} as kind from t where request is not null and answer is not null)
- select kind, count(*) as n, round(avg(cast(regexp_matches(answer, '[.!?]\\s*$') as int)), 6) as stopped, round(avg(cast({NORM_OF.format("answer")} = {NORM_OF.format("request")} as int)), 6) as echoed, round(avg(length(answer)), 6) as size from k group by 1""")
-def targeted_assessment(spark, sf_dir):
-    """Rates of stored answers by the kind of their request."""
-    rows = talks(spark, sf_dir).filter("request is not null and answer is not null")
-    kind = F.coalesce(screens.behaviour(F.array("request"), F.col("answers")), F.lit("other"))
-    rate = lambda held: F.round(F.avg(held.cast("int")), 6)
-    return rows.withColumn("kind", kind).groupBy("kind").agg(
-        F.count("*").alias("n"), rate(F.col("answer").rlike(r"[.!?]\s*$")).alias("stopped"), rate(T.norm(F.col("answer")) == T.norm(F.col("request"))).alias("echoed"), F.round(F.avg(F.length("answer")), 6).alias("size")
+QA_WORDS = f"list_filter({WORDS_OF}, lambda x: x not in ('a', 'an', 'the'))"
+
+#: Requests about a document's first sentence, three of four with a rule for the rest of it.
+ASKED = f"""y as (select doc_id, s[1] as task, array_to_string(s[2:], ' ') as answer, cast(1 + doc_id % 8 as int) as k from (select doc_id, {SENTENCE_LIST} as s from documents) where len(s) > 1),
+ w as (select *, {WORDS_OF.format('task')} as tw, {WORDS_OF.format('answer')} as aw, len(list_filter(regexp_split_to_array(answer, '\\s+'), lambda x: x <> '')) as size, case doc_id % 4 when 0 then 'sentences' when 1 then 'no_comma' when 2 then 'words' end as family from y),
+ u as (select *, case family when 'sentences' then len(list_filter(regexp_split_to_array(answer, '[.!?]+'), lambda x: trim(x) <> '')) <= k when 'no_comma' then not contains(answer, ',') when 'words' then len(aw) >= 10 * k end as passed,
+ list_distinct(list_filter(tw, lambda x: not list_contains({list(screens.STOPWORDS)}, x))) as topic from w),
+ v as (select doc_id, family, passed, topic, case when size not between 30 and 150 then 'answer_length' when family is null then 'unsupported_or_no_task' when not passed then 'target_rule_failure' when len(topic) < 3 then 'weak_topic'
+ when len(list_filter(topic, lambda x: list_contains(aw, x))) < 2 then 'weak_relevance' else 'ok' end as reason from u)"""
+
+
+def asked_rows(spark, sf_dir) -> DataFrame:
+    """doc_id, what is asked about a document's first sentence, the rest of it as the answer,
+    the checks that the request states, which of them hold, topic words and the first fault."""
+    parts = documents(spark, sf_dir).select("doc_id", screens.sentences(F.col("text")).alias("s")).filter("size(s) > 1")
+    k = (1 + F.col("doc_id") % 8).cast("int")
+    forms = (F.format_string("Write at most %d sentences on this: ", k), F.lit("Without using commas, go on: "), F.format_string("Write at least %d words on this: ", k * 10), F.lit("Go on: "))
+    lead = F.get(F.array(*forms), (F.col("doc_id") % 4).cast("int"))
+    rows = parts.select("doc_id", lead.alias("lead"), F.col("s")[0].alias("task"), F.array_join(F.slice("s", F.lit(2), F.size("s")), " ").alias("answer"))
+    rows = rows.withColumn("checks", C.parse(F.col("lead"))).withColumn("held", C.verify(F.col("answer"), F.col("checks")))
+    rows = rows.withColumn("topic", screens.content_words(F.col("task")))
+    common = F.size(F.array_intersect("topic", T.word_list(T.norm(F.col("answer")))))
+    reason = quality.first_reason(
+        (~F.size(screens.spaced(F.col("answer"))).between(30, 150), "answer_length"), (F.coalesce(F.size("checks"), F.lit(0)) < 1, "unsupported_or_no_task"), (F.exists("held", lambda x: ~x), "target_rule_failure"),
+        (F.size("topic") < 3, "weak_topic"), (common < 2, "weak_relevance"),
     )
+    return rows.withColumn("reason", reason)
 
 
-@query(f"""with k as ({ORACLES["greedy_keep_first"]}) select doc_id, case when {share_sql("doc_id", "constraint", 20)} < 2 then 'dev' when {share_sql("doc_id", "constraint", 20)} < 4 then 'test' else 'train' end as split from k""")
+@query(f"with {ASKED} select doc_id, family, reason from v")
+def constraint_sources(spark, sf_dir):
+    """Requests on documents parsed, answers verified against them and screened."""
+    return asked_rows(spark, sf_dir).select("doc_id", F.get("checks", F.lit(0))["family"].alias("family"), "reason")
+
+
+@query(f"""with k as ({greedy_sql(f"{ASKED}, eligible as (select doc_id from v where reason = 'ok'), t as (select doc_id, unnest(topic) as word from v where reason = 'ok')", "eligible")})
+ select doc_id, case when {share_sql("doc_id", "constraint", 20)} < 2 then 'dev' when {share_sql("doc_id", "constraint", 20)} < 4 then 'test' else 'train' end as split from k""")
 def constraint_completion(spark, sf_dir):
-    """Texts whose words aren't those of one kept before (in hash order), by split."""
+    """Requests parsed, answers verified and screened; of those with similar topic words the
+    first in hash order; by split."""
     bucket = share("doc_id", "constraint", 20)
-    kept = greedy_keep_first(spark, sf_dir)
-    return kept.select("doc_id", F.when(bucket < 2, "dev").when(bucket < 4, "test").otherwise("train").alias("split"))
+    rows = store(asked_rows(spark, sf_dir).filter("reason = 'ok'").select("doc_id", F.array_sort("topic").alias("words")))
+    return greedy(rows).select("doc_id", F.when(bucket < 2, "dev").when(bucket < 4, "test").otherwise("train").alias("split"))
+
+
+@query(f"""with {ASKED}, c as (select 'constraints' as category, family, count(*) as n, round(avg(cast(passed as int)), 6) as correct, cast(null as double) as f1 from v where family is not null group by 2),
+ m as (select conv_id, turn, {QA_WORDS.format('text')} as w from conversations where role = 'assistant'), f as (select *, row_number() over (partition by conv_id order by turn) as k from m), p as (select a.conv_id, b.turn, a.w as x, b.w as y from f a join f b on a.conv_id = b.conv_id and a.k = 1 and b.k > 1),
+ q as (select conv_id, turn, word from (select conv_id, turn, unnest(list_distinct(x)) as word from p)), o as (select p.conv_id, p.turn, sum(least(len(list_filter(x, lambda i: i = word)), len(list_filter(y, lambda i: i = word)))) as common from p join q using (conv_id, turn) group by all),
+ b as (select p.conv_id, max(case when common > 0 then 2.0 * common / (len(x) + len(y)) else 0.0 end) as f1, bool_or(x = y) as exact from p left join o using (conv_id, turn) group by 1)
+ select * from c union all select 'reading', 'reference', count(*), round(avg(cast(exact as int)), 6), round(avg(f1), 6) from b""")
+def targeted_assessment(spark, sf_dir):
+    """Stored texts assessed: answers by each family of constraint (H11), first replies by
+    exact match and the best F1 against the other replies of their conversation (H8)."""
+    each = asked_rows(spark, sf_dir).select(F.explode(F.arrays_zip("checks", "held")).alias("c")).select(F.col("c.checks.family").alias("family"), F.col("c.held").alias("held"))
+    held = each.groupBy(F.lit("constraints").alias("category"), "family").agg(F.count("*").alias("n"), F.round(F.avg(F.col("held").cast("int")), 6).alias("correct"), F.lit(None).cast("double").alias("f1"))
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.qa_words(F.col("text")).alias("words"))
+    first = F.min_by("words", "turn").over(Window.partitionBy("conv_id"))
+    least = F.min("turn").over(Window.partitionBy("conv_id"))
+    pairs = turns.select("conv_id", "turn", "words", first.alias("first"), least.alias("least")).filter("turn > least")
+    best = pairs.groupBy("conv_id").agg(F.max(T.token_f1(F.col("first"), F.col("words"))).alias("f1"), F.bool_or(F.col("first") == F.col("words")).alias("exact"))
+    read = best.agg(F.lit("reading").alias("category"), F.lit("reference").alias("family"), F.count("*").alias("n"), F.round(F.avg(F.col("exact").cast("int")), 6).alias("correct"), F.round(F.avg("f1"), 6).alias("f1"))
+    return held.unionByName(read)
 
 
 @query(f"""with a as (select distinct 'intact_conversations' as part, cast(conv_id as bigint) as id from ({ORACLES["intact_conversations"]})), b as (select distinct 'public_repair' as part, cast(conv_id as bigint) as id from ({ORACLES["public_repair"]})),

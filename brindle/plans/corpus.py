@@ -193,11 +193,14 @@ def jaccard_components(spark, sf_dir):
     return items.join(found, "item_id", "left").select("item_id", F.coalesce("root", "item_id").alias("root"))
 
 
-def word_sets(spark, sf_dir):
-    """Documents with words and their classes of equal word sets: (doc_id, node) and (node, words, first);
-    node is a class's smallest id, first its first row in hash order."""
-    words = F.array_sort(F.array_distinct(T.word_list(T.norm(F.col("text")))))
-    rows = store(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter("size(words) > 0"))
+def document_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(T.word_list(T.norm(F.col("text"))))).alias("words"))
+
+
+def word_sets(rows):
+    """Rows (doc_id, sorted words) with words and their classes of equal sets: (doc_id, node) and
+    (node, words, first); node is a class's smallest id, first its first row in hash order."""
+    rows = store(rows.filter("size(words) > 0"))
     order = F.struct(select.hash_rank("seed", F.col("doc_id")).alias("h"), "doc_id")
     nodes = store(rows.groupBy("words").agg(F.min("doc_id").alias("node"), F.min(order).alias("first")))
     return rows.join(nodes.select("words", "node"), "words").select("doc_id", "node"), nodes
@@ -223,15 +226,16 @@ def similar_sets(nodes):
     return store(counted.filter("5 * common >= 3 * total"))
 
 
-SETS = f"""t as (select doc_id, unnest(list_distinct({WORDS})) as word from documents), s as (select doc_id, count(*) as n from t group by 1),
- c as (select a.doc_id as left_id, b.doc_id as right_id, count(*) as common from t a join t b using (word) where a.doc_id < b.doc_id group by all),
+#: Pairs of similar sets of a table t (doc_id, word).
+SIMILAR = """s as (select doc_id, count(*) as n from t group by 1), c as (select a.doc_id as left_id, b.doc_id as right_id, count(*) as common from t a join t b using (word) where a.doc_id < b.doc_id group by all),
  pairs as (select left_id, right_id, common, round(common / (x.n + y.n - common), 6) as jaccard from c join s x on left_id = x.doc_id join s y on right_id = y.doc_id where 5 * common >= 3 * (x.n + y.n - common))"""
+SETS = f"t as (select doc_id, unnest(list_distinct({WORDS})) as word from documents), {SIMILAR}"
 
 
 @query(f"with {SETS} select * from pairs")
 def document_jaccard_pairs(spark, sf_dir):
     """Every two documents whose word sets have a Jaccard similarity of 0.6 or more."""
-    members, nodes = word_sets(spark, sf_dir)
+    members, nodes = word_sets(document_words(spark, sf_dir))
     equal = nodes.select(F.col("node").alias("left"), F.col("node").alias("right"), F.size("words").alias("common"), F.size("words").alias("total"))
     found = similar_sets(nodes).unionByName(equal)
     side = lambda name, own: members.select(F.col("node").alias(name), F.col("doc_id").alias(own))
@@ -243,22 +247,29 @@ def document_jaccard_pairs(spark, sf_dir):
  select node as doc_id, min(root) as root from r group by 1""")
 def dup_components(spark, sf_dir):
     """Each document and the smallest id connected to it by those pairs."""
-    members, nodes = word_sets(spark, sf_dir)
+    members, nodes = word_sets(document_words(spark, sf_dir))
     found = components(similar_sets(nodes).select(F.col("left").alias("a"), F.col("right").alias("b")))
     near = members.join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     return table(spark, sf_dir, "documents").select("doc_id").join(near, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
 
 
-GREEDY = f"""with recursive {SETS}, e as (select left_id as doc_id, right_id as other from pairs union all select right_id, left_id from pairs), near as (select doc_id, list(other) as others from e group by 1),
- o as (select doc_id, row_number() over (order by sha256('seed:' || doc_id), doc_id) as i from documents), r(i, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
- select o.i, case when list_has_any(coalesce(others, []), kept) then kept else list_append(kept, o.doc_id) end from r join o on o.i = r.i + 1 left join near on near.doc_id = o.doc_id) select unnest(kept) as doc_id from r where i = (select count(*) from documents)"""
+def greedy_sql(sets: str, rows: str) -> str:
+    """The rows kept, of a table with doc_id whose words ``sets`` has as t."""
+    return f"""with recursive {sets}, {SIMILAR}, e as (select left_id as doc_id, right_id as other from pairs union all select right_id, left_id from pairs), near as (select doc_id, list(other) as others from e group by 1),
+ o as (select doc_id, row_number() over (order by sha256('seed:' || doc_id), doc_id) as i from {rows}), r(i, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all
+ select o.i, case when list_has_any(coalesce(others, []), kept) then kept else list_append(kept, o.doc_id) end from r join o on o.i = r.i + 1 left join near on near.doc_id = o.doc_id) select unnest(kept) as doc_id from r where i = (select count(*) from {rows})"""
 
 
-@query(GREEDY)
+@query(greedy_sql(f"t as (select doc_id, unnest(list_distinct({WORDS})) as word from documents)", "documents"))
 def greedy_keep_first(spark, sf_dir):
-    """Documents in hash order, each kept unless its word set is similar to that of one kept
-    before (C8); one task per component, as no choice depends on another component."""
-    members, nodes = word_sets(spark, sf_dir)
+    """Documents of which no similar one comes before in hash order."""
+    return greedy(document_words(spark, sf_dir))
+
+
+def greedy(whole):
+    """Rows (doc_id, words) in hash order, each kept unless its word set is similar to that of
+    one kept before; one task per component, as no choice depends on another component."""
+    members, nodes = word_sets(whole)
     links = similar_sets(nodes).select(F.col("left").alias("a"), F.col("right").alias("b"))
     both = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("near"))
     rows = both.join(components(links), "node").join(nodes.select("node", "first"), "node").select("root", "node", "near", F.col("first.h").alias("h"), F.col("first.doc_id").alias("doc_id"))
@@ -271,7 +282,7 @@ def greedy_keep_first(spark, sf_dir):
         return frame.loc[frame["node"].isin(kept), ["doc_id"]]
 
     lone = nodes.join(both, "node", "left_anti").select(F.col("first.doc_id").alias("doc_id"))
-    empty = table(spark, sf_dir, "documents").select("doc_id").join(members, "doc_id", "left_anti")
+    empty = whole.select("doc_id").join(members, "doc_id", "left_anti")
     return rows.groupBy("root").applyInPandas(choose, "doc_id long").unionByName(lone).unionByName(empty)
 
 

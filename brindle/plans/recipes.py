@@ -151,33 +151,41 @@ def answer_faults(spark, sf_dir):
     return rows.select("conv_id", screens.answer_fault(F.col("pair.request"), F.col("pair.answer"), F.col("family")).alias("fault"))
 
 
-EXPLAINED = f"""w as (select item_id, item_id % 3 as label, {WORDS_OF.format('text')} as w from benchmark), x as (select item_id, label, array_to_string(w[1:12], ' ') as premise, array_to_string(w[3:7], ' ') as claim,
- array_to_string(w[8:20], ' ') || case when item_id % 6 = 0 then ' it may be so' else '' end as reason from w), r as (select *, {WORDS_OF.format('reason')} as rw from x)"""
+SENTENCE_LIST = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([^a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')"
+
+#: The first three sentences of labelled documents: description, claim and explanation.
+EXPLAINED = f"""x as (select doc_id, label, s[1] as premise, s[2] as claim, s[3] as reason from (select doc_id, quality as label, {SENTENCE_LIST} as s from documents join labels using (doc_id)) where len(s) >= 3),
+ z as (select *, {WORDS_OF.format('premise')} as pw, {WORDS_OF.format('claim')} as cw, {WORDS_OF.format('reason')} as rw from x),
+ r as (select *, case when len(pw) not between 6 and 40 then 'premise' when len(cw) not between 4 and 30 then 'claim' when len(rw) not between 10 and 40 then 'explanation' when label = 0 and regexp_matches(reason, {fixed.quoted(screens.HEDGED)}) then 'hedged'
+ when len(list_distinct(list_transform(range(1, len(rw) - 1), lambda i: array_to_string(rw[i:i+2], ' ')))) < len(rw) - 2 then 'repetition' else 'ok' end as fault,
+ {list(screens.WORDINGS)}[cast(cast(concat('0x', substr(sha256(cast(doc_id as varchar)), 1, 8)) as ubigint) % 4 as int) + 1] || chr(10) || 'Description: ' || premise || chr(10) || 'Claim: ' || claim as prompt,
+ {list(screens.VERDICTS)}[label + 1] || ' ' || upper(left(reason, 1)) || substr(reason, 2) || case when regexp_matches(reason, '[.!?]$') then '' else '.' end as answer from z)"""
+
 
+def explained_rows(spark, sf_dir):
+    docs = documents(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    parts = docs.select("doc_id", "label", screens.sentences(F.col("text")).alias("s")).filter("size(s) >= 3")
+    rows = parts.select("doc_id", "label", *[F.get("s", F.lit(i)).alias(name) for i, name in enumerate(("premise", "claim", "reason"))])
+    prompt, answer = screens.explained(F.col("doc_id"), F.col("premise"), F.col("claim"), F.col("reason"), F.col("label"))
+    return rows.select("*", screens.explanation_reason(F.col("premise"), F.col("claim"), F.col("reason"), F.col("label")).alias("fault"), prompt.alias("prompt"), answer.alias("answer"))
 
-@query(f"""with {EXPLAINED} select item_id, case when len(string_split(premise, ' ')) not between 6 and 40 then 'premise' when len(string_split(claim, ' ')) not between 4 and 30 then 'claim' when len(rw) not between 10 and 40 then 'explanation'
- when label = 0 and regexp_matches(reason, {fixed.quoted(screens.HEDGED)}) then 'hedged' when len(list_distinct(list_transform(range(1, len(rw) - 1), lambda i: array_to_string(rw[i:i+2], ' ')))) < len(rw) - 2 then 'repetition' else 'ok' end as fault,
- {list(screens.WORDINGS)}[cast(cast(concat('0x', substr(sha256(cast(item_id as varchar)), 1, 8)) as ubigint) % 4 as int) + 1] || chr(10) || 'Description: ' || premise || chr(10) || 'Claim: ' || claim as prompt,
- {list(screens.VERDICTS)}[label + 1] || ' ' || upper(left(reason, 1)) || substr(reason, 2) || '.' as answer from r""")
+
+@query(f"with {EXPLAINED} select doc_id, fault, prompt, answer from r")
 def explanations(spark, sf_dir):
-    """Descriptions, claims and reasons screened, with their prompts and answers."""
-    words = T.word_list(T.norm(F.col("text")))
-    cut = lambda a, n: F.array_join(F.slice(words, a, n), " ")
-    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).alias("label"), cut(1, 12).alias("premise"), cut(3, 5).alias("claim"), F.concat(cut(8, 13), F.when(F.col("item_id") % 6 == 0, " it may be so").otherwise("")).alias("reason"))
-    prompt, answer = screens.explained(F.col("item_id"), F.col("premise"), F.col("claim"), F.col("reason"), F.col("label"))
-    return rows.select("item_id", screens.explanation_reason(F.col("premise"), F.col("claim"), F.col("reason"), F.col("label")).alias("fault"), prompt.alias("prompt"), answer.alias("answer"))
+    """Descriptions, claims and explanations, whole sentences of labelled documents,
+    screened, with their prompts and answers."""
+    return explained_rows(spark, sf_dir).select("doc_id", "fault", "prompt", "answer")
 
 
-@query(f"""with w as (select item_id, {WORDS_OF.format('text')} as w from benchmark), c as (select *, case when item_id % 2 = 0 then ['A', 'B', 'C', 'D'] else ['1', '2', '3', '4'] end as labels, w[1:4] as choices from w),
- k as (select *, case when item_id % 9 = 5 then 'Z' else labels[item_id % 4 + 1] end as key from c) select item_id, array_to_string(choices, '|') as choices, cast(list_position(labels, key) - 1 as int) as gold,
- array_to_string(list_transform(w[1:2], lambda o: replace('The _ is here.', '_', o)), '|') as filled from k""")
+@query(f"""with c as (select doc_id, {SENTENCE_LIST} as s, case when doc_id % 2 = 0 then ['A', 'B', 'C', 'D'] else ['1', '2', '3', '4'] end as labels from documents),
+ k as (select *, case when doc_id % 9 = 5 then 'Z' else labels[doc_id % 4 + 1] end as key from c where len(s) >= 4) select doc_id, array_to_string(s[1:4], '|') as choices, cast(list_position(labels, key) - 1 as int) as gold,
+ array_to_string(list_transform(s[2:3], lambda o: replace('_ That is all.', '_', o)), '|') as filled from k""")
 def choice_formats(spark, sf_dir):
-    """Lettered and numbered choices with a key, and a sentence with a blank."""
-    words = T.word_list(T.norm(F.col("text")))
-    labels = F.when(F.col("item_id") % 2 == 0, F.array(*map(F.lit, "ABCD"))).otherwise(F.array(*map(F.lit, "1234")))
-    key = F.when(F.col("item_id") % 9 == 5, "Z").otherwise(F.get(labels, (F.col("item_id") % 4).cast("int")))
-    rows = table(spark, sf_dir, "benchmark")
-    return rows.select("item_id", F.array_join(F.slice(words, 1, 4), "|").alias("choices"), screens.keyed_choice(labels, key).alias("gold"), F.array_join(screens.filled(F.lit("The _ is here."), F.slice(words, 1, 2)), "|").alias("filled"))
+    """Whole sentences as lettered and numbered choices with a key, and in a blank."""
+    labels = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, "ABCD"))).otherwise(F.array(*map(F.lit, "1234")))
+    key = F.when(F.col("doc_id") % 9 == 5, "Z").otherwise(F.get(labels, (F.col("doc_id") % 4).cast("int")))
+    rows = documents(spark, sf_dir).select("doc_id", screens.sentences(F.col("text")).alias("s")).filter("size(s) >= 4")
+    return rows.select("doc_id", F.array_join(F.slice("s", 1, 4), "|").alias("choices"), screens.keyed_choice(labels, key).alias("gold"), F.array_join(screens.filled(F.lit("_ That is all."), F.slice("s", 2, 2)), "|").alias("filled"))
 
 
 LOOP_SQL = ", ".join(f"max(most) filter (where n = {n}) >= {most} as {name}" for name, n, most in T.LOOPS)
@@ -279,20 +287,28 @@ def contrast_pairs(spark, sf_dir):
     return side.select("pair", ((F.col("a") == 0) & (F.col("b") == 1)).alias("both_right"), ((F.col("a") == 1) & (F.col("b") == 0)).alias("both_wrong"), (F.col("a") != F.col("b")).alias("switched"))
 
 
-@query("""with p as (select item_id, text, case when item_id % 5 = 4 then null else (item_id * 7) % 30 end as start, case when item_id % 3 = 1 then 1 else 0 end as shift from benchmark),
- a as (select *, substr(text, start + 1, 5 + item_id % 20) as answer from p) select item_id, coalesce(answer, '') as answer, start is null as unanswerable,
- start is null or substr(text, start + shift + 1, length(answer)) = answer as holds, length(text) between 50 and 2000 as fits from a""")
-def span_answers(spark, sf_dir):
-    """Answers of several lengths and places, some a character off, some without a span."""
-    start = F.when(F.col("item_id") % 5 == 4, F.lit(None)).otherwise((F.col("item_id") * 7) % 30).cast("int")
-    rows = table(spark, sf_dir, "benchmark").withColumn("start", start).withColumn("answer", F.substring(F.col("text"), F.col("start") + 1, (5 + F.col("item_id") % 20).cast("int")))
-    shift = F.when(F.col("item_id") % 3 == 1, 1).otherwise(0)
-    spans = F.when(F.col("start").isNull(), F.array().cast("array<struct<text:string,start:int>>")).otherwise(F.array(F.struct(F.col("answer").alias("text"), (F.col("start") + shift).alias("start"))))
-    rows = rows.withColumn("spans", spans)
-    return rows.select("item_id", F.coalesce("answer", F.lit("")).alias("answer"), (F.size("spans") == 0).alias("unanswerable"), screens.spans_hold(F.col("text"), F.col("spans")).alias("holds"), F.length("text").between(50, 2000).alias("fits"))
+#: The last sentence of each document as the answer, with its place in the text.
+SPANS = f"""p as (select doc_id, source, lang, text, {SENTENCE_LIST} as s from documents), a as (select *, case when len(s) > 1 then s[-1] end as answer, strpos(text, s[-1]) - 1 as start from p),
+ c as (select *, answer is null as unanswerable, answer is null or (start >= 0 and substr(text, start + 1, length(answer)) = answer) as holds,
+ {WORDS_N.format('text')} between 35 and 200 and (answer is null or {WORDS_N.format('answer')} between 1 and 12) as fits from a)"""
 
 
-SENTENCE_LIST = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([^a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')"
+def span_rows(spark, sf_dir):
+    """Documents with the span that answers them (none if they have one sentence), whether it
+    stands where it says, and whether passage and answer have the sizes wanted."""
+    said = F.element_at("s", -1)
+    rows = documents(spark, sf_dir).withColumn("s", screens.sentences(F.col("text"))).withColumn("answer", F.when(F.size("s") > 1, said))
+    rows = rows.withColumn("spans", F.when(F.col("answer").isNull(), F.array().cast("array<struct<text:string,start:int>>")).otherwise(F.array(F.struct(F.col("answer").alias("text"), (F.expr("instr(text, answer)") - 1).alias("start")))))
+    holds = screens.spans_hold(F.col("text"), F.col("spans")) & F.forall("spans", lambda x: x["start"] >= 0)
+    fits = F.size(screens.spaced(F.col("text"))).between(35, 200) & (F.col("answer").isNull() | F.size(screens.spaced(F.col("answer"))).between(1, 12))
+    return rows.select("doc_id", "source", "lang", "answer", (F.size("spans") == 0).alias("unanswerable"), holds.alias("holds"), fits.alias("fits"))
+
+
+@query(f"with {SPANS} select doc_id, coalesce(answer, '') as answer, unanswerable, holds, fits from c where text is not null")
+def span_answers(spark, sf_dir):
+    """Whole sentences as answers from whole texts."""
+    rows = span_rows(spark, sf_dir)
+    return rows.select("doc_id", F.coalesce("answer", F.lit("")).alias("answer"), "unanswerable", "holds", "fits")
 
 
 @query(f"""with d as (select item_id, {SENTENCE_LIST} as s, 2 + item_id % 3 as k from benchmark) select item_id, cast(k as bigint) as k, case item_id % 3 when 0 then array_to_string(list_transform(s[1:k], lambda x: '- ' || x), chr(10))
