@@ -138,19 +138,27 @@ def most_repeated(grams: Column) -> Column:
 
 #: Repetition rules: name, size of the runs, how often the commonest of them may not come.
 LOOPS = (("trigram_loop", 3, 4), ("fourgram_loop", 4, 3), ("fivegram_loop", 5, 3), ("target_8gram", 8, 3), ("curriculum_5gram", 5, 2))
+UNIT_LOOP = r"([A-Za-z]{2,12})\1{4,}"
 
 
-def repetitions(text: Column) -> dict[str, Column]:
-    """Whether each rule of repetition holds: a commonest run, a share of repeated runs
-    (``generated``), a short text's run (``short_4gram``), a unit of 2 to 12 letters five times
-    in a row (``unit_loop``)."""
-    words = word_list(norm(text))
-    found = {name: most_repeated(gram_hashes(words, n)) >= most for name, n, most in LOOPS}
-    extra = lambda g: F.size(g) - F.size(F.array_distinct(g))
-    found["generated"] = let(gram_hashes(words, 4), lambda g: extra(g) / F.greatest(F.size(g), F.lit(1)) > 0.2)
-    found["short_4gram"] = (F.size(words) >= 12) & found["fourgram_loop"]
-    found["unit_loop"] = text.rlike(r"([A-Za-z]{2,12})\1{4,}")
-    return found
+def repetitions(text: Column) -> Column:
+    """Whether each rule of repetition holds, as a struct: a commonest run (``LOOPS``), a share
+    of repeated runs (``generated``), a short text's run (``short_4gram``), a unit of 2 to 12
+    letters five times in a row (``unit_loop``).  Words are bound once and the runs of each
+    size hashed and sorted once."""
+    sizes = sorted({n for _, n, _ in LOOPS})
+    extra = lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.greatest(F.size(g), F.lit(1))
+    measure = lambda n, g: F.struct(most_repeated(g).alias("most"), (extra(g) if n == 4 else F.lit(0.0)).alias("extra"))
+
+    def rules(words: Column) -> Column:
+        of = lambda n: let(gram_hashes(words, n), lambda g: measure(n, g))
+        return let(F.struct(F.size(words).alias("words"), *[of(n).alias(f"n{n}") for n in sizes]), named)
+
+    def named(m: Column) -> Column:
+        most = {name: m[f"n{n}"]["most"] >= times for name, n, times in LOOPS}
+        return F.struct(*[c.alias(name) for name, c in most.items()], (m["n4"]["extra"] > 0.2).alias("generated"), ((m["words"] >= 12) & most["fourgram_loop"]).alias("short_4gram"), text.rlike(UNIT_LOOP).alias("unit_loop"))
+
+    return let(word_list(norm(text)), rules)
 
 
 def lines(text: Column) -> Column:

@@ -20,9 +20,9 @@ def first_by_key(rows: DataFrame, key: str, *order) -> DataFrame:
     return rows.groupBy(key).agg(F.min(keep).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rows.columns if c != key])
 
 
-def grams_of(rows: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
-    """id and each distinct hashed n-word run of the normalised text."""
-    return rows.select(id_column, F.explode(F.array_distinct(T.gram_hashes(T.word_list(T.norm(F.col(text))), n))).alias("gram"))
+def grams_of(rows: DataFrame, id_column: str, text: str, n: int, *more: str) -> DataFrame:
+    """id (and ``more`` columns) and each distinct hashed n-word run of the normalised text."""
+    return rows.select(id_column, *more, F.explode(F.array_distinct(T.gram_hashes(T.word_list(T.norm(F.col(text))), n))).alias("gram"))
 
 
 def overlapping(rows: DataFrame, id_column: str, others: DataFrame, text: str = "text", n: int = 13) -> DataFrame:
@@ -40,8 +40,7 @@ def sequential_holdout(rows: DataFrame, id_column: str, split: str, order: list[
 
     Texts are read once: their hashed runs are written beside id and split, and every later
     step joins these."""
-    splits = rows.select(id_column, split)
-    grams = store(grams_of(rows, id_column, "text", n).join(splits, id_column).select(id_column, split, "gram"))
+    grams = store(grams_of(rows, id_column, "text", n, split))
     held, dropped = grams.filter(F.col(split) == order[0]).select("gram"), []
     for name in order[1:]:
         own = grams.filter(F.col(split) == name)

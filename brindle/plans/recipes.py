@@ -193,12 +193,15 @@ LOOP_SQL = ", ".join(f"max(most) filter (where n = {n}) >= {most} as {name}" for
 
 @query(f"""with w as (select doc_id, {WORDS_OF.format('text')} as w from documents), g as (select doc_id, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(w[i:i+n-1], ' '))) as gram from w, (values (3), (4), (5), (8)) s(n)),
  c as (select doc_id, n, gram, count(*) as k from g group by all), m as (select doc_id, n, max(k) as most, cast(sum(k - 1) as double) / sum(k) as again from c group by all),
- r as (select doc_id, {LOOP_SQL}, max(again) filter (where n = 4) > 0.2 as generated from m group by 1)
- select w.doc_id, {', '.join(f'coalesce({name}, false) as {name}' for name, _, _ in T.LOOPS)}, coalesce(generated, false) as generated, len(w) >= 12 and coalesce(fourgram_loop, false) as short_4gram from w left join r using (doc_id)""")
+ r as (select doc_id, {LOOP_SQL}, max(again) filter (where n = 4) > 0.2 as generated from m group by 1),
+ l as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{{10,}}')) as run from documents where text is not null),
+ b as (select doc_id, bool_or(len(list_filter(range(2, 13), lambda k: len(list_filter(range(1, length(run) - 5 * k + 2), lambda i: substr(run, i, 4 * k) = substr(run, i + k, 4 * k))) > 0)) > 0) as unit_loop from l group by 1)
+ select w.doc_id, {', '.join(f'coalesce({name}, false) as {name}' for name, _, _ in T.LOOPS)}, coalesce(generated, false) as generated, len(w) >= 12 and coalesce(fourgram_loop, false) as short_4gram, coalesce(unit_loop, false) as unit_loop
+ from w left join r using (doc_id) left join b using (doc_id)""")
 def repetition_rules(spark, sf_dir):
-    """Every rule of repetition that other engines can say too."""
-    found = T.repetitions(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", *[c.alias(name) for name, c in found.items() if name != "unit_loop"])
+    """Every rule of repetition; a unit of letters is looked for without a back reference
+    by the oracle, unit by unit."""
+    return documents(spark, sf_dir).select("doc_id", T.repetitions(F.col("text")).alias("rules")).select("doc_id", "rules.*")
 
 
 @query("""select doc_id, array_to_string(regexp_extract_all(regexp_replace(lower(text), 'ß', 'ss', 'g'), '[\\p{L}\\p{M}\\p{N}_]+'), ' ') as folded from documents""")
