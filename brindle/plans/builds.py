@@ -551,3 +551,15 @@ def sql_functions(spark, sf_dir):
         """select item_id, brindle_key(text) as key, brindle_bucket(brindle_key(text), 10000) as bucket, count(gram) as grams, count(distinct gram) as different
         from {items} left join lateral brindle_grams(text, 3) group by item_id, text""", items=table(spark, sf_dir, "benchmark"),
     )
+
+
+@query(f"""with h as (select distinct lang, cast(concat('0x', substr(md5(word), 1, 15)) as bigint) as h from (select lang, unnest({WORDS_OF.format("text")}) as word from documents)), r as (select *, row_number() over (partition by lang order by h) as k from h)
+ select lang, cast(case when max(k) < {sql.SKETCH} then max(k) else {sql.SKETCH - 1} * cast({sql.HASHES} as hugeint) // max(h) filter (where k = {sql.SKETCH}) end as bigint) as words from r group by lang""")
+def sketched_words(spark, sf_dir):
+    """Different words of each language by sketches of 64 parts that are merged."""
+    sql.register(spark)
+    return spark.sql(
+        """with w as (select lang, pmod(doc_id, 64) as part, brindle_hash(word) as h from (select lang, doc_id, explode(w) as word from (select lang, doc_id, brindle_words(text) as w from {docs}))),
+        p as (select lang, part, brindle_sketch(h) as s from w group by lang, part), m as (select lang, brindle_merge(s) as s from p group by lang) select lang, brindle_distinct(s) as words from m""",
+        docs=documents(spark, sf_dir),
+    )

@@ -8,12 +8,13 @@ import random
 import threading
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from brindle import __main__ as command
-from brindle.functions import sequence
+from brindle.functions import sequence, sql
 from brindle.operators import graph, jobs, screens, select
 from brindle.sources import files
 from brindle.streaming import run, source, stateful
@@ -365,3 +366,23 @@ def test_constraint_completion(spark):
     for i, split in kept.items():
         bucket = int(hashlib.sha256(f"constraint:{i}".encode()).hexdigest()[:8], 16) % 20
         assert split == ("dev" if bucket < 2 else "test" if bucket < 4 else "train")
+
+
+def test_sketches_merge_and_keep_their_bound():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    errors = []
+    for n in (0, 10, sql.SKETCH - 1, sql.SKETCH, 5000, 40_000):
+        for _ in range(20):
+            hashes = r.integers(0, sql.HASHES, n)
+            parts = [sql.smallest(np.concatenate([hashes[k::3], hashes[::7]])) for k in range(3)]
+            merged = sql.merge.func(pd.Series(parts)) if n else sql.smallest(hashes)
+            assert merged == sql.smallest(hashes)
+            if n < sql.SKETCH:
+                assert sql.estimate(merged) == n
+            else:
+                errors.append(sql.estimate(merged) / n - 1)
+    bound = (sql.SKETCH - 2) ** -0.5
+    assert max(map(abs, errors)) < 4 * bound and abs(sum(errors) / len(errors)) < bound
+    assert sql.estimate(None) == 0
