@@ -563,3 +563,62 @@ def sketched_words(spark, sf_dir):
         p as (select lang, part, brindle_sketch(h) as s from w group by lang, part), m as (select lang, brindle_merge(s) as s from p group by lang) select lang, brindle_distinct(s) as words from m""",
         docs=documents(spark, sf_dir),
     )
+
+
+def with_replay(fresh: DataFrame, replays: list[DataFrame], per_batch: int, each: int, most: int) -> DataFrame:
+    """Batches of ``per_batch`` fresh rows (id, place) in their order, as long as they last and at
+    most ``most``, and ``each`` rows of every replay pool (id, h), which begins again when it
+    ends: batch, pool (0: fresh), id."""
+    own = fresh.select(F.lit(0).alias("pool"), F.col("id").cast("long").alias("id"), F.floor(F.col("place") / per_batch).cast("long").alias("batch"))
+    whole = store(own.groupBy("batch").agg(F.count("*").alias("n")).filter((F.col("n") == per_batch) & (F.col("batch") < most)).select("batch"))
+    parts = [own.join(whole, "batch", "left_semi")]
+    slots = whole.select("batch", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("j"))
+    for k, pool in enumerate(replays, 1):
+        placed = store(select.places(pool.select("id", "h"), ["h"]))
+        n = placed.agg(F.count("*").alias("n"))
+        # One row: the pool's size.
+        wanted = slots.join(F.broadcast(n)).withColumn("place", F.pmod(F.col("batch") * each + F.col("j"), F.col("n")))
+        parts.append(wanted.join(placed, "place").select(F.lit(k).alias("pool"), F.col("id").cast("long").alias("id"), "batch"))
+    return reduce(DataFrame.unionByName, [p.select("batch", "pool", "id") for p in parts])
+
+
+def with_replay_sql(plan: str, fresh: str, replays: list[str], per_batch: int, each: int, most: int) -> str:
+    """The same of a table ``fresh`` (id, place) and pools (id, h)."""
+    pools = " union all ".join(
+        f"select b.batch, {k} as pool, p.id from b, (select unnest(range({each})) as j), (select id, row_number() over (order by h) - 1 as place, count(*) over () as n from {pool}) p where p.place = (b.batch * {each} + j) % p.n"
+        for k, pool in enumerate(replays, 1)
+    )
+    return f"""select '{plan}' as plan, batch, pool, id from (with f as (select id, place, place // {per_batch} as batch from {fresh}), b as (select batch from f group by 1 having count(*) = {per_batch} and batch < {most})
+ select batch, 0 as pool, id from f where batch in (select batch from b) union all {pools})"""
+
+
+#: Fresh rows and rows of each replay pool in a batch, batches at most.
+REPAIR = (4, 2, 8)
+#: Fresh rows by place of each plan, and the pools that are replayed.
+REPAIR_POOLS = f"""{ASKED}, {SPANS}, yes as (select doc_id as id, row_number() over (order by sha256('yes:' || doc_id)) - 1 as k from c where holds and fits and not unanswerable), no as (select doc_id as id, row_number() over (order by sha256('no:' || doc_id)) - 1 as k from c where fits and unanswerable),
+ reading as (select cast(id as bigint) as id, cast((k // 7) * 8 + k % 7 as bigint) as place from yes union all select cast(id as bigint), cast(k * 8 + 7 as bigint) from no), reading_rows as (select id, row_number() over (order by place) - 1 as place from reading),
+ constraint_rows as (select id, row_number() over (order by k, id) - 1 as place from (select doc_id as id, row_number() over (partition by family order by doc_id) as k from v where reason = 'ok')),
+ familiar_rows as (select conv_id as id, row_number() over (order by sha256('familiar:' || conv_id)) - 1 as place from (select distinct conv_id from ({ORACLES["whole_prefix_cut"]}))),
+ science_rows as (select doc_id as id, row_number() over (order by sha256('science:' || doc_id)) - 1 as place from ({ORACLES["choice_formats"]}) where gold is not null),
+ chats as (select conv_id as id, sha256('chat:' || conv_id) as h from (select distinct conv_id from conversations)), items as (select item_id as id, sha256('item:' || item_id) as h from benchmark)"""
+
+
+@query(f"with {REPAIR_POOLS} " + " union all ".join(with_replay_sql(plan, rows, ["chats", "items"], *REPAIR) for plan, rows in (("reading", "reading_rows"), ("constraints", "constraint_rows"), ("familiar", "familiar_rows"), ("science", "science_rows"))))
+def repair_plans(spark, sf_dir):
+    """Four plans by name, each fresh rows of its own kind beside the same replay: spans (one
+    in eight without an answer), verified constraints with rare families first, whole
+    prefixes of conversations, choices with a key."""
+    ranked = lambda rows, salt: select.places(rows.select("id", select.hash_rank(salt, F.col("id")).alias("h")), ["h"])
+    spans = span_rows(spark, sf_dir).filter("fits").withColumnRenamed("doc_id", "id")
+    yes = ranked(spans.filter("holds and not unanswerable"), "yes").select("id", (F.floor(F.col("place") / 7) * 8 + F.col("place") % 7).alias("at"))
+    no = ranked(spans.filter("unanswerable"), "no").select("id", (F.col("place") * 8 + 7).alias("at"))
+    asked = store(asked_rows(spark, sf_dir).filter("reason = 'ok'").select(F.col("doc_id").alias("id"), F.lit(0).alias("pool"), F.array(F.get("checks", F.lit(0))["family"]).alias("families")))
+    fresh = {
+        "reading": select.places(yes.unionByName(no).select("id", F.col("at").alias("h")), ["h"]),
+        "constraints": screens.rare_first(asked, "pool", "id", "families", REPAIR[0] * REPAIR[2]).select("id", F.col("turn").alias("place")),
+        "familiar": ranked(QUERIES["whole_prefix_cut"](spark, sf_dir).select(F.col("conv_id").alias("id")).distinct(), "familiar"),
+        "science": ranked(QUERIES["choice_formats"](spark, sf_dir).filter("gold is not null").select(F.col("doc_id").alias("id")), "science"),
+    }
+    chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct().withColumn("h", select.hash_rank("chat", F.col("id")))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), select.hash_rank("item", F.col("item_id")).alias("h"))
+    return reduce(DataFrame.unionByName, [with_replay(rows, [chats, items], *REPAIR).withColumn("plan", F.lit(plan)) for plan, rows in fresh.items()])
