@@ -14,7 +14,7 @@ from brindle.operators import jobs, quality, screens, select
 from brindle.operators.graph import components, passing_depths, store
 from brindle.plans.corpus import GATE, greedy, greedy_sql, words_sql
 from brindle.plans.dialogues import group_text, messages, reply_chains
-from brindle.plans.generated import generated_instructions, generated_preferences
+from brindle.plans.generated import ENTITIES, entities, generated_instructions, generated_preferences
 from brindle.plans.recipes import EXPLAINED, NORM_OF, PAIRS, REVIEW_REJECTED, SENTENCE_LIST, SPANS, WORDS_OF, explained_rows, listed, multiple_choice, span_rows
 from brindle.plans.registry import ORACLES, QUERIES, documents, query, table
 from brindle.sources import synth
@@ -130,13 +130,13 @@ KINDS = f"""case when regexp_matches(coalesce(request, ''), {fixed.quoted(fixed.
 
 
 @query(f"""with {TALKS}, c as (select conv_id as id, h from t where reason = 'ok' and {KINDS} in ('conversation', 'grounded')), o as (select conv_id as id, h from t where reason = 'ok' and {KINDS} = 'other'),
- p as (select id * 2 + b as id, sha256('made:' || (id * 2 + b)) as h from range(50) x(id), range(2) y(b)), {blocks_sql([("c", 3), ("o", 2), ("p", 1)])}""")
+ {ENTITIES}, p as (select i * 2 + b as id, sha256('made:' || (i * 2 + b)) as h from e, (select unnest(range(2)) as b)), {blocks_sql([("c", 3), ("o", 2), ("p", 1)])}""")
 def foundation_mix(spark, sf_dir):
     """Kinds of sound conversations mixed with generated practice in fixed batches."""
     rows = talks(spark, sf_dir).filter("reason = 'ok'")
     kind = F.coalesce(screens.behaviour(F.array("request"), F.col("answers")), F.lit("other"))
     rows = store(rows.select(F.col("conv_id").alias("id"), "h", kind.alias("kind")))
-    made = synth.dialogues(spark, 50, "s").select((F.col("id") * 2 + F.when(F.col("branch") == "louder", 1).otherwise(0)).alias("id")).withColumn("h", select.hash_rank("made", F.col("id")))
+    made = synth.dialogues(entities(spark, sf_dir)).select((F.col("id") * 2 + F.when(F.col("branch") == "louder", 1).otherwise(0)).alias("id")).withColumn("h", select.hash_rank("made", F.col("id")))
     return blocks([(rows.filter("kind in ('conversation', 'grounded')"), 3), (rows.filter("kind = 'other'"), 2), (made, 1)])
 
 
@@ -419,16 +419,18 @@ def preference_sets(spark, sf_dir):
     return kept.groupBy("split", "error").agg(F.count("*").alias("n"), F.count_distinct("norm").alias("prompts"))
 
 
-@query("""with p as (select i as id, 'made' as pool, sha256('reply:' || 'made' || ':' || i) as h from range(60) t(i) union all select item_id, 'replay', sha256('reply:' || 'replay' || ':' || item_id) from benchmark)
- select pool, id, row_number() over (partition by pool order by h) as place from p where not (pool = 'made' and id % 9 = 4) qualify row_number() over (partition by pool order by h) <= 25""")
+@query("""with p as (select conv_id * 100 + turn as id, 'reply' as pool from conversations where role = 'assistant' union all select item_id, 'replay' from benchmark), h as (select *, sha256('reply:' || pool || ':' || id) as h from p where not (pool = 'reply' and id % 9 = 4)),
+ m as (select min(n) as n from (select count(*) as n from h group by pool)) select pool, id, row_number() over (partition by pool order by h) as place from h, m qualify row_number() over (partition by pool order by h) <= any_value(m.n) over ()""")
 def clean_replies(spark, sf_dir):
-    """Authored rows and replay, without reviewed ones, equally many of each."""
-    made = spark.range(60).select("id", F.lit("made").alias("pool"))
-    rows = made.unionByName(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("replay").alias("pool")))
-    rejected = made.filter("id % 9 = 4")
-    rows = rows.join(rejected, ["pool", "id"], "left_anti").withColumn("h", F.sha2(F.concat_ws(":", F.lit("reply"), "pool", F.col("id").cast("string")), 256))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("pool").orderBy("h"))).filter("place <= 25")
-    return rows.select("pool", "id", F.col("place").cast("long").alias("place"))
+    """Replies and replay, without reviewed ones, equally many of each."""
+    replies = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.lit("reply").alias("pool"))
+    rows = replies.unionByName(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("replay").alias("pool")))
+    rejected = replies.filter("id % 9 = 4")
+    rows = store(rows.join(rejected, ["pool", "id"], "left_anti").withColumn("h", F.sha2(F.concat_ws(":", F.lit("reply"), "pool", F.col("id").cast("string")), 256)))
+    least = rows.groupBy("pool").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    # One row: the size of the smaller pool.
+    placed = select.places(rows, ["h"], "pool").withColumn("place", F.col("place") + 1)
+    return placed.join(F.broadcast(least)).filter("place <= least").select("pool", "id", "place")
 
 
 SENTENCES = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([^a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')"

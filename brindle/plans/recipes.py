@@ -10,7 +10,7 @@ from brindle.functions import text as T
 from brindle.operators import packing, quality, screens, select
 from brindle.plans import corpus
 from brindle.plans.corpus import GATE, KEY, SPLIT, keyed
-from brindle.plans.generated import pick_sql
+from brindle.plans.generated import ENTITIES, entities
 from brindle.plans.registry import documents, query, table
 from brindle.sources import synth
 
@@ -271,11 +271,10 @@ def copy_similarity(spark, sf_dir):
     return pairs.select("doc_id", "root", F.round(screens.sequence_ratio("own", "first"), 6).alias("similarity"))
 
 
-@query(f"""with r as (select i as grp, {pick_sql(synth.PLACES, 's', 'i', "'where'")} as first from range(100) t(i)), c as (select grp, variant, first as choice0, {synth.PLACES}[list_position({synth.PLACES}, first) % 4 + 1] as choice1 from r, range(2) u(variant))
- select grp, cast(variant as int) as variant, choice0, choice1, cast(variant as int) as gold from c""")
+@query(f"with {ENTITIES} select i as grp, cast(variant as int) as variant, three[2] as choice0, three[3] as choice1, cast(variant as int) as gold from e, (select unnest(range(2)) as variant)")
 def multiple_choice(spark, sf_dir):
     """Facts as two-way choices; the two variants of a pair share a group."""
-    facts = synth.paired_facts(spark, "train", 100, "s")
+    facts = synth.paired_facts(entities(spark, sf_dir), "train", "s")
     choices = F.array_sort(F.collect_list(F.struct("variant", "answer")).over(Window.partitionBy("pair_id")))
     rows = facts.withColumn("choices", F.transform(choices, lambda c: c["answer"]))
     return rows.select(F.col("pair_id").alias("grp"), "variant", F.col("choices")[0].alias("choice0"), F.col("choices")[1].alias("choice1"), (F.array_position("choices", F.col("answer")) - 1).cast("int").alias("gold"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from brindle.functions import constraints as C
 from brindle.functions import text as T
-from brindle.operators import packing, select
+from brindle.operators import packing, screens, select
 from brindle.operators.graph import shared_folder, store
 from brindle.plans.corpus import KEY, KEY_SETS, byte_tokens, page_keys
+from brindle.plans.recipes import SENTENCE_LIST
 from brindle.plans.registry import query, table
 from brindle.sources import files, synth
 from brindle.streaming import run, source, stateful
@@ -123,13 +124,20 @@ def evidence_table(spark, sf_dir):
     return files.csv_rows(spark, f"{path}/table", "event_type string, n string, mean double").join(about.select("series")).select("event_type", "n", "mean", "series")
 
 
-@query("select 4 - i as step, i + 1 as age, i = 2 as best, case when i = 2 then 0.5 else 1.0 + (4 - i) end as loss from range(3) t(i)")
+@query("""with s as (select ntile(5) over (order by event_id) - 1 as step, value from events), m as (select step, avg(value) as loss from s group by 1)
+ select cast(step as int) as step, 5 - step as age, loss = (select min(loss) from m) as best, round(loss, 6) as loss from m where step >= 2""")
 def saved_states(spark, sf_dir):
-    """Five saved states, the three latest listed, the best of all marked."""
+    """The mean loss of each fifth of the events saved as a state; the three latest listed,
+    and whether one of them is the best of all."""
     folder, kept = scratch(spark, "states"), None
-    for step in range(5):
-        kept = files.save_state(spark, folder, step, {"loss": 0.5 if step == 2 else 1.0 + step, "offsets": {"a": 16 * step}})
-    return kept.select("step", F.col("age").cast("long").alias("age"), "best", F.get_json_object("state", "$.loss").cast("double").alias("loss"))
+    fifths = select.places(table(spark, sf_dir, "events"), ["event_id"])
+    n = fifths.count()
+    whole, more = n // 5, n % 5
+    step = F.when(F.col("place") < more * (whole + 1), F.floor(F.col("place") / (whole + 1))).otherwise(more + F.floor((F.col("place") - more * (whole + 1)) / max(whole, 1)))
+    losses = {r["step"]: r["loss"] for r in fifths.groupBy(step.cast("int").alias("step")).agg(F.avg("value").alias("loss")).collect()}
+    for k in sorted(losses):  # five states
+        kept = files.save_state(spark, folder, k, {"loss": losses[k], "offsets": {"a": whole * k}})
+    return kept.select("step", F.col("age").cast("long").alias("age"), "best", F.round(F.get_json_object("state", "$.loss").cast("double"), 6).alias("loss"))
 
 
 @query("""with b as (select item_id, text, sum(strlen(text) + 1) over (order by item_id) - strlen(text) - 1 as start from benchmark where item_id % 4 < 2),
@@ -305,14 +313,14 @@ def late_sessions(spark, sf_dir):
     return sessions.unionByName(late)
 
 
-CARDS = [("What flies?", "A kite."), ("What swims?", "A carp."), ("What burns?", "A candle.")]
 CARD_FORMS = ["%s", "Please answer: %s", "%s Say it shortly."]
 
 
-@query("with c(card, question, answer) as (values " + ", ".join(f"({i}, '{q}', '{a}')" for i, (q, a) in enumerate(CARDS)) + "), f(wording, form) as (values " + ", ".join(f"({i}, '{form}')" for i, form in enumerate(CARD_FORMS)) + ") select card, cast(wording as int) as wording, replace(form, '%s', question) as prompt, answer from c, f")
+@query("with c as (select item_id as card, 'What comes after this? ' || s[1] as question, s[2] as answer from (select item_id, " + SENTENCE_LIST + " as s from benchmark) where len(s) > 1), f(wording, form) as (values " + ", ".join(f"({i}, '{form}')" for i, form in enumerate(CARD_FORMS)) + ") select card, cast(wording as int) as wording, replace(form, '%s', question) as prompt, answer from c, f")
 def generated_cards(spark, sf_dir):
-    """Every card in every wording."""
-    return synth.cards(spark, CARDS, CARD_FORMS)
+    """A card of each item's first two sentences, in every wording."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("card"), screens.sentences(F.col("text")).alias("s")).filter("size(s) > 1")
+    return synth.cards(rows.select("card", F.concat(F.lit("What comes after this? "), F.col("s")[0]).alias("question"), F.col("s")[1].alias("answer")), CARD_FORMS)
 
 
 @query("""with w as (select item_id, text, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') as w from benchmark),
