@@ -53,6 +53,26 @@ def sequential_holdout(rows: DataFrame, id_column: str, split: str, order: list[
     return kept
 
 
+def set_digest(rows: DataFrame, key: str, *groups: str) -> DataFrame:
+    """groups, n and an order-free digest of their keys (hexadecimal), repeats included.
+
+    Copies of a key are counted first; the keys of each of 65,536 ranges (by their first four
+    digits) make a digest, and these the group's: no row holds more than one range's keys or
+    all ranges' digests."""
+    counted = rows.groupBy(*groups, key).agg(F.count("*").alias("n"))
+    own = F.array_join(F.array_sort(F.collect_list(F.concat_ws("x", key, F.col("n").cast("string")))), ",")
+    ranges = counted.groupBy(*groups, F.substring(key, 1, 4).alias("head")).agg(F.sha2(own, 256).alias("digest"), F.sum("n").alias("n"))
+    named = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "head", "digest"))), ",")
+    return ranges.groupBy(*groups).agg(F.sha2(named, 256).alias("digest"), F.sum("n").alias("n"))
+
+
+def set_digest_sql(rows: str, key: str, *groups: str) -> str:
+    """The same of a table, for SQL text."""
+    by = ", ".join(groups) + ", " if groups else ""
+    return f"""select {by}sha256(string_agg(head || ':' || digest, ',' order by head || ':' || digest)) as digest, cast(sum(n) as bigint) as n from (select {by}substr(key, 1, 4) as head, sha256(string_agg(key || 'x' || n, ',' order by key || 'x' || n)) as digest, sum(n) as n
+ from (select {by}{key} as key, count(*) as n from {rows} group by all) group by all) {'group by ' + ', '.join(groups) if groups else ''}"""
+
+
 def hash_rank(seed: str, id_column: Column) -> Column:
     return F.sha2(F.concat(F.lit(seed + ":"), id_column.cast("string")), 256)
 

@@ -235,17 +235,17 @@ SAMPLE_BUCKET = share_sql("doc_id", "sample", 100)
 
 
 @query(f"""with d as (select doc_id, source, sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) as key, strlen(text) as bytes, {SAMPLE_BUCKET} as bucket from documents where ({GATE}) = 'ok'),
- k as (select *, {SPLIT4} as split from d qualify row_number() over (partition by key order by doc_id) = 1), c as (select *, sum(bytes) over (partition by split, source order by doc_id) - bytes as start from k)
- select split, source, count(*) as documents, cast(sum(bytes) as bigint) as bytes, cast(min(30000) as bigint) as requested, sha256(string_agg(key, ',' order by key)) as digest from c where start < 30000 group by all""")
+ k as (select *, {SPLIT4} as split from d qualify row_number() over (partition by key order by doc_id) = 1), c as (select *, sum(bytes) over (partition by split, source order by doc_id) - bytes as start from k), z as (select * from c where start < 30000),
+ g as ({select.set_digest_sql('z', 'key', 'split', 'source')}) select split, source, count(*) as documents, cast(sum(bytes) as bigint) as bytes, cast(min(30000) as bigint) as requested, any_value(digest) as digest from z join g using (split, source) group by split, source""")
 def tokenizer_sample(spark, sf_dir):
     """R2 as far as data go: gated, first of its copies, whole documents up to a budget for
     each split and source, and the receipt of each sample.  (No tokenizer is trained here.)"""
     docs = table(spark, sf_dir, "documents").filter(quality.gate(F.col("text")) == quality.ACCEPTED)
     bucket = share("doc_id", "sample", 100)
     rows = docs.select("doc_id", "source", T.content_key(F.col("text")).alias("key"), F.octet_length("text").cast("long").alias("bytes"), F.when(bucket < 20, "dev").otherwise("train").alias("split"))
-    kept = select.budget_cut(select.first_by_key(rows, "key", F.col("doc_id")), "bytes", 30_000, ["doc_id"], "split", "source")
-    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256)
-    return kept.groupBy("split", "source").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.lit(30_000).cast("long").alias("requested"), digest.alias("digest"))
+    kept = store(select.budget_cut(select.first_by_key(rows, "key", F.col("doc_id")), "bytes", 30_000, ["doc_id"], "split", "source"))
+    sizes = kept.groupBy("split", "source").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.lit(30_000).cast("long").alias("requested"))
+    return sizes.join(select.set_digest(kept, "key", "split", "source").drop("n"), ["split", "source"])
 
 
 CURRICULUM = f"""p as (select doc_id as id, source as grp, text, 'prose' as pool from documents union all select item_id, 'b' || cast(item_id // 2 as varchar), text, 'item' from benchmark

@@ -411,15 +411,10 @@ def corpus_receipt(spark, sf_dir):
     )
 
 
-@query(f"""with k as (select lang, {KEY} as key from documents), p as (select lang, substr(key, 1, 4) as head, sha256(string_agg(key, ',' order by key)) as digest, count(*) as n from k group by all)
- select lang, sha256(string_agg(head || ':' || digest, ',' order by head)) as fingerprint, cast(sum(n) as bigint) as n from p group by lang""")
+@query(f"with k as (select lang, {KEY} as key from documents) select lang, digest as fingerprint, n from ({select.set_digest_sql('k', 'key', 'lang')})")
 def table_fingerprint(spark, sf_dir):
-    """An order-free identity of each language's rows: a digest for each of 65,536 ranges of
-    keys, and the digest of these."""
-    head = F.substring("key", 1, 4).alias("head")
-    parts = keyed(spark, sf_dir).groupBy("lang", head).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256).alias("digest"), F.count("*").alias("n"))
-    named = F.array_sort(F.collect_list(F.concat_ws(":", "head", "digest")))
-    return parts.groupBy("lang").agg(F.sha2(F.array_join(named, ","), 256).alias("fingerprint"), F.sum("n").alias("n"))
+    """An order-free identity of each language's rows."""
+    return select.set_digest(keyed(spark, sf_dir).select("lang", "key"), "key", "lang").withColumnRenamed("digest", "fingerprint")
 
 
 @query("select doc_id, row_number() over (order by sha256('shuffle:' || doc_id), doc_id) - 1 as place from documents")

@@ -13,7 +13,7 @@ from brindle.operators import packing, screens, select
 from brindle.operators.graph import shared_folder, store
 from brindle.plans.corpus import KEY, KEY_SETS, byte_tokens, page_keys
 from brindle.plans.recipes import SENTENCE_LIST
-from brindle.plans.registry import query, table
+from brindle.plans.registry import documents, query, table
 from brindle.sources import files, synth
 from brindle.streaming import run, source, stateful
 
@@ -106,10 +106,12 @@ def token_pool_range(spark, sf_dir):
     return files.read_pool(spark, path, "train", source, 500, 1500)
 
 
-@query("""select lang, count(*) as documents, cast(sum(strlen(text)) as bigint) as bytes, cast(5000 as bigint) as requested, sha256(string_agg(sha256(text), '' order by sha256(text))) as digest, true as again from documents where length(text) < 500 group by lang""")
+@query(f"""with t as (select lang, text, sha256(text) as h from documents where text is not null), d as ({select.set_digest_sql('t', 'h', 'lang')}) select lang, count(*) as documents, cast(sum(strlen(text)) as bigint) as bytes, cast(5000 as bigint) as requested, any_value(digest) as digest, true as again
+ from t join d using (lang) group by lang""")
 def sample_receipts(spark, sf_dir):
-    """A sample by language with its meta records; a second call verifies and uses it."""
-    rows, path = table(spark, sf_dir, "documents").filter(F.length("text") < 500).select("lang", "text"), scratch(spark, "sample")
+    """All texts as samples by language with their meta records; a second call verifies
+    and uses them."""
+    rows, path = documents(spark, sf_dir).filter("text is not null").select("lang", "text"), scratch(spark, "sample")
     first, second = files.write_sample(rows, path, 5000, "lang"), files.write_sample(rows.limit(0), path, 5000, "lang")
     return first.join(second.select("lang", F.col("digest").alias("other")), "lang").select("lang", "documents", "bytes", "requested", "digest", (F.col("digest") == F.col("other")).alias("again"))
 

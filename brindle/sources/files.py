@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.packing import offsets
+from brindle.operators.select import set_digest
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, gzip: bool = False) -> DataFrame:
@@ -80,8 +81,8 @@ def pinned(spark: SparkSession, folder: str, revision: str, stream: bool = False
 
 def revision_of(spark: SparkSession, folder: str) -> str:
     """One name for the content of a folder's Parquet files, whatever their names."""
-    files = manifest(spark, folder, "*.parquet").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bytes", "sha256"))), "\n"), 256).alias("x"))
-    return files.first()["x"][:40]
+    files = manifest(spark, folder, "*.parquet").select(F.concat_ws(":", "sha256", "bytes").alias("key"))
+    return set_digest(files, "key").first()["digest"][:40]
 
 
 def row_range(spark: SparkSession, path: str, columns: list[str], first: int, last: int) -> DataFrame:
@@ -96,8 +97,11 @@ def write_sample(rows: DataFrame, path: str, requested: int, *parts: str) -> Dat
     bytes, the bytes requested and a digest of the texts.  A finished sample is verified
     against its records and used again."""
     spark = rows.sparkSession
-    sums = F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "")
-    receipt = lambda df: df.groupBy(*parts).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"), F.lit(requested).cast("long").alias("requested"), F.sha2(sums, 256).alias("digest"))
+    def receipt(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy(*parts).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"), F.lit(requested).cast("long").alias("requested"))
+        digests = set_digest(df.select(*parts, F.sha2("text", 256).alias("key")), "key", *parts).drop("n")
+        return sizes.join(digests, list(parts)) if parts else sizes.join(digests)
+
     try:
         meta = spark.read.json(f"{path}/meta")
     except AnalysisException:
