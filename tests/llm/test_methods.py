@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, queries, textvec, toxicity
+from brindle.llm import bpe, decontaminate, exact_dedup, language, near_dedup, pii, quality, queries, shared, textvec, toxicity
 from tests.llm.test_edges import prose
 from tests.llm.test_queries import SF, base_spans, brute_classes, brute_leaks
 
@@ -227,8 +227,9 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
         texts[i] = " ".join(w)
     want = brute_classes(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for nodes, cells, crowd in ((16, 64, 2), (4096, 1 << 24, 24)):
+    for nodes, cells, crowd, few in ((16, 64, 2, 256), (4096, 1 << 24, 24, 256), (4096, 1 << 22, 2, 8)):
         monkeypatch.setattr(near_dedup, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(near_dedup, "FEW", few)
         monkeypatch.setattr(near_dedup, "CELLS", cells)
         monkeypatch.setattr(near_dedup, "CROWD", crowd)
         got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(docs, bands=60, rows=2).collect()}
@@ -245,6 +246,18 @@ def test_near_dedup_in_blocks(spark, monkeypatch):
     assert {i: min(joined[first[t]]) for i, t in texts.items()} == want
 
 
+def test_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    for files, limit, parts in ((1, None, cores), (cores + 1, None, None), (1, 1, None)):
+        path = f"{tmp_path}/{files}-{limit}"
+        spark.range(200).repartition(files).write.parquet(path)
+        monkeypatch.setattr(shared, "SPLIT_BYTES", limit or 128 << 20)
+        rows = spark.read.parquet(path)
+        dealt = shared.spread(rows)
+        assert sorted(r["id"] for r in dealt.collect()) == list(range(200))
+        assert dealt.rdd.getNumPartitions() == (parts or rows.rdd.getNumPartitions())
+
+
 def test_a_crowd_of_near_nodes_in_little_memory():
     """8,192 texts of 100 shingles of which any two share 95 or more, each its own component."""
     r = np.random.default_rng(3)
