@@ -436,12 +436,12 @@ def clean_replies(spark, sf_dir):
 SENTENCES = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([^a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '')"
 
 
-@query(f"""with d as (select doc_id, source, {SENTENCES} as s, 2 + doc_id % 3 as k from documents where length(text) between 100 and 2000), o as (select * from d where len(s) >= k qualify row_number() over (partition by source, doc_id % 3 order by sha256('view:' || doc_id)) <= 3)
+@query(f"""with d as (select doc_id, source, {SENTENCES} as s, 2 + doc_id % 3 as k from documents), o as (select * from d where len(s) >= k qualify row_number() over (partition by source, doc_id % 3 order by sha256('view:' || doc_id)) <= 3)
  select doc_id, cast(k as bigint) as k, case doc_id % 3 when 0 then array_to_string(list_transform(s[1:k], lambda x: '- ' || x), chr(10)) when 1 then array_to_string(s[1:k], chr(10) || chr(10))
  else array_to_string(list_transform(range(1, k + 1), lambda i: i || '. ' || s[i]), chr(10)) end as shown from o""")
 def complete_transfer(spark, sf_dir):
     """The first sentences of documents as bullets, paragraphs or numbers, some a source."""
-    docs = table(spark, sf_dir, "documents").filter(F.length("text").between(100, 2000))
+    docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", "source", screens.sentences(F.col("text")).alias("s"), (2 + F.col("doc_id") % 3).cast("int").alias("k"), (F.col("doc_id") % 3).cast("int").alias("form"), select.hash_rank("view", F.col("doc_id")).alias("h"))
     rows = first_of(rows.filter("size(s) >= k"), 3, "source", "form").withColumn("s", F.slice("s", F.lit(1), F.col("k")))
     shown = F.when(F.col("form") == 0, screens.render(F.col("s"), "bullets")).when(F.col("form") == 1, screens.render(F.col("s"), "paragraphs")).otherwise(screens.render(F.col("s"), "numbered"))

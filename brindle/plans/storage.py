@@ -79,12 +79,12 @@ def journal_round_trip(spark, sf_dir):
     return found.join(items.agg(F.count("*").alias("expected"))).select("place", "id", "size", "expected")
 
 
-POOL = f"""d as (select doc_id, source, {KEY} as key, strlen(text) + 1 as n_tokens from documents where length(text) < 3000), k as (select * from d qualify row_number() over (partition by key order by doc_id) = 1),
+POOL = f"""d as (select doc_id, source, {KEY} as key, strlen(text) + 1 as n_tokens from documents where text is not null), k as (select * from d qualify row_number() over (partition by key order by doc_id) = 1),
  i as (select 'train' as split, source, key, cast(n_tokens as bigint) as n_tokens, cast(sum(n_tokens) over (partition by source order by key) - n_tokens as bigint) as start from k)"""
 
 
 def pool_rows(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") < 3000).withColumn("key", T.content_key(F.col("text")))
+    docs = documents(spark, sf_dir).filter("text is not null").withColumn("key", T.content_key(F.col("text")))
     first = select.first_by_key(docs.select("key", "doc_id", "source", "text"), "key", F.col("doc_id"))
     return first.select(F.lit("train").alias("split"), "source", "key", F.concat(byte_tokens(F.col("text")), F.array(F.lit(256))).alias("tokens"))
 
