@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brindle.functions import fixed
+from brindle.functions import fixed, grammar
 from brindle.functions import text as T
 from brindle.operators import packing, quality, screens, select
 from brindle.plans import corpus
@@ -408,3 +408,10 @@ def build_token_pools(spark, sf_dir):
     rows = docs.select("doc_id", "source", "key", "split", (F.octet_length("text") + 1).cast("long").alias("n_tokens"))
     first = select.first_by_key(rows, "key", F.col("doc_id"))
     return select.budget_cut(first, "n_tokens", 30_000, ["doc_id"], "split", "source").select("split", "source", "doc_id", F.col("before").alias("start"), "n_tokens")
+
+
+@query()
+def finite_sentences(spark, sf_dir):
+    """Sentences of every document, how many have a finite verb, and different stems."""
+    rows = documents(spark, sf_dir).select("doc_id", screens.sentences(F.coalesce("text", F.lit(""))).alias("s"), F.array_distinct(F.transform(T.word_list(T.norm(F.coalesce("text", F.lit("")))), grammar.stem)).alias("stems"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), grammar.finite_count("s").cast("long").alias("finite"), F.size("stems").cast("long").alias("stems"))
