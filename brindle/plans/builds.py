@@ -151,7 +151,8 @@ def intact_conversations(spark, sf_dir):
  {in_turn_sql("one", ["test", "dev", "train"], 15)}, r as (select split, count(*) as n, count(distinct grp) as groups, cast(sum(length(answer)) as bigint) as targets, max(length(answer)) as longest from chosen group by 1) select * from r""")
 def natural_control(spark, sf_dir):
     """Screened single turns, chosen split by split, and the receipt of each split."""
-    rows = talks(spark, sf_dir).filter(screens.single_turn_reason(F.col("request"), F.col("answer")) == "ok").withColumn("split", held_split(F.col("bucket"), 20, 40))
+    sound = QUERIES["single_turn_reasons"](spark, sf_dir).filter("reason = 'ok'")
+    rows = talks(spark, sf_dir).join(sound, "conv_id", "left_semi").withColumn("split", held_split(F.col("bucket"), 20, 40))
     chosen = chosen_in_turn(store(rows), ["test", "dev", "train"], 15)
     size = F.length("answer").cast("long")
     return chosen.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("grp").alias("groups"), F.sum(size).alias("targets"), F.max(size).alias("longest"))
