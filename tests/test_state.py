@@ -35,6 +35,17 @@ def test_journals_bear_a_torn_end_alone(spark, tmp_path):
             assert sorted(r["id"] for r in files.journal(spark, f"file://{tmp_path}/{name}", "id string").collect()) == want
 
 
+def test_row_ranges_cross_files(spark, tmp_path):
+    for k, (low, high) in enumerate(((0, 5), (5, 5), (5, 12), (12, 30))):
+        spark.range(low, high, numPartitions=1).select("id", (F.col("id") * 2).alias("twice"), F.lit("x").alias("other")).write.parquet(f"file://{tmp_path}/made/{k}")
+        (tmp_path / "t").mkdir(exist_ok=True)
+        for f in (tmp_path / "made" / str(k)).glob("*.parquet"):
+            f.rename(tmp_path / "t" / f"part-{k}.parquet")
+    for first, last in ((3, 14), (100, 110), (0, 5), (12, 13), (29, 40)):
+        got = files.row_range(spark, f"file://{tmp_path}/t", ["id", "twice"], first, last).collect()
+        assert sorted(tuple(r) for r in got) == [(i, 2 * i, i) for i in range(first, min(last, 30))]
+
+
 def test_pinned_tables_and_streams(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     spark.range(30).repartition(3).write.parquet(folder)
