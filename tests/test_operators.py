@@ -98,6 +98,16 @@ def test_provenance_keys(spark):
     assert found[2] == {"content:" + key("c")}
 
 
+def test_capitals_are_one_character(spark):
+    import duckdb
+
+    texts = [c + "x" for c in map(chr, range(1, 0x10000)) if not 0xD800 <= ord(c) <= 0xDFFF and (c.upper() != c or ord(c) < 200)] + ["", "a", "ß"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.capitalised(F.col("t")).alias("c")).collect()
+    assert one(spark, T.capitalised(F.lit("ßung"))) == "ẞung"
+    want = dict(duckdb.execute("select t, upper(left(t, 1)) || substr(t, 2) from (select unnest(?) as t)", [texts]).fetchall())
+    assert {r["t"]: r["c"] for r in got} == want
+
+
 def test_constraint_grammar(spark):
     from brindle.functions import constraints as C
 
