@@ -108,6 +108,27 @@ def test_capitals_are_one_character(spark):
     assert {r["t"]: r["c"] for r in got} == want
 
 
+def test_similar_sets_of_many_meetings(spark):
+    """Every similar pair is found, whatever the sizes and sketches, and few others leave the index."""
+    import random
+
+    from brindle.operators import similar
+
+    r, sets = random.Random(5), []
+    for k in range(300):
+        words = r.sample(range(400 if k % 3 else 30_000), r.choice([1, 2, 3, 5, 12, 60, 200]) if k < 290 else 3500 if k % 3 == 0 else 300)
+        sets.append(words)
+        for _ in range(r.randrange(3)):
+            n = len(words)
+            sets.append(r.sample(words, n - r.randrange(n * 2 // 5 + 1)) + r.sample(range(50_000, 60_000), r.randrange(n // 3 + 1)))
+    rows = spark.createDataFrame([(i, [f"w{x}" for x in s]) for i, s in enumerate(sets)], "node long, words array<string>").select("node", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    whole = [set(s) for s in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(whole[i] & whole[j]) >= 3 * len(whole[i] | whole[j])}
+    for parts in (1, 5):
+        found = [(x["left"], x["right"]) for x in similar.candidates(rows, parts).collect()]
+        assert len(found) == len(set(found)) and want <= set(found) and len(found) < 2 * len(want)
+
+
 def test_constraint_grammar(spark):
     from brindle.functions import constraints as C
 
