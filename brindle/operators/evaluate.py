@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,28 +90,49 @@ def poisson_steps(bits: int = 16) -> list[int]:
 
 #: Draws that one digest of 64 hexadecimal digits has, and digits of each.
 PER_DIGEST, DIGITS = 16, 4
+#: Rows whose weights are looked up together.
+BLOCK_ROWS = 1024
+
+
+def _weigh(draws: int, seed: str):
+    """For tasks: sums of the weights and of the weighed values of every draw."""
+    digests = -(-draws // PER_DIGEST)
+    table = np.searchsorted(poisson_steps(), np.arange(1 << 16), side="right").astype(np.float64)
+    heads = [f"{seed}:{d}:".encode() for d in range(digests)]
+
+    def run(batches):
+        total = np.zeros((2, digests * PER_DIGEST))
+        for batch in batches:
+            keys, values = [k.encode() for k in batch["key"].to_pylist()], batch["x"].to_numpy(zero_copy_only=False)
+            for low in range(0, len(keys), BLOCK_ROWS):
+                own = keys[low : low + BLOCK_ROWS]
+                raw = b"".join([sha256(head + k).digest() for k in own for head in heads])
+                weights = table[np.frombuffer(raw, ">u2").astype(np.uint16)].reshape(len(own), -1)
+                total += np.stack([np.ones(len(own)), values[low : low + BLOCK_ROWS]]) @ weights
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(total[0, :draws]), pa.array(total[1, :draws])], ["draw", "w", "x"])
+
+    return run
 
 
 def bootstrap(rows: DataFrame, column: str, key: str, draws: int = 1000, seed: str = "bootstrap") -> DataFrame:
     """Number and mean of a column's values and the 2.5 and 97.5 % points of its bootstrapped mean.
 
     In each draw a row counts as often as a Poisson variable of mean 1 says, which is read off
-    the hash of draw and key: any engine finds the same weights, and no row is gathered.  A row
-    becomes one of each digest, and tasks sum the weights of a digest's draws before a shuffle
-    of draws / 16 rows a task."""
-    digits = F.sha2(F.concat_ws(":", F.lit(seed), F.col("digest"), F.col("key")), 256)
-    each = rows.select(F.col(key).cast("string").alias("key"), F.col(column).cast("double").alias("x")).filter("x is not null")
-    each = each.withColumn("digest", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // PER_DIGEST) - 1)))).select("digest", "x", digits.alias("h"))
-    number = lambda j: F.conv(F.substring("h", j * DIGITS + 1, DIGITS), 16, 10).cast("int")
-    times = lambda j: sum(((number(j) >= step).cast("int") for step in poisson_steps()), F.lit(0))
-    weighed = each.select("digest", "x", *[times(j).alias(f"w{j}") for j in range(PER_DIGEST)])
-    sums = weighed.groupBy("digest").agg(*[F.struct(F.sum(f"w{j}").alias("w"), F.sum(F.col(f"w{j}") * F.col("x")).alias("x")).alias(f"s{j}") for j in range(PER_DIGEST)])
-    means = sums.select("digest", F.posexplode(F.array(*[f"s{j}" for j in range(PER_DIGEST)])).alias("j", "s")).filter((F.col("digest") * PER_DIGEST + F.col("j") < draws) & (F.col("s.w") > 0))
-    points = means.agg(*[F.percentile(F.col("s.x") / F.col("s.w"), F.lit(q)).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))])
+    the hash of draw and key: any engine finds the same weights, and no row is gathered.  Tasks
+    add up the weights of all draws, block by block, before a shuffle of a row a draw and task."""
+    each = rows.select(F.col(key).cast("string").alias("key"), F.col(column).cast("double").alias("x")).filter("x is not null and key is not null")
+    sums = shared_out(each).mapInArrow(_weigh(draws, seed), "draw long, w double, x double").groupBy("draw").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
+    means = sums.filter("w > 0").select((F.col("x") / F.col("w")).alias("mean"))
+    points = means.agg(*[F.percentile("mean", F.lit(q)).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))])
     whole = rows.filter(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.avg(column).alias("delta"))
     return whole.filter("n > 0").join(points)
 
 
+def shared_out(rows: DataFrame) -> DataFrame:
+    """Keys and values dealt out over all cores: a row costs far more than its way there."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def learning_rate(progress: Column, peak: float, warm: float, hold: float, floor: float) -> Column:
     """Linear warm-up, a plateau, then half a cosine down to ``floor`` of the peak."""
     down = floor + (1 - floor) * (1 + F.cos(F.lit(math.pi) * (progress - hold) / (1 - hold))) / 2

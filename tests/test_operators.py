@@ -129,6 +129,25 @@ def test_similar_sets_of_many_meetings(spark):
         assert len(found) == len(set(found)) and want <= set(found) and len(found) < 2 * len(want)
 
 
+def test_bootstrap_by_hand(spark):
+    """Weights of every draw from the hashes; a row without a key has none, as in SQL."""
+    import numpy as np
+
+    from brindle.operators import evaluate
+
+    data = [(None if i == 7 else i, None if i == 9 else (i * 37 % 101) / 7) for i in range(3000)]
+    got = evaluate.bootstrap(spark.createDataFrame(data, "id long, x double").repartition(3), "x", "id", draws=50).collect()[0]
+    steps, sums = evaluate.poisson_steps(), np.zeros((2, 50))
+    for i, x in data:
+        if i is not None and x is not None:
+            for draw in range(50):
+                digest, j = divmod(draw, 16)
+                w = sum(int(hashlib.sha256(f"bootstrap:{digest}:{i}".encode()).hexdigest()[4 * j : 4 * j + 4], 16) >= s for s in steps)
+                sums[:, draw] += (w, w * x)
+    low, high = np.quantile(sums[1] / sums[0], [0.025, 0.975])
+    assert (got["n"], got["low"], got["high"]) == (2999, pytest.approx(low, abs=1e-12), pytest.approx(high, abs=1e-12))
+
+
 def test_constraint_grammar(spark):
     from brindle.functions import constraints as C
 
