@@ -148,6 +148,30 @@ def test_bootstrap_by_hand(spark):
     assert (got["n"], got["low"], got["high"]) == (2999, pytest.approx(low, abs=1e-12), pytest.approx(high, abs=1e-12))
 
 
+def test_pools_shuffle_no_tokens(spark, tmp_path):
+    """Texts go to their places once and tokens never do: what is shuffled stays below the tokens."""
+    import random
+
+    from brindle.plans import storage
+
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice("abcdefghijklmnop ") for _ in range(4000)) if i % 3 else f"copy {i % 7}", f"s{i % 4}") for i in range(600)]
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).write.parquet(f"file://{tmp_path}/d/documents.parquet")
+
+    def shuffled():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._sc._gateway.jvm.double, 0), None).iterator()
+        total = 0
+        while stages.hasNext():
+            total += stages.next().shuffleWriteBytes()
+        return total
+
+    before = shuffled()
+    index = storage.write_texts(spark, f"file://{tmp_path}/d", f"file://{tmp_path}/pool").collect()
+    assert shuffled() - before < 3_000_000
+    assert len(index) == len({t for _, t, _ in rows}) and sum(x["n_tokens"] for x in index) == sum(len(t) + 1 for t in {t for _, t, _ in rows})
+
+
 def test_constraint_grammar(spark):
     from brindle.functions import constraints as C
 
