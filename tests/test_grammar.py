@@ -48,3 +48,20 @@ def test_query_over_documents(spark):
     assert len(got) == len(parts) and any(r["finite"] for r in got)
     for r in got:
         assert (r["sentences"], r["finite"]) == (len(parts[r["doc_id"]]), sum(bool(grammar.finite([s])[0]) for s in parts[r["doc_id"]]))
+
+
+def test_finite_sentences_hold_few_words():
+    """A batch of many sentences is tagged in pieces: Python holds far less than all its words."""
+    import tracemalloc
+
+    import pandas as pd
+
+    row = ["The old house stands near the river, and nobody goes there now.", "No verb here.", ""] * 2000
+    batch = pd.Series([row, None, [], row] + [row] * 10)
+    tracemalloc.start()
+    got = grammar.finite_count.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    each = int(grammar.finite(row).sum())
+    assert got.tolist() == [each, 0, 0, each] + [each] * 10 and each == 2000
+    assert peak < 60 << 20
