@@ -485,17 +485,24 @@ ASKED = f"""y as (select doc_id, s[1] as task, array_to_string(s[2:], ' ') as an
 
 def asked_rows(spark, sf_dir) -> DataFrame:
     """doc_id, what is asked about a document's first sentence, the rest of it as the answer,
-    the checks that the request states, which of them hold, topic words and the first fault."""
-    parts = documents(spark, sf_dir).select("doc_id", screens.sentences(F.col("text")).alias("s")).filter("size(s) > 1")
+    the checks that the request states, which of them hold, topic words (null, if the answer's
+    length is wrong) and the first fault."""
     k = (1 + F.col("doc_id") % 8).cast("int")
     forms = (F.format_string("Write at most %d sentences on this: ", k), F.lit("Without using commas, go on: "), F.format_string("Write at least %d words on this: ", k * 10), F.lit("Go on: "))
     lead = F.get(F.array(*forms), (F.col("doc_id") % 4).cast("int"))
-    rows = parts.select("doc_id", lead.alias("lead"), F.col("s")[0].alias("task"), F.array_join(F.slice("s", F.lit(2), F.size("s")), " ").alias("answer"))
-    rows = rows.withColumn("checks", C.parse(F.col("lead"))).withColumn("held", C.verify(F.col("answer"), F.col("checks")))
-    rows = rows.withColumn("topic", screens.content_words(F.col("task")))
+    # The few wordings are parsed once each, not once a document.
+    leads = table(spark, sf_dir, "documents").select(lead.alias("lead")).distinct().withColumn("checks", C.parse(F.col("lead")))
+    # A generator, as a filter would be pushed below the sentences and make them twice.
+    parts = documents(spark, sf_dir).select("doc_id", screens.sentences(F.col("text")).alias("s"))
+    told = F.when(F.size("s") > 1, F.array(F.struct(F.get("s", F.lit(0)).alias("task"), F.array_join(F.slice("s", F.lit(2), F.size("s")), " ").alias("answer"))))
+    rows = parts.select("doc_id", lead.alias("lead"), F.inline(told)).join(F.broadcast(leads), "lead", "left")
+    # An answer is verified only where its length is right, or where a caller asks what it holds.
+    held = C.verify(F.col("answer"), F.col("checks"))
+    rows = rows.withColumn("held", held).withColumn("sized", F.size(screens.spaced(F.col("answer"))).between(30, 150))
+    rows = rows.withColumn("topic", F.when(F.col("sized"), screens.content_words(F.col("task"))))
     common = F.size(F.array_intersect("topic", T.word_list(T.norm(F.col("answer")))))
     reason = quality.first_reason(
-        (~F.size(screens.spaced(F.col("answer"))).between(30, 150), "answer_length"), (F.coalesce(F.size("checks"), F.lit(0)) < 1, "unsupported_or_no_task"), (F.exists("held", lambda x: ~x), "target_rule_failure"),
+        (~F.col("sized"), "answer_length"), (F.coalesce(F.size("checks"), F.lit(0)) < 1, "unsupported_or_no_task"), (F.exists(held, lambda x: ~x), "target_rule_failure"),
         (F.size("topic") < 3, "weak_topic"), (common < 2, "weak_relevance"),
     )
     return rows.withColumn("reason", reason)
@@ -568,20 +575,20 @@ def sketched_words(spark, sf_dir):
     )
 
 
-def with_replay(fresh: DataFrame, replays: list[DataFrame], per_batch: int, each: int, most: int) -> DataFrame:
+def with_replay(fresh: DataFrame, replays: list[tuple[DataFrame, DataFrame]], per_batch: int, each: int, most: int) -> DataFrame:
     """Batches of ``per_batch`` fresh rows (id, place) in their order, as long as they last and at
-    most ``most``, and ``each`` rows of every replay pool (id, h), which begins again when it
-    ends: batch, pool (0: fresh), id."""
+    most ``most``, and ``each`` rows of every replay pool, which begins again when it ends:
+    batch, pool (0: fresh), id.  A pool is its first ``most`` * ``each`` rows (id, place) in order,
+    as no batch reaches further, and one row with its size n."""
     own = fresh.select(F.lit(0).alias("pool"), F.col("id").cast("long").alias("id"), F.floor(F.col("place") / per_batch).cast("long").alias("batch"))
-    whole = store(own.groupBy("batch").agg(F.count("*").alias("n")).filter((F.col("n") == per_batch) & (F.col("batch") < most)).select("batch"))
+    own = store(own.filter(F.col("batch") < most))
+    whole = own.groupBy("batch").agg(F.count("*").alias("n")).filter(F.col("n") == per_batch).select("batch")
     parts = [own.join(whole, "batch", "left_semi")]
     slots = whole.select("batch", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("j"))
-    for k, pool in enumerate(replays, 1):
-        placed = store(select.places(pool.select("id", "h"), ["h"]))
-        n = placed.agg(F.count("*").alias("n"))
+    for k, (first, n) in enumerate(replays, 1):
         # One row: the pool's size.
         wanted = slots.join(F.broadcast(n)).withColumn("place", F.pmod(F.col("batch") * each + F.col("j"), F.col("n")))
-        parts.append(wanted.join(placed, "place").select(F.lit(k).alias("pool"), F.col("id").cast("long").alias("id"), "batch"))
+        parts.append(wanted.join(first, "place").select(F.lit(k).alias("pool"), F.col("id").cast("long").alias("id"), "batch"))
     return reduce(DataFrame.unionByName, [p.select("batch", "pool", "id") for p in parts])
 
 
@@ -611,17 +618,23 @@ def repair_plans(spark, sf_dir):
     """Four plans by name, each fresh rows of its own kind beside the same replay: spans (one
     in eight without an answer), verified constraints with rare families first, whole
     prefixes of conversations, choices with a key."""
-    ranked = lambda rows, salt: select.places(rows.select("id", select.hash_rank(salt, F.col("id")).alias("h")), ["h"])
-    spans = span_rows(spark, sf_dir).filter("fits").withColumnRenamed("doc_id", "id")
+    fresh, again = REPAIR[0] * REPAIR[2], REPAIR[1] * REPAIR[2]
+    hashed = lambda rows, salt: rows.select(F.col("id").cast("long").alias("id"), select.hash_rank(salt, F.col("id")).alias("h"))
+    ranked = lambda rows, salt: select.first_places(hashed(rows, salt), ["h"], fresh)
+    # Whether they hold is told once for each text; the rows of both kinds are taken from that.
+    spans = store(span_rows(spark, sf_dir).select(F.col("doc_id").alias("id"), "unanswerable", "holds", "fits")).filter("fits")
     yes = ranked(spans.filter("holds and not unanswerable"), "yes").select("id", (F.floor(F.col("place") / 7) * 8 + F.col("place") % 7).alias("at"))
     no = ranked(spans.filter("unanswerable"), "no").select("id", (F.col("place") * 8 + 7).alias("at"))
-    asked = store(asked_rows(spark, sf_dir).filter("reason = 'ok'").select(F.col("doc_id").alias("id"), F.lit(0).alias("pool"), F.array(F.get("checks", F.lit(0))["family"]).alias("families")))
-    fresh = {
-        "reading": select.places(yes.unionByName(no).select("id", F.col("at").alias("h")), ["h"]),
-        "constraints": screens.rare_first(asked, "pool", "id", "families", REPAIR[0] * REPAIR[2]).select("id", F.col("turn").alias("place")),
+    asked = store(asked_rows(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit(0).alias("pool"), F.array(F.get("checks", F.lit(0))["family"]).alias("families"), "reason"))
+    plans = {
+        "reading": select.first_places(yes.unionByName(no), ["at"], fresh),
+        "constraints": screens.rare_first(asked.filter("reason = 'ok'"), "pool", "id", "families", fresh).select("id", F.col("turn").alias("place")),
         "familiar": ranked(QUERIES["whole_prefix_cut"](spark, sf_dir).select(F.col("conv_id").alias("id")).distinct(), "familiar"),
         "science": ranked(QUERIES["choice_formats"](spark, sf_dir).filter("gold is not null").select(F.col("doc_id").alias("id")), "science"),
     }
-    chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct().withColumn("h", select.hash_rank("chat", F.col("id")))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), select.hash_rank("item", F.col("item_id")).alias("h"))
-    return reduce(DataFrame.unionByName, [with_replay(rows, [chats, items], *REPAIR).withColumn("plan", F.lit(plan)) for plan, rows in fresh.items()])
+    chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    pools = []
+    for rows, salt in ((store(chats), "chat"), (items, "item")):
+        pools.append((store(select.first_places(hashed(rows, salt), ["h"], again)), store(rows.agg(F.count("*").alias("n")))))
+    return reduce(DataFrame.unionByName, [with_replay(rows, pools, *REPAIR).withColumn("plan", F.lit(plan)) for plan, rows in plans.items()])
