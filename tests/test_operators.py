@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import re
 import unicodedata
 
 import pytest
@@ -172,6 +173,27 @@ def test_pools_shuffle_no_tokens(spark, tmp_path):
     assert len(index) == len({t for _, t, _ in rows}) and sum(x["n_tokens"] for x in index) == sum(len(t) + 1 for t in {t for _, t, _ in rows})
 
 
+def test_similar_sets_in_bounded_memory(spark):
+    """A task holds two blocks of sketches, not all sets that its words are in."""
+    import psutil
+
+    from brindle.operators import similar
+
+    seed = F.expr("if(id % 1000 = 1, id - 1, id)")
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.xxhash64(F.pmod(F.xxhash64(seed, k), F.lit(60_000))))
+    rows = spark.range(20_000).select(F.col("id").alias("node"), F.array_distinct(words).alias("h"))
+    workers = lambda: [p for p in psutil.Process().children(recursive=True) if "java" not in p.name()]
+    peak = lambda p: int(re.search(r"VmHWM:\s+(\d+)", open(f"/proc/{p.pid}/status").read()).group(1)) // 1024
+    before = {}
+    for p in workers():
+        before[p.pid] = p.memory_info().rss >> 20
+        with open(f"/proc/{p.pid}/clear_refs", "w") as f:
+            f.write("5")
+    found = {(r["left"], r["right"]) for r in similar.candidates(rows, 1).collect()}
+    assert {(k, k + 1) for k in range(0, 20_000, 1000)} <= found and len(found) < 40
+    assert max(peak(p) - before.get(p.pid, 100) for p in workers()) < 200
+
+
 def test_constraint_grammar(spark):
     from brindle.functions import constraints as C
 
